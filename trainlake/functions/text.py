@@ -47,7 +47,8 @@ def _tenths_text(tenths: Column) -> Column:
 def one_digit(value: Column) -> Column:
     """``value`` with one digit after the point; negative values keep their sign even as -0.0."""
     tenths = F.round(F.abs(round_tenths(value)) * 10).cast("bigint")
-    return F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), _tenths_text(tenths))
+    text = F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), _tenths_text(tenths))
+    return F.when(value.isNotNull(), text)
 
 
 def format_split(sec: Column, suffix: str = "/500m", null_text: str = NO_VALUE) -> Column:

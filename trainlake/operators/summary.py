@@ -278,13 +278,11 @@ def goal_progress(goals: DataFrame) -> DataFrame:
 
 
 def training_phases(sessions: DataFrame, training_start: date | str) -> DataFrame:
-    """Programme week and phase of each session. The fixed week ranges become one row per week, so the
-    lookup is an equi join with 30 rows."""
-    spark = sessions.sparkSession
-    weeks = [(week, name) for first, last, name in S.TRAINING_PHASES for week in range(first, last + 1)]
-    phases = spark.createDataFrame(weeks, "training_week INT, phase STRING")
+    """Programme week and phase of each session. The few fixed week ranges become a lookup by week, so no
+    range join is needed."""
+    phases = {week: name for first, last, name in S.TRAINING_PHASES for week in range(first, last + 1)}
     week = dates.training_week(F.col("workout_date"), training_start)
-    return sessions.withColumn("training_week", week).join(F.broadcast(phases), "training_week", "left")
+    return sessions.withColumn("training_week", week).withColumn("phase", _lookup(phases)[F.col("training_week")])
 
 
 def countdown(sessions: DataFrame, competition: date | str, training_start: date | str) -> DataFrame:

@@ -227,8 +227,8 @@ def lineage_history(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").selectExpr(
         "CAST(CASE WHEN event_id % 3 = 0 THEN 1 ELSE event_id % 150 END AS STRING) AS object_id",
         "event_id AS seq",
-        "event_id % 2 = 1 AS referenced",
-        "CAST(event_id % 5 AS DOUBLE) / 4 AS usefulness",
+        "event_id % 7 <> 3 AS referenced",
+        "CAST(event_id % 5 + 1 AS DOUBLE) / 7 AS usefulness",
     )
 
 

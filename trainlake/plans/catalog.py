@@ -57,7 +57,7 @@ def metrics_row_count(spark, folder):
 def metrics_rebuild(spark, folder):
     path = new_path(spark, "metrics")
     writers.rebuild_metrics(B.daily_metrics(spark, folder), path)
-    return _rounded(readers.read_table(spark, path, S.METRICS))
+    return _rounded(readers.read_table(spark, path, S.METRICS).drop("month"))
 
 
 # ---- Ingest -------------------------------------------------------------------------------------
@@ -130,7 +130,7 @@ def upsert_intervals(spark, folder):
     number = F.col("workout_id").cast("bigint")
     stored = flat.where(number % 13 != 0).withColumn("created_at", dates.time_literal("2024-01-31 12:00:00"))
     # The repeats have one interval less; the old last one stays.
-    batch = flat.where(((number % 10 == 0) | (number % 13 == 0)) & (F.col("interval_index") < number % 5 - 1))
+    batch = flat.where(((number % 3 == 0) | (number % 13 == 0)) & (F.col("interval_index") < number % 5 - 1))
     batch = batch.withColumn("spm", F.col("spm") + 5).withColumn("ordinal", F.col("interval_index"))
     return upsert.upsert_intervals(stored, batch, B.SYNC_TIME)
 

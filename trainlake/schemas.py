@@ -4,70 +4,90 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-RAW_INTERVAL = T.StructType.fromDDL("distance INT, time DOUBLE, spm INT")
+_TYPES = {
+    "INT": T.IntegerType(),
+    "BIGINT": T.LongType(),
+    "FLOAT": T.FloatType(),
+    "DOUBLE": T.DoubleType(),
+    "STRING": T.StringType(),
+    "BOOLEAN": T.BooleanType(),
+    "DATE": T.DateType(),
+    "TIMESTAMP_NTZ": T.TimestampNTZType(),
+    "STRINGS": T.ArrayType(T.StringType()),
+    "STRING_MAP": T.MapType(T.StringType(), T.StringType()),
+}
+
+
+def struct(columns: str) -> T.StructType:
+    """A schema from "name TYPE, …"; unlike a DDL string it needs no running session."""
+    pairs = [column.split() for column in columns.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
+RAW_INTERVAL = struct("distance INT, time DOUBLE, spm INT")
 RAW_WORKOUT = T.StructType(
-    T.StructType.fromDDL("id STRING, athlete_id BIGINT, date STRING, distance INT, time DOUBLE").fields
+    struct("id STRING, athlete_id BIGINT, date STRING, distance INT, time DOUBLE").fields
     + [T.StructField("intervals", T.ArrayType(RAW_INTERVAL))]
 )
 RAW_WORKOUT_PAGE = T.StructType([T.StructField("data", T.ArrayType(RAW_WORKOUT))])
 
-RAW_RECOVERY = T.StructType.fromDDL(
+RAW_RECOVERY = struct(
     "athlete_id BIGINT, record_date DATE, battery_doc STRING, hrv_doc STRING, sleep_doc STRING,"
     " heart_rate_doc STRING, stress_doc STRING, readiness_doc STRING"
 )
 
-SESSIONS = T.StructType.fromDDL(
+SESSIONS = struct(
     "workout_id STRING, athlete_id BIGINT, workout_date TIMESTAMP_NTZ, distance_m INT,"
     " duration_sec INT, avg_split_sec FLOAT, created_at TIMESTAMP_NTZ, updated_at TIMESTAMP_NTZ"
 )
-INTERVALS = T.StructType.fromDDL(
+INTERVALS = struct(
     "interval_id STRING, workout_id STRING, interval_index INT, work_duration_sec FLOAT,"
     " rest_duration_sec FLOAT, distance_m INT, split_sec FLOAT, spm INT, created_at TIMESTAMP_NTZ"
 )
-SYNC_STATE = T.StructType.fromDDL("source_name STRING, last_sync_ts TIMESTAMP_NTZ")
-RECOVERY_DAILY = T.StructType.fromDDL(
+SYNC_STATE = struct("source_name STRING, last_sync_ts TIMESTAMP_NTZ")
+RECOVERY_DAILY = struct(
     "athlete_id BIGINT, record_date DATE, body_battery INT, hrv_status STRING, sleep_score INT,"
     " resting_hr INT, stress INT, readiness INT, created_at TIMESTAMP_NTZ"
 )
-TIPS = T.StructType.fromDDL(
+TIPS = struct(
     "tip_id STRING, athlete_id BIGINT, created_at TIMESTAMP_NTZ, session_date STRING, author STRING,"
     " tip_text STRING, tag STRING, session_type STRING, expect_taper BOOLEAN"
 )
-METRICS = T.StructType.fromDDL(
+METRICS = struct(
     "athlete_id BIGINT, workout_id STRING, workout_date TIMESTAMP_NTZ, avg_split_sec FLOAT,"
     " duration_sec INT, distance_m INT, prev_split FLOAT, delta FLOAT, rolling_avg_split DOUBLE,"
     " consistency DOUBLE, weekly_load_min DOUBLE, session_type STRING, fatigue_flag STRING"
 )
-ENTITY_BASE = T.StructType.fromDDL(
+ENTITY_BASE = struct(
     "id STRING, participant_id STRING, created_at TIMESTAMP_NTZ, tier STRING, confidence DOUBLE, content STRING"
 )
 # Fields that each kind of context entity adds to the base fields.
 ENTITY_KINDS = {
-    "participant_profile": T.StructType.fromDDL(
+    "participant_profile": struct(
         "display_name STRING, goals_summary STRING, preferred_pronouns STRING"
     ),
-    "session_note": T.StructType.fromDDL(
-        "session_date TIMESTAMP_NTZ, coach_id STRING, summary STRING, action_items ARRAY<STRING>"
+    "session_note": struct(
+        "session_date TIMESTAMP_NTZ, coach_id STRING, summary STRING, action_items STRINGS"
     ),
-    "goal_record": T.StructType.fromDDL("goal_text STRING, target_date TIMESTAMP_NTZ, status STRING"),
+    "goal_record": struct("goal_text STRING, target_date TIMESTAMP_NTZ, status STRING"),
 }
 ENTITY = T.StructType(
     ENTITY_BASE.fields
     + [T.StructField("entity_type", T.StringType())]
     + [field for kind in ENTITY_KINDS.values() for field in kind.fields]
 )
-EXCLUSION = T.StructType.fromDDL(
+EXCLUSION = struct(
     "timestamp TIMESTAMP_NTZ, object_id STRING, entity_type STRING, reason_code STRING,"
-    " priority_score DOUBLE, extra MAP<STRING, STRING>"
+    " priority_score DOUBLE, extra STRING_MAP"
 )
-PLAN_DAY = T.StructType.fromDDL(
+PLAN_DAY = struct(
     "day STRING, date STRING, session_type STRING, label STRING, target_split STRING,"
     " duration_min INT, notes STRING"
 )
 PLAN = T.StructType(
     [T.StructField("insight", T.StringType()), T.StructField("next_week", T.ArrayType(PLAN_DAY))]
 )
-BRIEFS = T.StructType.fromDDL("athlete_id BIGINT, brief_date DATE, brief_text STRING")
+BRIEFS = struct("athlete_id BIGINT, brief_date DATE, brief_text STRING")
 
 # ---- Fixed values -------------------------------------------------------------------------------
 MIN_DISTANCE_M = 500
