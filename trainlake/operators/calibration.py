@@ -44,10 +44,12 @@ def recalibrate_batch(entities: DataFrame, events: DataFrame, scorer: Scorer = m
     last = latest_by_key(events, ["object_id"], ["seq"]).select(
         F.col("object_id").alias("id"), "referenced", "usefulness", F.lit(True).alias("has_event")
     )
-    scored = clamp(scorer(F.col("confidence"), completeness(), F.col("referenced"), F.col("usefulness")))
+    scored = clamp(scorer(F.col("confidence"), F.col("complete"), F.col("referenced"), F.col("usefulness")))
     updated = F.when(F.col("has_event"), scored).otherwise(F.col("confidence"))
     return (
-        entities.join(last, "id", "left")
+        # Completeness first: the join then carries texts only if the caller wants them back.
+        entities.withColumn("complete", completeness())
+        .join(last, "id", "left")
         .withColumn("confidence", updated)
         .select(*entities.columns)
     )
@@ -90,11 +92,13 @@ def folded_events(events: DataFrame, entities: DataFrame, events_per_task: int =
         F.lit(0.0).alias("low"),
         F.lit(1.0).alias("high"),
     )
-    steps = events.join(complete, "object_id").select("object_id", "seq", step.alias("step"))
+    narrow = events.select("object_id", "seq", "referenced", "usefulness")
     pieces = (
-        ordered_segments(steps, "object_id", ["seq"], events_per_task)
+        ordered_segments(narrow, "object_id", ["seq"], events_per_task)
+        .join(complete, "object_id")
+        .select("object_id", "segment", F.struct("seq", step.alias("step")).alias("event"))
         .groupBy("object_id", "segment")
-        .agg(F.array_sort(F.collect_list(F.struct("seq", "step"))).alias("steps"))
+        .agg(F.array_sort(F.collect_list("event")).alias("steps"))
         .select("object_id", "segment", _fold(F.col("steps")).alias("step"))
     )
     return (

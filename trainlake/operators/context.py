@@ -1,8 +1,11 @@
 """Selection of context records for requests: policy, completeness, priority, form and token budget.
 
-A *request* is a row (request_id, coach_id, mode, token_budget, as_of, and optionally policy_mode); the
-records offered to it are the *candidates*: entity rows with request_id and ordinal (input position,
-unique within a request). One job serves all requests.
+A *request* is a row (request_id, coach_id, mode, token_budget, as_of, and optionally policy_mode). The
+records offered to it are the *candidates*: measured entities (see ``measured``) with request_id and
+ordinal (input position, unique within a request). One job serves all requests.
+
+Texts are read twice, in map tasks: once to be measured and once, for the few selected records, to be
+written out. Everything between moves narrow rows only.
 """
 
 from __future__ import annotations
@@ -104,15 +107,14 @@ def recency(
     )
 
 
-def with_scores(entities: DataFrame, as_of: Column | None = None) -> DataFrame:
+def with_scores(rows: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """Recency and priority of measured entities; a record without a date has priority 0."""
     moment = F.col("as_of") if as_of is None else as_of
     age_known = F.col("created_at").isNotNull()
-    return (
-        entities.withColumn("completeness", completeness())
-        .withColumn("recency", F.when(age_known, recency(F.col("created_at"), moment)))
-        .withColumn(
-            "priority", F.coalesce(F.col("confidence") * F.col("recency") * F.col("completeness"), F.lit(0.0))
-        )
+    return rows.withColumn(
+        "recency", F.when(age_known, recency(F.col("created_at"), moment))
+    ).withColumn(
+        "priority", F.coalesce(F.col("confidence") * F.col("recency") * F.col("completeness"), F.lit(0.0))
     )
 
 
@@ -203,20 +205,31 @@ def _as_json(name: str, content: Column) -> Column:
     return F.col(name)
 
 
-def payload(summary_ratio: float = S.SUMMARY_RATIO) -> Column:
-    """JSON of the fields of the entity's own kind: with full content from the priority threshold on, else
-    with the first words only and marked as summarised."""
-    full = F.col("priority") >= S.FULL_TEXT_PRIORITY
-    content = F.when(full, F.col("content")).otherwise(first_words(F.col("content"), summary_ratio))
+def _json(content: Column) -> Column:
+    """JSON of the fields of the entity's own kind, with ``content`` as its text."""
     keep_nulls = {"ignoreNullFields": "false"}
+    as_text = lambda kind: F.to_json(
+        F.struct(*[_as_json(n, content) for n in _payload_fields(kind)]), keep_nulls
+    )
     json = None
     for kind in S.ENTITY_KINDS:
-        text = F.to_json(F.struct(*[_as_json(n, content) for n in _payload_fields(kind)]), keep_nulls)
         is_kind = F.col("entity_type") == kind
-        json = F.when(is_kind, text) if json is None else json.when(is_kind, text)
-    json = json.otherwise(F.to_json(F.struct(*[_as_json(n, content) for n in _payload_fields(None)]), keep_nulls))
-    marked = F.concat(F.substr(json, F.lit(1), F.length(json) - 1), F.lit(',"_summarised":true}'))
-    return F.when(full, json).otherwise(marked)
+        json = F.when(is_kind, as_text(kind)) if json is None else json.when(is_kind, as_text(kind))
+    return json.otherwise(as_text(None))
+
+
+def full_payload() -> Column:
+    return _json(F.col("content"))
+
+
+def summary_payload(ratio: float = S.SUMMARY_RATIO) -> Column:
+    """The payload with the first words only, marked as summarised."""
+    json = _json(first_words(F.col("content"), ratio))
+    return F.concat(F.substr(json, F.lit(1), F.length(json) - 1), F.lit(',"_summarised":true}'))
+
+
+def is_full(priority: Column) -> Column:
+    return priority >= S.FULL_TEXT_PRIORITY
 
 
 def estimated_tokens(text: Column) -> Column:
@@ -229,25 +242,37 @@ def least_tokens() -> int:
     return max(1, (2 + sum(len(n) + 5 for n in names) - 1) // S.CHARS_PER_TOKEN)
 
 
-# ---- Selection ----------------------------------------------------------------------------------
-def scored_candidates(
-    candidates: DataFrame, requests: DataFrame, grants: DataFrame, summary_ratio: float = S.SUMMARY_RATIO
-) -> DataFrame:
-    """Narrow rows (no texts) with scores, gate and size: all that the later steps need to move.
+def measured(entities: DataFrame, summary_ratio: float = S.SUMMARY_RATIO) -> DataFrame:
+    """Entities without their texts: what the scores need, and the size of both forms. Both are taken here,
+    in one pass without a shuffle, because the form depends on the request. A tier that no mode admits
+    needs no size."""
+    usable = F.col("tier").isin(sorted({t for tiers in S.MODE_TIERS.values() for t in tiers}))
+    return entities.select(
+        "id",
+        "participant_id",
+        "created_at",
+        "tier",
+        "confidence",
+        "entity_type",
+        completeness().alias("completeness"),
+        F.when(usable, estimated_tokens(full_payload())).alias("full_tokens"),
+        F.when(usable, estimated_tokens(summary_payload(summary_ratio))).alias("summary_tokens"),
+    )
 
-    ``gate`` is the reason code of the first gate that closes, or NULL. The text is only cut and measured
-    for rows that pass.
-    """
+
+# ---- Selection ----------------------------------------------------------------------------------
+def scored_candidates(candidates: DataFrame, requests: DataFrame, grants: DataFrame) -> DataFrame:
+    """Candidates with scores, size and ``gate``: the reason code of the first gate that closes, or NULL."""
     scored = with_scores(policy_decisions(candidates, requests, grants))
     gate = (
         F.when(F.col("policy_reason") == "tier_gate", "pep_tier_gate")
         .when(F.col("policy_reason") == "rbac_denied", "pep_access_denied")
         .when(F.col("completeness") < S.MIN_COMPLETENESS, "completeness_below_threshold")
     )
-    tokens = F.when(F.col("gate").isNull(), estimated_tokens(payload(summary_ratio)))
+    tokens = F.when(is_full(F.col("priority")), F.col("full_tokens")).otherwise(F.col("summary_tokens"))
     return (
         scored.withColumn("gate", gate)
-        .withColumn("estimated_tokens", tokens)
+        .withColumn("estimated_tokens", F.when(F.col("gate").isNull(), tokens))
         .select(
             "request_id", "ordinal", "id", "entity_type", "tier", "requesting_coach", "mode", "token_budget",
             "completeness", "recency", "priority", "policy_reason", "gate", "estimated_tokens",
@@ -276,19 +301,17 @@ def budget_cutoffs(scored: DataFrame, largest_budget: int) -> DataFrame:
     )
 
 
-def selection_decisions(scored: DataFrame, largest_budget: int) -> DataFrame:
+def selection_decisions(scored: DataFrame, cuts: DataFrame) -> DataFrame:
     """``scored`` with ``reason_code``: the one reason why a candidate is left out, NULL if selected."""
-    cuts = budget_cutoffs(scored, largest_budget)
     ahead = (F.col("priority") > F.col("cut_priority")) | (
         (F.col("priority") == F.col("cut_priority")) & (F.col("ordinal") < F.col("cut_ordinal"))
     )
     over = F.col("cut_ordinal").isNotNull() & ~ahead
     reason = F.coalesce(F.col("gate"), F.when(over, F.lit("budget_truncation")))
-    summarised = F.when(reason.isNull(), F.col("priority") < S.FULL_TEXT_PRIORITY)
     return (
         scored.join(cuts, "request_id", "left")
         .withColumn("reason_code", reason)
-        .withColumn("summarised", summarised)
+        .withColumn("summarised", F.when(F.col("reason_code").isNull(), ~is_full(F.col("priority"))))
         .drop("cut_priority", "cut_ordinal", "gate")
     )
 
@@ -297,17 +320,22 @@ def largest_budget(requests: DataFrame) -> int:
     return requests.agg(F.max("token_budget")).first()[0] or 0
 
 
-def decide(candidates: DataFrame, requests: DataFrame, grants: DataFrame, **options) -> DataFrame:
-    """All candidates with their decision. Requests and grants are written first, so their size is known
-    to the planner; the narrow scores are written once, so no text is read twice."""
-    requests = materialise(requests, "requests")
-    grants = materialise(grants, "grants")
-    scored = materialise(scored_candidates(candidates, requests, grants, **options), "scores")
-    return selection_decisions(scored, largest_budget(requests))
+def written(requests: DataFrame, grants: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests and grants as small tables whose size the planner knows, so that it can choose the join."""
+    return materialise(requests, "requests"), materialise(grants.distinct(), "grants")
+
+
+def decide(candidates: DataFrame, requests: DataFrame, grants: DataFrame) -> DataFrame:
+    """All candidates with their decision. The scores are written once, so no text is measured twice; the
+    cuts (one row per request) are written so that the last join need not move the scores."""
+    requests, grants = written(requests, grants)
+    scored = materialise(scored_candidates(candidates, requests, grants), "scores")
+    cuts = materialise(budget_cutoffs(scored, largest_budget(requests)), "cuts")
+    return selection_decisions(scored, cuts)
 
 
 def context_requests(
-    candidates: DataFrame,
+    entities: DataFrame,
     decisions: DataFrame,
     requests: DataFrame,
     user_text: str,
@@ -319,11 +347,12 @@ def context_requests(
     their texts knows their size. The list per request is bounded by its budget as well.
     """
     selected = materialise(
-        decisions.where(F.col("reason_code").isNull()).select("request_id", "ordinal", "priority"), "selected"
+        decisions.where(F.col("reason_code").isNull()).select("request_id", "ordinal", "id", "priority"), "selected"
     )
-    item = F.struct((-F.col("priority")).alias("rank"), "ordinal", payload(summary_ratio).alias("payload"))
+    payload = F.when(is_full(F.col("priority")), full_payload()).otherwise(summary_payload(summary_ratio))
+    item = F.struct((-F.col("priority")).alias("rank"), "ordinal", payload.alias("payload"))
     lists = (
-        candidates.join(selected, ["request_id", "ordinal"])
+        entities.join(selected, "id")
         .groupBy("request_id")
         .agg(F.array_sort(F.collect_list(item)).alias("items"))
     )

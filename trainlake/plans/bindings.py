@@ -6,8 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trainlake import schemas as S
-from trainlake.operators import ingest, metrics, notes
+from trainlake.operators import context, ingest, metrics, notes
 
 AS_OF = "2024-01-28"  # a Sunday
 MID_WEEK = "2024-01-24"  # a Wednesday
@@ -184,10 +183,11 @@ _MODES = "array('exploration', 'execution')"
 
 def candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Every entity offered to its coach in both modes. The first coach gets more than a third of all."""
-    rows = entities(spark, folder).selectExpr("*", f"{_COACH.format(p='doc_id')} AS coach_no", f"explode({_MODES}) AS mode")
-    return rows.withColumn("request_id", F.concat_ws("-", "coach_no", "mode")).withColumn(
-        "ordinal", F.col("doc_id")
-    ).select("request_id", "ordinal", *S.ENTITY.fieldNames())
+    rows = context.measured(entities(spark, folder)).withColumn("ordinal", F.col("id").cast("bigint"))
+    offers = rows.selectExpr("*", f"{_COACH.format(p='ordinal')} AS coach_no", f"explode({_MODES}) AS offered_mode")
+    return offers.withColumn("request_id", F.concat_ws("-", "coach_no", "offered_mode")).drop(
+        "coach_no", "offered_mode"
+    )
 
 
 def requests(spark: SparkSession, folder: str) -> DataFrame:

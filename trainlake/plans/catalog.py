@@ -428,7 +428,8 @@ def _decisions(spark, folder):
 
 @query
 def entity_scores(spark, folder):
-    scored = context.with_scores(B.entities(spark, folder), dates.time_literal(f"{B.AS_OF} 00:00:00"))
+    measured = context.measured(B.entities(spark, folder))
+    scored = context.with_scores(measured, dates.time_literal(f"{B.AS_OF} 00:00:00"))
     return scored.select("id", "entity_type", "completeness", "recency", "priority")
 
 
@@ -441,7 +442,8 @@ def entity_scores_steep(spark, folder):
 
 @query
 def policy_decisions(spark, folder):
-    return context.audit_records(context.policy_decisions(*_offer(spark, folder)))
+    candidates, requests, grants = _offer(spark, folder)
+    return context.audit_records(context.policy_decisions(candidates, *context.written(requests, grants)))
 
 
 def _pairs(spark, folder):
@@ -529,7 +531,8 @@ def log_append(spark, folder):
 def context_request(spark, folder):
     candidates, requests, grants = _offer(spark, folder)
     decisions = context.decide(candidates, requests, grants)
-    return context.context_requests(candidates, decisions, requests, "What should the next session be?")
+    entities = B.entities(spark, folder)
+    return context.context_requests(entities, decisions, requests, "What should the next session be?")
 
 
 @query
@@ -655,7 +658,7 @@ def _answers(spark, folder):
 
 @query
 def plan_parse(spark, folder):
-    parsed = prompts.parsed_plans(_answers(spark, folder)).where(F.col("plan").isNotNull())
+    parsed = prompts.parsed_plans(_answers(spark, folder)).where(prompts.is_plan())
     return parsed.select("workout_id", "plan.insight", F.size("plan.next_week").alias("n_days"))
 
 

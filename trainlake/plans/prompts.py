@@ -201,14 +201,16 @@ def notifications(
 
 # ---- Plan answers -------------------------------------------------------------------------------
 def parsed_plans(answers: DataFrame) -> DataFrame:
-    """``answers`` (…, answer text) with ``plan``; NULL where the text is no JSON object of that shape."""
-    plan = F.from_json(text.strip_code_fence(F.col("answer")), S.PLAN)
-    usable = plan["insight"].isNotNull() | plan["next_week"].isNotNull()
-    return answers.withColumn("plan", F.when(usable, plan))
+    """``answers`` (…, answer text) with ``plan``, whose fields are NULL where the text is no such JSON."""
+    return answers.withColumn("plan", F.from_json(text.strip_code_fence(F.col("answer")), S.PLAN))
+
+
+def is_plan() -> Column:
+    return F.col("plan.insight").isNotNull() | F.col("plan.next_week").isNotNull()
 
 
 def rejected_plans(answers: DataFrame) -> DataFrame:
-    return parsed_plans(answers).where(F.col("plan").isNull()).drop("plan")
+    return parsed_plans(answers).where(~is_plan()).drop("plan")
 
 
 def plan_days(answers: DataFrame, as_of: date | str) -> DataFrame:

@@ -38,13 +38,16 @@ def read_raw_recovery(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.RAW_RECOVERY).json(path)
 
 
-def read_snapshot(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Snapshot objects; a malformed file gives a row without values, an absent one no rows."""
+def read_snapshot(
+    spark: SparkSession, path: str, schema: T.StructType, one_object_per_file: bool = False
+) -> DataFrame:
+    """Snapshot objects, one per line or one per file; a malformed one gives a row without values, an absent
+    file no rows."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
     with_reject = T.StructType(schema.fields + [T.StructField("_malformed", T.StringType())])
     reader = spark.read.schema(with_reject).option("mode", "PERMISSIVE")
-    snapshots = reader.option("columnNameOfCorruptRecord", "_malformed").json(path)
+    snapshots = reader.option("columnNameOfCorruptRecord", "_malformed").json(path, multiLine=one_object_per_file)
     return snapshots.drop("_malformed")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 from trainlake import schemas as S
 from trainlake.operators import calibration, ingest, metrics, quarantine
 from trainlake.operators.upsert import latest_by_key
+from trainlake.session import materialise
 from trainlake.sources import writers
 from trainlake.sources.readers import path_exists
 
@@ -96,7 +97,7 @@ def sync_metrics(
         # From the earliest old or new time of a changed workout on; a time that is NULL sorts last.
         since = touched.groupBy("athlete_id").agg(F.min("workout_date").alias("since"))
         athletes = stored.join(since.select("athlete_id"), "athlete_id", "left_semi")
-        current = latest_by_key(athletes, ["workout_id"], ["batch_id"]).drop("batch_id")
+        current = materialise(latest_by_key(athletes, ["workout_id"], ["batch_id"]).drop("batch_id"), "touched")
         recomputed = metrics.daily_metrics(current).join(since, "athlete_id").where(
             F.col("since").isNull() | F.col("workout_date").isNull() | (F.col("workout_date") >= F.col("since"))
         )
