@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from trainlake import schemas as S
-from trainlake.operators.skew import DEFAULT_MAX_ROWS, over_recent_history
+from trainlake.operators.skew import DEFAULT_MAX_ROWS, best_rows, earliest_first, over_recent_history
 
 SESSION_ORDER = ["workout_date", "workout_id"]
 
@@ -50,12 +50,32 @@ def daily_metrics(sessions: DataFrame, max_rows_per_athlete: int = DEFAULT_MAX_R
     One shuffle by athlete and one sort serve all windows. Athletes with more sessions than
     ``max_rows_per_athlete`` are cut into ordered segments (see ``skew``).
     """
-    rows = eligible_sessions(sessions).select(
-        "athlete_id", "workout_id", "workout_date", "avg_split_sec", "duration_sec", "distance_m"
-    )
     history = over_recent_history(
-        rows, "athlete_id", SESSION_ORDER, S.LOAD_SESSIONS - 1, _history_columns, max_rows_per_athlete
+        _metric_inputs(sessions), "athlete_id", SESSION_ORDER, S.LOAD_SESSIONS - 1, _history_columns,
+        max_rows_per_athlete,
+    )
+    return _classified(history)
+
+
+def newest_metrics(sessions: DataFrame) -> DataFrame:
+    """``daily_metrics`` of the newest session of each athlete only.
+
+    It depends on the newest seven sessions, so every input partition is cut to seven rows per athlete
+    before the shuffle and no athlete is ever large.
+    """
+    newest_first = [F.desc_nulls_last(name) for name in SESSION_ORDER]
+    recent = best_rows(_metric_inputs(sessions), "athlete_id", newest_first, S.LOAD_SESSIONS)
+    in_order = Window.partitionBy("athlete_id").orderBy(*earliest_first(SESSION_ORDER))
+    return _classified(_history_columns(recent, in_order).where(F.col("rank") == 1))
+
+
+def _metric_inputs(sessions: DataFrame) -> DataFrame:
+    return eligible_sessions(sessions).select(
+        "athlete_id", "workout_id", "workout_date", "avg_split_sec", "duration_sec", "distance_m"
     )
+
+
+def _classified(history: DataFrame) -> DataFrame:
     with_delta = history.withColumn("delta", F.col("avg_split_sec") - F.col("prev_split"))
     return with_delta.select(
         "athlete_id", "workout_id", "workout_date", "avg_split_sec", "duration_sec", "distance_m",

@@ -14,6 +14,8 @@ from trainlake.operators.metrics import SESSION_ORDER
 
 # ---- One row per athlete ------------------------------------------------------------------------
 def latest_session(metrics: DataFrame) -> DataFrame:
+    """The newest row of each athlete of a table that is stored. Straight from the sessions,
+    ``metrics.newest_metrics`` gives the same with much less work."""
     others = [c for c in metrics.columns if c != "athlete_id"]
     newest = F.max_by(F.struct(*others), F.struct(*SESSION_ORDER)).alias("newest")
     return (
@@ -49,9 +51,8 @@ def personal_best(sessions: DataFrame) -> DataFrame:
     )
 
 
-def session_summary(metrics: DataFrame, sessions: DataFrame) -> DataFrame:
-    """The newest session with the formatted fields and the personal best."""
-    latest = latest_session(metrics)
+def session_summary(latest: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The newest session (one metrics row per athlete) with the formatted fields and the personal best."""
     best = personal_best(sessions).select("athlete_id", "personal_best")
     delta = F.col("delta")
     return latest.join(best, "athlete_id", "left").select(
@@ -79,8 +80,8 @@ def without_raw_splits(summary: DataFrame) -> DataFrame:
     return summary.drop("split_raw_sec")
 
 
-def brief_summary(metrics: DataFrame) -> DataFrame:
-    return latest_session(metrics).select(
+def brief_summary(latest: DataFrame) -> DataFrame:
+    return latest.select(
         "athlete_id",
         F.col("workout_date").alias("session_time"),
         text.round_tenths(F.col("avg_split_sec")).alias("split"),

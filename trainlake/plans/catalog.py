@@ -180,15 +180,29 @@ def top_k_sessions(spark, folder):
     return skew.best_rows(B.sessions(spark, folder), "athlete_id", newest, 3)
 
 
+def _summaries(spark, folder):
+    sessions = B.sessions(spark, folder)
+    return summary.session_summary(metrics.newest_metrics(sessions), sessions)
+
+
+@query
+def newest_metrics(spark, folder):
+    return _rounded(metrics.newest_metrics(B.sessions(spark, folder)))
+
+
 @query
 def session_summary(spark, folder):
-    sessions = B.sessions(spark, folder)
-    return summary.session_summary(metrics.daily_metrics(sessions), sessions)
+    return _summaries(spark, folder)
+
+
+@query
+def prompt_summary(spark, folder):
+    return summary.without_raw_splits(_summaries(spark, folder))
 
 
 @query
 def brief_summary(spark, folder):
-    return summary.brief_summary(B.daily_metrics(spark, folder))
+    return summary.brief_summary(metrics.newest_metrics(B.sessions(spark, folder)))
 
 
 def _flags(spark, folder):
@@ -197,7 +211,7 @@ def _flags(spark, folder):
 
 @query
 def generated_note_tags(spark, folder):
-    latest = summary.latest_session(B.daily_metrics(spark, folder)).join(_flags(spark, folder), "athlete_id", "left")
+    latest = metrics.newest_metrics(B.sessions(spark, folder)).join(_flags(spark, folder), "athlete_id", "left")
     active = F.coalesce("taper_active", F.lit(False))
     return latest.select("athlete_id", summary.generated_note_tag(active, F.col("delta")).alias("tag"))
 
@@ -687,17 +701,16 @@ GOAL = "a first indoor race"
 
 @query
 def coaching_prompt(spark, folder):
-    sessions, tips = B.sessions(spark, folder), B.tips(spark, folder)
-    summaries = summary.session_summary(metrics.daily_metrics(sessions), sessions)
+    tips = B.tips(spark, folder)
     return prompts.coaching_prompts(
-        summaries, notes.context_blocks(tips), notes.taper_flags(tips), _today(spark, folder), GOAL
+        _summaries(spark, folder), notes.context_blocks(tips), notes.taper_flags(tips), _today(spark, folder), GOAL
     )
 
 
 @query
 def brief_prompt(spark, folder):
     tips = B.tips(spark, folder)
-    summaries = summary.brief_summary(B.daily_metrics(spark, folder))
+    summaries = summary.brief_summary(metrics.newest_metrics(B.sessions(spark, folder)))
     return prompts.brief_prompts(
         summaries, notes.context_blocks(tips, 5), notes.taper_flags(tips), _today(spark, folder), GOAL
     )
@@ -713,12 +726,10 @@ def weekly_prompt(spark, folder):
 
 @query
 def notification_payload(spark, folder):
-    sessions = B.sessions(spark, folder)
-    summaries = summary.session_summary(metrics.daily_metrics(sessions), sessions)
     briefs = B.tips(spark, folder).groupBy("athlete_id").agg(
         F.max_by("tip_text", F.struct("created_at", "tip_id")).alias("brief_text")
     )
-    return prompts.notifications(summaries, briefs, _today(spark, folder), B.AS_OF, "2024-06-30")
+    return prompts.notifications(_summaries(spark, folder), briefs, _today(spark, folder), B.AS_OF, "2024-06-30")
 
 
 # ---- Files --------------------------------------------------------------------------------------
@@ -788,8 +799,7 @@ def snapshot_roundtrip(spark, folder):
 @query
 def coaching_output(spark, folder):
     path = new_path(spark, "output")
-    sessions = B.sessions(spark, folder)
-    summaries = summary.session_summary(metrics.daily_metrics(sessions), sessions)
+    summaries = _summaries(spark, folder)
     answers = summaries.select("athlete_id", F.concat(F.lit("trend "), F.col("trend")).alias("coaching"))
     rows = writers.coaching_output(summaries, answers, _today(spark, folder), B.SYNC_TIME, "a-model")
     writers.write_snapshot(rows, path)

@@ -235,7 +235,8 @@ FROM (SELECT *, (athlete_id * 31 + day_no) % 13 AS odd FROM recovery)""",
     )
 
 # ---- Per athlete --------------------------------------------------------------------------------
-q("latest_session", f"SELECT {ROUNDED} FROM latest", "latest")
+for name in ("latest_session", "newest_metrics"):
+    q(name, f"SELECT {ROUNDED} FROM latest", "latest")
 _cte(
     "fastest",
     """SELECT * EXCLUDE (event_id) FROM sessions WHERE avg_split_sec IS NOT NULL AND distance_m >= 1000
@@ -267,6 +268,7 @@ _cte(
 FROM latest m LEFT JOIN best b ON m.athlete_id = b.athlete_id""",
 )
 q("session_summary", "SELECT * FROM summaries", "summaries")
+q("prompt_summary", "SELECT * EXCLUDE (split_raw_sec) FROM summaries", "summaries")
 _cte(
     "briefs",
     f"""SELECT athlete_id, workout_date AS session_time, {r1('avg_split_sec')} AS split, CAST(delta AS DOUBLE) AS delta,
