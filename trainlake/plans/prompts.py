@@ -6,6 +6,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trainlake import schemas as S
 from trainlake.functions import dates, text
@@ -202,11 +203,18 @@ def notifications(
 # ---- Plan answers -------------------------------------------------------------------------------
 def parsed_plans(answers: DataFrame) -> DataFrame:
     """``answers`` (…, answer text) with ``plan``, whose fields are NULL where the text is no such JSON."""
-    return answers.withColumn("plan", F.from_json(text.strip_code_fence(F.col("answer")), S.PLAN))
+    with_reject = T.StructType([*S.PLAN.fields, T.StructField("malformed", T.StringType())])
+    parsed = F.from_json(
+        text.strip_code_fence(F.col("answer")), with_reject, {"columnNameOfCorruptRecord": "malformed"}
+    )
+    return answers.withColumn("plan", parsed)
 
 
 def is_plan() -> Column:
-    return F.col("plan.insight").isNotNull() | F.col("plan.next_week").isNotNull()
+    """A whole JSON object with at least one of the two fields; half an object or text around it is none."""
+    whole = text.strip_code_fence(F.col("answer")).rlike(r"(?s)^\{.*\}$") & F.col("plan.malformed").isNull()
+    has_fields = F.col("plan.insight").isNotNull() | F.col("plan.next_week").isNotNull()
+    return F.coalesce(whole & has_fields, F.lit(False))
 
 
 def rejected_plans(answers: DataFrame) -> DataFrame:
@@ -215,7 +223,7 @@ def rejected_plans(answers: DataFrame) -> DataFrame:
 
 def plan_days(answers: DataFrame, as_of: date | str) -> DataFrame:
     """One row per planned day, with its position, the planned distance and whether it is today."""
-    plans = parsed_plans(answers)
+    plans = parsed_plans(answers).where(is_plan())
     others = [c for c in answers.columns if c != "answer"]
     days = plans.select(*others, F.posexplode("plan.next_week").alias("position", "entry"))
     day = F.col("entry.date").try_cast("date")
@@ -228,7 +236,7 @@ def plan_days(answers: DataFrame, as_of: date | str) -> DataFrame:
         F.coalesce("entry.session_type", F.lit("rest")).alias("session_type"),
         "entry.label",
         "entry.target_split",
-        "entry.duration_min",
+        F.col("entry.duration_min").try_cast("int").alias("duration_min"),
         text.planned_km(F.col("entry.label")).alias("planned_km"),
         F.coalesce(day == dates.day_literal(as_of), F.lit(False)).alias("is_today"),
     )

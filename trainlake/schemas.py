@@ -82,7 +82,7 @@ EXCLUSION = struct(
 )
 PLAN_DAY = struct(
     "day STRING, date STRING, session_type STRING, label STRING, target_split STRING,"
-    " duration_min INT, notes STRING"
+    " duration_min STRING, notes STRING"
 )
 PLAN = T.StructType(
     [T.StructField("insight", T.StringType()), T.StructField("next_week", T.ArrayType(PLAN_DAY))]
