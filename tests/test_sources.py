@@ -52,12 +52,17 @@ def test_snapshots(spark, tmp_path):
 
 
 def test_logs_skip_bad_lines(spark, tmp_path):
-    good = {"timestamp": "2024-01-05T10:00:00", "object_id": "a", "reason_code": "r", "extra": {"mode": "m"}}
-    (tmp_path / "log.jsonl").write_text("\n".join(["", json.dumps(good), "oops", "  ", '{"object_id": "b"', json.dumps({**good, "object_id": "c"})]))
-    found = readers.read_log(spark, str(tmp_path / "log.jsonl"), S.EXCLUSION)
-    assert [(r.object_id, r.extra) for r in found.orderBy("object_id").collect()] == [("a", {"mode": "m"}), ("c", {"mode": "m"})]
-    assert found.count() == 2
-    assert readers.read_log(spark, str(tmp_path / "none"), S.EXCLUSION).count() == 0
+    good = {"timestamp": "2024-01-05T10:00:00.25+00:00", "object_id": "a", "reason_code": "r", "extra": {"n": 1, "mode": "m"}}
+    (tmp_path / "log.jsonl").write_text("\n".join(
+        ["", json.dumps(good), "oops", "  ", '{"object_id": "b"', json.dumps({**good, "object_id": "c"}),
+         json.dumps({**good, "object_id": "d", "timestamp": "once"})]))
+    found = readers.read_exclusion_lines(spark, str(tmp_path / "log.jsonl"))
+    moment, extra = datetime(2024, 1, 5, 10, 0, 0, 250000), {"n": "1", "mode": "m"}
+    assert [(r.object_id, r.timestamp, r.extra) for r in found.orderBy("object_id").collect()] == [
+        ("a", moment, extra), ("c", moment, extra), ("d", None, extra)
+    ]
+    assert found.count() == 3
+    assert readers.read_exclusion_lines(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_briefs(spark, tmp_path):

@@ -58,6 +58,16 @@ def test_repeated_workouts_keep_the_last_version(landing):
     assert stored(landing) == {"1": 2100, "2": 2200, "3": 2000}
 
 
+def test_intervals_are_kept_too(landing):
+    parts = lambda *seconds: {"intervals": [{"distance": 250, "time": s, "spm": 20} for s in seconds]}
+    landing.land({"data": [{**workout(1, 0), **parts(60, 61, 62)}, workout(2, 0)]})
+    sync(landing, intervals=landing.path("intervals"))
+    landing.land({"data": [{**workout(1, 0), **parts(70)}]})
+    sync(landing, intervals=landing.path("intervals"))
+    found = writers.current_rows(landing.spark, landing.path("intervals"), ["interval_id"])
+    assert rows(found, ["interval_id", "work_duration_sec"]) == [("1_0", 70.0), ("1_1", 61.0), ("1_2", 62.0)]
+
+
 def test_old_workouts_are_not_taken_in_again(landing):
     landing.land({"data": [workout(1, 0), workout(2, 10), {**workout(9, 0), "date": "?"}]})
     sync(landing)
@@ -106,7 +116,7 @@ def test_exclusion_log_keeps_its_retention(landing):
                                 "entity_type": "goal_record", "reason_code": "pep_tier_gate", "priority_score": 0.5}
     for batch in ([record("a", 0), record("b", 30), record("c", 30.2)], [record("d", 31), record("e", 30), record("f", 1)]):
         landing.land(*batch)
-        records = streams.landed(landing.spark, landing.path("landing"), S.EXCLUSION)
+        records = streams.exclusion_stream(landing.spark, landing.path("landing"))
         streams.keep_exclusion_log(records, landing.path("log"), landing.path("progress"), as_of).awaitTermination()
     found = readers.read_table(landing.spark, landing.path("log"), S.EXCLUSION)
     assert [r[0] for r in rows(found, ["object_id"])] == ["a", "b", "e", "f"]

@@ -12,6 +12,10 @@ NO_VALUE = "—"
 TAPER_MARK = " [TAPER EXPECTED — recovery row]"
 EMPTY_NOTES = "(No previous coaching context available)"
 # The characters that count as white space between words.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 WHITESPACE = (
     r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
@@ -24,31 +28,19 @@ CODE_FENCE = "```"
 def round_tenths(value: Column) -> Column:
     """Round to one digit by the exact binary value, ties to even.
 
-    ``8x`` and ``2x`` are exact, so ``high + low`` is exactly ``10x``; the low part decides the cases
-    where the rounded product looks like a tie but the exact value is not one.
+    Only where ``10x`` comes out as a tie can the rounding of the product mislead. There the difference of
+    the exact ``8x + 2x`` to it is free of error and tells on which side the value lies.
     """
     x = value.cast("double")
-    eight, two = x * 8, x * 2
-    high = eight + two
-    back = high - eight
-    low = (eight - (high - back)) + (two - back)
-    floor = F.floor(high).cast("double")
-    looks_tied = (high - floor) == 0.5
-    rounded = (
-        F.when(looks_tied & (low > 0), floor + 1).when(looks_tied & (low < 0), floor).otherwise(F.rint(high))
-    )
-    return rounded / 10
-
-
-def _tenths_text(tenths: Column) -> Column:
-    return F.format_string("%d.%d", F.floor(tenths / 10).cast("bigint"), (tenths % 10).cast("bigint"))
+    ten = x * 10
+    beyond = F.signum((x * 8 - ten) + x * 2)
+    looks_tied = (ten - F.floor(ten)) == 0.5
+    return F.rint(ten + F.when(looks_tied, beyond * 0.25).otherwise(0.0)) / 10
 
 
 def one_digit(value: Column) -> Column:
-    """``value`` with one digit after the point; negative values keep their sign even as -0.0."""
-    tenths = F.round(F.abs(round_tenths(value)) * 10).cast("bigint")
-    text = F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), _tenths_text(tenths))
-    return F.when(value.isNotNull(), text)
+    """``value`` with one digit after the point."""
+    return F.when(value.isNotNull(), F.format_string("%.1f", round_tenths(value)))
 
 
 def format_split(sec: Column, suffix: str = "/500m", null_text: str = NO_VALUE) -> Column:
@@ -126,7 +118,7 @@ def strip_code_fence(answer: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WHITESPACE}+|{WHITESPACE}+$", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def is_blank(text: Column) -> Column:
@@ -136,8 +128,13 @@ def is_blank(text: Column) -> Column:
 def first_words(text: Column, ratio: float = S.SUMMARY_RATIO) -> Column:
     """The first ``ratio`` of the words, at least one, joined by single spaces."""
     words = F.split(strip(text), f"{WHITESPACE}+")
-    keep = F.greatest(F.lit(1), F.floor(F.size(words) * F.lit(float(ratio))).cast("int"))
-    return F.array_join(F.slice(words, F.lit(1), keep), " ")
+
+    def start(of: Column) -> Column:
+        keep = F.greatest(F.lit(1), F.floor(F.size(of) * F.lit(float(ratio))).cast("int"))
+        return F.array_join(F.slice(of, F.lit(1), keep), " ")
+
+    # Through a one-element array, so that the text is split once for both the count and the words.
+    return F.transform(F.array(words), start)[0]
 
 
 def note_line(created_at: Column, author: Column, tag: Column, expect_taper: Column, text: Column) -> Column:

@@ -27,6 +27,7 @@ from trainlake.session import materialise
 SYSTEM_TEXT = (
     "The context below was validated beforehand. Use only what these objects state; add nothing to them."
 )
+SUMMARY_MARK = ',"_summarised":true'
 
 
 class PolicyViolation(PermissionError):
@@ -224,16 +225,15 @@ def full_payload() -> Column:
 
 def summary_payload(ratio: float = S.SUMMARY_RATIO) -> Column:
     """The payload with the first words only, marked as summarised."""
-    json = _json(first_words(F.col("content"), ratio))
-    return F.concat(F.substr(json, F.lit(1), F.length(json) - 1), F.lit(',"_summarised":true}'))
+    return F.regexp_replace(_json(first_words(F.col("content"), ratio)), r"\}$", SUMMARY_MARK + "}")
 
 
 def is_full(priority: Column) -> Column:
     return priority >= S.FULL_TEXT_PRIORITY
 
 
-def estimated_tokens(text: Column) -> Column:
-    return F.greatest(F.lit(1), F.floor(F.length(text) / S.CHARS_PER_TOKEN)).cast("bigint")
+def estimated_tokens(length: Column) -> Column:
+    return F.greatest(F.lit(1), F.floor(length / S.CHARS_PER_TOKEN)).cast("bigint")
 
 
 def least_tokens() -> int:
@@ -246,6 +246,7 @@ def measured(entities: DataFrame, summary_ratio: float = S.SUMMARY_RATIO) -> Dat
     """Entities without their texts: what the scores need, and the size of both forms. Both are taken here,
     in one pass without a shuffle, because the form depends on the request. A tier that no mode admits
     needs no size."""
+    short = _json(first_words(F.col("content"), summary_ratio))
     usable = F.col("tier").isin(sorted({t for tiers in S.MODE_TIERS.values() for t in tiers}))
     return entities.select(
         "id",
@@ -255,8 +256,8 @@ def measured(entities: DataFrame, summary_ratio: float = S.SUMMARY_RATIO) -> Dat
         "confidence",
         "entity_type",
         completeness().alias("completeness"),
-        F.when(usable, estimated_tokens(full_payload())).alias("full_tokens"),
-        F.when(usable, estimated_tokens(summary_payload(summary_ratio))).alias("summary_tokens"),
+        F.when(usable, estimated_tokens(F.length(full_payload()))).alias("full_tokens"),
+        F.when(usable, estimated_tokens(F.length(short) + len(SUMMARY_MARK))).alias("summary_tokens"),
     )
 
 

@@ -183,19 +183,21 @@ def week_over_week(weekly: DataFrame) -> DataFrame:
         "before",
         F.when(F.col("before.week_start") == F.date_sub("week_start", 7), F.col("before")),
     )
-    columns = []
+    changes, columns = {}, []
     for value, (name, unit, lower_is_better) in _WEEK_VALUES.items():
         now, then = F.col(value).cast("double"), F.col(f"before.{value}").cast("double")
         usable = (now != 0) & (then != 0) & (F.abs(now - then) >= 0.01)
-        change = F.when(usable, now - then)
+        changes[f"prev_{name}"] = then
+        changes[f"exact_{name}"] = F.when(usable, now - then)
+        change = F.col(f"exact_{name}")
         arrow = F.when(change < 0, "↓").otherwise("↑")
         columns += [
-            then.alias(f"prev_{name}"),
+            f"prev_{name}",
             text.round_tenths(change).alias(f"{name}_change"),
             ((change < 0) if lower_is_better else (change > 0)).alias(f"{name}_better"),
             F.concat(arrow, text.one_digit(F.abs(change)), F.lit(unit)).alias(f"{name}_text"),
         ]
-    return paired.select("athlete_id", "week_start", *_WEEK_VALUES, *columns)
+    return paired.withColumns(changes).select("athlete_id", "week_start", *_WEEK_VALUES, *columns)
 
 
 def iso_week_volume(metrics: DataFrame) -> DataFrame:

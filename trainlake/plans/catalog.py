@@ -14,7 +14,7 @@ from trainlake.operators import (
 )
 from trainlake.plans import bindings as B
 from trainlake.plans import prompts
-from trainlake.session import new_path, tune
+from trainlake.session import materialise, new_path, tune
 from trainlake.sources import readers, writers
 from trainlake.streaming import streams
 
@@ -650,7 +650,7 @@ def planned_km(spark, folder):
 
 
 def _answers(spark, folder):
-    """A plan answer per session with two days: plain, fenced in two ways, or broken JSON."""
+    """A stored plan answer per session with two days: plain, fenced in two ways, or broken JSON."""
     day = (
         "named_struct('day', 'Mon', 'date', CAST(day AS STRING), 'session_type', 'steady', 'label', label,"
         " 'target_split', '2:20.0', 'duration_min', distance_m % 90, 'notes', 'easy')"
@@ -667,12 +667,12 @@ def _answers(spark, folder):
         f" ELSE concat('{{\"insight\": ', label) END"
     )
     rows = _labels(spark, folder).withColumn("label", F.coalesce("label", F.lit("8km")))
-    return rows.selectExpr("workout_id", "athlete_id", f"{answer} AS answer")
+    return materialise(rows.selectExpr("workout_id", "athlete_id", f"{answer} AS answer"), "answers")
 
 
 @query
 def plan_parse(spark, folder):
-    parsed = prompts.parsed_plans(_answers(spark, folder)).where(prompts.is_plan())
+    parsed = prompts.parsed_plans(_answers(spark, folder)).where("is_plan")
     return parsed.select("workout_id", "plan.insight", F.size("plan.next_week").alias("n_days"))
 
 
@@ -782,7 +782,7 @@ def _plan_rows(weekly):
 def snapshot_roundtrip(spark, folder):
     path = new_path(spark, "snapshot")
     weekly = summary.weekly_summary(B.daily_metrics(spark, folder))
-    rows = writers.weekly_snapshot(weekly, _plan_rows(weekly), B.SYNC_TIME)
+    rows = writers.weekly_snapshot(weekly, _plan_rows(weekly), B.SYNC_TIME, "a-model")
     writers.write_snapshot(rows, path)
     return readers.read_snapshot(spark, path, rows.schema).select(
         "athlete_id",
@@ -814,10 +814,21 @@ def malformed_log_scan(spark, folder):
     """A JSON-lines log with blank and broken lines among the records."""
     path = new_path(spark, "log")
     number = F.col("event_id")
-    record = F.to_json(F.struct(number.cast("string").alias("object_id"), F.col("event_type").alias("reason_code")))
+    moment = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+    record = F.to_json(
+        F.struct(
+            F.when(number % 17 == 0, F.lit("long ago")).otherwise(moment).alias("timestamp"),
+            number.cast("string").alias("object_id"),
+            F.col("event_type").alias("reason_code"),
+            F.col("value").alias("priority_score"),
+            F.create_map(F.lit("token_budget"), F.col("user_id")).alias("extra"),
+        )
+    )
     line = F.when(number % 11 == 0, "").when(number % 13 == 0, F.lit('{"object_id": ')).otherwise(record)
     B.table(spark, folder, "events").select(line.alias("value")).write.text(path)
-    return readers.read_log(spark, path, S.EXCLUSION).select("object_id", "reason_code")
+    return readers.read_exclusion_lines(spark, path).select(
+        "timestamp", "object_id", "reason_code", "priority_score", F.col("extra")["token_budget"].alias("token_budget")
+    )
 
 
 # ---- Streams ------------------------------------------------------------------------------------
@@ -843,6 +854,19 @@ def stream_sessions(spark, folder):
     return writers.current_rows(spark, table, ["workout_id"]).drop("batch_id")
 
 
+@query
+def stream_intervals(spark, folder):
+    table, intervals = new_path(spark, "sessions"), new_path(spark, "intervals")
+    _workout_arrivals(
+        spark,
+        folder,
+        lambda workouts, progress: streams.sync_sessions(
+            workouts, table, progress, replay_days=None, intervals=intervals
+        ),
+    )
+    return writers.current_rows(spark, intervals, ["interval_id"]).drop("batch_id")
+
+
 @query
 def stream_sessions_replay(spark, folder):
     """With the replay limit: what comes again is taken in only if it is recent."""
@@ -871,7 +895,7 @@ def stream_quarantine(spark, folder):
     even = F.col("object_id").cast("bigint") % 2 == 0
     for arrival in (records.where(even), records.where(~even)):
         arrival.write.mode("append").json(landing)
-        stream = streams.landed(spark, landing, S.EXCLUSION)
+        stream = streams.exclusion_stream(spark, landing)
         streams.keep_exclusion_log(stream, log, progress, "2024-02-05 12:00:00").awaitTermination()
     return readers.read_table(spark, log, S.EXCLUSION).select(*_log_columns())
 

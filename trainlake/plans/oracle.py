@@ -912,7 +912,8 @@ FROM summaries s LEFT JOIN today r ON s.athlete_id = r.athlete_id""",
 )
 q(
     "malformed_log_scan",
-    """SELECT CAST(event_id AS VARCHAR) AS object_id, event_type AS reason_code FROM events
+    """SELECT CASE WHEN event_id % 17 <> 0 THEN ts END AS timestamp, CAST(event_id AS VARCHAR) AS object_id,
+  event_type AS reason_code, value AS priority_score, CAST(user_id AS VARCHAR) AS token_budget FROM events
 WHERE event_id % 11 <> 0 AND event_id % 13 <> 0""",
 )
 
@@ -920,6 +921,14 @@ WHERE event_id % 11 <> 0 AND event_id % 13 <> 0""",
 AGAIN = "CASE WHEN event_id % 10 = 0 THEN distance + 100 ELSE distance END"
 _cte("streamed", _normal(f"({AGAIN})"))
 q("stream_sessions", "SELECT * FROM streamed", "streamed")
+q(
+    "stream_intervals",
+    """SELECT id || '_' || i AS interval_id, id AS workout_id, CAST(i AS INT) AS interval_index,
+  CAST(seconds AS FLOAT) AS work_duration_sec, CAST(NULL AS FLOAT) AS rest_duration_sec, metres AS distance_m,
+  CAST(seconds / (CAST(metres AS DOUBLE) / CAST(500 AS DOUBLE)) AS FLOAT) AS split_sec, CAST(18 + i AS INT) AS spm
+FROM intervals""",
+    "intervals",
+)
 _cte("streamed_metrics", _metrics_sql("streamed"))
 q("stream_metrics", f"SELECT {ROUNDED} FROM streamed_metrics", "streamed_metrics")
 _cte(

@@ -202,32 +202,31 @@ def notifications(
 
 # ---- Plan answers -------------------------------------------------------------------------------
 def parsed_plans(answers: DataFrame) -> DataFrame:
-    """``answers`` (…, answer text) with ``plan``, whose fields are NULL where the text is no such JSON."""
+    """``answers`` (…, answer text) with ``plan``, and ``is_plan`` for a whole JSON object with at least one
+    of the two fields; half an object, or text around it, is none."""
     with_reject = T.StructType([*S.PLAN.fields, T.StructField("malformed", T.StringType())])
-    parsed = F.from_json(
-        text.strip_code_fence(F.col("answer")), with_reject, {"columnNameOfCorruptRecord": "malformed"}
-    )
-    return answers.withColumn("plan", parsed)
-
-
-def is_plan() -> Column:
-    """A whole JSON object with at least one of the two fields; half an object or text around it is none."""
-    whole = text.strip_code_fence(F.col("answer")).rlike(r"(?s)^\{.*\}$") & F.col("plan.malformed").isNull()
+    whole = F.col("body").rlike(r"(?s)^\{.*\}$") & F.col("plan.malformed").isNull()
     has_fields = F.col("plan.insight").isNotNull() | F.col("plan.next_week").isNotNull()
-    return F.coalesce(whole & has_fields, F.lit(False))
+    return (
+        answers.withColumn("body", text.strip_code_fence(F.col("answer")))
+        .withColumn("plan", F.from_json("body", with_reject, {"columnNameOfCorruptRecord": "malformed"}))
+        .withColumn("is_plan", F.coalesce(whole & has_fields, F.lit(False)))
+        .drop("body")
+    )
 
 
 def rejected_plans(answers: DataFrame) -> DataFrame:
-    return parsed_plans(answers).where(~is_plan()).drop("plan")
+    return parsed_plans(answers).where(~F.col("is_plan")).drop("plan", "is_plan")
 
 
 def plan_days(answers: DataFrame, as_of: date | str) -> DataFrame:
     """One row per planned day, with its position, the planned distance and whether it is today."""
-    plans = parsed_plans(answers).where(is_plan())
     others = [c for c in answers.columns if c != "answer"]
-    days = plans.select(*others, F.posexplode("plan.next_week").alias("position", "entry"))
+    days = F.when(F.col("is_plan"), F.col("plan.next_week"))
+    # The outer form with a filter on its result: a filter below would parse every answer again.
+    exploded = parsed_plans(answers).select(*others, F.posexplode_outer(days).alias("position", "entry"))
     day = F.col("entry.date").try_cast("date")
-    return days.select(
+    return exploded.where(F.col("position").isNotNull()).select(
         *others,
         "position",
         "entry.day",

@@ -80,6 +80,11 @@ EXCLUSION = struct(
     "timestamp TIMESTAMP_NTZ, object_id STRING, entity_type STRING, reason_code STRING,"
     " priority_score DOUBLE, extra STRING_MAP"
 )
+# The log as JSON lines: the time is text and may carry an offset.
+RAW_EXCLUSION = struct(
+    "timestamp STRING, object_id STRING, entity_type STRING, reason_code STRING, priority_score DOUBLE,"
+    " extra STRING_MAP"
+)
 PLAN_DAY = struct(
     "day STRING, date STRING, session_type STRING, label STRING, target_split STRING,"
     " duration_min STRING, notes STRING"

@@ -50,9 +50,19 @@ def work_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{work_folder(spark)}/trainlake/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path nobody has used before, so nothing is ever overwritten."""
-    return f"{work_folder(spark)}/trainlake/{label}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_work_tables(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application, when nothing reads them any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

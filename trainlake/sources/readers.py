@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trainlake import schemas as S
-from trainlake.functions.dates import day_literal
+from trainlake.functions.dates import day_literal, parse_iso
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -58,6 +58,16 @@ def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def dated_exclusions(raw: DataFrame) -> DataFrame:
+    """Raw log records with their time parsed; NULL where it cannot be read."""
+    return raw.withColumn("timestamp", parse_iso(F.col("timestamp")))
+
+
+def read_exclusion_lines(spark: SparkSession, path: str) -> DataFrame:
+    """An exclusion log kept as JSON lines."""
+    return dated_exclusions(read_log(spark, path, S.RAW_EXCLUSION))
+
+
 def latest_briefs(briefs: DataFrame, as_of: date | str) -> DataFrame:
     """Per athlete the brief of the day, else the newest before it."""
     return (

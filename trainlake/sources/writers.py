@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trainlake import schemas as S
@@ -86,15 +86,19 @@ def write_snapshot(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def weekly_snapshot(weeks: DataFrame, plans: DataFrame, now: datetime | str) -> DataFrame:
-    """``weeks`` (from ``week_over_week`` input: one summary per week) beside the plan of the same week."""
-    figures = [c for c in weeks.columns if c not in ("athlete_id", "week_start")]
-    before = weeks.select(
-        "athlete_id", F.date_add("week_start", 7).alias("week_start"), F.struct(*figures).alias("prev_week")
+def weekly_snapshot(weeks: DataFrame, plans: DataFrame, now: datetime | str, model: str) -> DataFrame:
+    """``weeks`` (one summary per athlete and week) beside the week before and the plan made for the week
+    (athlete_id, week_start, insight, next_week)."""
+    figures = F.struct(*[c for c in weeks.columns if c not in ("athlete_id", "week_start")])
+    by_week = Window.partitionBy("athlete_id").orderBy("week_start")
+    is_next = F.lag("week_start").over(by_week) == F.date_sub("week_start", 7)
+    paired = weeks.select(
+        "athlete_id",
+        "week_start",
+        figures.alias("this_week"),
+        F.when(is_next, F.lag(figures).over(by_week)).alias("prev_week"),
     )
-    this = weeks.select("athlete_id", "week_start", F.struct(*figures).alias("this_week"))
-    keys = ["athlete_id", "week_start"]
-    return this.join(before, keys, "left").join(plans, keys, "left").select(
+    return paired.join(plans, ["athlete_id", "week_start"], "left").select(
         "athlete_id",
         time_literal(now).alias("generated_at"),
         "week_start",
@@ -103,6 +107,7 @@ def weekly_snapshot(weeks: DataFrame, plans: DataFrame, now: datetime | str) ->
         "prev_week",
         F.coalesce("insight", F.lit("")).alias("insight"),
         F.col("next_week").alias("next_week_plan"),
+        F.lit(model).alias("model"),
     )
 
 

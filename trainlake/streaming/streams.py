@@ -17,14 +17,19 @@ from pyspark.sql.types import StructType
 from trainlake import schemas as S
 from trainlake.operators import calibration, ingest, metrics, quarantine
 from trainlake.operators.upsert import latest_by_key
-from trainlake.session import materialise
+from trainlake.session import materialise, tune
 from trainlake.sources import writers
-from trainlake.sources.readers import path_exists
+from trainlake.sources.readers import dated_exclusions, path_exists
 
 
 def run(stream: DataFrame, handle, checkpoint: str, **trigger) -> StreamingQuery:
+    def tuned(batch: DataFrame, batch_id: int) -> None:
+        # A stream runs in a session of its own without adaptive execution; the batch work wants it.
+        tune(batch.sparkSession)
+        handle(batch, batch_id)
+
     return (
-        stream.writeStream.foreachBatch(handle)
+        stream.writeStream.foreachBatch(tuned)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
@@ -47,28 +52,39 @@ def workout_stream(spark: SparkSession, folder: str, files_per_batch: int | None
 
 
 def sync_sessions(
-    workouts: DataFrame, table: str, checkpoint: str, replay_days: int | None = S.REPLAY_DAYS, **trigger
+    workouts: DataFrame,
+    table: str,
+    checkpoint: str,
+    replay_days: int | None = S.REPLAY_DAYS,
+    intervals: str | None = None,
+    **trigger,
 ) -> StreamingQuery:
-    """Keep a session table up to date; of repeated workouts the last one counts.
+    """Keep a session table (and an interval table) up to date; of repeated workouts the last one counts.
 
     From the second batch on, workouts dated more than ``replay_days`` before the newest one seen so far
     are not taken in again (None: no limit). The mark is kept in a small log of its own.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        _store_sessions(batch, batch_id, table, replay_days)
+        _store_sessions(batch, batch_id, table, replay_days, intervals)
 
     return run(workouts, handle, checkpoint, **trigger)
 
 
-def _store_sessions(batch: DataFrame, batch_id: int, table: str, replay_days: int | None) -> DataFrame:
+def _store_sessions(
+    batch: DataFrame, batch_id: int, table: str, replay_days: int | None, intervals: str | None = None
+) -> DataFrame:
     """Store the batch and return it as written."""
     spark, marks = batch.sparkSession, f"{table}_marks"
     earlier = _earlier_batches(spark, marks, batch_id)
     if earlier is not None and replay_days is not None:
         batch = ingest.incremental(batch, earlier, "sessions", replay_days)
     newest = latest_by_key(batch, ["id"], ["landed_at", "position"])
+    if intervals:
+        newest = newest.persist()
+        writers.write_batch(ingest.flatten_intervals(newest), intervals, batch_id)
     writers.write_batch(ingest.normalise(newest), table, batch_id)
+    newest.unpersist()
     stored = spark.read.parquet(f"{table}/batch_id={batch_id}")
     mark = stored.agg(F.max("workout_date").alias("last_sync_ts"))
     writers.write_batch(mark.select(F.lit("sessions").alias("source_name"), "last_sync_ts"), marks, batch_id)
@@ -121,6 +137,10 @@ def current_metrics(spark: SparkSession, derived: str) -> DataFrame:
     return newest.where(F.col("avg_split_sec").isNotNull()).select(*S.METRICS.fieldNames())
 
 
+def exclusion_stream(spark: SparkSession, folder: str) -> DataFrame:
+    return dated_exclusions(landed(spark, folder, S.RAW_EXCLUSION))
+
+
 def keep_exclusion_log(
     records: DataFrame, log: str, checkpoint: str, as_of: datetime | str, days: int = S.RETENTION_DAYS, **trigger
 ) -> StreamingQuery:
