@@ -33,6 +33,13 @@ def read_raw_workouts(spark: SparkSession, path: str) -> DataFrame:
     return pages.select(F.inline("data"))
 
 
+def ordered_workouts(pages: DataFrame) -> DataFrame:
+    """Workouts of raw pages with ``landed_at`` and ``position``, which order repeated ones."""
+    return pages.select(
+        F.col("_metadata.file_modification_time").alias("landed_at"), F.posexplode("data").alias("position", "w")
+    ).select("landed_at", "position", "w.*")
+
+
 def read_raw_recovery(spark: SparkSession, path: str) -> DataFrame:
     """One line per athlete and day with up to six documents as JSON text."""
     return spark.read.schema(S.RAW_RECOVERY).json(path)

@@ -19,7 +19,7 @@ from trainlake.operators import calibration, ingest, metrics, quarantine
 from trainlake.operators.upsert import latest_by_key
 from trainlake.session import materialise, tune
 from trainlake.sources import writers
-from trainlake.sources.readers import dated_exclusions, path_exists
+from trainlake.sources.readers import dated_exclusions, ordered_workouts, path_exists
 
 
 def run(stream: DataFrame, handle, checkpoint: str, **trigger) -> StreamingQuery:
@@ -45,10 +45,7 @@ def landed(spark: SparkSession, folder: str, schema: StructType, files_per_batch
 
 def workout_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
     """Workouts of the landed pages; ``landed_at`` and ``position`` order repeated ones within a batch."""
-    pages = landed(spark, folder, S.RAW_WORKOUT_PAGE, files_per_batch)
-    return pages.select(
-        F.col("_metadata.file_modification_time").alias("landed_at"), F.posexplode("data").alias("position", "w")
-    ).select("landed_at", "position", "w.*")
+    return ordered_workouts(landed(spark, folder, S.RAW_WORKOUT_PAGE, files_per_batch))
 
 
 def sync_sessions(
