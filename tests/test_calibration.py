@@ -16,7 +16,7 @@ def confidence(df):
 
 def test_first_confidence_is_completeness(spark):
     table = entity(spark, {"id": "a", "confidence": None, "content": ""}, {"id": "b", "confidence": 0.3})
-    assert confidence(table.select("id", calibration.initial_confidence().alias("confidence"))) == {
+    assert confidence(calibration.with_initial_confidence(table)) == {
         "a": pytest.approx(5 / 6), "b": 0.3
     }
 

@@ -166,7 +166,7 @@ def test_budget_cut_is_final(spark):
         spark, {"id": "a", "confidence": 1.0, "content": "x" * 400}, {"id": "b", "confidence": 0.95, "content": "y" * 4000},
         {"id": "c", "confidence": 0.9, "content": "z"},
     )
-    tokens = {k: r.full_tokens for k, r in by_id(context.measured(table), "id").items()}
+    tokens = {k: r.full_chars // 4 for k, r in by_id(context.measured(table), "id").items()}
     reasons = lambda budget: [d.reason_code for _, d in sorted(select(spark, table, token_budget=budget)[0].items())]
     cut = "budget_truncation"
     assert reasons(tokens["a"] + tokens["c"]) == [None, cut, cut]
@@ -183,7 +183,7 @@ def test_least_tokens_is_a_lower_bound(spark):
          for kind in [*S.ENTITY_KINDS, "workout"]], S.ENTITY,
     )
     for row in context.measured(table).collect():
-        assert row.full_tokens >= context.least_tokens() > 10
+        assert row.full_chars // 4 >= context.least_tokens() > 10
 
 
 @pytest.mark.parametrize("seed", range(3))

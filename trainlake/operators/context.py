@@ -256,8 +256,8 @@ def measured(entities: DataFrame, summary_ratio: float = S.SUMMARY_RATIO) -> Dat
         "confidence",
         "entity_type",
         completeness().alias("completeness"),
-        F.when(usable, estimated_tokens(F.length(full_payload()))).alias("full_tokens"),
-        F.when(usable, estimated_tokens(F.length(short) + len(SUMMARY_MARK))).alias("summary_tokens"),
+        F.when(usable, F.length(full_payload())).alias("full_chars"),
+        F.when(usable, F.length(short) + len(SUMMARY_MARK)).alias("summary_chars"),
     )
 
 
@@ -270,10 +270,10 @@ def scored_candidates(candidates: DataFrame, requests: DataFrame, grants: DataFr
         .when(F.col("policy_reason") == "rbac_denied", "pep_access_denied")
         .when(F.col("completeness") < S.MIN_COMPLETENESS, "completeness_below_threshold")
     )
-    tokens = F.when(is_full(F.col("priority")), F.col("full_tokens")).otherwise(F.col("summary_tokens"))
+    chars = F.when(is_full(F.col("priority")), F.col("full_chars")).otherwise(F.col("summary_chars"))
     return (
         scored.withColumn("gate", gate)
-        .withColumn("estimated_tokens", F.when(F.col("gate").isNull(), tokens))
+        .withColumn("estimated_tokens", F.when(F.col("gate").isNull(), estimated_tokens(chars)))
         .select(
             "request_id", "ordinal", "id", "entity_type", "tier", "requesting_coach", "mode", "token_budget",
             "completeness", "recency", "priority", "policy_reason", "gate", "estimated_tokens",

@@ -148,18 +148,16 @@ def tips(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # ---- Context entities ---------------------------------------------------------------------------
-def entities(spark: SparkSession, folder: str) -> DataFrame:
-    """Three kinds and three tiers; every 17th record is nearly empty, every 11th has no content."""
-    rows = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
+def _untiered(documents: DataFrame) -> DataFrame:
+    """Three kinds of entities; every 17th record is nearly empty, every 11th has no content."""
     bare = "doc_id % 17 = 0"
     kind = lambda n, value: f"CASE WHEN doc_id % 3 = {n} AND NOT {bare} THEN {value} END"
-    return rows.selectExpr(
+    return documents.selectExpr(
         "doc_id",
         "CAST(doc_id AS STRING) AS id",
         f"CASE WHEN {bare} THEN '' ELSE CAST(doc_id % 50 AS STRING) END AS participant_id",
         f"CASE WHEN NOT {bare} THEN TIMESTAMP_NTZ '{AS_OF} 00:00:00'"
         " - make_dt_interval(CAST(doc_id % 45 AS INT), CAST(doc_id % 7 AS INT)) END AS created_at",
-        "CASE WHEN toxic = 1 THEN 'bronze' WHEN quality = 1 THEN 'gold' ELSE 'silver' END AS tier",
         "CAST(50 + (doc_id * 37) % 51 AS DOUBLE) / 100 AS confidence",
         f"CASE WHEN doc_id % 11 = 0 OR {bare} THEN '' ELSE text END AS content",
         "CASE doc_id % 3 WHEN 0 THEN 'participant_profile' WHEN 1 THEN 'session_note' ELSE 'goal_record' END"
@@ -177,13 +175,39 @@ def entities(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _with_tiers(rows: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Three tiers, from the labels; what has none is silver."""
+    tiers = table(spark, folder, "labels").selectExpr(
+        "doc_id", "CASE WHEN toxic = 1 THEN 'bronze' WHEN quality = 1 THEN 'gold' END AS tier"
+    )
+    return rows.drop("tier").join(tiers, "doc_id", "left").withColumn("tier", F.coalesce("tier", F.lit("silver")))
+
+
+def entities(spark: SparkSession, folder: str, documents: DataFrame | None = None) -> DataFrame:
+    """The entities of all documents, or of the given ones."""
+    documents = table(spark, folder, "documents") if documents is None else documents
+    return _with_tiers(_untiered(documents), spark, folder)
+
+
+def measured_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Measured before the labels are joined, so that this join moves no texts either; the sizes are
+    corrected for the name of the tier."""
+    assumed = "silver"
+    rows = _untiered(table(spark, folder, "documents")).withColumn("tier", F.lit(assumed))
+    measured = context.measured(rows).withColumn("doc_id", F.col("id").cast("bigint"))
+    longer = F.length("tier") - len(assumed)
+    return _with_tiers(measured, spark, folder).withColumns(
+        {name: F.col(name) + longer for name in ("full_chars", "summary_chars")}
+    )
+
+
 _COACH = "CASE WHEN {p} % 3 = 0 THEN 0 ELSE {p} % 5 END"
 _MODES = "array('exploration', 'execution')"
 
 
 def candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Every entity offered to its coach in both modes. The first coach gets more than a third of all."""
-    rows = context.measured(entities(spark, folder)).withColumn("ordinal", F.col("id").cast("bigint"))
+    rows = measured_entities(spark, folder).withColumnRenamed("doc_id", "ordinal")
     offers = rows.selectExpr("*", f"{_COACH.format(p='ordinal')} AS coach_no", f"explode({_MODES}) AS offered_mode")
     return offers.withColumn("request_id", F.concat_ws("-", "coach_no", "offered_mode")).drop(
         "coach_no", "offered_mode"
@@ -204,7 +228,7 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
 
 def grants(spark: SparkSession, folder: str) -> DataFrame:
     """Four fifths of the participants of a coach's own records; only two coaches may see the unnamed one."""
-    pairs = entities(spark, folder).selectExpr(
+    pairs = _untiered(table(spark, folder, "documents")).selectExpr(
         f"{_COACH.format(p='doc_id')} AS coach_no", "participant_id"
     ).distinct()
     return pairs.where(
@@ -234,5 +258,4 @@ def lineage_history(spark: SparkSession, folder: str) -> DataFrame:
 
 def profiles(spark: SparkSession, folder: str) -> DataFrame:
     """The entities the lineage history is about."""
-    return entities(spark, folder).where(F.col("created_at").isNotNull())
-
+    return measured_entities(spark, folder).where(F.col("created_at").isNotNull())

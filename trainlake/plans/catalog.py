@@ -442,8 +442,7 @@ def _decisions(spark, folder):
 
 @query
 def entity_scores(spark, folder):
-    measured = context.measured(B.entities(spark, folder))
-    scored = context.with_scores(measured, dates.time_literal(f"{B.AS_OF} 00:00:00"))
+    scored = context.with_scores(B.measured_entities(spark, folder), dates.time_literal(f"{B.AS_OF} 00:00:00"))
     return scored.select("id", "entity_type", "completeness", "recency", "priority")
 
 
@@ -451,7 +450,7 @@ def entity_scores(spark, folder):
 def entity_scores_steep(spark, folder):
     """Recency with another decay and floor."""
     weight = context.recency(F.col("created_at"), dates.time_literal(f"{B.AS_OF} 00:00:00"), 20, 0.2)
-    return B.entities(spark, folder).select("id", weight.alias("recency"))
+    return B.measured_entities(spark, folder).select("id", weight.alias("recency"))
 
 
 @query
@@ -545,7 +544,13 @@ def log_append(spark, folder):
 def context_request(spark, folder):
     candidates, requests, grants = _offer(spark, folder)
     decisions = context.decide(candidates, requests, grants)
-    entities = B.entities(spark, folder)
+    # Only the texts of selected documents go on from here.
+    chosen = materialise(
+        decisions.where(F.col("reason_code").isNull()).select(F.col("id").cast("bigint").alias("doc_id")).distinct(),
+        "chosen",
+    )
+    documents = B.table(spark, folder, "documents").join(chosen, "doc_id", "left_semi")
+    entities = B.entities(spark, folder, documents)
     return context.context_requests(entities, decisions, requests, "What should the next session be?")
 
 
@@ -589,15 +594,15 @@ def duplicate_keys(spark, folder):
 # ---- Calibration --------------------------------------------------------------------------------
 @query
 def initial_confidence(spark, folder):
-    unset = B.entities(spark, folder).withColumn(
+    unset = B.measured_entities(spark, folder).withColumn(
         "confidence", F.when(F.col("doc_id") % 2 == 0, F.col("confidence"))
     )
-    return unset.select("id", F.round(calibration.initial_confidence(), 8).alias("confidence"))
+    return calibration.with_initial_confidence(unset).select("id", F.round("confidence", 8).alias("confidence"))
 
 
 @query
 def recalibrate_batch(spark, folder):
-    updated = calibration.recalibrate_batch(B.entities(spark, folder), B.lineage(spark, folder))
+    updated = calibration.recalibrate_batch(B.measured_entities(spark, folder), B.lineage(spark, folder))
     return updated.select("id", F.round("confidence", 8).alias("confidence"))
 
 
@@ -605,7 +610,7 @@ def recalibrate_batch(spark, folder):
 def recalibrate_scorer(spark, folder):
     """Another scorer: the result leaves [0, 1] and is clamped."""
     scorer = lambda confidence, complete, referenced, usefulness: confidence * 3 - usefulness
-    updated = calibration.recalibrate_batch(B.entities(spark, folder), B.lineage(spark, folder), scorer)
+    updated = calibration.recalibrate_batch(B.measured_entities(spark, folder), B.lineage(spark, folder), scorer)
     return updated.select("id", F.round("confidence", 8).alias("confidence"))
 
 
