@@ -81,6 +81,15 @@ def test_newest_metrics_are_those_of_the_newest_session(spark):
         assert tuple(row) == tuple(newest[row.athlete_id])
 
 
+@pytest.mark.parametrize("limit", [1, 3, 7, 40])
+def test_splitting_a_run_of_equal_sessions(spark, limit):
+    """All sessions are copies of one: only the first has no history."""
+    df = sessions(spark, [(1, "same", day(0), 2000, 600, 150.0)] * 60)
+    found = metrics.daily_metrics(df, limit).collect()
+    assert len(found) == 60 and sorted(r.weekly_load_min for r in found)[:8] == [10.0 * min(i + 1, 7) for i in range(8)]
+    assert sum(r.prev_split is None for r in found) == 1
+
+
 @pytest.mark.parametrize("limit", [1, 3, 7, 40])
 def test_splitting_hot_athletes_changes_nothing(spark, limit):
     """One athlete holds most rows, many of them at the very same time."""

@@ -39,3 +39,9 @@ def test_best_rows_equal_a_full_ranking(spark):
 
 def test_hot_keys(spark):
     assert rows(skew.hot_keys(_skewed(spark), "k", 100), ["k", "n_rows"]) == [(0, 312)]
+
+
+def test_equal_rows_are_cut_too(spark):
+    same = spark.range(600).select(F.lit(1).alias("k"), F.lit(5).alias("v")).repartition(4)
+    sizes = skew.ordered_segments(same, "k", ["v"], max_rows=100).groupBy("segment").count().collect()
+    assert len(sizes) > 3 and sum(r["count"] for r in sizes) == 600 and max(r["count"] for r in sizes) < 300

@@ -5,7 +5,7 @@ import pytest
 from helpers import rows
 
 from trainlake import schemas as S
-from trainlake.session import materialise, new_path, work_folder
+from trainlake.session import materialise, new_path, shuffle_partitions, work_folder
 from trainlake.sources import readers, writers
 
 
@@ -16,6 +16,11 @@ def test_work_folder_is_the_one_the_session_names(spark):
     assert table.count() == 5 and work_folder(spark) in table.inputFiles()[0]
 
 
+def test_shuffles_are_sized_by_the_data():
+    assert shuffle_partitions(10**6, 8) == 16
+    assert shuffle_partitions(100 * 1024**4, 4000) == 100 * 1024**4 // (128 * 1024**2)
+
+
 def test_pages_of_workouts(spark, tmp_path):
     pages = [
         {"data": [{"id": 1, "date": "2024-01-05", "distance": 500, "time": 1200, "intervals": [{"distance": 250, "time": 60, "spm": 20}]},

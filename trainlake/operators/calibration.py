@@ -90,18 +90,19 @@ def folded_events(events: DataFrame, entities: DataFrame, events_per_task: int =
     its own and then the segments of an entity, so no task collects an unbounded history.
     """
     complete = entities.select(F.col("id").alias("object_id"), _complete(entities).alias("complete"))
-    target = observed(F.col("complete"), F.col("referenced"), F.col("usefulness"))
+    target = F.col("complete") * F.col("used")
     step = F.struct(
         F.lit(1 - S.EMA_ALPHA).alias("gain"),
         (S.EMA_ALPHA * target).alias("offset"),
         F.lit(0.0).alias("low"),
         F.lit(1.0).alias("high"),
     )
-    narrow = events.select("object_id", "seq", "referenced", "usefulness")
+    used = observed(F.lit(1.0), F.col("referenced"), F.col("usefulness"))
+    narrow = events.select("object_id", "seq", used.alias("used"))
     pieces = (
-        ordered_segments(narrow, "object_id", ["seq"], events_per_task)
+        ordered_segments(narrow, "object_id", ["seq", "used"], events_per_task)
         .join(complete, "object_id")
-        .select("object_id", "segment", F.struct("seq", step.alias("step")).alias("event"))
+        .select("object_id", "segment", F.struct("seq", "used", step.alias("step")).alias("event"))
         .groupBy("object_id", "segment")
         .agg(F.array_sort(F.collect_list("event")).alias("steps"))
         .select("object_id", "segment", _fold(F.col("steps")).alias("step"))

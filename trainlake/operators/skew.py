@@ -33,8 +33,8 @@ def _split_by_heat(
     """(rows of ordinary keys, rows of hot keys cut into ordered segments or None).
 
     The hot rows are range partitioned on key and order, so a segment is a run of neighbouring rows of
-    bounded size whatever the distribution. The segment number is written out with the rows: it is data
-    from there on, and no retry can compute a different one.
+    bounded size whatever the distribution; rows that are equal in both may be cut anywhere. The segment
+    number is written out with the rows: it is data from there on, and no retry can compute a different one.
     """
     hot = hot_keys(rows, key, max_rows)
     hot_rows = hot.agg(F.sum("n_rows").alias("n")).first()["n"]
@@ -45,7 +45,9 @@ def _split_by_heat(
     segments = ceil(hot_rows / max_rows) + 1
     cut = (
         rows.join(names, is_hot, "left_semi")
-        .repartitionByRange(segments, F.col(key), *earliest_first(order))
+        .withColumn("tie", F.monotonically_increasing_id())
+        .repartitionByRange(segments, F.col(key), *earliest_first(order), F.col("tie"))
+        .drop("tie")
         .withColumn("segment", F.spark_partition_id())
     )
     return rows.join(names, is_hot, "left_anti"), materialise(cut, "segments")
@@ -54,7 +56,7 @@ def _split_by_heat(
 def ordered_segments(
     rows: DataFrame, key: str, order: list[str], max_rows: int = DEFAULT_MAX_ROWS
 ) -> DataFrame:
-    """Add ``segment``: within a key, a higher segment holds only later rows."""
+    """Add ``segment``: within a key, a higher segment holds no earlier rows."""
     ordinary, cut = _split_by_heat(rows, key, order, max_rows)
     ordinary = ordinary.withColumn("segment", F.lit(0))
     return ordinary if cut is None else ordinary.unionByName(cut)
@@ -74,14 +76,14 @@ def over_recent_history(
     receives the ``frame_rows`` rows that precede it, so the result is the same.
     """
     ordinary, cut = _split_by_heat(rows, key, order, max_rows)
-    along = Window.partitionBy(key).orderBy(*earliest_first(order))
-    result = compute(ordinary, along)
+    result = compute(ordinary, Window.partitionBy(key).orderBy(*earliest_first(order)))
     if cut is None:
         return result
 
     backwards = Window.partitionBy(key, "segment").orderBy(*latest_first(order))
     tails = cut.withColumn("from_end", F.row_number().over(backwards)).where(F.col("from_end") <= frame_rows)
     # The tails of all earlier segments contain the last rows before a segment, in order.
+    along = Window.partitionBy(key).orderBy("segment", *earliest_first(order))
     before = (
         tails.select(
             key,
@@ -96,7 +98,8 @@ def over_recent_history(
         .withColumn("is_history", F.lit(True))
     )
     extended = cut.withColumn("is_history", F.lit(False)).unionByName(before)
-    split = compute(extended, Window.partitionBy(key, "segment").orderBy(*earliest_first(order)))
+    history_first = Window.partitionBy(key, "segment").orderBy(F.desc("is_history"), *earliest_first(order))
+    split = compute(extended, history_first)
     return result.unionByName(split.where(~F.col("is_history")).drop("segment", "is_history"))
 
 

@@ -18,6 +18,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }
 
+SHUFFLE_PARTITION_BYTES = 128 * 1024**2
+
 _LOCAL_FOLDER_KEY = "spark.trainlake.local.folder"
 
 
@@ -27,10 +29,26 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def build_session(app_name: str = "trainlake", master: str | None = None, **settings: str) -> SparkSession:
+def shuffle_partitions(input_bytes: int, cores: int) -> int:
+    """Partitions for a shuffle of about the input size: near 128 MB each and two waves of tasks at least.
+    Adaptive execution joins them when there is less to move, but never adds any."""
+    return max(2 * cores, -(-input_bytes // SHUFFLE_PARTITION_BYTES))
+
+
+def build_session(
+    app_name: str = "trainlake",
+    master: str | None = None,
+    input_bytes: int | None = None,
+    cores: int = 8,
+    **settings: str,
+) -> SparkSession:
+    """A session with the runtime settings. ``input_bytes`` and ``cores`` (of the whole cluster) size the
+    shuffles; without them Spark's own setting stays."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    if input_bytes is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", shuffle_partitions(input_bytes, cores))
     for key, value in {**RUNTIME_SETTINGS, **settings}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
