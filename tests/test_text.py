@@ -97,6 +97,16 @@ def test_words_are_split_at_any_white_space(spark):
         assert row.b == (row.t.strip() == "")
 
 
+def test_white_space_is_that_of_python(spark):
+    """Every character up to U+3100, alone between two words."""
+    letters = [chr(i) for i in range(1, 0x3100)]
+    df = spark.createDataFrame([(c, f"a{c}b " * 10) for c in letters], "c string, t string")
+    gap = F.size(F.split(F.col("c"), text.WORD_GAP)) > 1
+    found = df.select("c", gap.alias("gap"), text.is_blank(F.col("c")).alias("blank"), text.strip(F.col("c")).alias("s"))
+    for row in found.collect():
+        assert row.gap == row.blank == (row.s == "") == row.c.isspace(), repr(row.c)
+
+
 def test_note_line(one):
     moment = F.lit("2024-01-05 07:09:30").cast("timestamp_ntz")
     line = lambda author, tag, taper: one(
