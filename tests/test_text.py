@@ -1,6 +1,7 @@
 import random
 import string
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,12 +23,18 @@ def test_split_format_variants(one):
 
 def test_rounding_equals_python(spark):
     generator = random.Random(7)
-    values = [k / 60 for k in range(0, 6000, 3)] + [k / 1000 for k in range(50, 9000, 50)]
+    values = [k / 60 for k in range(0, 6000, 3)] + [k / 1000 for k in range(50, 9000, 5)]
     values += [generator.uniform(-500, 500) for _ in range(2000)] + [0.25, 0.75, 2.5, -0.04, -0.05, 0.35, 1e-12]
     values += [-v for v in values[:500]]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    for row in df.select("v", text.round_tenths(F.col("v")).alias("r"), text.one_digit(F.col("v")).alias("t")).collect():
+    v = F.col("v")
+    for row in df.select(
+        "v", text.round_tenths(v).alias("r"), text.one_digit(v).alias("t"), text.round_hundredths(v).alias("h"),
+        text.round_tenths_by_product(v).alias("p"),
+    ).collect():
         assert row.r == round(row.v, 1), row
+        assert row.h == round(row.v, 2), row
+        assert row.p == float(np.round(row.v, 1)), row
         if row.v != 0:
             assert row.t == f"{row.v:.1f}", row
 

@@ -30,17 +30,33 @@ SINGLE_KM = r"(\d+(?:\.\d+)?)\s*km"
 CODE_FENCE = "```"
 
 
-def round_tenths(value: Column) -> Column:
-    """Round to one digit by the exact binary value, ties to even.
+def _round_exact(value: Column, scale: int, powers: list[int]) -> Column:
+    """Round ``value * scale`` by its exact value, ties to even. ``powers`` are powers of two with the sum
+    ``scale``.
 
-    Only where ``10x`` comes out as a tie can the rounding of the product mislead. There the difference of
-    the exact ``8x + 2x`` to it is free of error and tells on which side the value lies.
+    Only where the product comes out as a tie can its own rounding mislead. There the difference of the
+    exact partial products to it is free of error and tells on which side the value lies.
     """
     x = value.cast("double")
-    ten = x * 10
-    beyond = F.signum((x * 8 - ten) + x * 2)
-    looks_tied = (ten - F.floor(ten)) == 0.5
-    return F.rint(ten + F.when(looks_tied, beyond * 0.25).otherwise(0.0)) / 10
+    product = x * scale
+    beyond = x * powers[0] - product
+    for power in powers[1:]:
+        beyond = beyond + x * power
+    looks_tied = (product - F.floor(product)) == 0.5
+    return F.rint(product + F.when(looks_tied, F.signum(beyond) * 0.25).otherwise(0.0)) / scale
+
+
+def round_tenths(value: Column) -> Column:
+    return _round_exact(value, 10, [8, 2])
+
+
+def round_hundredths(value: Column) -> Column:
+    return _round_exact(value, 100, [64, 32, 4])
+
+
+def round_tenths_by_product(value: Column) -> Column:
+    """Rounding as arrays do it: the product is rounded as it comes out (0.15 gives 0.2, not 0.1)."""
+    return F.rint(value.cast("double") * 10) / 10
 
 
 def one_digit(value: Column) -> Column:

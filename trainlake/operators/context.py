@@ -137,10 +137,14 @@ def checked_requests(requests: DataFrame) -> DataFrame:
             F.when(mismatch, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
         )
     return requests.select(
-        "request_id", F.col("coach_id").alias("requesting_coach"), "mode", "token_budget", "as_of"
+        "request_id", F.col("coach_id").alias("requesting_coach"), "mode", _budget().alias("token_budget"), "as_of"
     )
 
 
+def _budget() -> Column:
+    return F.coalesce("token_budget", F.lit(S.TOKEN_BUDGET))
+
+
 def policy_decisions(candidates: DataFrame, requests: DataFrame, grants: DataFrame) -> DataFrame:
     """Candidates with ``policy_reason``: ok, tier_gate (checked first) or rbac_denied.
 
@@ -318,7 +322,7 @@ def selection_decisions(scored: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def largest_budget(requests: DataFrame) -> int:
-    return requests.agg(F.max("token_budget")).first()[0] or 0
+    return requests.agg(F.max(_budget())).first()[0] or 0
 
 
 def written(requests: DataFrame, grants: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -71,7 +71,7 @@ def session_summary(latest: DataFrame, sessions: DataFrame) -> DataFrame:
         "session_type",
         text.trend(delta).alias("trend"),
         F.coalesce("personal_best", F.lit("N/A")).alias("personal_best_split"),
-        F.bround("consistency", 2).alias("consistency_stddev"),
+        text.round_hundredths(F.col("consistency")).alias("consistency_stddev"),
     )
 
 
@@ -241,7 +241,7 @@ def session_history(metrics: DataFrame) -> DataFrame:
         "workout_id",
         "workout_date",
         "distance_m",
-        text.round_tenths(F.col("duration_sec") / F.lit(60.0)).alias("duration_min"),
+        text.round_tenths_by_product(F.col("duration_sec") / F.lit(60.0)).alias("duration_min"),
         text.format_split(F.col("avg_split_sec"), suffix="").alias("split"),
         text.signed_seconds(F.col("delta")).alias("delta_s"),
         "session_type",

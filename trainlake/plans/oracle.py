@@ -264,7 +264,7 @@ _cte(
   {DIRECTION} AS delta_direction, {fmt('rolling_avg_split')} AS rolling_split_formatted,
   {r1('duration_sec / CAST(60 AS DOUBLE)')} AS duration_min, distance_m, fatigue_flag AS fatigue,
   {r1('weekly_load_min')} AS weekly_load_min, session_type, {TREND} AS trend,
-  coalesce(personal_best, 'N/A') AS personal_best_split, round_even(consistency, 2) AS consistency_stddev
+  coalesce(personal_best, 'N/A') AS personal_best_split, CAST(format('{{:.2f}}', consistency) AS DOUBLE) AS consistency_stddev
 FROM latest m LEFT JOIN best b ON m.athlete_id = b.athlete_id""",
 )
 q("session_summary", "SELECT * FROM summaries", "summaries")
@@ -343,7 +343,7 @@ ON t.athlete_id = d.athlete_id AND t.session_date = d.day""",
 q("note_append", "SELECT athlete_id, created_at, author, tip_text, tag, session_type, expect_taper FROM tips", "tips")
 q(
     "brief_lookup",
-    """SELECT athlete_id, CAST(created_at AS DATE) AS brief_date, trim(tip_text, ' ') AS brief_text
+    f"""SELECT athlete_id, CAST(created_at AS DATE) AS brief_date, regexp_replace(tip_text, '^{WHITESPACE}+|{WHITESPACE}+$', '', 'g') AS brief_text
 FROM tips WHERE CAST(created_at AS DATE) <= DATE '2024-01-15'
 QUALIFY ROW_NUMBER() OVER (PARTITION BY athlete_id ORDER BY created_at DESC, tip_id DESC) = 1""",
     "tips",
@@ -425,7 +425,8 @@ FROM metrics WHERE CAST(workout_date AS DATE) BETWEEN DATE '2024-01-22' AND DATE
 MINUTES = r1("duration_sec / CAST(60 AS DOUBLE)")
 q(
     "session_history",
-    f"""SELECT athlete_id, workout_id, workout_date, distance_m, {MINUTES} AS duration_min,
+    f"""SELECT athlete_id, workout_id, workout_date, distance_m,
+  round_even(duration_sec / CAST(60 AS DOUBLE) * 10, 0) / 10 AS duration_min,
   {fmt('avg_split_sec', '')} AS split, {signed('delta')} AS delta_s, session_type, fatigue_flag AS fatigue,
   ROUND(weekly_load_min, 4) AS weekly_load_min FROM metrics""",
     "metrics",

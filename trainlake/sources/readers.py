@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from trainlake import schemas as S
 from trainlake.functions.dates import day_literal, parse_iso
+from trainlake.functions.text import strip
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -82,6 +83,6 @@ def latest_briefs(briefs: DataFrame, as_of: date | str) -> DataFrame:
         .groupBy("athlete_id")
         .agg(
             F.max("brief_date").alias("brief_date"),
-            F.max_by(F.trim("brief_text"), "brief_date").alias("brief_text"),
+            F.max_by(strip(F.col("brief_text")), "brief_date").alias("brief_text"),
         )
     )
