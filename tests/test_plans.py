@@ -68,6 +68,19 @@ def test_small_batches_do_not_shuffle_the_stored_side(spark):
     assert "BroadcastHashJoin" in text.split("Initial Plan")[0] and "LeftAnti" in text
 
 
+def test_a_compacted_table_is_read_without_a_shuffle(spark, tmp_path):
+    from trainlake.sources import writers
+
+    path = str(tmp_path / "t")
+    writers.write_batch(stored_sessions(spark), path, 5)
+    assert "Exchange" not in plan(writers.current_rows(spark, path, ["workout_id"]))
+    writers.write_batch(stored_sessions(spark).limit(3), path, 6)
+    current = writers.current_rows(spark, path, ["workout_id"])
+    current.collect()
+    first = plan(current).split("Initial Plan")[0].split("BroadcastQueryStage")[0]
+    assert "LeftAnti" in first and "ShuffleQueryStage" not in first
+
+
 def test_no_text_is_shuffled_for_a_decision(spark, data):
     from trainlake.plans import bindings as B
 

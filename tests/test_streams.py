@@ -105,7 +105,7 @@ def test_metrics_follow_late_and_changed_workouts(landing):
             landing.workouts(), landing.path("sessions"), landing.path("derived"), landing.path("progress"), replay_days=None
         )
         query.awaitTermination()
-        current = writers.current_rows(landing.spark, landing.path("sessions"), ["workout_id"]).drop("batch_id")
+        current = writers.current_rows(landing.spark, landing.path("sessions"), ["workout_id"])
         derived = streams.current_metrics(landing.spark, landing.path("derived"))
         assert rows(derived) == rows(metrics.daily_metrics(current).select(*derived.columns))
 
@@ -142,6 +142,6 @@ def test_stream_equals_batch(landing):
     landing.land({"data": items})
     sync(landing)
     raw = readers.read_raw_workouts(landing.spark, landing.path("landing"))
-    streamed = writers.current_rows(landing.spark, landing.path("sessions"), ["workout_id"]).drop("batch_id")
+    streamed = writers.current_rows(landing.spark, landing.path("sessions"), ["workout_id"])
     assert rows(streamed) == rows(ingest.normalise(raw).select(*streamed.columns))
     assert streamed.where(F.col("workout_date").isNull()).count() == 0

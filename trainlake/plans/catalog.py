@@ -856,7 +856,7 @@ def stream_sessions(spark, folder):
     _workout_arrivals(
         spark, folder, lambda workouts, progress: streams.sync_sessions(workouts, table, progress, replay_days=None)
     )
-    return writers.current_rows(spark, table, ["workout_id"]).drop("batch_id")
+    return writers.current_rows(spark, table, ["workout_id"])
 
 
 @query
@@ -869,7 +869,7 @@ def stream_intervals(spark, folder):
             workouts, table, progress, replay_days=None, intervals=intervals
         ),
     )
-    return writers.current_rows(spark, intervals, ["interval_id"]).drop("batch_id")
+    return writers.current_rows(spark, intervals, ["interval_id"])
 
 
 @query
@@ -879,7 +879,7 @@ def stream_sessions_replay(spark, folder):
     _workout_arrivals(
         spark, folder, lambda workouts, progress: streams.sync_sessions(workouts, table, progress)
     )
-    return writers.current_rows(spark, table, ["workout_id"]).drop("batch_id")
+    return writers.current_rows(spark, table, ["workout_id"])
 
 
 @query

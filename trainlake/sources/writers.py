@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trainlake import schemas as S
 from trainlake.functions.dates import day_literal, time_literal
 from trainlake.operators import quality, quarantine
-from trainlake.operators.upsert import latest_by_key
+from trainlake.operators.upsert import upsert
 from trainlake.session import materialise
 from trainlake.sources.readers import path_exists
 
@@ -139,11 +139,20 @@ def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
 
 
 def current_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The newest row of each key over all batches (each batch holds a key at most once)."""
-    return latest_by_key(spark.read.parquet(path), keys, ["batch_id"])
+    """The newest row of each key over all batches (each batch holds a key at most once).
+
+    The first batch, after ``compact`` by far the largest, is only filtered by the keys of the later ones;
+    while those are small it is neither aggregated nor shuffled.
+    """
+    batches = [int(f.removeprefix("batch_id=")) for f in _folders(spark, path) if f.startswith("batch_id=")]
+    rows = spark.read.parquet(path)
+    first = rows.where(F.col("batch_id") == min(batches)).drop("batch_id")
+    if len(batches) == 1:
+        return first
+    return upsert(first, rows.where(F.col("batch_id") > min(batches)), keys, "batch_id")
 
 
 def compact(spark: SparkSession, path: str, new_path: str, keys: list[str]) -> None:
     """Write the current rows as the first batch of a new table; the old one is left as it is."""
     newest = spark.read.parquet(path).agg(F.max("batch_id")).first()[0]
-    write_batch(current_rows(spark, path, keys).drop("batch_id"), new_path, newest)
+    write_batch(current_rows(spark, path, keys), new_path, newest)

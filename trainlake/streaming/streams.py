@@ -158,16 +158,13 @@ def update_confidence(events: DataFrame, entities: DataFrame, store: str, checkp
     """Fold each batch of lineage events into the stored confidences (id, confidence per batch)."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         batch = batch.persist()
-        known = entities
-        earlier = _earlier_batches(spark, store, batch_id)
+        ids = batch.select(F.col("object_id").alias("id")).distinct()
+        affected = entities.join(ids, "id", "left_semi")
+        earlier = _earlier_batches(batch.sparkSession, store, batch_id)
         if earlier is not None:
-            newest = latest_by_key(earlier, ["id"], ["batch_id"]).select("id", F.col("confidence").alias("stored"))
-            known = entities.join(newest, "id", "left").withColumn(
-                "confidence", F.coalesce("stored", "confidence")
-            ).drop("stored")
-        affected = known.join(batch.select(F.col("object_id").alias("id")).distinct(), "id", "left_semi")
+            newest = latest_by_key(earlier.join(ids, "id", "left_semi"), ["id"], ["batch_id"])
+            affected = _with_stored(affected, newest)
         updated = calibration.recalibrate_fold(affected, batch).select("id", "confidence")
         writers.write_batch(updated, store, batch_id)
         batch.unpersist()
@@ -176,7 +173,11 @@ def update_confidence(events: DataFrame, entities: DataFrame, store: str, checkp
 
 
 def current_confidence(spark: SparkSession, entities: DataFrame, store: str) -> DataFrame:
-    newest = writers.current_rows(spark, store, ["id"]).select("id", F.col("confidence").alias("stored"))
+    return _with_stored(entities, writers.current_rows(spark, store, ["id"]))
+
+
+def _with_stored(entities: DataFrame, stored: DataFrame) -> DataFrame:
+    newest = stored.select("id", F.col("confidence").alias("stored"))
     return entities.join(newest, "id", "left").withColumn(
         "confidence", F.coalesce("stored", "confidence")
     ).drop("stored")
