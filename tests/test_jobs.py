@@ -5,10 +5,10 @@ from datetime import date, datetime, timedelta
 from pathlib import Path
 
 import pytest
-from helpers import rows
+from helpers import entity, rows
 
 from trainlake import schemas as S
-from trainlake.operators import notes
+from trainlake.operators import context, notes
 from trainlake.plans import jobs
 from trainlake.sources import readers, writers
 
@@ -106,6 +106,29 @@ def test_weekly_planning(spark, lake):
     ]
 
 
+def test_context_requests(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    entities = entity(spark, {"id": "a"}, {"id": "b", "tier": "silver", "confidence": 0.5}, {"id": "c", "participant_id": "p2"})
+    offers = spark.createDataFrame(
+        [(r, i, n) for r in ("r1", "r2") for n, i in enumerate("abc")], "request_id string, id string, ordinal long"
+    )
+    requests = spark.createDataFrame(
+        [("r1", "c1", "exploration", 4000, datetime(2024, 1, 28)), ("r2", "c1", "execution", None, datetime(2024, 1, 28))],
+        "request_id string, coach_id string, mode string, token_budget int, as_of timestamp_ntz",
+    )
+    grants = spark.createDataFrame([("c1", "p1")], "coach_id string, participant_id string")
+    serve = lambda now, **k: jobs.serve_requests(spark, root, entities, offers, requests, grants, "next?", now, **k)
+    found = {r.request_id: [o["id"] for o in json.loads(r.context)] for r in serve("2024-01-28 10:00:00").collect()}
+    assert found == {"r1": ["a", "b"], "r2": ["a"]}
+    log = lambda: rows(spark.read.schema(S.EXCLUSION).parquet(f"{root}/exclusions"), ["object_id", "reason_code"])
+    assert log() == [("b", "pep_tier_gate"), ("c", "pep_access_denied"), ("c", "pep_access_denied")]
+    assert spark.read.parquet(f"{root}/audit").count() == 6
+    with pytest.raises(context.PolicyViolation):
+        serve("2024-03-28 10:00:00", strict=True)
+    assert len(log()) == 3  # logged before the stop; the older records have expired
+    assert spark.read.parquet(f"{root}/audit").count() == 12
+
+
 def test_empty_lake(spark, tmp_path):
     root = str(tmp_path / "lake")
     jobs.refresh(spark, root, 0, "2024-01-10 12:00:00")

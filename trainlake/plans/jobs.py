@@ -1,4 +1,4 @@
-"""The whole daily and weekly runs over one lake folder, for all athletes at once.
+"""The whole runs over one lake folder, for all athletes and requests at once.
 
 Tables with keys are batch logs (see ``writers``); each refresh is one batch. Model answers are made
 elsewhere: prompts go out as rows, answers come back as rows.
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from trainlake import schemas as S
 from trainlake.functions.dates import day_literal, time_literal, week_start
-from trainlake.operators import ingest, metrics, notes, recovery, summary, upsert
+from trainlake.operators import context, ingest, metrics, notes, quarantine, recovery, summary, upsert
 from trainlake.plans import prompts
 from trainlake.session import materialise, tune
 from trainlake.sources import readers, writers
@@ -191,3 +191,32 @@ def store_plans(
         f"{lake}/weekly_plan",
     )
     return prompts.rejected_plans(answers)
+
+
+# ---- Context requests ---------------------------------------------------------------------------
+def serve_requests(
+    spark: SparkSession,
+    lake: str,
+    entities: DataFrame,
+    offers: DataFrame,
+    requests: DataFrame,
+    grants: DataFrame,
+    user_text: str,
+    now: datetime | str,
+    strict: bool = False,
+) -> DataFrame:
+    """Assemble the requests from the records offered to them (request_id, id, ordinal).
+
+    Every decision goes to the audit log and every exclusion to the exclusion log, whose retention is
+    applied. With ``strict``, a denial by policy then stops the run.
+    """
+    tune(spark)
+    measured = materialise(context.measured(entities), "measured")
+    decisions = materialise(context.decide(offers.join(measured, "id"), requests, grants), "decisions")
+    audit = context.audit_records(decisions).withColumn("logged_at", time_literal(now))
+    audit.write.mode("append").parquet(f"{lake}/audit")
+    writers.append_exclusions(quarantine.exclusions(decisions, now), f"{lake}/exclusions")
+    writers.prune_exclusions(spark, f"{lake}/exclusions", now)
+    if strict:
+        context.require_clear(decisions)
+    return context.context_requests(entities, decisions, requests, user_text)

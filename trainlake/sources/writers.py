@@ -23,10 +23,10 @@ def append_tips(tips: DataFrame, path: str) -> None:
 def rebuild_metrics(metrics: DataFrame, path: str) -> None:
     """Replace the derived table, partitioned by month so that date filters prune."""
     dated = metrics.withColumn("month", F.date_format("workout_date", "yyyy-MM"))
-    _balanced(dated, "month").write.mode("overwrite").partitionBy("month").parquet(path)
+    balanced(dated, "month").write.mode("overwrite").partitionBy("month").parquet(path)
 
 
-def _balanced(rows: DataFrame, column: str) -> DataFrame:
+def balanced(rows: DataFrame, column: str) -> DataFrame:
     """Rows brought together by the partition column in pieces of even size: no task writes to every
     folder, and a large folder is still written by many tasks."""
     return rows.hint("rebalance", column)
@@ -34,7 +34,7 @@ def _balanced(rows: DataFrame, column: str) -> DataFrame:
 
 def append_exclusions(records: DataFrame, path: str) -> None:
     checked = quarantine.with_event_date(quarantine.checked(records))
-    _balanced(checked, "event_date").write.mode("append").partitionBy("event_date").parquet(path)
+    balanced(checked, "event_date").write.mode("append").partitionBy("event_date").parquet(path)
 
 
 def prune_exclusions(spark: SparkSession, path: str, as_of: datetime | str, days: int = S.RETENTION_DAYS) -> None:
@@ -128,7 +128,7 @@ def coaching_output(
 
 def write_briefs(briefs: DataFrame, path: str) -> None:
     """One folder per date; a repeated run replaces the briefs of its dates only."""
-    writer = _balanced(briefs, "brief_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer = balanced(briefs, "brief_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("brief_date").parquet(path)
 
 

@@ -146,9 +146,8 @@ def keep_exclusion_log(
     def handle(batch: DataFrame, batch_id: int) -> None:
         checked = quarantine.with_event_date(quarantine.checked(batch)).withColumn("batch_id", F.lit(batch_id))
         # Dynamic overwrite of (day, batch) folders: a repeated batch replaces itself.
-        checked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "event_date", "batch_id"
-        ).parquet(log)
+        writer = writers.balanced(checked, "event_date").write.mode("overwrite")
+        writer.option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "batch_id").parquet(log)
         writers.prune_exclusions(batch.sparkSession, log, as_of, days)
 
     return run(records, handle, checkpoint, **trigger)
