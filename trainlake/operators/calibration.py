@@ -79,8 +79,11 @@ def _identity() -> Column:
     )
 
 
-def _fold(ordered_steps: Column) -> Column:
-    return F.aggregate(ordered_steps, _identity(), lambda done, x: _compose(done, x["step"]))
+def _step(offset: Column) -> Column:
+    """One event as such a map."""
+    return F.struct(
+        F.lit(1 - S.EMA_ALPHA).alias("gain"), offset.alias("offset"), F.lit(0.0).alias("low"), F.lit(1.0).alias("high")
+    )
 
 
 def folded_events(events: DataFrame, entities: DataFrame, events_per_task: int = EVENTS_PER_TASK) -> DataFrame:
@@ -90,27 +93,22 @@ def folded_events(events: DataFrame, entities: DataFrame, events_per_task: int =
     its own and then the segments of an entity, so no task collects an unbounded history.
     """
     complete = entities.select(F.col("id").alias("object_id"), _complete(entities).alias("complete"))
-    target = F.col("complete") * F.col("used")
-    step = F.struct(
-        F.lit(1 - S.EMA_ALPHA).alias("gain"),
-        (S.EMA_ALPHA * target).alias("offset"),
-        F.lit(0.0).alias("low"),
-        F.lit(1.0).alias("high"),
-    )
     used = observed(F.lit(1.0), F.col("referenced"), F.col("usefulness"))
     narrow = events.select("object_id", "seq", used.alias("used"))
+    event = F.struct("seq", (S.EMA_ALPHA * F.col("complete") * F.col("used")).alias("offset"))
+    fold_events = F.aggregate("events", _identity(), lambda done, x: _compose(done, _step(x["offset"])))
+    fold_pieces = F.aggregate("pieces", _identity(), lambda done, x: _compose(done, x["step"]))
     pieces = (
         ordered_segments(narrow, "object_id", ["seq", "used"], events_per_task)
         .join(complete, "object_id")
-        .select("object_id", "segment", F.struct("seq", "used", step.alias("step")).alias("event"))
         .groupBy("object_id", "segment")
-        .agg(F.array_sort(F.collect_list("event")).alias("steps"))
-        .select("object_id", "segment", _fold(F.col("steps")).alias("step"))
+        .agg(F.array_sort(F.collect_list(event)).alias("events"))
+        .select("object_id", "segment", fold_events.alias("step"))
     )
     return (
         pieces.groupBy(F.col("object_id").alias("id"))
-        .agg(F.array_sort(F.collect_list(F.struct("segment", "step"))).alias("steps"))
-        .select("id", _fold(F.col("steps")).alias("step"))
+        .agg(F.array_sort(F.collect_list(F.struct("segment", "step"))).alias("pieces"))
+        .select("id", fold_pieces.alias("step"))
     )
 
 

@@ -79,7 +79,7 @@ def interval_flatten(spark, folder):
 
 @query
 def interval_flatten_scaled(spark, folder):
-    return ingest.flatten_intervals(B.raw_workouts(spark, folder), interval_time_unit=0.1)
+    return ingest.flatten_intervals(B.raw_workouts(spark, folder), interval_time_unit=0.1).drop("rest_duration_sec")
 
 
 def _marks(spark, folder):
@@ -132,7 +132,7 @@ def upsert_intervals(spark, folder):
     # The repeats have one interval less; the old last one stays.
     batch = flat.where(((number % 3 == 0) | (number % 13 == 0)) & (F.col("interval_index") < number % 5 - 1))
     batch = batch.withColumn("spm", F.col("spm") + 5).withColumn("ordinal", F.col("interval_index"))
-    return upsert.upsert_intervals(stored, batch, B.SYNC_TIME)
+    return upsert.upsert_intervals(stored, batch, B.SYNC_TIME).drop("rest_duration_sec")
 
 
 @query
@@ -750,9 +750,8 @@ def missing_source(spark, folder):
     """A table that is there beside one that is not."""
     absent = readers.read_or_empty(spark, new_path(spark, "absent"), S.RECOVERY_DAILY)
     return B.recovery_daily(spark, folder).join(
-        absent.select("athlete_id", "record_date", F.col("stress").alias("other_stress")),
-        ["athlete_id", "record_date"], "left",
-    ).select("athlete_id", "record_date", "stress", "other_stress")
+        absent.select("athlete_id", "record_date", F.lit(True).alias("found")), ["athlete_id", "record_date"], "left"
+    ).select("athlete_id", "record_date", "stress", F.col("found").isNotNull().alias("is_in_both"))
 
 
 @query
@@ -869,7 +868,7 @@ def stream_intervals(spark, folder):
             workouts, table, progress, replay_days=None, intervals=intervals
         ),
     )
-    return writers.current_rows(spark, intervals, ["interval_id"])
+    return writers.current_rows(spark, intervals, ["interval_id"]).drop("rest_duration_sec")
 
 
 @query

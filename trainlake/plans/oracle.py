@@ -160,7 +160,7 @@ FROM (SELECT event_id, id, UNNEST(range(event_id % 5)) AS i
 q(
     "interval_flatten_scaled",
     """SELECT id || '_' || i AS interval_id, id AS workout_id, CAST(i AS INT) AS interval_index,
-  CAST(seconds * CAST(0.1 AS DOUBLE) AS FLOAT) AS work_duration_sec, CAST(NULL AS FLOAT) AS rest_duration_sec,
+  CAST(seconds * CAST(0.1 AS DOUBLE) AS FLOAT) AS work_duration_sec,
   metres AS distance_m,
   CAST((seconds * CAST(0.1 AS DOUBLE)) / (CAST(metres AS DOUBLE) / CAST(500 AS DOUBLE)) AS FLOAT) AS split_sec,
   CAST(18 + i AS INT) AS spm FROM intervals""",
@@ -186,7 +186,7 @@ FROM (SELECT *, event_id % 10 = 0 OR event_id % 13 = 0 AS again FROM sessions)""
 q(
     "upsert_intervals",
     f"""SELECT id || '_' || i AS interval_id, id AS workout_id, CAST(i AS INT) AS interval_index,
-  CAST(seconds AS FLOAT) AS work_duration_sec, CAST(NULL AS FLOAT) AS rest_duration_sec, metres AS distance_m,
+  CAST(seconds AS FLOAT) AS work_duration_sec, metres AS distance_m,
   CAST(seconds / (CAST(metres AS DOUBLE) / CAST(500 AS DOUBLE)) AS FLOAT) AS split_sec,
   CAST(CASE WHEN again THEN 23 + i ELSE 18 + i END AS INT) AS spm,
   CASE WHEN again THEN {NEW} ELSE {OLD} END AS created_at
@@ -893,7 +893,7 @@ FROM summaries s LEFT JOIN (SELECT athlete_id, replace(tip_text, '*', '**') AS b
 
 # ---- Files --------------------------------------------------------------------------------------
 q("scan_tables", "SELECT * EXCLUDE (event_id) FROM sessions", "sessions")
-q("missing_source", "SELECT athlete_id, record_date, stress, CAST(NULL AS INT) AS other_stress FROM recovery", "recovery")
+q("missing_source", "SELECT athlete_id, record_date, stress, FALSE AS is_in_both FROM recovery", "recovery")
 q("raw_json_scan", _normal("distance", "event_id % 7 <> 0"), "payloads")
 q(
     "snapshot_roundtrip",
@@ -925,7 +925,7 @@ q("stream_sessions", "SELECT * FROM streamed", "streamed")
 q(
     "stream_intervals",
     """SELECT id || '_' || i AS interval_id, id AS workout_id, CAST(i AS INT) AS interval_index,
-  CAST(seconds AS FLOAT) AS work_duration_sec, CAST(NULL AS FLOAT) AS rest_duration_sec, metres AS distance_m,
+  CAST(seconds AS FLOAT) AS work_duration_sec, metres AS distance_m,
   CAST(seconds / (CAST(metres AS DOUBLE) / CAST(500 AS DOUBLE)) AS FLOAT) AS split_sec, CAST(18 + i AS INT) AS spm
 FROM intervals""",
     "intervals",
