@@ -63,6 +63,16 @@ def test_stored_log_is_pruned(spark, tmp_path):
     writers.prune_exclusions(spark, str(tmp_path / "absent"), AS_OF)
 
 
+def test_a_log_that_expired_as_a_whole(spark, tmp_path):
+    path = str(tmp_path / "log")
+    writers.append_exclusions(log(spark, {"timestamp": AS_OF - timedelta(days=50)}), path)
+    for _ in range(2):
+        writers.prune_exclusions(spark, path, AS_OF)
+    assert readers.read_table(spark, path, S.EXCLUSION).count() == 0
+    writers.append_exclusions(log(spark, {"object_id": "next"}), path)
+    assert names(readers.read_table(spark, path, S.EXCLUSION)) == ["next"]
+
+
 def test_counts(spark):
     table = log(spark, {}, {}, {"reason_code": "budget_truncation", "timestamp": None})
     assert rows(quarantine.counts(table), ["reason_code", "event_date", "n_records"]) == [

@@ -5,7 +5,7 @@ import pytest
 from helpers import rows
 
 from trainlake import schemas as S
-from trainlake.session import materialise, new_path, shuffle_partitions, work_folder
+from trainlake.session import materialise, new_path, shuffle_partitions, temporary_tables, work_folder
 from trainlake.sources import readers, writers
 
 
@@ -16,6 +16,14 @@ def test_work_folder_is_the_one_the_session_names(spark):
     assert table.count() == 5 and work_folder(spark) in table.inputFiles()[0]
 
 
+def test_temporary_tables_are_removed_at_the_end(spark):
+    kept = materialise(spark.range(3), "kept")
+    with temporary_tables(spark):
+        path = materialise(spark.range(5), "inner").inputFiles()[0]
+        assert readers.path_exists(spark, path)
+    assert not readers.path_exists(spark, path) and kept.count() == 3
+
+
 def test_shuffles_are_sized_by_the_data():
     assert shuffle_partitions(10**6, 8) == 16
     assert shuffle_partitions(100 * 1024**4, 4000) == 100 * 1024**4 // (128 * 1024**2)

@@ -98,6 +98,9 @@ def test_metrics_follow_late_and_changed_workouts(landing):
         [workout(4, 4, 400, athlete=0), workout(6, 30, 2600, athlete=0, time=7000)],  # no longer eligible; moved
         [workout(4, 5, 2500, athlete=0)],  # eligible again
         [workout(99, 3, 3000, athlete=7)],
+        [{**workout(8, 8, 2700, athlete=0), "date": "?"}],  # its date is lost: now the last one
+        [{**workout(50, 8, 2750, athlete=0), "date": "?"}],
+        [workout(23, 23, 2230, athlete=0, time=6851)],  # moved to another athlete
     ]
     for arrival in arrivals:
         landing.land({"data": arrival})

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -79,10 +81,31 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 def drop_work_tables(spark: SparkSession) -> None:
     """Remove the intermediate tables of this application, when nothing reads them any more."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    _delete(spark, _own_folder(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
+_created: ContextVar[list[str] | None] = ContextVar("created", default=None)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession):
+    """Removes the tables written by ``materialise`` inside the block at its end. Only for blocks that finish
+    all work on them, such as one batch of a stream."""
+    paths: list[str] = []
+    token = _created.set(paths)
+    try:
+        yield
+    finally:
+        _created.reset(token)
+        for path in paths:
+            _delete(spark, path)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the work folder and read it back.
 
@@ -91,5 +114,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, label)
+    if (created := _created.get()) is not None:
+        created.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,7 +11,7 @@ from trainlake import schemas as S
 from trainlake.functions.dates import day_literal, time_literal
 from trainlake.operators import quality, quarantine
 from trainlake.operators.upsert import upsert
-from trainlake.session import materialise
+from trainlake.session import materialise, temporary_tables
 from trainlake.sources.readers import path_exists
 
 
@@ -46,24 +46,33 @@ def prune_exclusions(spark: SparkSession, path: str, as_of: datetime | str, days
     """
     if not path_exists(spark, path):
         return
-    limit = datetime.fromisoformat(str(as_of)) - timedelta(days=days)
+    with temporary_tables(spark):
+        _prune(spark, path, datetime.fromisoformat(str(as_of)) - timedelta(days=days), as_of, days)
+
+
+def _prune(spark: SparkSession, path: str, limit: datetime, as_of: datetime | str, days: int) -> None:
     day = str(limit.date())
+    for folder in _folders(spark, path):
+        of_day = folder.removeprefix("event_date=")
+        if folder.startswith("event_date=") and not of_day.startswith("__") and of_day < day:
+            _delete(spark, f"{path}/{folder}")
+    if f"event_date={day}" not in _folders(spark, path):
+        return
     log = spark.read.parquet(path)
-    folders = [c for c in ("event_date", "batch_id") if c in log.columns]
     boundary = log.where(F.col("event_date") == day_literal(day))
+    if not boundary.where(F.col("timestamp") < time_literal(limit)).take(1):
+        return
+    folders = [c for c in ("event_date", "batch_id") if c in log.columns]
     remaining = materialise(quarantine.retained(boundary, as_of, days), "retained")
     occupied = {"/".join(f"{c}={row[c]}" for c in folders) for row in remaining.select(*folders).distinct().collect()}
     if occupied:
         remaining.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(path)
-    for folder in _folders(spark, path):
-        of_day = folder.removeprefix("event_date=")
-        if folder.startswith("event_date=") and not of_day.startswith("__") and of_day < day:
-            _delete(spark, f"{path}/{folder}")
-        elif of_day == day:
-            inner = [f"{folder}/{f}" for f in _folders(spark, f"{path}/{folder}")] if len(folders) > 1 else [folder]
-            for leaf in inner:
-                if leaf not in occupied:
-                    _delete(spark, f"{path}/{leaf}")
+    leaves = [f"event_date={day}"]
+    if "batch_id" in folders:
+        leaves = [f"event_date={day}/{f}" for f in _folders(spark, f"{path}/event_date={day}")]
+    for leaf in leaves:
+        if leaf not in occupied:
+            _delete(spark, f"{path}/{leaf}")
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -138,14 +147,18 @@ def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch_id={int(batch_id)}")
 
 
-def current_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The newest row of each key over all batches (each batch holds a key at most once).
+def current_rows(spark: SparkSession, path: str, keys: list[str], up_to: int | None = None) -> DataFrame:
+    """The newest row of each key over all batches, or those up to a number (each batch holds a key at most
+    once).
 
     The first batch, after ``compact`` by far the largest, is only filtered by the keys of the later ones;
     while those are small it is neither aggregated nor shuffled.
     """
     batches = [int(f.removeprefix("batch_id=")) for f in _folders(spark, path) if f.startswith("batch_id=")]
     rows = spark.read.parquet(path)
+    if up_to is not None:
+        batches = [b for b in batches if b <= up_to]
+        rows = rows.where(F.col("batch_id") <= up_to)
     first = rows.where(F.col("batch_id") == min(batches)).drop("batch_id")
     if len(batches) == 1:
         return first

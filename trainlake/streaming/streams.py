@@ -16,8 +16,9 @@ from pyspark.sql.types import StructType
 
 from trainlake import schemas as S
 from trainlake.operators import calibration, ingest, metrics, quarantine
+from trainlake.operators.skew import best_rows
 from trainlake.operators.upsert import latest_by_key
-from trainlake.session import materialise, tune
+from trainlake.session import materialise, temporary_tables, tune
 from trainlake.sources import writers
 from trainlake.sources.readers import dated_exclusions, ordered_workouts, path_exists
 
@@ -26,7 +27,8 @@ def run(stream: DataFrame, handle, checkpoint: str, **trigger) -> StreamingQuery
     def tuned(batch: DataFrame, batch_id: int) -> None:
         # A stream runs in a session of its own without adaptive execution; the batch work wants it.
         tune(batch.sparkSession)
-        handle(batch, batch_id)
+        with temporary_tables(batch.sparkSession):
+            handle(batch, batch_id)
 
     return (
         stream.writeStream.foreachBatch(tuned)
@@ -99,24 +101,28 @@ def sync_metrics(
     workouts: DataFrame, sessions: str, derived: str, checkpoint: str, replay_days: int | None = S.REPLAY_DAYS,
     **trigger,
 ) -> StreamingQuery:
-    """Session table plus derived metrics. A changed row touches itself and a few later rows of its
-    athlete, so each batch recomputes only the athletes it contains, from their first changed row on."""
+    """Session table plus derived metrics. A changed row touches itself and the few rows after it, so each
+    batch recomputes the athletes it contains from their first changed row on. The six rows before that are
+    enough history: however long it is, an athlete's past is scanned but not moved."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         changed = _store_sessions(batch, batch_id, sessions, replay_days)
         stored = spark.read.parquet(sessions).where(F.col("batch_id") <= batch_id)
-        touched = stored.join(changed.select("workout_id"), "workout_id", "left_semi")
-        # From the earliest old or new time of a changed workout on; a time that is NULL sorts last.
-        since = touched.groupBy("athlete_id").agg(F.min("workout_date").alias("since"))
-        athletes = stored.join(since.select("athlete_id"), "athlete_id", "left_semi")
-        current = materialise(latest_by_key(athletes, ["workout_id"], ["batch_id"]).drop("batch_id"), "touched")
-        recomputed = metrics.daily_metrics(current).join(since, "athlete_id").where(
-            F.col("since").isNull() | F.col("workout_date").isNull() | (F.col("workout_date") >= F.col("since"))
+        versions = stored.join(changed.select("workout_id"), "workout_id", "left_semi")
+        # The earliest old or new time of a changed workout; a time that is NULL sorts last.
+        since = materialise(versions.groupBy("athlete_id").agg(F.min("workout_date").alias("since")), "since")
+        current = writers.current_rows(spark, sessions, ["workout_id"], up_to=batch_id).join(since, "athlete_id")
+        affected = F.col("workout_date").isNull() | F.coalesce(F.col("workout_date") >= F.col("since"), F.lit(False))
+        newest_first = [F.desc(name) for name in metrics.SESSION_ORDER]
+        history = best_rows(
+            metrics.eligible_sessions(current.where(~affected)), "athlete_id", newest_first, S.LOAD_SESSIONS - 1
         )
+        rows = materialise(current.where(affected).unionByName(history.drop("rank")), "touched")
+        recomputed = metrics.daily_metrics(rows.drop("since")).join(since, "athlete_id").where(affected).drop("since")
         # Workouts that stopped being eligible leave an empty marker, so that the older row is not used.
-        gone = metrics_removed(current, changed)
-        writers.write_batch(recomputed.drop("since").unionByName(gone), derived, batch_id)
+        gone = metrics_removed(rows, changed)
+        writers.write_batch(recomputed.unionByName(gone), derived, batch_id)
 
     return run(workouts, handle, checkpoint, **trigger)
 
