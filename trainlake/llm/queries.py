@@ -3,15 +3,32 @@
 from __future__ import annotations
 
 from trainlake.llm.exact_dedup import op9_exact_dedup
+from trainlake.llm.voronoi_knn import op7_exact_top_k
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op7_exact_top_k,
         op9_exact_dedup,
     )
 }
 
 ORACLE = {
+    "op7_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS vec
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, x.vec_id, CAST(list_inner_product(q.vec::DOUBLE[], x.vec::DOUBLE[]) AS BIGINT) AS score
+            FROM v q JOIN v x ON q.vec_id <> x.vec_id AND len(q.vec) = len(x.vec)
+            WHERE q.vec_id % 50 = 0
+        ), r AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
     "op9_exact_dedup": """
         WITH t AS (
             SELECT doc_id, coalesce(text, '') AS whole, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS bare
