@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from trainlake.llm.bloom_lm import op10_lm_scoring
 from trainlake.llm.exact_dedup import op9_exact_dedup
 from trainlake.llm.pfair_mixing import op8_mixing
 from trainlake.llm.voronoi_knn import op7_exact_top_k
@@ -12,6 +13,7 @@ QUERIES = {
         op7_exact_top_k,
         op8_mixing,
         op9_exact_dedup,
+        op10_lm_scoring,
     )
 }
 
