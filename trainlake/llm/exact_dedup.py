@@ -109,6 +109,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         identity = ["recipe", "variants"]
     first = F.struct(-F.col("code_points"), F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("place").alias("at"))
     groups = found.groupBy(*identity).agg(F.count(F.lit(1)).alias("group_size"), F.min(first).alias("first"))
+    groups = stored(groups, "groups")  # joined anew, so that Spark can split the partition of a large group
     return found.join(groups, identity).select(
         "doc_id",
         F.col("first.id").alias("keep_id"),
