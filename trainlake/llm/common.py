@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,3 +45,49 @@ def text_of(column: str) -> Column:
 def spread(rows: int, per_task: int) -> int:
     """How many tasks so that each has about ``per_task`` of the rows."""
     return max(1, -(-rows // per_task))
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Frames of whole groups of rows that arrive sorted by ``keys``, with the limits of the groups in each: many small
+    groups at once, and no group split. What is held back is never more than one group and one batch."""
+    held = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        frame = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        new = np.zeros(len(frame), dtype=bool)
+        for key in keys:
+            values = frame[key].to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        starts = np.flatnonzero(new)
+        if not len(starts):
+            held = frame
+            continue
+        yield frame.iloc[: starts[-1]], np.concatenate([[0], starts])
+        held = frame.iloc[starts[-1] :].reset_index(drop=True)
+    if held is not None:
+        yield held, np.array([0, len(held)])
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for the nodes of the undirected edges (a, b); root is the smallest node that can be reached.
+
+    Large and small stars in turn: every node hangs its neighbours on the smallest one it knows. The number of rounds
+    grows with the logarithm of the longest path. All steps are joins and minima, so a node with very many neighbours is
+    only a skewed key."""
+    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    print_of = [F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
+    before = None
+    while (print_now := tuple(now.agg(*print_of).first())) != before:
+        before = print_now
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        lowest = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+        lowest = stored(lowest, "lowest")
+        large = stored(both.where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct(), "large-star")
+        lowest = stored(large.groupBy("a").agg(F.min("b").alias("low")), "lowest")
+        small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        small = small.unionByName(lowest.select("a", F.col("low").alias("b"))).where("a <> b").distinct()
+        now = stored(small, "small-star")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+        now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    )

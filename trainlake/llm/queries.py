@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from trainlake.llm.bloom_lm import op10_lm_scoring
 from trainlake.llm.exact_dedup import op9_exact_dedup
+from trainlake.llm.ngram_join import op3_ngram_jaccard_join
 from trainlake.llm.pfair_mixing import op8_mixing
 from trainlake.llm.voronoi_knn import op7_exact_top_k
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op3_ngram_jaccard_join,
         op7_exact_top_k,
         op8_mixing,
         op9_exact_dedup,
