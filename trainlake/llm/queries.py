@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from trainlake.llm.bloom_lm import op10_lm_scoring
 from trainlake.llm.exact_dedup import op9_exact_dedup
+from trainlake.llm.line_chunks import op4_line_dedup
 from trainlake.llm.ngram_join import op3_ngram_jaccard_join
 from trainlake.llm.pfair_mixing import op8_mixing
 from trainlake.llm.voronoi_knn import op7_exact_top_k
@@ -12,6 +13,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op3_ngram_jaccard_join,
+        op4_line_dedup,
         op7_exact_top_k,
         op8_mixing,
         op9_exact_dedup,
@@ -20,6 +22,35 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op4_line_dedup": """
+        WITH l AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+            FROM documents
+        ), h AS (
+            SELECT *, length(line) - length(replace(line, ' ', '')) >= 49 AS long,
+                md5(md5(line) || md5(lead(line) OVER d)) AS gap
+            FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+        ), c AS (
+            SELECT *, lag(i) OVER d IS NULL OR lag(long) OVER d OR long
+                OR (coalesce(lag(gap) OVER d < lag(gap, 2) OVER d, true) AND coalesce(lag(gap) OVER d <= gap, true)) AS starts
+            FROM h WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+        ), n AS (
+            SELECT *, sum(CAST(starts AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM c
+        ), k AS (
+            SELECT doc_id, pos, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) > 1 OR bool_or(long) AS eligible
+            FROM n GROUP BY doc_id, pos
+        ), r AS (
+            SELECT *, eligible AND trim(chunk, ' ' || chr(9) || chr(13) || chr(10)) <> ''
+                AND row_number() OVER (PARTITION BY chunk, eligible ORDER BY doc_id, pos) > 1 AS gone
+            FROM k
+        ), t AS (
+            SELECT doc_id, count(*) AS chunks, count(*) FILTER (gone) AS removed,
+                coalesce(string_agg(chunk, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text
+            FROM r GROUP BY doc_id
+        )
+        SELECT doc_id, chunks, removed, length(text) AS n_left, md5(text) AS text_md5 FROM t
+    """,
     "op7_exact_top_k": """
         WITH v AS (
             SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS vec
