@@ -7,11 +7,13 @@ from trainlake.llm.exact_dedup import op9_exact_dedup
 from trainlake.llm.line_chunks import op4_line_dedup
 from trainlake.llm.ngram_join import op3_ngram_jaccard_join
 from trainlake.llm.pfair_mixing import op8_mixing
+from trainlake.llm.site_quality import op1_quality_classifier
 from trainlake.llm.voronoi_knn import op7_exact_top_k
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_quality_classifier,
         op3_ngram_jaccard_join,
         op4_line_dedup,
         op7_exact_top_k,
