@@ -7,6 +7,7 @@ from trainlake.llm.exact_dedup import op9_exact_dedup
 from trainlake.llm.line_chunks import op4_line_dedup
 from trainlake.llm.ngram_join import op3_ngram_jaccard_join
 from trainlake.llm.pfair_mixing import op8_mixing
+from trainlake.llm.piece_lattice import op6_sentencepiece
 from trainlake.llm.site_quality import op1_quality_classifier
 from trainlake.llm.voronoi_knn import op7_exact_top_k
 
@@ -16,6 +17,7 @@ QUERIES = {
         op1_quality_classifier,
         op3_ngram_jaccard_join,
         op4_line_dedup,
+        op6_sentencepiece,
         op7_exact_top_k,
         op8_mixing,
         op9_exact_dedup,
