@@ -10,11 +10,13 @@ from trainlake.llm.pfair_mixing import op8_mixing
 from trainlake.llm.piece_lattice import op6_sentencepiece
 from trainlake.llm.site_quality import op1_quality_classifier
 from trainlake.llm.voronoi_knn import op7_exact_top_k
+from trainlake.llm.warc import op2_warc_derivatives
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier,
+        op2_warc_derivatives,
         op3_ngram_jaccard_join,
         op4_line_dedup,
         op6_sentencepiece,
