@@ -86,10 +86,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "array_join(transform(array_except(sequence(0, size(starts) - 1), removed),"
         " k -> array_join(slice(lines, starts[k] + 1, ends[k] - starts[k]), '\\n')), '\\n')"
     )
-    return rows.select(
-        "row", F.when(F.col("removed").isNotNull(), kept).otherwise(F.col(f"row.`{text_col}`")).alias("text"),
-        F.size("starts").alias("chunks"), F.when(F.col("removed").isNull(), 0).otherwise(n_removed).alias("removed"),
+    text = F.when(F.col("removed").isNotNull(), kept).otherwise(F.col(f"row.`{text_col}`"))
+    done = F.struct(
+        text.alias("text"), F.size("starts").alias("chunks"), F.when(F.col("removed").isNull(), 0).otherwise(n_removed).alias("removed"),
     )
+    # Exploding one struct keeps later filters on the text above it: pushed below, they would cut the text anew per line.
+    return rows.select("row", F.explode(F.array(done)).alias("done")).select("row", "done.*")
 
 
 def op4_line_dedup(spark, sf_dir):

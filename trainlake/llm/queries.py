@@ -8,6 +8,7 @@ from trainlake.llm.line_chunks import op4_line_dedup
 from trainlake.llm.ngram_join import op3_ngram_jaccard_join
 from trainlake.llm.pfair_mixing import op8_mixing
 from trainlake.llm.piece_lattice import op6_sentencepiece
+from trainlake.llm.secret_forest import op5_secret_scans
 from trainlake.llm.site_quality import op1_quality_classifier
 from trainlake.llm.voronoi_knn import op7_exact_top_k
 from trainlake.llm.warc import op2_warc_derivatives
@@ -19,6 +20,7 @@ QUERIES = {
         op2_warc_derivatives,
         op3_ngram_jaccard_join,
         op4_line_dedup,
+        op5_secret_scans,
         op6_sentencepiece,
         op7_exact_top_k,
         op8_mixing,
