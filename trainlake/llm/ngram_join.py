@@ -2,8 +2,8 @@
 
 Texts with equal words in equal order are one class, so exact copies never meet each other. Each class gets a MinHash
 signature of bands x rows; both numbers follow from the similarity and the recall asked for (``banding``). Signatures
-are shuffled on band hashes. A bucket is cut into blocks and pairs of blocks are compared, so a bucket of any size is
-spread over tasks. Of all buckets that a pair shares, only the first counts, so a pair is verified once, on the full
+are shuffled on band hashes. A bucket whose n-gram sets exceed ``BLOCK_BYTES`` is cut into blocks, and pairs of blocks are
+compared, so a bucket of any size is spread over tasks of bounded memory; smaller ones stay whole and are moved once. Of all buckets that a pair shares, only the first counts, so a pair is verified once, on the full
 n-gram sets, which are sent just to the buckets that need them. A task returns, for each class, the number of its
 links and one edge of a spanning forest: no list of all pairs exists anywhere. Connected classes are one group.
 
@@ -29,10 +29,12 @@ WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.9999
 MAX_HASHES = 128
-BLOCK = 256
+BLOCK_BYTES = 32 << 20
+BLOCK_ROWS = 16384
 
 _SLICE_BYTES = 1 << 20
 _GROUP = ["bucket", "low", "high"]
+_TILE = 512  # members of a group that are compared at once with as many others
 
 
 def banding(similarity: float, recall: float, most: int = MAX_HASHES) -> tuple[int, int]:
@@ -63,12 +65,12 @@ def _grams(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, text) to (doc_id, class_key, buckets): one bucket for each band, none for texts without words."""
+    """(doc_id, text) to (doc_id, class_key, n_grams, buckets): one bucket for each band, none for texts without words."""
     generator = np.random.default_rng(20240601)
     multiplier = generator.integers(0, 2**32, bands * rows, dtype=np.uint32) | np.uint32(1)
     offset = generator.integers(0, 2**32, bands * rows, dtype=np.uint32)
 
-    def sign(words: list[bytes]) -> list[np.ndarray]:
+    def sign(words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
         hashes, limits = word_hashes(words)
         counts = np.diff(limits)
         all_runs = runs(hashes, n)
@@ -81,8 +83,9 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 grams.append(own)
                 starts.append(at)
                 at += len(own)
+        sizes = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
         if not long:
-            return found
+            return sizes, found
         prints = (np.concatenate(grams) >> np.uint64(32)).astype(np.uint32)
         least = np.empty((bands * rows, len(long)), dtype=np.uint64)
         for k in range(bands * rows):
@@ -95,93 +98,116 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             buckets[:, band] = value.view(np.int64)
         for i, own in zip(long, buckets):
             found[i] = own
-        return found
+        return sizes, found
 
     def rows_of(batches):
         for batch in batches:
             words = [_words(t) for t in batch["text"]]
             for first, last in slices([len(w) for w in words], _SLICE_BYTES):
                 part = words[first:last]
+                sizes, buckets = sign(part)
                 yield pd.DataFrame({
                     "doc_id": batch["doc_id"].iloc[first:last].to_numpy(), "class_key": [_class_key(w) for w in part],
-                    "buckets": sign(part),
+                    "n_grams": sizes, "buckets": buckets,
                 })
 
-    return docs.mapInPandas(rows_of, "doc_id long, class_key binary, buckets array<long>")
+    return docs.mapInPandas(rows_of, "doc_id long, class_key binary, n_grams long, buckets array<long>")
 
 
-def _pairs(frame: pd.DataFrame, buckets: np.ndarray, start: int, end: int) -> np.ndarray:
-    """Which members of the group [start, end) meet for the first time here, as a matrix of booleans above the
-    diagonal or between the two blocks."""
-    band, own = int(frame["band"].iat[start]), frame["own"].to_numpy()[start:end]
-    mine = buckets[start:end, :band]
+def _tiles(frame: pd.DataFrame, start: int, end: int):
+    """Pairs of index ranges that cover every pair of members of the group once: within it, or between its two blocks."""
+    def cut(members):
+        return [members[k : k + _TILE] for k in range(0, len(members), _TILE)]
+
+    members = np.arange(start, end)
     if frame["low"].iat[start] == frame["high"].iat[start]:
-        wanted = np.triu(np.ones((end - start, end - start), dtype=bool), 1)
+        tiles = cut(members)
+        yield from ((a, b) for i, a in enumerate(tiles) for b in tiles[i:])
     else:
-        side = own == frame["low"].iat[start]
-        wanted = side[:, None] & ~side[None, :]
+        side = frame["own"].to_numpy()[start:end] == frame["low"].iat[start]
+        yield from ((a, b) for a in cut(members[side]) for b in cut(members[~side]))
+
+
+def _first_meetings(buckets: np.ndarray, band: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of a tile share no bucket of an earlier band."""
+    wanted = np.ones((len(a), len(b)), dtype=bool)
+    if a[0] == b[0]:
+        wanted = np.triu(wanted, 1)
     for j in range(band):
-        wanted &= mine[:, j][:, None] != mine[:, j][None, :]
+        wanted &= buckets[a, j][:, None] != buckets[b, j][None, :]
     return wanted
 
 
 def _meetings(batches):
     """Keep the members that have a first meeting in their group."""
     for frame, limits in whole_groups(batches, _GROUP):
-        buckets = np.stack(frame["buckets"].to_numpy())
+        buckets, bands = np.stack(frame["buckets"].to_numpy()), frame["band"].to_numpy()
         keep = np.zeros(len(frame), dtype=bool)
         for start, end in zip(limits, limits[1:]):
-            wanted = _pairs(frame, buckets, start, end)
-            keep[start:end] = wanted.any(0) | wanted.any(1)
+            for a, b in _tiles(frame, start, end):
+                wanted = _first_meetings(buckets, bands[start], a, b)
+                keep[a] |= wanted.any(1)
+                keep[b] |= wanted.any(0)
         yield frame[keep]
 
 
-def _shared(sets: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
+def _shared(left: list[np.ndarray], right: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
     """How many n-grams the wanted pairs have in common."""
     common = np.zeros(wanted.shape, dtype=np.int64)
-    if len(sets) <= 8:
+    if wanted.sum() <= 64:
         for i, j in zip(*np.nonzero(wanted)):
-            common[i, j] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            common[i, j] = len(np.intersect1d(left[i], right[j], assume_unique=True))
         return common
-    values, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    column = np.cumsum(counts > 1) - 1  # an n-gram of one set is in no intersection
-    several = counts[at] > 1
-    at, owner = column[at[several]], owner[several]
-    order = np.argsort(at, kind="stable")
-    at, owner = at[order], owner[order]
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))  # no other n-gram is in an intersection
+
+    def places(sets):
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        values = np.concatenate(sets)
+        at = np.searchsorted(both, values)
+        held = (at < len(both)) & (both[np.minimum(at, len(both) - 1)] == values) if len(both) else np.zeros(len(values), dtype=bool)
+        return at[held], owner[held]
+
     width = 4096
-    limits = np.searchsorted(at, np.arange(0, (at[-1] if len(at) else 0) + width + 1, width))
-    for k, (first, last) in enumerate(zip(limits, limits[1:])):
-        if first < last:
-            part = np.zeros((len(sets), width), dtype=np.float32)
-            part[owner[first:last], at[first:last] - k * width] = 1
-            common += (part @ part.T).astype(np.int64)
+    (at_left, own_left), (at_right, own_right) = places(left), places(right)
+    for first in range(0, len(both), width):
+        parts = []
+        for at, owner, rows in ((at_left, own_left, len(left)), (at_right, own_right, len(right))):
+            here = (at >= first) & (at < first + width)
+            part = np.zeros((rows, width), dtype=np.float32)
+            part[owner[here], at[here] - first] = 1
+            parts.append(part)
+        common += (parts[0] @ parts[1].T).astype(np.int64)
     return common
 
 
 def _verify(similarity: float):
     def verified(batches):
         for frame, limits in whole_groups(batches, _GROUP):
-            buckets, keys, copies = np.stack(frame["buckets"].to_numpy()), frame["class_key"].to_numpy(), frame["copies"].to_numpy()
-            rows = []
+            buckets, bands = np.stack(frame["buckets"].to_numpy()), frame["band"].to_numpy()
+            keys, copies = frame["class_key"].to_numpy(), frame["copies"].to_numpy()
+            sets = [np.frombuffer(g, dtype=np.uint64) for g in frame["grams"]]
+            sizes = np.array([len(x) for x in sets])
+            links, classes, root = np.zeros(len(frame), dtype=np.int64), np.zeros(len(frame), dtype=np.int64), np.arange(len(frame))
             for start, end in zip(limits, limits[1:]):
-                wanted = _pairs(frame, buckets, start, end)
-                sets = [np.frombuffer(g, dtype=np.uint64) for g in frame["grams"].iloc[start:end]]
-                sizes = np.array([len(s) for s in sets])
-                common = _shared(sets, wanted)
-                # intersection / union >= similarity, in whole numbers up to the last step
-                linked = wanted & (common >= similarity * (sizes[:, None] + sizes[None, :] - common) - 1e-9)
-                linked = linked | linked.T
-                root = np.arange(end - start)
-                for i in range(end - start):  # hang every tree on its smallest member
-                    near = np.flatnonzero(linked[i])
-                    if len(near):
-                        roots = np.unique(root[np.append(near, i)])
-                        root[np.isin(root, roots)] = roots[0]
-                for i in np.flatnonzero(linked.any(1)):
-                    rows.append((keys[start + i], int(copies[start:end][linked[i]].sum()), int(linked[i].sum()), keys[start + root[i]]))
-            yield pd.DataFrame(rows, columns=["class_key", "links", "classes", "parent"])
+                for a, b in _tiles(frame, start, end):
+                    wanted = _first_meetings(buckets, bands[start], a, b)
+                    if not wanted.any():
+                        continue
+                    common = _shared([sets[i] for i in a], [sets[i] for i in b], wanted)
+                    linked = wanted & (common >= similarity * (sizes[a][:, None] + sizes[b][None, :] - common) - 1e-9)
+                    links[a] += linked @ copies[b]
+                    links[b] += linked.T @ copies[a]
+                    classes[a] += linked.sum(1)
+                    classes[b] += linked.sum(0)
+                    for i in np.flatnonzero(linked.any(1)):  # hang every tree on its first member
+                        roots = np.unique(root[np.append(b[linked[i]], a[i])])
+                        if len(roots) > 1:
+                            own = root[start:end]
+                            own[np.isin(own, roots)] = roots[0]
+            found = np.flatnonzero(classes)
+            yield pd.DataFrame({
+                "class_key": keys[found], "links": links[found], "classes": classes[found], "parent": keys[root[found]],
+            })
 
     return verified
 
@@ -197,7 +223,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, similarity: float = SIMILARITY,
-    recall: float = RECALL, block: int = BLOCK,
+    recall: float = RECALL, block_bytes: int = BLOCK_BYTES, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """One row per document: doc_id, class_key (equal texts), group_id (the smallest id of all that are linked), n_links
     (documents of at least this similarity, copies included), n_near (linked classes of other texts), first_id (the
@@ -205,16 +231,17 @@ def near_duplicates(
     small_batches(docs.sparkSession)
     bands, rows = banding(similarity, recall)
     found = stored(signatures(_texts(docs, id_col, text_col), n, bands, rows), "signatures")
-    nulls_last = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("buckets"))
+    nulls_last = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("n_grams"), F.col("buckets"))
     classes = found.groupBy("class_key").agg(F.count(F.lit(1)).alias("copies"), F.min(nulls_last).alias("first"))
-    classes = stored(classes.select("class_key", "copies", F.col("first.id").alias("first_id"), F.col("first.buckets").alias("buckets")), "classes")
+    classes = stored(classes.select("class_key", "copies", F.col("first.id").alias("first_id"), "first.n_grams", "first.buckets"), "classes")
 
-    exploded = classes.select("class_key", F.posexplode("buckets").alias("band", "bucket"))
-    shared = stored(exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
-    blocks = F.ceil(F.col("size") / block).cast("int")
+    exploded = classes.select("class_key", "copies", "n_grams", "buckets", F.posexplode("buckets").alias("band", "bucket"))
+    sizes = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum("n_grams").alias("total")).where("size > 1")
+    by_bytes, by_rows = F.ceil(F.col("total") * 8 / block_bytes), F.ceil(F.col("size") / block_rows)
+    shared = stored(sizes.select("bucket", F.greatest(by_bytes, by_rows).cast("int").alias("blocks")), "buckets")
+    blocks = F.col("blocks")
     members = (
-        classes.select("class_key", "copies", "buckets", F.posexplode("buckets").alias("band", "bucket"))
-        .join(shared, "bucket")
+        exploded.join(shared, "bucket")
         .withColumn("own", F.pmod(F.xxhash64("class_key"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "band", "class_key", "copies", "buckets")
