@@ -80,7 +80,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(row, text, chunks, removed): every row of ``docs`` with its text without the repeated chunks, how many chunks it
     had and how many went."""
     gone = stored(removals(docs, id_col, text_col, long_words), "removals")
-    rows = _marked(_keyed(docs, id_col, text_col, row=True).join(gone, ["no_id", "id", "print"], "left"), long_words)
+    # A merge join at every size: the removals grow with the corpus. The text moves once, within its row.
+    joined = _keyed(docs, id_col, text_col, row=True).drop("body").join(gone.hint("merge"), ["no_id", "id", "print"], "left")
+    rows = _marked(joined.withColumn("body", F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))), long_words)
     n_removed = F.coalesce(F.size("removed"), F.lit(0))
     kept = F.expr(
         "array_join(transform(array_except(sequence(0, size(starts) - 1), removed),"
