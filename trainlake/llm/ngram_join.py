@@ -290,7 +290,7 @@ def _gram_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, n
 
     texts = with_class_key(docs, id_col, text_col).select("class_key", "doc_id", "text")
     same = (texts["class_key"] == wanted["class_key"]) & texts["doc_id"].eqNullSafe(wanted["first_id"])
-    one = texts.join(wanted, same, "left_semi")
+    one = texts.join(wanted.hint("merge"), same, "left_semi")  # the wanted classes grow with the corpus
     return one.mapInPandas(sets, "class_key binary, grams binary").dropDuplicates(["class_key"])
 
 
@@ -317,6 +317,6 @@ def near_duplicate_stage(spark, docs, sf_dir):
     heads = found.where(F.col("is_head") & F.col("doc_id").eqNullSafe(F.col("first_id")))
     winners = stored(heads.select(F.col("class_key").alias("key"), F.col("doc_id").alias("id")).distinct(), "winners")
     texts = with_class_key(docs, "doc_id", "text", row=True).drop("text")
-    kept = texts.join(winners, (texts["class_key"] == winners["key"]) & texts["doc_id"].eqNullSafe(winners["id"]))
+    kept = texts.join(winners.hint("merge"), (texts["class_key"] == winners["key"]) & texts["doc_id"].eqNullSafe(winners["id"]))
     place = F.row_number().over(Window.partitionBy("key", "id").orderBy("key", "id"))
     return kept.withColumn("place", place).where("place = 1").select("row.*")
