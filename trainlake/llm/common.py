@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -28,13 +29,8 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder. The shuffles that made it are removed when it is written, so the
     disk holds the largest step and not the sum of all."""
-    conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP, "false")
-    conf.set(_CLEANUP, "true")
-    try:
+    with setting(df.sparkSession, _CLEANUP, "true"):
         return materialise(df, label)
-    finally:
-        conf.set(_CLEANUP, before)
 
 
 def text_of(column: str) -> Column:
@@ -42,6 +38,23 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def some(rows: list[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """A frame of the rows, if there are any: an empty frame has no types that Arrow could check."""
+    if rows:
+        yield pd.DataFrame(rows, columns=columns)
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A setting of the session for the time of one write."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def spread(rows: int, per_task: int) -> int:
     """How many tasks so that each has about ``per_task`` of the rows."""
     return max(1, -(-rows // per_task))

@@ -47,18 +47,21 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, row: bool = False) -> Da
     )
 
 
-def _chunks(rows: DataFrame, long_words: int) -> DataFrame:
+def _chunks(rows: DataFrame, long_words: int, bits: int) -> DataFrame:
     """(no_id, id, print, pos, chunk) of the chunks that may be removed."""
     parts = F.expr(
         "zip_with(starts, ends, (a, b) -> if(b - a > 1 OR long[a], array_join(slice(lines, a + 1, b - a), '\\n'), null))"
     )
     exploded = _marked(rows, long_words).select("no_id", "id", "print", F.posexplode(parts).alias("pos", "chunk"))
-    return exploded.where("chunk IS NOT NULL AND trim(BOTH ' \\t\\r\\n' FROM chunk) <> ''").withColumn("hash", F.xxhash64("chunk"))
+    return exploded.where("chunk IS NOT NULL AND trim(BOTH ' \\t\\r\\n' FROM chunk) <> ''").withColumn("hash", F.shiftright(F.xxhash64("chunk"), 64 - bits))
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS) -> DataFrame:
-    """(no_id, id, print, removed): the places of the chunks to be removed, for each text that has any."""
-    found = _chunks(_keyed(docs, id_col, text_col), long_words)
+def removals(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS, bits: int = 64
+) -> DataFrame:
+    """(no_id, id, print, removed): the places of the chunks to be removed, for each text that has any. ``bits`` of the hash
+    decide how often the bytes must tell chunks of equal hash apart."""
+    found = _chunks(_keyed(docs, id_col, text_col), long_words, bits)
     at = F.struct("no_id", "id", "print", "pos")
     compared = found.groupBy("hash", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first"))
     compared = stored(compared.drop("chunk"), "line-chunks")
@@ -76,10 +79,12 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lo
     return gone.groupBy("no_id", "id", "print").agg(F.collect_set("pos").alias("removed"))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS) -> DataFrame:
+def without_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS, bits: int = 64
+) -> DataFrame:
     """(row, text, chunks, removed): every row of ``docs`` with its text without the repeated chunks, how many chunks it
     had and how many went."""
-    gone = stored(removals(docs, id_col, text_col, long_words), "removals")
+    gone = stored(removals(docs, id_col, text_col, long_words, bits), "removals")
     # A merge join at every size: the removals grow with the corpus. The text moves once, within its row.
     joined = _keyed(docs, id_col, text_col, row=True).drop("body").join(gone.hint("merge"), ["no_id", "id", "print"], "left")
     rows = _marked(joined.withColumn("body", F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))), long_words)

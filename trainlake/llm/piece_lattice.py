@@ -4,7 +4,7 @@ Texts fall into units: a run of spaces with the word after it, a word at the beg
 a vocabulary of this kind reaches over the begin of a unit, so the best path of a text is that of its units in order. The
 distinct units of the corpus are counted, their substrings of at most the longest piece's length are exploded and
 equi-joined with the piece table (broadcast: its size is that of the vocabulary), the edges are grouped by unit (in the
-partitions of the count, without another shuffle), and a fold over the edges in order of their ends finds the path of
+partitions of the units, the edges are not shuffled), and a fold over the edges in order of their ends finds the path of
 the highest score (Viterbi), a second one its pieces. Of equal scores the longer last piece wins. A character without a
 piece becomes its bytes.
 
@@ -33,10 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
-from trainlake.llm.common import read, small_batches, stored, text_of
+from trainlake.llm.common import read, setting, small_batches, some, spread, stored, text_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 FREQUENT_SHARE = 2e-7
+TASK_UNITS = 16384
 UNKNOWN_PENALTY = 10.0  # below the lowest score, as in the library
 
 SPACE = "▁"
@@ -83,9 +84,9 @@ def unit_counts(texts: DataFrame) -> DataFrame:
             for text in batch["text"]:
                 found.update(units(text))
                 if len(found) >= _FLUSH_UNITS:
-                    yield pd.DataFrame({"unit": list(found.keys()), "n": list(found.values())})
+                    yield from some(list(found.items()), ["unit", "n"])
                     found = Counter()
-        yield pd.DataFrame({"unit": list(found.keys()), "n": list(found.values())})
+        yield from some(list(found.items()), ["unit", "n"])
 
     counted = texts.mapInPandas(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     return counted.withColumn("unit", F.translate("unit", " ", SPACE))
@@ -95,7 +96,8 @@ def encoded_units(counted: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(unit, n, ids) for every row (unit, n)."""
     pieces = F.broadcast(vocabulary.table(counted.sparkSession))
     substrings = (
-        counted.withColumn("size", F.length("unit"))
+        counted.repartition(spread(counted.count(), TASK_UNITS), "unit")
+        .withColumn("size", F.length("unit"))
         .withColumn("start", F.explode(F.sequence(F.lit(1), F.col("size"))))
         .withColumn("len", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.col("size") - F.col("start") + 1))))
         .withColumn("piece", F.expr("substring(unit, start, len)"))
@@ -143,7 +145,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    dictionary = stored(encoded_units(unit_counts(texts.select("text")), vocabulary), "units")
+    counted = stored(unit_counts(texts.select("text")), "unit-counts")
+    # A task groups TASK_UNITS units at most: by hashing, without the sort of all edges that Spark turns to from 128 groups.
+    with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(4 * TASK_UNITS)):
+        dictionary = stored(encoded_units(counted, vocabulary), "units")
     total = dictionary.agg(F.sum("n")).first()[0] or 0
     least = max(2, math.ceil(total * frequent_share))
     common = dictionary.where(F.col("n") >= least).orderBy("n", "unit").select("unit", "ids").collect()
@@ -166,7 +171,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
                     rare = [u.replace(" ", SPACE) for u in dict.fromkeys(units(text)) if u not in known]
                     if rare:
                         rows.append((key, rare))
-            yield pd.DataFrame(rows, columns=["key", "units"])
+            yield from some(rows, ["key", "units"])
 
     asked = keyed.select("key", "text").mapInPandas(ask, "key long, units array<string>")
     answers = (
