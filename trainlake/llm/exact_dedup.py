@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trainlake.llm.common import read, small_batches, stored, text_of
+from trainlake.llm.common import read, small_batches, some, stored, text_of
 from trainlake.llm.textkit import cut_points
 
 WHITE_SPACE = b" \t\n\v\f\r"
@@ -68,7 +68,7 @@ def chunk_rows(docs: DataFrame, digest_bytes: int = DIGEST_BYTES) -> DataFrame:
                 data = normalised(text)
                 sha = hashlib.sha256(data).hexdigest()
                 rows += [(sha, i, _digest(c, digest_bytes), c) for i, c in enumerate(_chunks(data))]
-            yield pd.DataFrame(rows, columns=["text_sha256", "seq", "digest", "chunk"])
+            yield from some(rows, ["text_sha256", "seq", "digest", "chunk"])
 
     return docs.mapInPandas(cut, "text_sha256 string, seq int, digest binary, chunk binary")
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trainlake.llm.common import components, read, small_batches, stored, text_of, whole_groups
+from trainlake.llm.common import components, read, small_batches, some, stored, text_of, whole_groups
 from trainlake.llm.textkit import mix, runs, slices, word_hashes
 
 WORDS = 5
@@ -286,7 +286,7 @@ def _gram_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, n
             for key, text in zip(batch["class_key"], batch["text"]):
                 hashes, _ = word_hashes([_words(text)])
                 rows.append((key, np.unique(_grams(hashes, n)).tobytes()))
-            yield pd.DataFrame(rows, columns=["class_key", "grams"])
+            yield from some(rows, ["class_key", "grams"])
 
     texts = with_class_key(docs, id_col, text_col).select("class_key", "doc_id", "text")
     same = (texts["class_key"] == wanted["class_key"]) & texts["doc_id"].eqNullSafe(wanted["first_id"])

@@ -27,7 +27,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trainlake.llm.common import read, small_batches, stored, text_of
+from trainlake.llm.common import read, small_batches, some, stored, text_of
 from trainlake.llm.textkit import slices
 
 DICTIONARY = "/opt/tokenizers/word_bpe_49k.json"
@@ -73,7 +73,7 @@ def candidates(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col:
             rows = []
             for doc_id, place, text in zip(batch["doc_id"], batch["path"], batch["text"]):
                 rows += [(doc_id, place, *found) for found in candidates_in(text)]
-            yield pd.DataFrame(rows, columns=["doc_id", "path", "start", "end", "token", "before", "mark", "after"])
+            yield from some(rows, ["doc_id", "path", "start", "end", "token", "before", "mark", "after"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(path.cast("string"), F.lit("\0")).alias("path"), text_of(text_col).alias("text"))
     return rows.mapInPandas(

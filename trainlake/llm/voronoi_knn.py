@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trainlake.llm.common import read, small_batches, spread, stored
+from trainlake.llm.common import read, small_batches, some, spread, stored
 
 PIVOTS = 64
 BLOCK_ROWS = 4096
@@ -164,7 +164,7 @@ def knn_join(
                 upper += 1e-9 * np.abs(upper) + 1e-6  # the bound is a float, the scores are not
                 near = np.flatnonzero(upper >= (-np.inf if pd.isna(least) else least))
                 routes += [(key, vec, own[i]) for i in near]
-            yield pd.DataFrame(routes, columns=["query_key", "query_vec", "cell"])
+            yield from some(routes, ["query_key", "query_vec", "cell"])
 
     bounded = asked.join(bound, "query_key", "left").withColumn("bound", F.col("bound").cast("double"))
     routes = stored(bounded.mapInPandas(reachable, "query_key long, query_vec array<long>, cell int"), "routes")
