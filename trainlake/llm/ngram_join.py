@@ -235,13 +235,15 @@ def near_duplicates(
     classes = found.groupBy("class_key").agg(F.count(F.lit(1)).alias("copies"), F.min(nulls_last).alias("first"))
     classes = stored(classes.select("class_key", "copies", F.col("first.id").alias("first_id"), "first.n_grams", "first.buckets"), "classes")
 
-    exploded = classes.select("class_key", "copies", "n_grams", "buckets", F.posexplode("buckets").alias("band", "bucket"))
+    exploded = classes.select("class_key", "n_grams", F.posexplode("buckets").alias("band", "bucket"))
     sizes = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum("n_grams").alias("total")).where("size > 1")
     by_bytes, by_rows = F.ceil(F.col("total") * 8 / block_bytes), F.ceil(F.col("size") / block_rows)
     shared = stored(sizes.select("bucket", F.greatest(by_bytes, by_rows).cast("int").alias("blocks")), "buckets")
     blocks = F.col("blocks")
+    # Narrow rows first: only classes that share a bucket need their signature. Both tables grow with the corpus.
+    sharing = exploded.drop("n_grams").join(shared.hint("merge"), "bucket")
     members = (
-        exploded.join(shared, "bucket")
+        sharing.join(classes.select("class_key", "copies", "buckets").hint("merge"), "class_key")
         .withColumn("own", F.pmod(F.xxhash64("class_key"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "band", "class_key", "copies", "buckets")
