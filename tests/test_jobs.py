@@ -64,6 +64,59 @@ def test_second_refresh_replays_three_days(spark, lake):
     assert jobs.daily_metrics(spark, root).count() == 5
 
 
+def test_the_last_document_of_a_day_counts(spark, lake):
+    root, land = lake
+    day = {"athlete_id": 1, "record_date": "2024-01-09"}
+    docs = land("late.json", {**day, "battery_doc": '[{"charged": 80}]'}, {**day, "battery_doc": '[{"charged": 60}]'})
+    jobs.refresh(spark, root, 1, "2024-01-11 12:00:00", recovery_documents=docs)
+    assert [(r.body_battery, r.stress) for r in jobs.recovery_days(spark, root).collect()] == [(60, None)]
+
+
+def test_an_unusable_version_hides_no_good_one(spark, lake):
+    root, land = lake
+    pages = land("odd.json", {"data": [workout(9, 9, 13000), workout(9, 9, 13100)]}, {"data": [workout(9, 9, 13200), workout(9, 9, None)]})
+    jobs.refresh(spark, root, 1, "2024-01-11 12:00:00", pages)
+    assert [r.duration_sec for r in jobs.sessions(spark, root).where("workout_id = '9'").collect()] == [1320]
+    assert sorted(r.id for r in jobs.rejected_workouts(spark, root).collect()) == ["7", "9"]
+
+
+def test_what_other_athletes_have_stays(spark, lake):
+    root, _ = lake
+    for athlete in (1, 2):
+        answers = spark.createDataFrame([(athlete, f"text {athlete}")], "athlete_id long, coaching string")
+        for _ in range(2):  # repeated under its number
+            jobs.store_coaching(spark, root, answers, "2024-01-10 13:00:00", "a-model", batch_id=athlete)
+    schema = S.struct("athlete_id BIGINT, coaching STRING")
+    assert rows(readers.read_snapshot(spark, f"{root}/coaching_output", schema)) == [(1, "text 1"), (2, "text 2")]
+    assert jobs.tips(spark, root).count() == 2
+    jobs.store_recovery_snapshot(spark, root)
+    assert readers.read_snapshot(spark, f"{root}/recovery_snapshot", S.struct("athlete_id BIGINT, record_date DATE")).count() == 1
+
+
+def test_broken_records_are_never_served(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    entities = entity(spark, {"id": "a"}, {"id": "b", "confidence": 7.5}, {"id": "c", "entity_type": "workout"}, {"id": "d", "goal_text": "x"})
+    offers = spark.createDataFrame([("r1", i, n) for n, i in enumerate("abcdz")] + [("r9", "a", 0)], "request_id string, id string, ordinal long")
+    requests = spark.createDataFrame([("r1", "c1", "exploration", 4000, datetime(2024, 1, 28))],
+                                     "request_id string, coach_id string, mode string, token_budget int, as_of timestamp_ntz")
+    grants = spark.createDataFrame([("c1", "p1")], "coach_id string, participant_id string")
+    for _ in range(2):  # a repeated run leaves the logs as they are
+        found = jobs.serve_requests(spark, root, entities, offers, requests, grants, "?", "2024-01-28 10:00:00", batch_id=0)
+        assert [o["id"] for o in json.loads(found.first().context)] == ["a"]
+        audit = spark.read.parquet(f"{root}/audit")
+        assert rows(audit, ["request_id", "object_id", "reason"]) == [
+            ("r1", "a", "ok"), *[("r1", i, "unknown_record") for i in "bcdz"], ("r9", "a", "unknown_request")
+        ]
+    problems = spark.read.parquet(f"{root}/rejected_entities")
+    assert rows(problems, ["id", "problem"]) == [("b", "confidence_out_of_range"), ("c", "unknown_kind"), ("d", "foreign_field")]
+
+
+def test_weeks_are_read_from_their_months_only(spark, lake):
+    root, _ = lake
+    plan = jobs.metrics_between(spark, root, date(2024, 1, 1), date(2024, 1, 9))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan
+
+
 def test_coaching_and_brief(spark, lake):
     root, _ = lake
     found = {r.athlete_id: r for r in jobs.coaching_prompts(spark, root, "a race").collect()}
@@ -79,7 +132,7 @@ def test_coaching_and_brief(spark, lake):
     writers.append_tips(taper, f"{root}/tips")
     prompt = {r.athlete_id: r.prompt for r in jobs.brief_prompts(spark, root, "a race").collect()}
     assert "planned this as a recovery session" in prompt[1] and "Keep it easy." in prompt[1] and "Rest." not in prompt[2]
-    output = json.loads(next(line for f in sorted(Path(f"{root}/coaching_output").glob("*.json"))
+    output = json.loads(next(line for f in sorted(Path(f"{root}/coaching_output").glob("*/*.json"))
                              for line in f.read_text().splitlines()))
     assert output["coaching"] == "Keep it easy." and output["summary"]["split_raw_sec"] == 132.0
 

@@ -3,6 +3,7 @@ from datetime import date, datetime
 
 import pytest
 from helpers import rows
+from pyspark.sql import functions as F
 
 from trainlake import schemas as S
 from trainlake.session import materialise, new_path, shuffle_partitions, temporary_tables, work_folder
@@ -60,7 +61,7 @@ def test_snapshots(spark, tmp_path):
     path = str(tmp_path / "written")
     writers.write_snapshot(spark.createDataFrame([("x", None)], schema), path)
     assert rows(readers.read_snapshot(spark, path, schema)) == [("x", None)]
-    text = "".join(f.read_text() for f in (tmp_path / "written").glob("*.json"))
+    text = "".join(f.read_text() for f in (tmp_path / "written").glob("*/*.json"))
     assert json.loads(text) == {"insight": "x", "n": None}
 
 
@@ -83,7 +84,7 @@ def test_briefs(spark, tmp_path):
     briefs = lambda *r: spark.createDataFrame(list(r), S.BRIEFS)
     writers.write_briefs(briefs((1, date(2024, 1, 5), "five"), (2, date(2024, 1, 5), "other"), (1, date(2024, 1, 7), "seven")), path)
     writers.write_briefs(briefs((1, date(2024, 1, 7), " again ")), path)
-    stored = readers.read_table(spark, path, S.BRIEFS)
+    stored = writers.stored_briefs(spark, path)
     found = lambda day: rows(readers.latest_briefs(stored, day), ["athlete_id", "brief_text"])
     assert found("2024-01-06") == [(1, "five"), (2, "other")]
     assert found("2024-01-07") == [(1, "again"), (2, "other")]
@@ -97,22 +98,45 @@ def test_tips_without_a_text_are_refused(spark, tmp_path):
 
 
 def test_batches_replace_themselves_and_compact(spark, tmp_path):
-    path, new = str(tmp_path / "t"), str(tmp_path / "compacted")
+    path = str(tmp_path / "t")
     batch = lambda *r: spark.createDataFrame(list(r), "k string, v int")
     writers.write_batch(batch(("a", 1), ("b", 1)), path, 0)
     writers.write_batch(batch(("a", 9)), path, 1)
     writers.write_batch(batch(("a", 2), ("c", 2)), path, 1)  # the batch is repeated
-    now = lambda p: rows(writers.current_rows(spark, p, ["k"]), ["k", "v"])
-    assert now(path) == [("a", 2), ("b", 1), ("c", 2)]
-    writers.compact(spark, path, new, ["k"])
-    writers.write_batch(batch(("b", 3)), new, 2)
-    assert now(new) == [("a", 2), ("b", 3), ("c", 2)]
+    now = lambda: rows(writers.current_rows(spark, path, ["k"]), ["k", "v"])
+    assert now() == [("a", 2), ("b", 1), ("c", 2)]
+    folders = lambda: sorted(p.name for p in (tmp_path / "t").iterdir())
+    for number in (2, 3):
+        writers.compact(spark, path, ["k"])
+        writers.write_batch(batch(("b", number + 1)), path, number)
+        assert now() == [("a", 2), ("b", number + 1), ("c", 2)]
+    # batch 2 is folded with the next base; the batches that the first base replaced are gone
+    assert folders() == ["base_id=0", "base_id=1", "batch_id=1", "batch_id=2", "batch_id=3"]
+    writers.write_batch(batch(("a", 7)), path, 3)  # the newest batch is repeated after folding
+    assert now() == [("a", 7), ("b", 3), ("c", 2)] and writers.next_batch(spark, path) == 4
+    with pytest.raises(ValueError):
+        writers.stored_rows(spark, path, up_to=0)
+
+
+def test_a_failed_write_leaves_the_version_before(spark, tmp_path):
+    path = str(tmp_path / "snapshot")
+    frame = lambda *r: spark.createDataFrame(list(r), "athlete_id long, v int")
+    writers.write_snapshot(frame((1, 1), (2, 1)), path)
+    broken = frame((1, 2)).withColumn("v", F.raise_error(F.lit("no")).cast("int"))
+    with pytest.raises(Exception):
+        writers.write_snapshot(broken, path)
+    found = lambda: rows(readers.read_snapshot(spark, path, frame().schema))
+    assert found() == [(1, 1), (2, 1)]
+    writers.write_snapshot(frame((2, 5)), path, ("athlete_id",))
+    assert found() == [(1, 1), (2, 5)]
+    writers.write_snapshot(frame((3, 3)), path)
+    assert found() == [(3, 3)]
 
 
 def test_metrics_are_replaced_by_month(spark, tmp_path):
     path = str(tmp_path / "metrics")
     row = lambda moment: (1, "a", moment, 150.0, 600, 2000, None, None, 150.0, None, 10.0, "steady", "normal")
     writers.rebuild_metrics(spark.createDataFrame([row(datetime(2024, 1, 5)), row(datetime(2024, 2, 5))], S.METRICS), path)
-    assert sorted(p.name for p in (tmp_path / "metrics").glob("month=*")) == ["month=2024-01", "month=2024-02"]
+    assert sorted(p.name for p in (tmp_path / "metrics").glob("*/month=*")) == ["month=2024-01", "month=2024-02"]
     writers.rebuild_metrics(spark.createDataFrame([row(datetime(2024, 3, 5))], S.METRICS), path)
-    assert readers.read_table(spark, path, S.METRICS).count() == 1
+    assert readers.read_version(spark, path, S.METRICS).count() == 1

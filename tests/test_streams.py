@@ -79,8 +79,8 @@ def test_old_workouts_are_not_taken_in_again(landing):
 def test_a_repeated_batch_changes_nothing(landing):
     spark, table = landing.spark, landing.path("sessions")
     batch = lambda *w: spark.createDataFrame(
-        [(START, i, *[str(x[n]) if n == "id" else x.get(n) for n in S.RAW_WORKOUT.fieldNames()[:4]], float(x["time"]), None) for i, x in enumerate(w)],
-        "landed_at timestamp_ntz, position int, id string, athlete_id long, date string, distance int, time double,"
+        [(START, "f", 0, *[str(x[n]) if n == "id" else x.get(n) for n in S.RAW_WORKOUT.fieldNames()[:4]], float(x["time"]), None) for x in w],
+        "landed_at timestamp_ntz, file string, block long, id string, athlete_id long, date string, distance int, time double,"
         " intervals array<struct<distance:int,time:double,spm:int>>",
     )
     streams._store_sessions(batch(workout(1, 0), workout(2, 9)), 0, table, 3)

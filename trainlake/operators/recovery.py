@@ -17,8 +17,8 @@ _STRESS = "STRUCT<overallStressLevel: DOUBLE>"
 _READINESS = "ARRAY<STRUCT<score: DOUBLE>>"
 
 
-def extract_signals(documents: DataFrame) -> DataFrame:
-    """Six nested JSON documents per athlete and day to one flat row. Each signal stands alone: a missing,
+def extract_signals(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Six nested JSON documents per athlete and day to one flat row (with the columns ``keep`` beside it). Each signal stands alone: a missing,
     empty or unreadable document makes only its own signal NULL."""
     battery = F.try_element_at(F.from_json("battery_doc", _BATTERY), F.lit(-1))["charged"]
     hrv = F.from_json("hrv_doc", _HRV)["hrvSummary"]["status"]
@@ -36,6 +36,7 @@ def extract_signals(documents: DataFrame) -> DataFrame:
         resting.cast("int").alias("resting_hr"),
         stress.cast("int").alias("stress"),
         readiness.cast("int").alias("readiness"),
+        *(keep or []),
     )
 
 
@@ -45,6 +46,12 @@ def newest_days(recovery: DataFrame, days: int = S.RECOVERY_DAYS) -> DataFrame:
     return recovery.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= days).drop("rank")
 
 
+def snapshot(recovery: DataFrame) -> DataFrame:
+    """The newest recovery day of each athlete as one nested row."""
+    signals = [c for c in recovery.columns if c not in ("athlete_id", "record_date", "created_at")]
+    return newest_days(recovery, 1).select("athlete_id", "record_date", F.struct(*signals).alias("signals"))
+
+
 def recovery_vs_performance(
     metrics: DataFrame, recovery: DataFrame, days: int | None = S.RECOVERY_DAYS
 ) -> DataFrame:

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from trainlake.functions.dates import time_literal
 
 
+RECOVERY_KEYS = ["athlete_id", "record_date"]
+
+
 def latest_by_key(rows: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
     """One row per key, the one with the highest version. ``max_by`` combines before the shuffle."""
     others = [c for c in rows.columns if c not in keys]
@@ -41,13 +44,18 @@ def upsert_intervals(existing: DataFrame, batch: DataFrame, now: datetime | str)
 
 def upsert_recovery(existing: DataFrame, batch: DataFrame, now: datetime | str) -> DataFrame:
     """Upsert by athlete and day. The first creation time is kept."""
-    keys = ["athlete_id", "record_date"]
-    incoming = latest_by_key(batch, keys, ["ordinal"]).drop("ordinal")
-    # The stored rows of these keys only: at most one per incoming row.
-    replaced = existing.join(incoming.select(*keys), keys, "left_semi").select(*keys, "created_at")
-    stamped = incoming.drop("created_at").join(replaced, keys, "left")
-    stamped = stamped.withColumn("created_at", F.coalesce("created_at", time_literal(now)))
-    return upsert(existing, stamped.withColumn("ordinal", F.lit(0)), keys)
+    stamped = stamped_recovery(existing, batch, ["ordinal"], now).drop("ordinal")
+    return upsert(existing, stamped.withColumn("ordinal", F.lit(0)), RECOVERY_KEYS)
+
+
+def stamped_recovery(existing: DataFrame, batch: DataFrame, version: list[str], now: datetime | str) -> DataFrame:
+    """The last row of each athlete and day of a batch, with the creation time of the stored row if there is one."""
+    incoming = latest_by_key(batch, RECOVERY_KEYS, version)
+    # The stored rows of these keys only: the first creation time of each.
+    known = existing.join(incoming.select(*RECOVERY_KEYS), RECOVERY_KEYS, "left_semi")
+    first = known.groupBy(*RECOVERY_KEYS).agg(F.min("created_at").alias("created_at"))
+    stamped = incoming.drop("created_at").join(first, RECOVERY_KEYS, "left")
+    return stamped.withColumn("created_at", F.coalesce("created_at", time_literal(now)))
 
 
 def mark_synced(existing: DataFrame, marks: DataFrame) -> DataFrame:

@@ -6,14 +6,14 @@ elsewhere: prompts go out as rows, answers come back as rows.
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trainlake import schemas as S
 from trainlake.functions.dates import day_literal, time_literal, week_start
-from trainlake.operators import context, ingest, metrics, notes, quarantine, recovery, summary, upsert
+from trainlake.operators import context, ingest, metrics, notes, quality, quarantine, recovery, summary, upsert
 from trainlake.plans import prompts
 from trainlake.session import materialise, tune
 from trainlake.sources import readers, writers
@@ -29,6 +29,12 @@ def _current(spark: SparkSession, path: str, schema, keys: list[str]) -> DataFra
     return writers.current_rows(spark, path, keys).select(*schema.fieldNames())
 
 
+def _before(spark: SparkSession, path: str, schema, batch_id: int) -> DataFrame:
+    """What the batches before this one stored: a repeated batch must not see itself."""
+    stored = writers.stored_rows(spark, path, up_to=batch_id - 1)
+    return spark.createDataFrame([], schema) if stored is None else stored.select(*schema.fieldNames())
+
+
 def sessions(spark: SparkSession, lake: str) -> DataFrame:
     return _current(spark, f"{lake}/sessions", S.SESSIONS, ["workout_id"])
 
@@ -46,11 +52,25 @@ def sync_state(spark: SparkSession, lake: str) -> DataFrame:
 
 
 def daily_metrics(spark: SparkSession, lake: str) -> DataFrame:
-    return readers.read_or_empty(spark, f"{lake}/metrics", S.METRICS).select(*S.METRICS.fieldNames())
+    return readers.read_version(spark, f"{lake}/metrics", S.METRICS).select(*S.METRICS.fieldNames())
+
+
+def metrics_between(spark: SparkSession, lake: str, first: date, last: date) -> DataFrame:
+    """The metrics of a range of days, from the folders of its months only."""
+    stored = readers.read_version(spark, f"{lake}/metrics", S.METRICS)
+    day = F.col("workout_date").cast("date")
+    if "month" in stored.columns:
+        stored = stored.where(readers.month_range(first, last))
+    return stored.where(day.between(day_literal(first), day_literal(last))).select(*S.METRICS.fieldNames())
 
 
 def tips(spark: SparkSession, lake: str) -> DataFrame:
-    return readers.read_or_empty(spark, f"{lake}/tips", S.TIPS)
+    return readers.read_or_empty(spark, f"{lake}/tips", S.TIPS).select(*S.TIPS.fieldNames())
+
+
+def rejected_workouts(spark: SparkSession, lake: str) -> DataFrame:
+    """Every workout that was set aside, of all batches."""
+    return readers.read_or_empty(spark, f"{lake}/rejected_workouts", S.RAW_WORKOUT).select(*S.RAW_WORKOUT.fieldNames())
 
 
 # ---- Daily run ----------------------------------------------------------------------------------
@@ -76,31 +96,36 @@ def refresh(
 
 
 def _take_in_workouts(spark, lake, batch_id, now, pages, replay_days) -> DataFrame:
-    raw = readers.ordered_workouts(spark.read.schema(S.RAW_WORKOUT_PAGE).json(pages))
-    marks = readers.read_or_empty(spark, f"{lake}/sync_state", S.SYNC_STATE)
-    if "batch_id" in marks.columns:
-        marks = marks.where(F.col("batch_id") < batch_id)
-    fresh = ingest.incremental(raw, marks, SOURCE, replay_days)
-    newest = materialise(upsert.latest_by_key(fresh, ["id"], ["landed_at", "position"]), "workouts")
+    raw = readers.numbered(readers.ordered_workouts(spark.read.schema(S.RAW_WORKOUT_PAGE).json(pages)))
+    marks = _before(spark, f"{lake}/sync_state", S.SYNC_STATE, batch_id)
+    fresh = materialise(ingest.incremental(raw, marks, SOURCE, replay_days), "arrivals")
+    # What is unusable is set aside first: it must not hide an older good version of the same workout.
+    newest = materialise(upsert.latest_by_key(ingest.valid_workouts(fresh), ["id"], readers.ARRIVAL), "workouts")
     moment = time_literal(now)
     table = ingest.normalise(newest).withColumns({"created_at": moment, "updated_at": moment})
     writers.write_batch(table, f"{lake}/sessions", batch_id)
     writers.write_batch(ingest.flatten_intervals(newest).withColumn("created_at", moment), f"{lake}/intervals", batch_id)
+    rejected = ingest.rejected_workouts(fresh).select(*S.RAW_WORKOUT.fieldNames())
+    writers.write_batch(rejected, f"{lake}/rejected_workouts", batch_id)
     mark = spark.range(1).select(F.lit(SOURCE).alias("source_name"), moment.alias("last_sync_ts"))
     writers.write_batch(mark, f"{lake}/sync_state", batch_id)
-    return ingest.rejected_workouts(newest).select(*S.RAW_WORKOUT.fieldNames())
+    for name, keys in (("sessions", ["workout_id"]), ("intervals", ["interval_id"]), ("sync_state", ["source_name"])):
+        writers.compact_if_long(spark, f"{lake}/{name}", keys)
+    return rejected
 
 
 def _take_in_recovery(spark, lake, batch_id, now, documents) -> None:
-    daily = recovery.extract_signals(readers.read_raw_recovery(spark, documents))
-    path, keys = f"{lake}/recovery", ["athlete_id", "record_date"]
-    fresh = upsert.latest_by_key(daily, keys, [c for c in daily.columns if c not in keys])
-    known = readers.read_or_empty(spark, path, S.RECOVERY_DAILY)
-    if "batch_id" in known.columns:
-        known = known.where(F.col("batch_id") < batch_id)
-    first = known.join(fresh.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.min("created_at").alias("created_at"))
-    stamped = fresh.join(first, keys, "left").withColumn("created_at", F.coalesce("created_at", time_literal(now)))
-    writers.write_batch(stamped, path, batch_id)
+    signals = recovery.extract_signals(readers.ordered_recovery(spark, documents), readers.ARRIVAL)
+    path = f"{lake}/recovery"
+    known = _before(spark, path, S.RECOVERY_DAILY, batch_id)
+    stamped = upsert.stamped_recovery(known, signals, readers.ARRIVAL, now)
+    writers.write_batch(stamped.select(*S.RECOVERY_DAILY.fieldNames()), path, batch_id)
+    writers.compact_if_long(spark, path, upsert.RECOVERY_KEYS)
+
+
+def store_recovery_snapshot(spark: SparkSession, lake: str) -> None:
+    """The newest recovery signals of every athlete as nested rows."""
+    writers.write_snapshot(recovery.snapshot(recovery_days(spark, lake)), f"{lake}/recovery_snapshot", ("athlete_id",))
 
 
 def _latest(spark: SparkSession, lake: str) -> DataFrame:
@@ -123,8 +148,11 @@ def coaching_prompts(spark: SparkSession, lake: str, goal: str) -> DataFrame:
     )
 
 
-def store_coaching(spark: SparkSession, lake: str, answers: DataFrame, now: datetime | str, model: str) -> None:
-    """Keep generated texts (athlete_id, coaching): as tagged notes and beside what they were made from."""
+def store_coaching(
+    spark: SparkSession, lake: str, answers: DataFrame, now: datetime | str, model: str, batch_id: int | None = None
+) -> None:
+    """Keep generated texts (athlete_id, coaching): as tagged notes and beside what they were made from. Repeated
+    under the same number, the notes are stored once."""
     summaries = session_summaries(spark, lake)
     active = F.coalesce("taper_active", F.lit(False))
     fresh = (
@@ -142,9 +170,9 @@ def store_coaching(spark: SparkSession, lake: str, answers: DataFrame, now: date
     )
     output = writers.coaching_output(summaries.join(answers.select("athlete_id"), "athlete_id", "left_semi"),
                                      answers, _signals(spark, lake), now, model)
-    writers.write_snapshot(output, f"{lake}/coaching_output")
+    writers.write_snapshot(output, f"{lake}/coaching_output", ("athlete_id",))
     # The new notes depend on the stored ones, so they are made before the log grows.
-    writers.append_tips(materialise(notes.new_tips(fresh), "tips"), f"{lake}/tips")
+    writers.append_tips(materialise(notes.new_tips(fresh), "tips"), f"{lake}/tips", batch_id)
 
 
 def brief_prompts(spark: SparkSession, lake: str, goal: str) -> DataFrame:
@@ -156,7 +184,7 @@ def brief_prompts(spark: SparkSession, lake: str, goal: str) -> DataFrame:
 
 
 def notifications(spark: SparkSession, lake: str, as_of: date | str, competition: date | str) -> DataFrame:
-    briefs = readers.latest_briefs(readers.read_or_empty(spark, f"{lake}/briefs", S.BRIEFS), as_of)
+    briefs = readers.latest_briefs(writers.stored_briefs(spark, f"{lake}/briefs"), as_of)
     return prompts.notifications(
         session_summaries(spark, lake), briefs, _signals(spark, lake), as_of, competition
     )
@@ -164,15 +192,14 @@ def notifications(spark: SparkSession, lake: str, as_of: date | str, competition
 
 # ---- Weekly run ---------------------------------------------------------------------------------
 def _weeks(spark: SparkSession, lake: str, as_of: date | str) -> DataFrame:
-    """Weekly summaries up to ``as_of``."""
-    day = F.col("workout_date").cast("date")
-    return summary.weekly_summary(daily_metrics(spark, lake).where(day <= day_literal(as_of)))
+    """Summaries of the week of ``as_of`` (up to that day) and of the week before."""
+    last = date.fromisoformat(str(as_of)[:10])
+    first = last - timedelta(days=last.weekday() + 7)
+    return summary.weekly_summary(metrics_between(spark, lake, first, last))
 
 
 def weekly_prompts(spark: SparkSession, lake: str, as_of: date | str) -> DataFrame:
-    weekly = _weeks(spark, lake, as_of)
-    extra = weekly.select("athlete_id", "week_start", "avg_split_formatted", "fatigue_days")
-    weeks = summary.week_over_week(weekly).join(extra, ["athlete_id", "week_start"])
+    weeks = summary.week_over_week(_weeks(spark, lake, as_of), ("avg_split_formatted", "fatigue_days"))
     return prompts.weekly_prompts(weeks, notes.context_blocks(tips(spark, lake), 3), as_of)
 
 
@@ -188,7 +215,7 @@ def store_plans(
     snapshot = writers.weekly_snapshot(_weeks(spark, lake, as_of), plans, now, model)
     writers.write_snapshot(
         snapshot.where(F.col("week_start") == monday).join(plans.select("athlete_id"), "athlete_id", "left_semi"),
-        f"{lake}/weekly_plan",
+        f"{lake}/weekly_plan", ("athlete_id",),
     )
     return prompts.rejected_plans(answers)
 
@@ -204,18 +231,25 @@ def serve_requests(
     user_text: str,
     now: datetime | str,
     strict: bool = False,
+    batch_id: int | None = None,
 ) -> DataFrame:
     """Assemble the requests from the records offered to them (request_id, id, ordinal).
 
-    Every decision goes to the audit log and every exclusion to the exclusion log, whose retention is
-    applied. With ``strict``, a denial by policy then stops the run.
+    Records that break the rules of their kind are set aside and never served. Every offer has one audit row, also one
+    whose record or request is unknown; every exclusion goes to the exclusion log, whose retention is applied. Repeated
+    under its number (by default the next one), a run leaves the logs as they are. With ``strict``, a denial by policy
+    then stops the run.
     """
     tune(spark)
+    batch_id = writers.next_batch(spark, f"{lake}/audit") if batch_id is None else batch_id
+    rejected = quality.rejected_entities(entities).select("id", "entity_type", "problem")
+    writers.write_batch(rejected.withColumn("logged_at", time_literal(now)), f"{lake}/rejected_entities", batch_id)
+    entities = quality.valid_entities(entities)
     measured = materialise(context.measured(entities), "measured")
     decisions = materialise(context.decide(offers.join(measured, "id"), requests, grants), "decisions")
-    audit = context.audit_records(decisions).withColumn("logged_at", time_literal(now))
-    audit.write.mode("append").parquet(f"{lake}/audit")
-    writers.append_exclusions(quarantine.exclusions(decisions, now), f"{lake}/exclusions")
+    audit = context.audit_records(decisions).unionByName(context.unmatched_offers(offers, measured, requests))
+    writers.write_batch(audit.withColumn("logged_at", time_literal(now)), f"{lake}/audit", batch_id)
+    writers.append_exclusions(quarantine.exclusions(decisions, now), f"{lake}/exclusions", batch_id)
     writers.prune_exclusions(spark, f"{lake}/exclusions", now)
     if strict:
         context.require_clear(decisions)

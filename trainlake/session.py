@@ -57,11 +57,11 @@ def build_session(
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a new /tmp folder only in local mode with nothing set."""
+    """The shared folder of the cluster; a new /tmp folder only where one process does all (``local[...]``)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     folder = spark.conf.get(_LOCAL_FOLDER_KEY, None)
     if not folder:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,13 @@ from trainlake.functions.dates import day_literal, parse_iso
 from trainlake.functions.text import strip
 
 
+# ---- Names of folders ---------------------------------------------------------------------------
+VERSION, BATCH, BASE = "version=", "batch_id=", "base_id="
+
+# What orders repeated rows: the landing, the file, and within it the part that one task reads and the line there.
+ARRIVAL = ["landed_at", "file", "block", "line"]
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
@@ -28,6 +35,29 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return read_table(spark, path, schema) if path_exists(spark, path) else spark.createDataFrame([], schema)
 
 
+def newest_version(spark: SparkSession, path: str) -> str | None:
+    """The folder of the newest complete version of a table, if it is kept in versions."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(folder):
+        return None
+    names = [s.getPath().getName() for s in files.listStatus(folder) if s.isDirectory()]
+    numbers = sorted((int(n.removeprefix(VERSION)) for n in names if n.startswith(VERSION)), reverse=True)
+    return next((f"{path}/{VERSION}{n}" for n in numbers if path_exists(spark, f"{path}/{VERSION}{n}/_SUCCESS")), None)
+
+
+def read_version(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The newest version of a table (with its folder columns), or no rows."""
+    folder = newest_version(spark, path)
+    return read_table(spark, folder, schema) if folder else spark.createDataFrame([], schema)
+
+
+def month_range(first: date | str, last: date | str) -> Column:
+    """Restricts a table in month folders to those that hold a range of dates."""
+    return F.col("month").between(str(first)[:7], str(last)[:7])
+
+
 def read_raw_workouts(spark: SparkSession, path: str) -> DataFrame:
     """Landed pages (one JSON object with a ``data`` list per line). A page without the list has no rows."""
     pages = spark.read.schema(S.RAW_WORKOUT_PAGE).json(path)
@@ -35,10 +65,19 @@ def read_raw_workouts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ordered_workouts(pages: DataFrame) -> DataFrame:
-    """Workouts of raw pages with ``landed_at`` and ``position``, which order repeated ones."""
-    return pages.select(
-        F.col("_metadata.file_modification_time").alias("landed_at"), F.posexplode("data").alias("position", "w")
-    ).select("landed_at", "position", "w.*")
+    """Workouts of raw pages with the file and block they came in (see ``numbered``)."""
+    return pages.select(*_origin(), F.explode("data").alias("w")).select("landed_at", "file", "block", "w.*")
+
+
+def _origin() -> list[Column]:
+    names = {"landed_at": "file_modification_time", "file": "file_path", "block": "file_block_start"}
+    return [F.col(f"_metadata.{field}").alias(name) for name, field in names.items()]
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Add ``line``, so that ``ARRIVAL`` orders rows as they were landed. A block is read by one task from its begin to
+    its end, so the number follows the lines and the places within them."""
+    return rows.withColumn("line", F.monotonically_increasing_id())
 
 
 def read_raw_recovery(spark: SparkSession, path: str) -> DataFrame:
@@ -46,11 +85,17 @@ def read_raw_recovery(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.RAW_RECOVERY).json(path)
 
 
+def ordered_recovery(spark: SparkSession, path: str) -> DataFrame:
+    """The same with ``ARRIVAL``."""
+    return numbered(read_raw_recovery(spark, path).select("*", *_origin()))
+
+
 def read_snapshot(
     spark: SparkSession, path: str, schema: T.StructType, one_object_per_file: bool = False
 ) -> DataFrame:
-    """Snapshot objects, one per line or one per file; a malformed one gives a row without values, an absent
+    """Snapshot objects (of the newest version), one per line or one per file; a malformed one gives a row without values, an absent
     file no rows."""
+    path = newest_version(spark, path) or path
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
     with_reject = T.StructType(schema.fields + [T.StructField("_malformed", T.StringType())])

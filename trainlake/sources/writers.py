@@ -1,8 +1,14 @@
-"""Writing tables, logs and snapshots."""
+"""Writing tables, logs and snapshots.
+
+A table that is replaced as a whole is kept in versions: each is a folder of its own and counts once Spark's committer
+has marked it complete, so a failed write leaves the one before in place. A keyed table is a log of numbered batches;
+older ones are folded into a base.
+"""
 
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,18 +18,45 @@ from trainlake.functions.dates import day_literal, time_literal
 from trainlake.operators import quality, quarantine
 from trainlake.operators.upsert import upsert
 from trainlake.session import materialise, temporary_tables
-from trainlake.sources.readers import path_exists
+from trainlake.sources.readers import BASE, BATCH, VERSION, path_exists, read_snapshot
+
+# Batches beside the base before they are folded into it.
+BATCHES_PER_BASE = 24
+
+
+def append_tips(tips: DataFrame, path: str, batch_id: int | None = None) -> None:
+    """Add complete note rows (see ``notes.new_tips``) to the log, as a batch of this or the next number."""
+    checked = quality.assert_not_null(tips, ["tip_id", "created_at", "author", "tip_text"])
+    write_batch(checked, path, next_batch(tips.sparkSession, path) if batch_id is None else batch_id)
+
+
+# ---- Tables in versions -------------------------------------------------------------------------
+def _numbered(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    if not path_exists(spark, path):
+        return []
+    return sorted(int(f.removeprefix(prefix)) for f in _folders(spark, path) if f.startswith(prefix))
 
 
-def append_tips(tips: DataFrame, path: str) -> None:
-    """Add complete note rows (see ``notes.new_tips``) to the log."""
-    quality.assert_not_null(tips, ["tip_id", "created_at", "author", "tip_text"]).write.mode("append").parquet(path)
+def _finished(spark: SparkSession, folder: str) -> bool:
+    return path_exists(spark, f"{folder}/_SUCCESS")
+
+
+def write_version(rows: DataFrame, path: str, kind: str = "parquet", partition_by: tuple[str, ...] = (), **options: str) -> None:
+    """The rows as the newest version of a table. The version before is kept for those who still read it."""
+    spark = rows.sparkSession
+    numbers = _numbered(spark, path, VERSION)
+    finished = [n for n in numbers if _finished(spark, f"{path}/{VERSION}{n}")]
+    folder = f"{path}/{VERSION}{max(numbers, default=-1) + 1}"
+    rows.write.format(kind).options(**options).partitionBy(*partition_by).save(folder)
+    for number in numbers:
+        if number not in finished[-1:]:
+            _delete(spark, f"{path}/{VERSION}{number}")
 
 
 def rebuild_metrics(metrics: DataFrame, path: str) -> None:
-    """Replace the derived table, partitioned by month so that date filters prune."""
+    """Replace the derived table. Its folders are months: ``readers.month_range`` prunes them."""
     dated = metrics.withColumn("month", F.date_format("workout_date", "yyyy-MM"))
-    balanced(dated, "month").write.mode("overwrite").partitionBy("month").parquet(path)
+    write_version(balanced(dated, "month"), path, partition_by=("month",))
 
 
 def balanced(rows: DataFrame, column: str) -> DataFrame:
@@ -32,9 +65,14 @@ def balanced(rows: DataFrame, column: str) -> DataFrame:
     return rows.hint("rebalance", column)
 
 
-def append_exclusions(records: DataFrame, path: str) -> None:
+def append_exclusions(records: DataFrame, path: str, batch_id: int | None = None) -> None:
+    """Add checked records by day. With a number, repeating the batch replaces just its own records."""
     checked = quarantine.with_event_date(quarantine.checked(records))
-    balanced(checked, "event_date").write.mode("append").partitionBy("event_date").parquet(path)
+    if batch_id is None:
+        balanced(checked, "event_date").write.mode("append").partitionBy("event_date").parquet(path)
+        return
+    numbered = balanced(checked.withColumn("batch_id", F.lit(int(batch_id))), "event_date").write.mode("overwrite")
+    numbered.option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "batch_id").parquet(path)
 
 
 def prune_exclusions(spark: SparkSession, path: str, as_of: datetime | str, days: int = S.RETENTION_DAYS) -> None:
@@ -90,9 +128,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     files.delete(folder, True)
 
 
-def write_snapshot(rows: DataFrame, path: str) -> None:
-    """Nested rows as JSON, empty fields included. The commit of the write makes it visible as a whole."""
-    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+def write_snapshot(rows: DataFrame, path: str, keys: tuple[str, ...] = ()) -> None:
+    """Nested rows as JSON, empty fields included, as the newest version. With ``keys``, rows of other keys stay."""
+    if keys:
+        stored = read_snapshot(rows.sparkSession, path, rows.schema)
+        rows = rows.unionByName(stored.join(rows.select(*keys), list(keys), "left_anti").select(*rows.columns))
+    write_version(rows, path, "json", ignoreNullFields="false")
 
 
 def weekly_snapshot(weeks: DataFrame, plans: DataFrame, now: datetime | str, model: str) -> DataFrame:
@@ -135,37 +176,86 @@ def coaching_output(
     )
 
 
-def write_briefs(briefs: DataFrame, path: str) -> None:
-    """One folder per date; a repeated run replaces the briefs of its dates only."""
-    writer = balanced(briefs, "brief_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("brief_date").parquet(path)
+def write_briefs(briefs: DataFrame, path: str, batch_id: int | None = None) -> None:
+    """Keep briefs by athlete and date: of several for the same day the last written counts (see ``stored_briefs``)."""
+    write_batch(briefs, path, next_batch(briefs.sparkSession, path) if batch_id is None else batch_id)
+
+
+def stored_briefs(spark: SparkSession, path: str) -> DataFrame:
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], S.BRIEFS)
+    return current_rows(spark, path, ["athlete_id", "brief_date"]).select(*S.BRIEFS.fieldNames())
 
 
 # ---- Keyed tables as batch logs -----------------------------------------------------------------
 def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     """Store the rows of one batch under its number. Repeating a batch replaces just that batch."""
-    rows.write.mode("overwrite").parquet(f"{path}/batch_id={int(batch_id)}")
+    rows.write.mode("overwrite").parquet(f"{path}/{BATCH}{int(batch_id)}")
+
+
+def _parts(spark: SparkSession, path: str) -> tuple[int | None, list[int]]:
+    """The number that the base reaches to, if there is one, and the batches after it."""
+    bases = [n for n in _numbered(spark, path, BASE) if _finished(spark, f"{path}/{BASE}{n}")]
+    base = max(bases, default=None)
+    return base, [n for n in _numbered(spark, path, BATCH) if base is None or n > base]
+
+
+def next_batch(spark: SparkSession, path: str) -> int:
+    base, later = _parts(spark, path)
+    return max([-1 if base is None else base, *later]) + 1
+
+
+def _batches(spark: SparkSession, path: str, numbers: list[int]) -> DataFrame:
+    return spark.read.option("basePath", path).parquet(*[f"{path}/{BATCH}{n}" for n in numbers])
+
+
+def stored_rows(spark: SparkSession, path: str, up_to: int | None = None) -> DataFrame | None:
+    """All rows of the base and of the batches after it (or those up to a number), with ``batch_id``; None without any.
+    The base holds one row per key and has the number it reaches to."""
+    base, later = _parts(spark, path)
+    later = [n for n in later if up_to is None or n <= up_to]
+    if up_to is not None and base is not None and base > up_to:
+        raise ValueError(f"{path} is folded up to batch {base}; it has no state of batch {up_to}")
+    parts = [spark.read.parquet(f"{path}/{BASE}{base}").withColumn("batch_id", F.lit(base))] if base is not None else []
+    parts += [_batches(spark, path, later)] if later else []
+    return reduce(lambda a, b: a.unionByName(b), parts) if parts else None
 
 
 def current_rows(spark: SparkSession, path: str, keys: list[str], up_to: int | None = None) -> DataFrame:
     """The newest row of each key over all batches, or those up to a number (each batch holds a key at most
     once).
 
-    The first batch, after ``compact`` by far the largest, is only filtered by the keys of the later ones;
-    while those are small it is neither aggregated nor shuffled.
+    The base, by far the largest part, is only filtered by the keys of the later batches; while those are small it is
+    neither aggregated nor shuffled.
+    """
+    base, later = _parts(spark, path)
+    later = [n for n in later if up_to is None or n <= up_to]
+    if base is None:
+        first, later = _batches(spark, path, later[:1]).drop("batch_id"), later[1:]
+    else:
+        first = spark.read.parquet(f"{path}/{BASE}{base}")
+    return upsert(first, _batches(spark, path, later), keys, "batch_id") if later else first
+
+
+def compact(spark: SparkSession, path: str, keys: list[str]) -> None:
+    """Fold all batches but the newest into the base. The newest stays apart, as a stream may repeat it.
+
+    The new base counts once it is complete; what the base before it had replaced already is removed, so a reader that
+    began earlier still finds its files.
     """
-    batches = [int(f.removeprefix("batch_id=")) for f in _folders(spark, path) if f.startswith("batch_id=")]
-    rows = spark.read.parquet(path)
-    if up_to is not None:
-        batches = [b for b in batches if b <= up_to]
-        rows = rows.where(F.col("batch_id") <= up_to)
-    first = rows.where(F.col("batch_id") == min(batches)).drop("batch_id")
-    if len(batches) == 1:
-        return first
-    return upsert(first, rows.where(F.col("batch_id") > min(batches)), keys, "batch_id")
-
-
-def compact(spark: SparkSession, path: str, new_path: str, keys: list[str]) -> None:
-    """Write the current rows as the first batch of a new table; the old one is left as it is."""
-    newest = spark.read.parquet(path).agg(F.max("batch_id")).first()[0]
-    write_batch(current_rows(spark, path, keys), new_path, newest)
+    base, later = _parts(spark, path)
+    folded = later[:-1]
+    if not folded:
+        return
+    current_rows(spark, path, keys, up_to=folded[-1]).write.mode("overwrite").parquet(f"{path}/{BASE}{folded[-1]}")
+    if base is not None:
+        for prefix, below in ((BATCH, base + 1), (BASE, base)):
+            for number in _numbered(spark, path, prefix):
+                if number < below:
+                    _delete(spark, f"{path}/{prefix}{number}")
+
+
+def compact_if_long(spark: SparkSession, path: str, keys: list[str], most: int = BATCHES_PER_BASE) -> None:
+    """Called by jobs and streams after each batch: what a read has to merge stays bounded."""
+    if path_exists(spark, path) and len(_parts(spark, path)[1]) > most:
+        compact(spark, path, keys)

@@ -7,6 +7,7 @@ failure overwrites its own folder, so every job is exactly-once by idempotence.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +16,12 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from trainlake import schemas as S
-from trainlake.operators import calibration, ingest, metrics, quarantine
+from trainlake.operators import calibration, ingest, metrics
 from trainlake.operators.skew import best_rows
 from trainlake.operators.upsert import latest_by_key
 from trainlake.session import materialise, temporary_tables, tune
 from trainlake.sources import writers
-from trainlake.sources.readers import dated_exclusions, ordered_workouts, path_exists
+from trainlake.sources.readers import ARRIVAL, dated_exclusions, numbered, ordered_workouts, path_exists, read_or_empty
 
 
 def run(stream: DataFrame, handle, checkpoint: str, **trigger) -> StreamingQuery:
@@ -46,7 +47,7 @@ def landed(spark: SparkSession, folder: str, schema: StructType, files_per_batch
 
 
 def workout_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
-    """Workouts of the landed pages; ``landed_at`` and ``position`` order repeated ones within a batch."""
+    """Workouts of the landed pages, with what orders repeated ones within a batch (``readers.ARRIVAL``)."""
     return ordered_workouts(landed(spark, folder, S.RAW_WORKOUT_PAGE, files_per_batch))
 
 
@@ -56,45 +57,64 @@ def sync_sessions(
     checkpoint: str,
     replay_days: int | None = S.REPLAY_DAYS,
     intervals: str | None = None,
+    rejects: str | None = None,
     **trigger,
 ) -> StreamingQuery:
-    """Keep a session table (and an interval table) up to date; of repeated workouts the last one counts.
+    """Keep a session table (and an interval table) up to date; of repeated workouts the last usable one counts.
+    Workouts without a time go to the log ``rejects`` (by default beside the table).
 
     From the second batch on, workouts dated more than ``replay_days`` before the newest one seen so far
     are not taken in again (None: no limit). The mark is kept in a small log of its own.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        _store_sessions(batch, batch_id, table, replay_days, intervals)
+        _store_sessions(batch, batch_id, table, replay_days, intervals, rejects)
 
     return run(workouts, handle, checkpoint, **trigger)
 
 
 def _store_sessions(
-    batch: DataFrame, batch_id: int, table: str, replay_days: int | None, intervals: str | None = None
+    batch: DataFrame, batch_id: int, table: str, replay_days: int | None, intervals: str | None = None,
+    rejects: str | None = None,
 ) -> DataFrame:
     """Store the batch and return it as written."""
     spark, marks = batch.sparkSession, f"{table}_marks"
+    batch = numbered(batch)
     earlier = _earlier_batches(spark, marks, batch_id)
     if earlier is not None and replay_days is not None:
         batch = ingest.incremental(batch, earlier, "sessions", replay_days)
-    newest = latest_by_key(batch, ["id"], ["landed_at", "position"])
-    if intervals:
-        newest = newest.persist()
-        writers.write_batch(ingest.flatten_intervals(newest), intervals, batch_id)
-    writers.write_batch(ingest.normalise(newest), table, batch_id)
-    newest.unpersist()
+    batch = batch.persist()
+    try:
+        newest = latest_by_key(ingest.valid_workouts(batch), ["id"], ARRIVAL)
+        if intervals:
+            writers.write_batch(ingest.flatten_intervals(newest), intervals, batch_id)
+            writers.compact_if_long(spark, intervals, ["interval_id"])
+        writers.write_batch(ingest.normalise(newest), table, batch_id)
+        rejected = ingest.rejected_workouts(batch).select(*S.RAW_WORKOUT.fieldNames())
+        writers.write_batch(rejected, rejects or f"{table}_rejects", batch_id)
+    finally:
+        batch.unpersist()
     stored = spark.read.parquet(f"{table}/batch_id={batch_id}")
-    mark = stored.agg(F.max("workout_date").alias("last_sync_ts"))
+    seen = stored.select(F.col("workout_date").alias("last_sync_ts"))
+    if earlier is not None:
+        seen = seen.unionByName(earlier.select("last_sync_ts"))
+    mark = seen.agg(F.max("last_sync_ts").alias("last_sync_ts"))
     writers.write_batch(mark.select(F.lit("sessions").alias("source_name"), "last_sync_ts"), marks, batch_id)
+    writers.compact_if_long(spark, marks, ["source_name"])
+    writers.compact_if_long(spark, table, ["workout_id"])
     return stored
 
 
+def rejected_workouts(spark: SparkSession, table: str) -> DataFrame:
+    """The workouts that the stream of a session table has set aside."""
+    return read_or_empty(spark, f"{table}_rejects", S.RAW_WORKOUT).select(*S.RAW_WORKOUT.fieldNames())
+
+
 def _earlier_batches(spark: SparkSession, table: str, batch_id: int) -> DataFrame | None:
-    """Rows of the batches before this one (a repeated batch must not see itself)."""
-    if batch_id == 0 or not path_exists(spark, f"{table}/batch_id=0"):
+    """Rows of the batches before this one (a repeated batch must not see itself), whether folded or not."""
+    if not path_exists(spark, table):
         return None
-    return spark.read.parquet(table).where(F.col("batch_id") < batch_id)
+    return writers.stored_rows(spark, table, up_to=batch_id - 1)
 
 
 def sync_metrics(
@@ -108,7 +128,7 @@ def sync_metrics(
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         changed = _store_sessions(batch, batch_id, sessions, replay_days)
-        stored = spark.read.parquet(sessions).where(F.col("batch_id") <= batch_id)
+        stored = writers.stored_rows(spark, sessions, up_to=batch_id)
         versions = stored.join(changed.select("workout_id"), "workout_id", "left_semi")
         # The earliest old or new time of a changed workout; a time that is NULL sorts last.
         since = materialise(versions.groupBy("athlete_id").agg(F.min("workout_date").alias("since")), "since")
@@ -123,6 +143,7 @@ def sync_metrics(
         # Workouts that stopped being eligible leave an empty marker, so that the older row is not used.
         gone = metrics_removed(rows, changed)
         writers.write_batch(recomputed.unionByName(gone), derived, batch_id)
+        writers.compact_if_long(spark, derived, ["workout_id"])
 
     return run(workouts, handle, checkpoint, **trigger)
 
@@ -145,16 +166,19 @@ def exclusion_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def keep_exclusion_log(
-    records: DataFrame, log: str, checkpoint: str, as_of: datetime | str, days: int = S.RETENTION_DAYS, **trigger
+    records: DataFrame, log: str, checkpoint: str, as_of: Callable[[], datetime | str] | datetime | str | None = None,
+    days: int = S.RETENTION_DAYS, **trigger,
 ) -> StreamingQuery:
-    """Append each batch of exclusion records and apply the retention period to the log."""
+    """Append each batch of exclusion records and apply the retention period to the log. It counts from ``as_of``, which
+    may be a function that is asked at every batch; by default from the newest time of the batch."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        checked = quarantine.with_event_date(quarantine.checked(batch)).withColumn("batch_id", F.lit(batch_id))
-        # Dynamic overwrite of (day, batch) folders: a repeated batch replaces itself.
-        writer = writers.balanced(checked, "event_date").write.mode("overwrite")
-        writer.option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "batch_id").parquet(log)
-        writers.prune_exclusions(batch.sparkSession, log, as_of, days)
+        writers.append_exclusions(batch, log, batch_id)
+        limit = as_of() if callable(as_of) else as_of
+        if limit is None:
+            limit = batch.agg(F.max("timestamp")).first()[0]
+        if limit is not None:
+            writers.prune_exclusions(batch.sparkSession, log, limit, days)
 
     return run(records, handle, checkpoint, **trigger)
 
@@ -164,15 +188,18 @@ def update_confidence(events: DataFrame, entities: DataFrame, store: str, checkp
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        ids = batch.select(F.col("object_id").alias("id")).distinct()
-        affected = entities.join(ids, "id", "left_semi")
-        earlier = _earlier_batches(batch.sparkSession, store, batch_id)
-        if earlier is not None:
-            newest = latest_by_key(earlier.join(ids, "id", "left_semi"), ["id"], ["batch_id"])
-            affected = _with_stored(affected, newest)
-        updated = calibration.recalibrate_fold(affected, batch).select("id", "confidence")
-        writers.write_batch(updated, store, batch_id)
-        batch.unpersist()
+        try:
+            ids = batch.select(F.col("object_id").alias("id")).distinct()
+            affected = entities.join(ids, "id", "left_semi")
+            earlier = _earlier_batches(batch.sparkSession, store, batch_id)
+            if earlier is not None:
+                newest = latest_by_key(earlier.join(ids, "id", "left_semi"), ["id"], ["batch_id"])
+                affected = _with_stored(affected, newest)
+            updated = calibration.recalibrate_fold(affected, batch).select("id", "confidence")
+            writers.write_batch(updated, store, batch_id)
+        finally:
+            batch.unpersist()
+        writers.compact_if_long(batch.sparkSession, store, ["id"])
 
     return run(events, handle, checkpoint, **trigger)
 
