@@ -1,4 +1,5 @@
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -73,3 +74,14 @@ def test_history_is_folded_in_order_with_clamps(spark, events_per_task):
         value = 0.7 * expected[name] + 0.3 * complete * (usefulness if referenced else 0.0)
         expected[name] = max(0.0, min(1.0, value))
     assert confidence(calibration.recalibrate_fold(table, events, events_per_task)) == pytest.approx(expected, abs=1e-12)
+
+
+def test_segments_of_a_hot_entity_stay_apart_after_the_join(spark):
+    events = spark.createDataFrame([("p1", i, True, 0.5) for i in range(300)], "object_id string, seq long, referenced boolean, usefulness double")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = calibration.folded_events(events, entity(spark), 50)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert re.search(r"hashpartitioning\(object_id#\d+, segment#\d+, \d+\), REPARTITION_BY_COL", plan)

@@ -44,3 +44,18 @@ def test_countdown_stops_at_zero(one):
 def test_training_weeks(one):
     week = lambda day: one(dates.training_week(dates.day_literal(day), "2024-01-01"))
     assert [week(d) for d in ("2024-01-01", "2024-01-07", "2024-01-08", "2024-02-12")] == [1, 1, 2, 7]
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata", "UTC"])
+def test_iso_dates_do_not_depend_on_the_session(spark, one, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        texts = ["2024-01-05T10:20:30Z", "2024-11-03T01:30:00-05:00", "2024-11-03 01:30:00", "1969-12-31T23:59:59.5Z", "2024-01-05"]
+        found = one(*[dates.parse_iso(F.lit(t)) for t in texts])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert found == (
+        datetime(2024, 1, 5, 10, 20, 30), datetime(2024, 11, 3, 6, 30), datetime(2024, 11, 3, 1, 30),
+        datetime(1969, 12, 31, 23, 59, 59, 500000), datetime(2024, 1, 5),
+    )

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 # A calendar date, optionally followed by a time of day and an offset.
 ISO_SHAPE = r"^\d{4}-\d{2}-\d{2}([T ].*)?$"
 
+# A time of day followed by an offset or the name of a zone.
+WITH_OFFSET = r"^\d{4}-\d{2}-\d{2}[T ][0-9:.]*[^0-9:.]"
+
 
 def day_literal(day: date | str) -> Column:
     return F.lit(str(day)).cast("date")
@@ -20,8 +23,10 @@ def time_literal(moment: datetime | str) -> Column:
 
 
 def parse_iso(text: Column) -> Column:
-    """ISO text to a UTC time; anything else is NULL (needs the session time zone UTC)."""
-    moment = text.try_cast("timestamp").cast("timestamp_ntz")
+    """ISO text to a UTC time, in any session time zone; text without an offset is UTC, anything else is NULL."""
+    micros = F.unix_micros(text.try_cast("timestamp"))
+    shifted = time_literal("1970-01-01 00:00:00") + F.make_dt_interval(secs=(micros / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)"))
+    moment = F.when(text.rlike(WITH_OFFSET), shifted).otherwise(text.try_cast("timestamp_ntz"))
     return F.when(text.rlike(ISO_SHAPE), moment)
 
 

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from trainlake import schemas as S
 from trainlake.operators.context import completeness
-from trainlake.operators.skew import ordered_segments
+from trainlake.operators.skew import split_by_heat
 from trainlake.operators.upsert import latest_by_key
 
 Scorer = Callable[[Column, Column, Column, Column], Column]
 
-EVENTS_PER_TASK = 1_000_000
+EVENTS_PER_TASK = 200_000
 
 
 def _complete(entities: DataFrame) -> Column:
@@ -98,13 +98,16 @@ def folded_events(events: DataFrame, entities: DataFrame, events_per_task: int =
     event = F.struct("seq", (S.EMA_ALPHA * F.col("complete") * F.col("used")).alias("offset"))
     fold_events = F.aggregate("events", _identity(), lambda done, x: _compose(done, _step(x["offset"])))
     fold_pieces = F.aggregate("pieces", _identity(), lambda done, x: _compose(done, x["step"]))
-    pieces = (
-        ordered_segments(narrow, "object_id", ["seq", "used"], events_per_task)
-        .join(complete, "object_id")
-        .groupBy("object_id", "segment")
-        .agg(F.array_sort(F.collect_list(event)).alias("events"))
-        .select("object_id", "segment", fold_events.alias("step"))
-    )
+
+    def folded(rows: DataFrame) -> DataFrame:
+        grouped = rows.groupBy("object_id", "segment").agg(F.array_sort(F.collect_list(event)).alias("events"))
+        return grouped.select("object_id", "segment", fold_events.alias("step"))
+
+    ordinary, cut = split_by_heat(narrow, "object_id", ["seq", "used"], events_per_task)
+    pieces = folded(ordinary.withColumn("segment", F.lit(0)).join(complete, "object_id"))
+    if cut is not None:
+        # The join brings all segments of an entity together; the exchange after it takes them apart again.
+        pieces = pieces.unionByName(folded(cut.join(complete, "object_id").repartition("object_id", "segment")))
     return (
         pieces.groupBy(F.col("object_id").alias("id"))
         .agg(F.array_sort(F.collect_list(F.struct("segment", "step"))).alias("pieces"))

@@ -179,6 +179,20 @@ def audit_records(decided: DataFrame) -> DataFrame:
     )
 
 
+def unmatched_offers(offers: DataFrame, known: DataFrame, requests: DataFrame) -> DataFrame:
+    """Audit rows of offers that no decision can be made for: the record is unknown (or was set aside), or else the
+    request is."""
+    found = (
+        offers.select("request_id", F.col("id").alias("object_id"))
+        .join(known.select(F.col("id").alias("object_id"), "tier"), "object_id", "left")
+        .join(requests.select("request_id", "coach_id", "mode", F.lit(True).alias("asked")), "request_id", "left")
+    )
+    reason = F.when(F.col("tier").isNull(), "unknown_record").when(F.col("asked").isNull(), "unknown_request")
+    return found.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(
+        "request_id", "coach_id", "mode", "object_id", "tier", F.lit(False).alias("allowed"), "reason"
+    )
+
+
 def require_clear(decided: DataFrame) -> DataFrame:
     """Strict mode, after the denials were logged: any denial stops the request."""
     denied = decided.where(F.col("policy_reason") != "ok").select("request_id", "id", "policy_reason").take(1)
@@ -288,14 +302,16 @@ def scored_candidates(candidates: DataFrame, requests: DataFrame, grants: DataFr
 def budget_cutoffs(scored: DataFrame, largest_budget: int) -> DataFrame:
     """Per request the sort key (priority, ordinal) of the first record that does not fit, if any.
 
-    A record costs at least ``least_tokens()``, so the cut lies within the first
-    ``largest_budget / least_tokens() + 1`` records: only these reach one task, however many a request has.
+    A record costs at least ``least_tokens()``, so the cut of a request lies within its first
+    ``token_budget / least_tokens() + 1`` records: only these reach one task, however many a request has.
     """
     depth = int(largest_budget) // least_tokens() + 1
     passing = scored.where(F.col("gate").isNull()).select(
         "request_id", "priority", "ordinal", "estimated_tokens", "token_budget"
     )
-    first = best_rows(passing, "request_id", [F.desc("priority"), F.asc("ordinal")], depth)
+    # Each request is ranked as deep as its own budget can reach, whatever the largest one is.
+    own_depth = F.floor(F.col("token_budget") / least_tokens()) + 1
+    first = best_rows(passing, "request_id", [F.desc("priority"), F.asc("ordinal")], depth, own_depth)
     so_far = Window.partitionBy("request_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     return (
         first.withColumn("used", F.sum("estimated_tokens").over(so_far))

@@ -27,7 +27,7 @@ def latest_first(order: list[str]) -> list[Column]:
     return [F.desc_nulls_first(name) for name in order]
 
 
-def _split_by_heat(
+def split_by_heat(
     rows: DataFrame, key: str, order: list[str], max_rows: int
 ) -> tuple[DataFrame, DataFrame | None]:
     """(rows of ordinary keys, rows of hot keys cut into ordered segments or None).
@@ -57,7 +57,7 @@ def ordered_segments(
     rows: DataFrame, key: str, order: list[str], max_rows: int = DEFAULT_MAX_ROWS
 ) -> DataFrame:
     """Add ``segment``: within a key, a higher segment holds no earlier rows."""
-    ordinary, cut = _split_by_heat(rows, key, order, max_rows)
+    ordinary, cut = split_by_heat(rows, key, order, max_rows)
     ordinary = ordinary.withColumn("segment", F.lit(0))
     return ordinary if cut is None else ordinary.unionByName(cut)
 
@@ -75,7 +75,7 @@ def over_recent_history(
     Ordinary keys get one window per key. A hot key gets one window per segment, and every segment first
     receives the ``frame_rows`` rows that precede it, so the result is the same.
     """
-    ordinary, cut = _split_by_heat(rows, key, order, max_rows)
+    ordinary, cut = split_by_heat(rows, key, order, max_rows)
     result = compute(ordinary, Window.partitionBy(key).orderBy(*earliest_first(order)))
     if cut is None:
         return result
@@ -103,8 +103,8 @@ def over_recent_history(
     return result.unionByName(split.where(~F.col("is_history")).drop("segment", "is_history"))
 
 
-def best_rows(rows: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
-    """The first ``k`` rows per key with their ``rank``.
+def best_rows(rows: DataFrame, key: str, order: list[Column], k: int, own: Column | None = None) -> DataFrame:
+    """The first ``k`` rows per key with their ``rank``; with ``own``, fewer where that expression says so.
 
     Two levels: every input partition keeps ``k`` rows per key, groups of partitions are cut to ``k``
     again, and only then does one task see what is left of a key. Which partition a row is in does not
@@ -113,10 +113,11 @@ def best_rows(rows: DataFrame, key: str, order: list[Column], k: int) -> DataFra
     grouped = rows.withColumn("slice", F.spark_partition_id() % 64)
     first = Window.partitionBy(key, "slice").orderBy(*order)
     last = Window.partitionBy(key).orderBy(*order)
+    within = F.lit(True) if own is None else F.col("rank") <= own
     return (
         grouped.withColumn("rank", F.row_number().over(first))
-        .where(F.col("rank") <= k)
+        .where((F.col("rank") <= k) & within)
         .drop("slice")
         .withColumn("rank", F.row_number().over(last))
-        .where(F.col("rank") <= k)
+        .where((F.col("rank") <= k) & within)
     )

@@ -174,8 +174,8 @@ _WEEK_VALUES = {  # value -> (short name, unit, lower is better)
 }
 
 
-def week_over_week(weekly: DataFrame) -> DataFrame:
-    """Each week beside the one seven days before it. A change is blank when either value is missing or
+def week_over_week(weekly: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Each week beside the one seven days before it, with the columns ``more`` of the week. A change is blank when either value is missing or
     zero, or when it is below 0.01. The weekly table is small, so ``lag`` needs no second aggregation."""
     by_week = Window.partitionBy("athlete_id").orderBy("week_start")
     before = F.lag(F.struct("week_start", *_WEEK_VALUES)).over(by_week)
@@ -197,7 +197,43 @@ def week_over_week(weekly: DataFrame) -> DataFrame:
             ((change < 0) if lower_is_better else (change > 0)).alias(f"{name}_better"),
             F.concat(arrow, text.one_digit(F.abs(change)), F.lit(unit)).alias(f"{name}_text"),
         ]
-    return paired.withColumns(changes).select("athlete_id", "week_start", *_WEEK_VALUES, *columns)
+    return paired.withColumns(changes).select("athlete_id", "week_start", *_WEEK_VALUES, *columns, *more)
+
+
+def weekly_review(metrics: DataFrame, recovery: DataFrame) -> DataFrame:
+    """Per athlete and week: spread of the splits, best and worst session, and how the split goes with the body battery of
+    the day (NULL where either does not vary)."""
+    split, battery = F.col("avg_split_sec").cast("double"), F.col("body_battery").cast("double")
+    beside = metrics.withColumn("record_date", F.col("workout_date").cast("date")).join(
+        recovery.select("athlete_id", "record_date", "body_battery"), ["athlete_id", "record_date"], "left"
+    )
+    both = F.when(battery.isNotNull(), split)
+    varies = (F.max(both) > F.min(both)) & (F.max(battery) > F.min(battery))
+    place = F.struct(split, "workout_date", "workout_id")
+    return (
+        beside.where(split.isNotNull())
+        .groupBy("athlete_id", dates.week_start(F.col("workout_date")).alias("week_start"))
+        .agg(
+            F.count(F.lit(1)).alias("sessions"),
+            (F.max(split) - F.min(split)).alias("split_spread"),
+            F.min_by("workout_id", place).alias("best_workout"),
+            F.max_by("workout_id", place).alias("worst_workout"),
+            F.when(varies, F.try_divide(F.covar_pop(both, battery), F.stddev_pop(both) * F.stddev_pop(battery))).alias("battery_correlation"),
+        )
+    )
+
+
+def calendar_load(sessions: DataFrame) -> DataFrame:
+    """Minutes per athlete and training day, and over the seven calendar days that end with it. Days are summed first, so a
+    window holds no more rows than an athlete has days, however many sessions there are."""
+    daily = sessions.groupBy("athlete_id", F.col("workout_date").cast("date").alias("day")).agg(
+        F.count(F.lit(1)).alias("sessions"), F.sum(F.col("duration_sec").cast("bigint")).alias("seconds")
+    )
+    week = Window.partitionBy("athlete_id").orderBy(F.unix_date("day")).rangeBetween(-6, 0)
+    return daily.select(
+        "athlete_id", "day", "sessions", (F.col("seconds") / F.lit(60.0)).alias("day_min"),
+        (F.sum("seconds").over(week) / F.lit(60.0)).alias("load_7d_min"),
+    )
 
 
 def iso_week_volume(metrics: DataFrame) -> DataFrame:
@@ -212,15 +248,19 @@ def iso_week_volume(metrics: DataFrame) -> DataFrame:
 def week_calendar(metrics: DataFrame, as_of: date | str) -> DataFrame:
     """Seven rows per athlete for the week of ``as_of``; a day shows its last session, or zero.
 
-    One aggregation with a conditional column per day replaces a calendar table and a join.
+    Only the sessions of the week are aggregated, with a conditional column per day instead of a calendar table; of all
+    others only the athlete is read.
     """
     monday = dates.week_start(dates.day_literal(as_of))
     day = F.col("workout_date").cast("date")
+    first = monday.cast("timestamp_ntz")
+    of_week = (F.col("workout_date") >= first) & (F.col("workout_date") < F.date_add(monday, 7).cast("timestamp_ntz"))
     last_of_day = [
         F.max_by("distance_m", F.when(day == F.date_add(monday, i), F.struct(*SESSION_ORDER))).alias(f"day_{i}")
         for i in range(7)
     ]
-    per_athlete = metrics.groupBy("athlete_id").agg(*last_of_day)
+    week = metrics.where(of_week).groupBy("athlete_id").agg(*last_of_day)
+    per_athlete = metrics.select("athlete_id").distinct().join(week, "athlete_id", "left")
     days = F.array(
         *[F.struct(F.date_add(monday, i).alias("day"), F.col(f"day_{i}").alias("metres")) for i in range(7)]
     )
@@ -275,8 +315,8 @@ def _lookup(values: dict) -> Column:
 
 
 def goal_progress(goals: DataFrame) -> DataFrame:
-    """``goals`` (…, current, target) with the whole percentage reached, at most 100."""
-    share = (F.col("current") / F.col("target") * 100).cast("int")
+    """``goals`` (…, current, target) with the whole percentage reached, at most 100; NULL for a target of zero."""
+    share = (F.try_divide("current", "target") * 100).cast("int")
     return goals.withColumn("progress_pct", F.least(share, F.lit(100)))
 
 
