@@ -13,7 +13,7 @@ from trainlake.operators import (
     calibration, context, ingest, metrics, notes, quality, quarantine, recovery, skew, summary, upsert,
 )
 from trainlake.plans import bindings as B
-from trainlake.plans import prompts
+from trainlake.plans import jobs, prompts
 from trainlake.session import materialise, new_path, tune
 from trainlake.sources import readers, writers
 from trainlake.streaming import streams
@@ -57,7 +57,7 @@ def metrics_row_count(spark, folder):
 def metrics_rebuild(spark, folder):
     path = new_path(spark, "metrics")
     writers.rebuild_metrics(B.daily_metrics(spark, folder), path)
-    return _rounded(readers.read_table(spark, path, S.METRICS).drop("month"))
+    return _rounded(readers.read_version(spark, path, S.METRICS).drop("month"))
 
 
 # ---- Ingest -------------------------------------------------------------------------------------
@@ -417,7 +417,7 @@ def note_append(spark, folder):
     fresh = notes.new_tips(B.raw_notes(spark, folder).drop("tip_id"))
     writers.append_tips(fresh.where(F.col("author") == "coach"), path)
     writers.append_tips(fresh.where(F.col("author") != "coach"), path)
-    stored = readers.read_or_empty(spark, path, S.TIPS)
+    stored = readers.read_or_empty(spark, path, S.TIPS).drop("batch_id")
     return stored.select("athlete_id", "created_at", "author", "tip_text", "tag", "session_type", "expect_taper")
 
 
@@ -428,7 +428,7 @@ def brief_lookup(spark, folder):
         F.max_by("tip_text", F.struct("created_at", "tip_id")).alias("brief_text")
     )
     writers.write_briefs(briefs, path)
-    return readers.latest_briefs(readers.read_table(spark, path, S.BRIEFS), "2024-01-15")
+    return readers.latest_briefs(writers.stored_briefs(spark, path), "2024-01-15")
 
 
 # ---- Context ------------------------------------------------------------------------------------
@@ -554,18 +554,37 @@ def context_request(spark, folder):
     return context.context_requests(entities, decisions, requests, "What should the next session be?")
 
 
-@query
-def entity_validation(spark, folder):
-    """Entities with planted mistakes and the first rule each of them breaks."""
+def _broken_entities(spark, folder):
     number = F.col("doc_id")
-    broken = (
+    return (
         B.entities(spark, folder)
         .withColumn("confidence", F.when(number % 23 == 0, 1.5).otherwise(F.col("confidence")))
         .withColumn("tier", F.when(number % 29 == 0, "silver ").otherwise(F.col("tier")))
         .withColumn("entity_type", F.when(number % 31 == 0, "workout").otherwise(F.col("entity_type")))
         .withColumn("goal_text", F.when(number % 37 == 0, "finish").otherwise(F.col("goal_text")))
     )
-    return quality.entity_problems(broken).select("id", "problem")
+
+
+@query
+def entity_validation(spark, folder):
+    """Entities with planted mistakes and the first rule each of them breaks."""
+    return quality.entity_problems(_broken_entities(spark, folder)).select("id", "problem")
+
+
+@query
+def request_rejects(spark, folder):
+    """The audit of whole requests over records with planted mistakes; every 13th record is also offered to a request that
+    nobody made. Each offer has one row."""
+    lake = new_path(spark, "lake")
+    offers = B.candidates(spark, folder).select("request_id", "id", "ordinal")
+    stray = B.table(spark, folder, "documents").where("doc_id % 13 = 0").selectExpr(
+        "'nobody' AS request_id", "CAST(doc_id AS STRING) AS id", "doc_id AS ordinal"
+    )
+    jobs.serve_requests(
+        spark, lake, _broken_entities(spark, folder).drop("doc_id"), offers.unionByName(stray), B.requests(spark, folder),
+        B.grants(spark, folder), "What next?", B.SYNC_TIME,
+    )
+    return spark.read.parquet(f"{lake}/audit").drop("logged_at", "batch_id")
 
 
 @query
@@ -591,6 +610,17 @@ def duplicate_keys(spark, folder):
     return quality.duplicate_keys(lines, ["l_orderkey", "l_linenumber"])
 
 
+@query
+def x_weekly_review(spark, folder):
+    review = summary.weekly_review(B.daily_metrics(spark, folder), B.recovery_daily(spark, folder))
+    return review.withColumns({c: F.round(c, 4) for c in ("split_spread", "battery_correlation")})
+
+
+@query
+def x_calendar_load(spark, folder):
+    return summary.calendar_load(metrics.eligible_sessions(B.sessions(spark, folder)))
+
+
 # ---- Calibration --------------------------------------------------------------------------------
 @query
 def initial_confidence(spark, folder):
@@ -724,8 +754,7 @@ def brief_prompt(spark, folder):
 @query
 def weekly_prompt(spark, folder):
     weekly = summary.weekly_summary(B.daily_metrics(spark, folder))
-    extra = weekly.select("athlete_id", "week_start", "avg_split_formatted", "fatigue_days")
-    weeks = summary.week_over_week(weekly).join(extra, ["athlete_id", "week_start"])
+    weeks = summary.week_over_week(weekly, ("avg_split_formatted", "fatigue_days"))
     return prompts.weekly_prompts(weeks, notes.context_blocks(B.tips(spark, folder), 3), B.AS_OF)
 
 
@@ -756,14 +785,30 @@ def missing_source(spark, folder):
 
 @query
 def raw_json_scan(spark, folder):
-    """Landed pages of workouts, read back and normalised. Pages hold the workouts of one hour and athlete;
-    every seventh lacks the list."""
+    """Landed pages of workouts (see ``_pages``), read back, the last version of each normalised. Every seventh page lacks
+    the list."""
     path = new_path(spark, "landed")
-    pages = B.raw_workouts(spark, folder).select(
-        F.when(F.col("id").cast("bigint") % 7 != 0, F.array(F.struct(*S.RAW_WORKOUT.fieldNames()))).alias("data")
+    number = F.col("id").cast("bigint")
+    raw = B.raw_workouts(spark, folder)
+    _pages(raw.where(number % 7 != 0)).unionByName(
+        raw.where(number % 7 == 0).select(F.lit(None).cast(S.RAW_WORKOUT_PAGE["data"].dataType).alias("data"))
+    ).write.json(path)
+    landed = readers.numbered(readers.ordered_workouts(spark.read.schema(S.RAW_WORKOUT_PAGE).json(path)))
+    return ingest.normalise(upsert.latest_by_key(landed, ["id"], readers.ARRIVAL))
+
+
+def _pages(raw):
+    """Pages of workouts, some with an older version before them: every fourth in the same page, every sixth of the others
+    in the line before."""
+    number = F.col("id").cast("bigint")
+    newest = F.struct(*S.RAW_WORKOUT.fieldNames())
+    older = newest.withField("distance", F.col("distance") + 7)
+    lists = (
+        F.when(number % 4 == 0, F.array(F.array(older, newest)))
+        .when(number % 6 == 0, F.array(F.array(older), F.array(newest)))
+        .otherwise(F.array(F.array(newest)))
     )
-    pages.write.json(path)
-    return ingest.normalise(readers.read_raw_workouts(spark, path))
+    return raw.select(F.explode(lists).alias("data"))
 
 
 @query
@@ -800,6 +845,68 @@ def snapshot_roundtrip(spark, folder):
     )
 
 
+@query
+def snapshot_two_writes(spark, folder):
+    """All athletes, then the even ones again: the second write leaves the others alone."""
+    path = new_path(spark, "snapshot")
+    weekly = summary.weekly_summary(B.daily_metrics(spark, folder))
+    for model, chosen in (("first", F.lit(True)), ("second", F.col("athlete_id") % 2 == 0)):
+        rows = writers.weekly_snapshot(weekly, _plan_rows(weekly), B.SYNC_TIME, model)
+        writers.write_snapshot(rows.where(chosen), path, ("athlete_id", "week_start"))
+    return readers.read_snapshot(spark, path, rows.schema).select(
+        "athlete_id", "week_start", F.col("this_week.total_volume_m").alias("volume"), "insight", "model"
+    )
+
+
+@query
+def brief_two_writes(spark, folder):
+    """The briefs of all athletes, then those of the even ones again for the same days."""
+    path = new_path(spark, "briefs")
+    briefs = B.tips(spark, folder).groupBy("athlete_id", F.to_date("created_at").alias("brief_date")).agg(
+        F.max_by("tip_text", F.struct("created_at", "tip_id")).alias("brief_text")
+    )
+    writers.write_briefs(briefs, path)
+    again = briefs.where(F.col("athlete_id") % 2 == 0).withColumn("brief_text", F.concat(F.lit("Again: "), "brief_text"))
+    writers.write_briefs(again, path)
+    return readers.latest_briefs(writers.stored_briefs(spark, path), "2024-01-15")
+
+
+@query
+def recovery_snapshot(spark, folder):
+    path = new_path(spark, "recovery-snapshot")
+    rows = recovery.snapshot(B.recovery_daily(spark, folder))
+    writers.write_snapshot(rows, path, ("athlete_id",))
+    return readers.read_snapshot(spark, path, rows.schema).select("athlete_id", "record_date", "signals.*")
+
+
+@query
+def refresh_rejects(spark, folder):
+    """A whole refresh in which every fifth workout comes again without a time: what was good stays, what is not usable is
+    set aside."""
+    lake, landing = new_path(spark, "lake"), new_path(spark, "landing")
+    raw = B.raw_workouts(spark, folder)
+    good = F.struct(*S.RAW_WORKOUT.fieldNames())
+    bad = good.withField("time", F.lit(None).cast("double"))
+    again = F.col("id").cast("bigint") % 5 == 0
+    raw.select(F.when(again, F.array(good, bad)).otherwise(F.array(good)).alias("data")).write.json(landing)
+    jobs.refresh(spark, lake, 0, B.SYNC_TIME, pages=landing)
+    stored = jobs.sessions(spark, lake).select(F.col("workout_id").alias("id"), F.lit("stored").alias("state"), "distance_m")
+    aside = jobs.rejected_workouts(spark, lake).select("id", F.lit("set aside").alias("state"), F.col("distance").alias("distance_m"))
+    return stored.unionByName(aside)
+
+
+@query
+def refresh_recovery(spark, folder):
+    """A whole refresh in which every document comes twice, first with larger values: the last one counts."""
+    lake, landing = new_path(spark, "lake"), new_path(spark, "landing")
+    documents = B.recovery_documents(spark, folder)
+    right = F.struct(*documents.columns)
+    wrong = right.withField("battery_doc", F.lit('[{"charged": 100}]')).withField("stress_doc", F.lit('{"overallStressLevel": 100}'))
+    documents.select(F.explode(F.array(wrong, right)).alias("row")).select("row.*").write.json(landing)
+    jobs.refresh(spark, lake, 0, B.SYNC_TIME, recovery_documents=landing)
+    return jobs.recovery_days(spark, lake).drop("created_at")
+
+
 @query
 def coaching_output(spark, folder):
     path = new_path(spark, "output")
@@ -836,17 +943,17 @@ def malformed_log_scan(spark, folder):
 
 
 # ---- Streams ------------------------------------------------------------------------------------
-def _workout_arrivals(spark, folder, start) -> None:
+def _workout_arrivals(spark, folder, start, after=lambda: None) -> None:
     """All workouts as landed pages in three arrivals: the even ones, the odd ones, and every tenth again
-    with 100 m more. The stream runs after each arrival and goes on where it stopped."""
+    with 100 m more. The stream runs after each arrival and goes on where it stopped; then ``after`` is called."""
     landing, progress = new_path(spark, "landing"), new_path(spark, "progress")
     raw = B.raw_workouts(spark, folder)
     number = F.col("id").cast("bigint")
     again = raw.where(number % 10 == 0).withColumn("distance", F.col("distance") + 100)
     for arrival in (raw.where(number % 2 == 0), raw.where(number % 2 != 0), again):
-        pages = arrival.select(F.array(F.struct(*S.RAW_WORKOUT.fieldNames())).alias("data"))
-        pages.write.mode("append").json(landing)
+        _pages(arrival).write.mode("append").json(landing)
         start(streams.workout_stream(spark, landing), progress).awaitTermination()
+        after()
 
 
 @query
@@ -858,6 +965,27 @@ def stream_sessions(spark, folder):
     return writers.current_rows(spark, table, ["workout_id"])
 
 
+@query
+def stream_sessions_compacted(spark, folder):
+    """With the batches folded after each arrival."""
+    table = new_path(spark, "sessions")
+    _workout_arrivals(
+        spark, folder, lambda workouts, progress: streams.sync_sessions(workouts, table, progress, replay_days=None),
+        lambda: writers.compact(spark, table, ["workout_id"]),
+    )
+    return writers.current_rows(spark, table, ["workout_id"])
+
+
+@query
+def stream_rejects(spark, folder):
+    """How often each workout without a time was set aside."""
+    table = new_path(spark, "sessions")
+    _workout_arrivals(
+        spark, folder, lambda workouts, progress: streams.sync_sessions(workouts, table, progress, replay_days=None)
+    )
+    return streams.rejected_workouts(spark, table).groupBy("id", "athlete_id").agg(F.count(F.lit(1)).alias("times"))
+
+
 @query
 def stream_intervals(spark, folder):
     table, intervals = new_path(spark, "sessions"), new_path(spark, "intervals")
@@ -907,6 +1035,16 @@ def stream_quarantine(spark, folder):
 @query
 def stream_confidence(spark, folder):
     """The lineage history in three arrivals, each later than the one before."""
+    return _streamed_confidence(spark, folder, lambda store: None)
+
+
+@query
+def stream_confidence_compacted(spark, folder):
+    """With the stored confidences folded after each arrival."""
+    return _streamed_confidence(spark, folder, lambda store: writers.compact(spark, store, ["id"]))
+
+
+def _streamed_confidence(spark, folder, after):
     landing, progress, store = (new_path(spark, name) for name in ("lineage", "progress", "confidence"))
     events, entities = B.lineage_history(spark, folder), B.profiles(spark, folder)
     third = B.table(spark, folder, "events").agg(F.max("event_id")).first()[0] // 3 + 1
@@ -915,6 +1053,7 @@ def stream_confidence(spark, folder):
         arrival.write.mode("append").json(landing)
         stream = streams.landed(spark, landing, events.schema)
         streams.update_confidence(stream, entities, store, progress).awaitTermination()
+        after(store)
     return streams.current_confidence(spark, entities, store).select(
         "id", F.round("confidence", 8).alias("confidence")
     )

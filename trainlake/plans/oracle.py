@@ -5,8 +5,10 @@ The tables are bound to the domain by common table expressions; each query names
 
 from __future__ import annotations
 
-from trainlake.functions.text import NOT_WHITESPACE, WHITESPACE
-from trainlake.operators.context import SYSTEM_TEXT
+# Written out here, not taken from the library: a mistake there must show.
+_BLANKS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WHITESPACE, NOT_WHITESPACE = f"[{_BLANKS}]", f"[^{_BLANKS}]"
+SYSTEM_TEXT = "The context below was validated beforehand. Use only what these objects state; add nothing to them."
 
 ORACLE: dict[str, str] = {}
 _CTE: list[tuple[str, str]] = []
@@ -221,7 +223,7 @@ q(
   CASE WHEN event_type IN ('view', 'click') THEN MAX(ts) ELSE MAX(ts) - INTERVAL 5 DAY END AS last_sync_ts
 FROM events GROUP BY event_type""",
 )
-for name in ("recovery_extract", "raw_recovery_scan"):
+for name in ("recovery_extract", "raw_recovery_scan", "refresh_recovery"):
     q(
         name,
         """SELECT athlete_id, record_date, CASE WHEN odd NOT IN (1, 2) THEN body_battery END AS body_battery,
@@ -393,6 +395,26 @@ FROM weekly w LEFT JOIN weekly p ON w.athlete_id = p.athlete_id AND w.week_start
 
 _cte("compared", _wow())
 q("week_over_week", "SELECT * EXCLUDE (avg_split_formatted, fatigue_days) FROM compared", "compared")
+q(
+    "x_weekly_review",
+    """SELECT m.athlete_id, CAST(date_trunc('week', workout_date) AS DATE) AS week_start, COUNT(*) AS sessions,
+  ROUND(MAX(CAST(avg_split_sec AS DOUBLE)) - MIN(CAST(avg_split_sec AS DOUBLE)), 4) AS split_spread,
+  FIRST(workout_id ORDER BY avg_split_sec, workout_date, workout_id) AS best_workout,
+  FIRST(workout_id ORDER BY avg_split_sec DESC, workout_date DESC, workout_id DESC) AS worst_workout,
+  ROUND(CASE WHEN COUNT(DISTINCT avg_split_sec) > 1 AND COUNT(DISTINCT body_battery) > 1
+    THEN corr(CAST(avg_split_sec AS DOUBLE), CAST(body_battery AS DOUBLE)) END, 4) AS battery_correlation
+FROM metrics m LEFT JOIN recovery r ON m.athlete_id = r.athlete_id AND CAST(m.workout_date AS DATE) = r.record_date
+GROUP BY 1, 2""",
+    "metrics", "recovery",
+)
+q(
+    "x_calendar_load",
+    """SELECT athlete_id, day, sessions, seconds / CAST(60 AS DOUBLE) AS day_min, CAST(SUM(seconds) OVER (PARTITION BY athlete_id
+  ORDER BY day RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW) AS BIGINT) / CAST(60 AS DOUBLE) AS load_7d_min
+FROM (SELECT athlete_id, CAST(workout_date AS DATE) AS day, COUNT(*) AS sessions, CAST(SUM(duration_sec) AS BIGINT) AS seconds
+  FROM metrics GROUP BY 1, 2)""",
+    "metrics",
+)
 q(
     "iso_week_volume",
     """SELECT athlete_id, CAST(extract(isoyear FROM workout_date) AS INT) AS iso_year,
@@ -651,6 +673,19 @@ q(
 FROM gated""",
     "gated",
 )
+_BROKEN = """(n % 31 = 0 OR n % 29 = 0 OR n % 23 = 0 OR (n % 37 = 0 AND n % 3 <> 2))"""
+q(
+    "request_rejects",
+    f"""SELECT request_id, coach_id, mode, id AS object_id, CASE WHEN NOT {_BROKEN} THEN tier END AS tier,
+  NOT {_BROKEN} AND coalesce(gate, '') NOT IN ('pep_tier_gate', 'pep_access_denied') AS allowed,
+  CASE WHEN {_BROKEN} THEN 'unknown_record' WHEN gate = 'pep_tier_gate' THEN 'tier_gate'
+    WHEN gate = 'pep_access_denied' THEN 'rbac_denied' ELSE 'ok' END AS reason
+FROM (SELECT *, CAST(id AS BIGINT) AS n FROM gated)
+UNION ALL SELECT 'nobody', NULL, NULL, id, CASE WHEN NOT {_BROKEN} THEN tier END, FALSE,
+  CASE WHEN {_BROKEN} THEN 'unknown_record' ELSE 'unknown_request' END
+FROM (SELECT *, doc_id AS n FROM entities WHERE doc_id % 13 = 0)""",
+    "gated", "entities",
+)
 q("access_semi", "SELECT coach_id, participant_id, request_id, id FROM offered WHERE granted", "offered")
 q("access_anti", "SELECT coach_id, participant_id, request_id, id FROM offered WHERE NOT granted", "offered")
 q(
@@ -743,7 +778,7 @@ _cte(
     """SELECT CAST(CASE WHEN event_id % 3 = 0 THEN 1 ELSE event_id % 150 END AS VARCHAR) AS id, event_id AS seq,
   CASE WHEN event_id % 7 <> 3 THEN CAST(event_id % 5 + 1 AS DOUBLE) / 7 ELSE 0 END AS used FROM events""",
 )
-for name in ("recalibrate_fold", "recalibrate_fold_split", "stream_confidence"):
+for name in ("recalibrate_fold", "recalibrate_fold_split", "stream_confidence", "stream_confidence_compacted"):
     # The clamp never acts here (all values are in [0, 1]), so the fold is a weighted sum.
     q(
         name,
@@ -751,7 +786,7 @@ for name in ("recalibrate_fold", "recalibrate_fold_split", "stream_confidence"):
   confidence), 8) AS confidence
 FROM scored s LEFT JOIN (SELECT id, COUNT(*) AS n, SUM(pow(CAST(0.7 AS DOUBLE), later) * used) AS total
   FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY seq DESC) - 1 AS later FROM history) GROUP BY id) h
-ON s.id = h.id WHERE s.created_at IS NOT NULL""",
+ON s.id = h.id""",
         "scored", "history",
     )
 
@@ -904,6 +939,35 @@ q(
 FROM weekly w LEFT JOIN weekly p ON w.athlete_id = p.athlete_id AND w.week_start = p.week_start + INTERVAL 7 DAY""",
     "weekly",
 )
+q(
+    "snapshot_two_writes",
+    """SELECT athlete_id, week_start, total_volume_m AS volume,
+  CASE WHEN athlete_id % 3 <> 0 THEN 'volume ' || total_volume_km ELSE '' END AS insight,
+  CASE WHEN athlete_id % 2 = 0 THEN 'second' ELSE 'first' END AS model FROM weekly""",
+    "weekly",
+)
+q(
+    "brief_two_writes",
+    f"""SELECT athlete_id, CAST(created_at AS DATE) AS brief_date,
+  CASE WHEN athlete_id % 2 = 0 THEN 'Again: ' || regexp_replace(tip_text, '{WHITESPACE}+$', '', 'g')
+  ELSE regexp_replace(tip_text, '^{WHITESPACE}+|{WHITESPACE}+$', '', 'g') END AS brief_text
+FROM tips WHERE CAST(created_at AS DATE) <= DATE '2024-01-15'
+QUALIFY ROW_NUMBER() OVER (PARTITION BY athlete_id ORDER BY created_at DESC, tip_id DESC) = 1""",
+    "tips",
+)
+q(
+    "recovery_snapshot",
+    """SELECT athlete_id, record_date, body_battery, hrv_status, sleep_score, resting_hr, stress, readiness FROM recovery
+QUALIFY ROW_NUMBER() OVER (PARTITION BY athlete_id ORDER BY record_date DESC) = 1""",
+    "recovery",
+)
+q(
+    "refresh_rejects",
+    """SELECT id, 'stored' AS state, CAST(distance AS INT) AS distance_m FROM payloads WHERE time_ds IS NOT NULL
+UNION ALL SELECT id, 'set aside', CAST(distance AS INT) FROM payloads WHERE time_ds IS NULL
+UNION ALL SELECT id, 'set aside', CAST(distance AS INT) FROM payloads WHERE event_id % 5 = 0""",
+    "payloads",
+)
 q(
     "coaching_output",
     """SELECT s.athlete_id, split_formatted, delta_sec, 'trend ' || trend AS coaching, body_battery,
@@ -922,6 +986,13 @@ WHERE event_id % 11 <> 0 AND event_id % 13 <> 0""",
 AGAIN = "CASE WHEN event_id % 10 = 0 THEN distance + 100 ELSE distance END"
 _cte("streamed", _normal(f"({AGAIN})"))
 q("stream_sessions", "SELECT * FROM streamed", "streamed")
+q("stream_sessions_compacted", "SELECT * FROM streamed", "streamed")
+q(
+    "stream_rejects",
+    """SELECT id, athlete_id, (CASE WHEN event_id % 4 = 0 OR event_id % 6 = 0 THEN 2 ELSE 1 END)
+  * (CASE WHEN event_id % 10 = 0 THEN 2 ELSE 1 END)::BIGINT AS times FROM payloads WHERE time_ds IS NULL""",
+    "payloads",
+)
 q(
     "stream_intervals",
     """SELECT id || '_' || i AS interval_id, id AS workout_id, CAST(i AS INT) AS interval_index,
