@@ -33,6 +33,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
         return materialise(df, label)
 
 
+def discard(table: DataFrame) -> None:
+    """Remove a table made by ``stored`` that nothing reads any more."""
+    spark = table.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(table.inputFiles()[0]).getParent() if table.inputFiles() else None
+    if folder is not None:
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def text_of(column: str) -> Column:
     """A text column in which null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

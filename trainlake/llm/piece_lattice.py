@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
-from trainlake.llm.common import read, setting, small_batches, some, spread, stored, text_of
+from trainlake.llm.common import discard, read, setting, small_batches, some, spread, stored, text_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 FREQUENT_SHARE = 2e-7
@@ -98,9 +98,9 @@ def encoded_units(counted: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     substrings = (
         counted.repartition(spread(counted.count(), TASK_UNITS), "unit")
         .withColumn("size", F.length("unit"))
-        .withColumn("start", F.explode(F.sequence(F.lit(1), F.col("size"))))
-        .withColumn("len", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.col("size") - F.col("start") + 1))))
-        .withColumn("piece", F.expr("substring(unit, start, len)"))
+        .withColumn("end", F.explode(F.sequence(F.lit(1), F.col("size"))))
+        .withColumn("len", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.col("end")))))
+        .withColumn("piece", F.expr("substring(unit, end - len + 1, len)"))
     )
     edges = (
         substrings.join(pieces, "piece", "left")
@@ -108,7 +108,7 @@ def encoded_units(counted: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         .select(
             "unit", "n",
             F.struct(
-                (F.col("start") + F.col("len") - 1).alias("end"), "len", F.coalesce("piece_id", F.lit(-1)).alias("id"),
+                "end", "len", F.coalesce("piece_id", F.lit(-1)).alias("id"),
                 F.coalesce("score", F.lit(vocabulary.unknown)).alias("score"),
             ).alias("edge"),
         )
@@ -140,6 +140,10 @@ def encoded_units(counted: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return lattice.withColumn("best", best).withColumn("path", path).select("unit", "n", ids.alias("ids"))
 
 
+def _packed(ids: str) -> bytes:
+    return np.array(ids.split(","), dtype=np.int32).tobytes()
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", frequent_share: float = FREQUENT_SHARE) -> DataFrame:
     """(doc_id, text, ids): the pieces of every text in order."""
     spark = docs.sparkSession
@@ -151,8 +155,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
         dictionary = stored(encoded_units(counted, vocabulary), "units")
     total = dictionary.agg(F.sum("n")).first()[0] or 0
     least = max(2, math.ceil(total * frequent_share))
-    common = dictionary.where(F.col("n") >= least).orderBy("n", "unit").select("unit", "ids").collect()
-    known = {r["unit"].replace(SPACE, " "): np.array(r["ids"], dtype=np.int32).tobytes() for r in common}
+    discard(counted)
+    common = dictionary.where(F.col("n") >= least).orderBy("n", "unit").select(F.array_join("ids", ",").alias("ids"), "unit")
+    known = {r["unit"].replace(SPACE, " "): _packed(r["ids"]) for r in common.toLocalIterator()}
     # texts are moved compressed; the frequent units are what they have in common
     prefix = "".join(known).encode()[-65536:]
     shared = spark.sparkContext.broadcast((known, prefix))
@@ -199,7 +204,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
                 rare = {}
                 for answer in answers if answers is not None else ():
                     ids, _, unit = answer.partition(":")
-                    rare[unit.replace(SPACE, " ")] = np.array(ids.split(","), dtype=np.int32).tobytes()
+                    rare[unit.replace(SPACE, " ")] = _packed(ids)
                 parts = [known.get(u) or rare[u] for u in units(text)]
                 texts.append(text)
                 found.append(np.frombuffer(b"".join(parts), dtype=np.int32))
