@@ -144,8 +144,12 @@ def _packed(ids: str) -> bytes:
     return np.array(ids.split(","), dtype=np.int32).tobytes()
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", frequent_share: float = FREQUENT_SHARE) -> DataFrame:
-    """(doc_id, text, ids): the pieces of every text in order."""
+def encode(
+    docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", frequent_share: float = FREQUENT_SHARE,
+    with_text: bool = True,
+) -> DataFrame:
+    """(doc_id, text, ids, round_trip): the pieces of every text in order, and whether they decode to it. Without
+    ``with_text`` the text stays null and is not moved again."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
@@ -160,12 +164,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     known = {r["unit"].replace(SPACE, " "): _packed(r["ids"]) for r in common.toLocalIterator()}
     # texts are moved compressed; the frequent units are what they have in common
     prefix = "".join(known).encode()[-65536:]
-    shared = spark.sparkContext.broadcast((known, prefix))
+    shared = spark.sparkContext.broadcast((known, prefix, vocabulary.spelled()))
 
     keyed = texts.withColumn("key", F.xxhash64("text"))
 
     def ask(batches):
-        known, _ = shared.value
+        known, *_ = shared.value
         seen: set[int] = set()
         for batch in batches:
             rows = []
@@ -195,10 +199,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
             yield pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "packed": packed})
 
     def put_together(batches):
-        known, prefix = shared.value
+        known, prefix, pieces = shared.value
         opener = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(prefix, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
         for batch in batches:
-            texts, found = [], []
+            texts, found, same = [], [], []
             for packed, answers in zip(batch["packed"], batch["answers"]):
                 text = opener.decompress(packed).decode("utf-8", "surrogatepass")
                 rare = {}
@@ -206,12 +210,15 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
                     ids, _, unit = answer.partition(":")
                     rare[unit.replace(SPACE, " ")] = _packed(ids)
                 parts = [known.get(u) or rare[u] for u in units(text)]
-                texts.append(text)
+                texts.append(text if with_text else None)
                 found.append(np.frombuffer(b"".join(parts), dtype=np.int32))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": texts, "ids": found})
+                same.append(spelled(found[-1], pieces) == text.replace(SPACE, " "))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": pd.Series(texts, dtype=object), "ids": found, "round_trip": same})
 
     packed = keyed.mapInPandas(pack, "doc_id long, key long, packed binary")
-    return packed.join(answers, "key", "left").select("doc_id", "packed", "answers").mapInPandas(put_together, "doc_id long, text string, ids array<int>")
+    return packed.join(answers, "key", "left").select("doc_id", "packed", "answers").mapInPandas(
+        put_together, "doc_id long, text string, ids array<int>, round_trip boolean"
+    )
 
 
 def spelled(ids: np.ndarray, pieces: dict[int, bytes]) -> str:
@@ -233,11 +240,8 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> Dat
 
 
 def _tokens(docs: DataFrame, model: str) -> DataFrame:
-    vocabulary = Vocabulary(model)
-    found = decode(encode(docs, vocabulary), vocabulary)
-    return found.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.translate("text", SPACE, " ")).alias("round_trip"), "ids",
-    )
+    found = encode(docs, Vocabulary(model), with_text=False)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "round_trip", "ids")
 
 
 def op6_sentencepiece(spark, sf_dir):
