@@ -27,7 +27,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trainlake.llm.common import read, small_batches, some, stored, text_of
+from trainlake.llm.common import bounded_sample, read, small_batches, some, stored, text_of
 from trainlake.llm.textkit import slices
 
 DICTIONARY = "/opt/tokenizers/word_bpe_49k.json"
@@ -170,10 +170,8 @@ def scan_secrets(
     rates = F.array(*[F.col(f"rate_{c}") for c in ("path", "before", "mark", "after")])
     rows = stored(_with_rates(found).withColumn("vector", F.concat("shape", rates)), "described-candidates")
 
-    order = F.xxhash64("doc_id", "start", "token")
-    sample = stored(
-        rows.where("training AND label IS NOT NULL").orderBy(order, "doc_id", "start").limit(max_training).select("label", "vector"), "labelled"
-    )
+    labelled = rows.where("training AND label IS NOT NULL")
+    sample = stored(bounded_sample(labelled, max_training, "doc_id", "start", "token").select("label", "vector"), "labelled")
     kinds = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(kinds) < 2:
         rate = next(iter(kinds), 0.5)

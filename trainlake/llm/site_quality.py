@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trainlake.llm.common import read, small_batches, stored, text_of
+from trainlake.llm.common import bounded_sample, read, small_batches, stored, text_of
 from trainlake.llm.textkit import runs, slices, word_hashes
 
 MAX_TRAINING = 20000
@@ -177,7 +177,7 @@ def _model(docs: DataFrame, labels: DataFrame, host, path, id_col, text_col, lab
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("label")).groupBy("id").agg(F.avg("label").alias("label"))
     rows = with_features(_sited(docs, host, path, id_col, text_col)).drop("body")
     rows = stored(rows.join(known.where("id IS NOT NULL AND label IS NOT NULL"), "id", "left"), "features")
-    sample = rows.where("label IS NOT NULL").orderBy(F.xxhash64("id"), "id", "label").limit(most).select("features", "label").collect()
+    sample = bounded_sample(rows.where("label IS NOT NULL"), most, "id", "label").select("features", "label").collect()
     x = np.array([r["features"] for r in sample]).reshape(len(sample), N_FEATURES)
     model = fit(x, np.array([r["label"] for r in sample]))
     judged = _classified(rows, model).withColumn("value", F.coalesce("label", "classifier"))
