@@ -2,7 +2,8 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame with the columns of
 documents (the last one: the tokens). ``run`` applies them in order; what a stage returns is written as Parquet to the
-shared folder and read again.
+shared folder and read again. A table has no order of its own, so the last stage gives each document its ``position``: read
+by it, the tokens follow the mixture.
 """
 
 from __future__ import annotations

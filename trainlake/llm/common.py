@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,19 @@ def discard(table: DataFrame) -> None:
         folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
+def with_place(table: DataFrame, name: str) -> DataFrame:
+    """Add the place of each row in a table that Spark wrote in order: the number of its part, then its row in it. A table
+    that is no file is written first, which keeps the order of its partitions."""
+    try:
+        found = table.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return with_place(stored(table, "placed"), name)
+    per_file = int(table.sparkSession.conf.get("spark.sql.files.maxRecordsPerFile", "0"))
+    part = F.regexp_extract("_file", r"^part-(\d+)", 1).cast("long")
+    file = F.coalesce(F.try_to_number(F.regexp_extract("_file", r"-c(\d+)\.", 1), F.lit("9" * 9)).cast("long"), F.lit(0))
+    return found.withColumn(name, F.shiftleft(part, 40) + file * max(0, per_file) + F.col("_row")).drop("_file", "_row")
+
+
 def text_of(column: str) -> Column:
     """A text column in which null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

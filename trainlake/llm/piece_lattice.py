@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
-from trainlake.llm.common import discard, read, setting, small_batches, some, spread, stored, text_of
+from trainlake.llm.common import discard, read, setting, small_batches, some, spread, stored, text_of, with_place
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 FREQUENT_SHARE = 2e-7
@@ -146,13 +146,14 @@ def _packed(ids: str) -> bytes:
 
 def encode(
     docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", frequent_share: float = FREQUENT_SHARE,
-    with_text: bool = True,
+    with_text: bool = True, place_col: str | None = None,
 ) -> DataFrame:
     """(doc_id, text, ids, round_trip): the pieces of every text in order, and whether they decode to it. Without
-    ``with_text`` the text stays null and is not moved again."""
+    ``with_text`` the text stays null and is not moved again. ``place_col``, a whole number, is kept as ``position``."""
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    place = F.col(place_col).cast("long") if place_col else F.lit(None).cast("long")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), place.alias("position"))
     counted = stored(unit_counts(texts.select("text")), "unit-counts")
     # A task groups TASK_UNITS units at most: by hashing, without the sort of all edges that Spark turns to from 128 groups.
     with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(4 * TASK_UNITS)):
@@ -196,7 +197,7 @@ def encode(
         packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(shared.value[1], dict_type=zstandard.DICT_TYPE_RAWCONTENT))
         for batch in batches:
             packed = [packer.compress(t.encode("utf-8", "surrogatepass")) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "packed": packed})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "position": batch["position"], "key": batch["key"], "packed": packed})
 
     def put_together(batches):
         known, prefix, pieces = shared.value
@@ -213,12 +214,13 @@ def encode(
                 texts.append(text if with_text else None)
                 found.append(np.frombuffer(b"".join(parts), dtype=np.int32))
                 same.append(spelled(found[-1], pieces) == text.replace(SPACE, " "))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": pd.Series(texts, dtype=object), "ids": found, "round_trip": same})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "position": batch["position"], "text": pd.Series(texts, dtype=object), "ids": found, "round_trip": same})
 
-    packed = keyed.mapInPandas(pack, "doc_id long, key long, packed binary")
-    return packed.join(answers, "key", "left").select("doc_id", "packed", "answers").mapInPandas(
-        put_together, "doc_id long, text string, ids array<int>, round_trip boolean"
+    packed = keyed.mapInPandas(pack, "doc_id long, position long, key long, packed binary")
+    found = packed.join(answers, "key", "left").select("doc_id", "position", "packed", "answers").mapInPandas(
+        put_together, "doc_id long, position long, text string, ids array<int>, round_trip boolean"
     )
+    return found if place_col else found.drop("position")
 
 
 def spelled(ids: np.ndarray, pieces: dict[int, bytes]) -> str:
@@ -239,9 +241,10 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> Dat
     return rows.withColumn("decoded", text(ids_col))
 
 
-def _tokens(docs: DataFrame, model: str) -> DataFrame:
-    found = encode(docs, Vocabulary(model), with_text=False)
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "round_trip", "ids")
+def _tokens(docs: DataFrame, model: str, place_col: str | None = None) -> DataFrame:
+    found = encode(docs, Vocabulary(model), with_text=False, place_col=place_col)
+    place = ["position"] if place_col else []
+    return found.select("doc_id", *place, F.size("ids").cast("long").alias("n_tokens"), "round_trip", "ids")
 
 
 def op6_sentencepiece(spark, sf_dir):
@@ -249,5 +252,5 @@ def op6_sentencepiece(spark, sf_dir):
 
 
 def sentencepiece_stage(spark, docs, sf_dir):
-    """The pieces of every document."""
-    return _tokens(docs, MODEL)
+    """The pieces of every document, and its ``position`` in the order in which the stage before wrote the documents."""
+    return _tokens(with_place(docs.select("doc_id", "text"), "place"), MODEL, "place")
