@@ -4,17 +4,20 @@ Texts fall into units: a run of spaces with the word after it, a word at the beg
 a vocabulary of this kind reaches over the begin of a unit, so the best path of a text is that of its units in order. The
 distinct units of the corpus are counted, their substrings of at most the longest piece's length are exploded and
 equi-joined with the piece table (broadcast: its size is that of the vocabulary), the edges are grouped by unit (in the
-partitions of the units, the edges are not shuffled), and a fold over the edges in order of their ends finds the path of
-the highest score (Viterbi), a second one its pieces. Of equal scores the longer last piece wins. A character without a
-piece becomes its bytes.
+partitions of the units, the edges are not shuffled), and a fold over the edges of a unit finds its pieces. A character
+without a piece becomes its bytes.
+
+``encode_as`` chooses the fold. "bpe" merges, as the library does for a BPE model: the characters of a unit are joined pair
+by pair, each time the pair whose piece has the highest score (of equal ones the leftmost), until no pair is a piece.
+"unigram" takes the path of the highest sum of scores (Viterbi; of equal scores the longer last piece wins). The query and
+the stage fold by the type that the model file states.
 
 Texts are put together from a broadcast of the frequent units (each at least ``frequent_share`` of all, so at most
 1 / frequent_share of them) and, for all others, from a join that sends each text its own rare units. Equal texts share
 the answer, so a common text asks once per task.
 
-The scores are those of the model file. For a unigram model this is the library's segmentation. A BPE model holds merge
-ranks as scores: the path of the best rank sum is a valid segmentation that decodes to the same text, but not always the
-one that merging gives.
+The scores are those of the model file. A BPE model holds merge ranks as scores: the path of the best rank sum decodes to
+the same text, but is not what merging gives, so "unigram" is no encoding of such a model.
 
 Defined cases: null and empty texts have no tokens; a literal U+2581 is a space, as in the library; repeated rows are
 encoded one by one; an empty table gives no rows; other columns are not read.
@@ -25,13 +28,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from sentencepiece import SentencePieceProcessor
+from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
 from trainlake.llm.common import discard, read, setting, small_batches, some, spread, stored, text_of, with_place
 
@@ -52,6 +56,8 @@ class Vocabulary:
         library = SentencePieceProcessor(model_file=model)
         special = (library.is_control, library.is_unknown, library.is_byte, library.is_unused)
         ids = range(library.get_piece_size())
+        stated = sentencepiece_model_pb2.ModelProto.FromString(library.serialized_model_proto()).trainer_spec.model_type
+        self.kind = {1: "unigram", 2: "bpe"}.get(stated, "other")
         self.pieces = [(library.id_to_piece(i), i, library.get_score(i)) for i in ids if not any(f(i) for f in special)]
         self.bytes = [0] * 256
         for i in ids:
@@ -92,18 +98,79 @@ def unit_counts(texts: DataFrame) -> DataFrame:
     return counted.withColumn("unit", F.translate("unit", " ", SPACE))
 
 
-def encoded_units(counted: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(unit, n, ids) for every row (unit, n)."""
-    pieces = F.broadcast(vocabulary.table(counted.sparkSession))
-    substrings = (
+def _substrings(counted: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(unit, n, end, len, piece): the substrings of the units that can be pieces."""
+    return (
         counted.repartition(spread(counted.count(), TASK_UNITS), "unit")
         .withColumn("size", F.length("unit"))
         .withColumn("end", F.explode(F.sequence(F.lit(1), F.col("size"))))
         .withColumn("len", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.col("end")))))
         .withColumn("piece", F.expr("substring(unit, end - len + 1, len)"))
     )
+
+
+def merged(size: int, edges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+    """Where the pieces of a unit of ``size`` characters begin, and its end, when the pair of neighbours of the lowest rank
+    (then the leftmost) is joined as long as there is one. ``edges`` has (rank, id) by (begin, end)."""
+    after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+    open_pairs = [(edge[0], i, i + 2) for i in range(size - 1) if (edge := edges.get((i, i + 2)))]
+    heapify(open_pairs)
+    ends = {i: i + 1 for i in range(size)}  # of the symbols that there are now
+    while open_pairs:
+        _, begin, end = heappop(open_pairs)
+        middle = ends.get(begin)
+        if middle is None or middle >= end or ends.get(middle) != end:
+            continue  # one of the two has been joined with another since
+        del ends[middle]
+        ends[begin] = after[begin] = end
+        if end < size:
+            before[end] = begin
+            if edge := edges.get((begin, after[end])):
+                heappush(open_pairs, (edge[0], begin, after[end]))
+        if begin and (edge := edges.get((before[begin], end))):
+            heappush(open_pairs, (edge[0], before[begin], end))
+    return [*sorted(ends), size]
+
+
+def merged_units(counted: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(unit, n, ids) for every row (unit, n), merged by rank."""
+    spark = counted.sparkSession
+    by_score = {s: rank for rank, s in enumerate(sorted({s for _, _, s in vocabulary.pieces}, reverse=True))}
+    places = [(piece, place) for place, (piece, _, _) in enumerate(vocabulary.pieces)]
+    ranks, ids = [by_score[s] for _, _, s in vocabulary.pieces], [i for _, i, _ in vocabulary.pieces]
+    byte_ids, stride, width = vocabulary.bytes, len(places), vocabulary.longest + 1
+    pieces = F.broadcast(spark.createDataFrame(places, "piece string, place long"))
+    # An edge is one number: its end, its length and the place of its piece.
+    edges = _substrings(counted, vocabulary).join(pieces, "piece", "left").where("place IS NOT NULL OR len = 1").select(
+        "unit", "n", F.expr(f"(cast(end AS long) * {width} + len) * {stride} + place").alias("edge")
+    )
+    lattice = edges.groupBy("unit").agg(F.first("n").alias("n"), F.collect_list("edge").alias("edges"))
+
+    def fold(batches):
+        for batch in batches:
+            found = []
+            for unit, codes in zip(batch["unit"], batch["edges"]):
+                edges = {}
+                for code in codes.tolist():
+                    span, place = divmod(code, stride)
+                    end, size = divmod(span, width)
+                    edges[end - size, end] = ranks[place], ids[place]
+                cuts = merged(len(unit), edges)
+                path = []
+                for begin, end in zip(cuts, cuts[1:]):
+                    edge = edges.get((begin, end))
+                    path.extend([edge[1]] if edge else [byte_ids[b] for b in unit[begin:end].encode()])
+                found.append(path)
+            yield pd.DataFrame({"unit": batch["unit"], "n": batch["n"], "ids": pd.Series(found, dtype=object)})
+
+    return lattice.mapInPandas(fold, "unit string, n long, ids array<int>")
+
+
+def encoded_units(counted: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(unit, n, ids) for every row (unit, n), by the path of the highest sum of scores."""
+    pieces = F.broadcast(vocabulary.table(counted.sparkSession))
     edges = (
-        substrings.join(pieces, "piece", "left")
+        _substrings(counted, vocabulary).join(pieces, "piece", "left")
         .where("piece_id IS NOT NULL OR len = 1")
         .select(
             "unit", "n",
@@ -146,18 +213,20 @@ def _packed(ids: str) -> bytes:
 
 def encode(
     docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", frequent_share: float = FREQUENT_SHARE,
-    with_text: bool = True, place_col: str | None = None,
+    with_text: bool = True, place_col: str | None = None, encode_as: str = "unigram",
 ) -> DataFrame:
     """(doc_id, text, ids, round_trip): the pieces of every text in order, and whether they decode to it. Without
     ``with_text`` the text stays null and is not moved again. ``place_col``, a whole number, is kept as ``position``."""
     spark = docs.sparkSession
     small_batches(spark)
+    if encode_as not in ("unigram", "bpe"):
+        raise ValueError("only unigram and BPE models are encoded")
     place = F.col(place_col).cast("long") if place_col else F.lit(None).cast("long")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), place.alias("position"))
     counted = stored(unit_counts(texts.select("text")), "unit-counts")
     # A task groups TASK_UNITS units at most: by hashing, without the sort of all edges that Spark turns to from 128 groups.
     with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(4 * TASK_UNITS)):
-        dictionary = stored(encoded_units(counted, vocabulary), "units")
+        dictionary = stored((merged_units if encode_as == "bpe" else encoded_units)(counted, vocabulary), "units")
     total = dictionary.agg(F.sum("n")).first()[0] or 0
     least = max(2, math.ceil(total * frequent_share))
     discard(counted)
@@ -242,7 +311,8 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> Dat
 
 
 def _tokens(docs: DataFrame, model: str, place_col: str | None = None) -> DataFrame:
-    found = encode(docs, Vocabulary(model), with_text=False, place_col=place_col)
+    vocabulary = Vocabulary(model)
+    found = encode(docs, vocabulary, with_text=False, place_col=place_col, encode_as=vocabulary.kind)
     place = ["position"] if place_col else []
     return found.select("doc_id", *place, F.size("ids").cast("long").alias("n_tokens"), "round_trip", "ids")
 
