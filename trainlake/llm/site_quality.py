@@ -171,12 +171,18 @@ def _sited(docs: DataFrame, host: Column, path: Column, id_col: str, text_col: s
     return docs.select(F.col(id_col).cast("long").alias("id"), named(host).alias("host"), named(path).alias("path"), text_of(text_col).alias("body"), *kept)
 
 
+def _known(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(id, label): one label for each labelled id."""
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("label"))
+    return known.groupBy("id").agg(F.avg("label").alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
+
+
 def _model(docs: DataFrame, labels: DataFrame, host, path, id_col, text_col, label_col, most):
     """(all documents with features and label, model, sites)."""
     small_batches(docs.sparkSession)
-    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("label")).groupBy("id").agg(F.avg("label").alias("label"))
+    known = _known(labels, id_col, label_col)
     rows = with_features(_sited(docs, host, path, id_col, text_col)).drop("body")
-    rows = stored(rows.join(known.where("id IS NOT NULL AND label IS NOT NULL"), "id", "left"), "features")
+    rows = stored(rows.join(known, "id", "left"), "features")
     sample = bounded_sample(rows.where("label IS NOT NULL"), most, "id", "label").select("features", "label").collect()
     x = np.array([r["features"] for r in sample]).reshape(len(sample), N_FEATURES)
     model = fit(x, np.array([r["label"] for r in sample]))
@@ -204,9 +210,10 @@ def op1_quality_classifier(spark, sf_dir):
 
 
 def quality_stage(spark, docs, sf_dir):
-    """The documents with a posterior of at least ``KEEP_FROM``; texts are read a second time instead of being moved."""
-    judged, model, sites = _model(
-        docs, read(spark, sf_dir, "labels"), F.col("source"), F.col("lang"), "doc_id", "text", "quality", MAX_TRAINING
-    )
-    again = _classified(with_features(_sited(docs, F.col("source"), F.col("lang"), "doc_id", "text", row=True)), model)
-    return _judged(again.withColumn("value", F.col("classifier")), sites, model["rate"]).where(F.col("posterior") >= KEEP_FROM).select("row.*")
+    """The documents with a posterior of at least ``KEEP_FROM``, the rows that op1 keeps; texts are read a second time and
+    meet the labels by id."""
+    labels = read(spark, sf_dir, "labels")
+    judged, model, sites = _model(docs, labels, F.col("source"), F.col("lang"), "doc_id", "text", "quality", MAX_TRAINING)
+    again = _classified(with_features(_sited(docs, F.col("source"), F.col("lang"), "doc_id", "text", row=True)).drop("body"), model)
+    again = again.join(_known(labels, "doc_id", "quality"), "id", "left").withColumn("value", F.coalesce("label", "classifier"))
+    return _judged(again, sites, model["rate"]).where(F.col("posterior") >= KEEP_FROM).select("row.*")
