@@ -28,7 +28,7 @@ def test_as_sql(spark, data, name):
 
 def test_one_query_for_each_operator():
     names = entry.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13 and "pipeline" in names
 
 
 def test_pipeline(spark, data):

@@ -6,6 +6,7 @@ from trainlake.llm.bloom_lm import op10_lm_scoring
 from trainlake.llm.exact_dedup import op9_exact_dedup
 from trainlake.llm.line_chunks import op4_line_dedup
 from trainlake.llm.ngram_join import op3_ngram_jaccard_join
+from trainlake.llm.periodic_runs import op13_periodic_runs
 from trainlake.llm.pfair_mixing import op8_mixing
 from trainlake.llm.piece_lattice import op6_sentencepiece
 from trainlake.llm.secret_forest import op5_secret_scans
@@ -26,6 +27,7 @@ QUERIES = {
         op8_mixing,
         op9_exact_dedup,
         op10_lm_scoring,
+        op13_periodic_runs,
     )
 }
 
