@@ -316,7 +316,8 @@ class Repair:
             solutions = stored(solved(one), "solutions")
             more = None
         one = self._answered(one, solutions).withColumns({"begin": F.lit(0), "between": F.lit(0).cast("long"), "same": F.lit(0).cast("long")})
-        chosen = one if more is None else one.unionByName(more)
+        chosen = one.withColumn("alone", F.lit(True))
+        chosen = chosen if more is None else chosen.unionByName(more.withColumn("alone", F.lit(False)))
         at = F.col("begin")
         ended = F.element_at(F.split("ending", ","), F.get("ends", at) + 1).cast("long")
         chosen = chosen.withColumns({"audit": F.get("audits", at), "cost": F.get("costs", at) - ended})
@@ -348,8 +349,8 @@ class Repair:
             F.array_join(F.transform(audits, lambda a: a["audit"]), "").alias("audit"),
         )
 
-    def _applied(self) -> DataFrame:
-        """key, part, no and the repaired rows of each piece in arrays."""
+    def _applied(self, chosen: DataFrame) -> DataFrame:
+        """key, part, no and the repaired rows of the chosen pieces in arrays."""
 
         def apply(batches):
             for batch in batches:
@@ -377,20 +378,20 @@ class Repair:
 
         names = [*_PIECE, "turn", "roles", "texts", "edits"]
         turns = F.col("turn").cast("array<string>").alias("turn")
-        rows = self._pieces.select(*_PIECE, turns, "roles", "texts").join(self._chosen.select(*_PIECE, "begin", "audit"), _PIECE)
+        rows = self._pieces.select(*_PIECE, turns, "roles", "texts").join(chosen.select(*_PIECE, "begin", "audit"), _PIECE)
         schema = "key string, part int, no long, turn array<string>, roles array<string>, texts array<string>, edits array<string>"
         return rows.mapInPandas(apply, schema).withColumn("turn", F.col("turn").cast("array<long>"))
 
     def messages(self) -> DataFrame:
         each = F.posexplode(F.arrays_zip("turn", "roles", "texts", "edits")).alias("place", "m")
-        rows = self._applied().select(self.conv_id().alias("conv_id"), "part", "no", each)
+        rows = self._applied(self._chosen).select(self.conv_id().alias("conv_id"), "part", "no", each)
         named = [F.col(f"m.{a}").alias(b) for a, b in (("turn", "turn"), ("roles", "role"), ("texts", "text"), ("edits", "edit"))]
         return rows.select("conv_id", F.struct("part", "no", "place").alias("place"), *named)
 
     def digests(self) -> DataFrame:
         lines = F.zip_with("roles", "texts", lambda r, t: F.concat(r, F.lit(":"), t))
-        applied = self._applied().select(*_PIECE, F.array_join(lines, "\n").alias("body"), F.size("roles").alias("lines"))
-        one = applied.join(self._several, "key", "left_anti").select("key", F.sha2(F.col("body").cast("binary"), 256).alias("digest"))
+        body = F.array_join(lines, "\n").alias("body")
+        one = self._applied(self._chosen.where("alone")).select("key", body).select("key", F.sha2(F.col("body").cast("binary"), 256).alias("digest"))
         if self._several.isEmpty():
             return one
 
@@ -400,8 +401,8 @@ class Repair:
                 digest.update((("\n" if begun else "") + row.body).encode("utf-8", "surrogatepass"))
             return (begun or row.lines > 0, digest), (row.key, digest.hexdigest()) if row.last else None
 
-        more = applied.join(self._several, "key", "left_semi")
-        last = self._chosen.groupBy("key").agg(F.max(F.struct("part", "no")).alias("end"))
+        more = self._applied(self._chosen.where("NOT alone")).select(*_PIECE, body, F.size("roles").alias("lines"))
+        last = self._chosen.where("NOT alone").groupBy("key").agg(F.max(F.struct("part", "no")).alias("end"))
         more = more.join(last, "key").withColumn("last", F.struct("part", "no") == F.col("end")).drop("end")
         return one.unionByName(_streamed(more, ["part", "no"], fold, "key string, digest string"))
 
