@@ -11,6 +11,7 @@ from trainlake.llm.pfair_mixing import op8_mixing
 from trainlake.llm.piece_lattice import op6_sentencepiece
 from trainlake.llm.secret_forest import op5_secret_scans
 from trainlake.llm.site_quality import op1_quality_classifier
+from trainlake.llm.toxicity import op11_toxicity
 from trainlake.llm.turn_repair import op12_conversation_repair
 from trainlake.llm.voronoi_knn import op7_exact_top_k
 from trainlake.llm.warc import op2_warc_derivatives
@@ -28,6 +29,7 @@ QUERIES = {
         op8_mixing,
         op9_exact_dedup,
         op10_lm_scoring,
+        op11_toxicity,
         op12_conversation_repair,
         op13_periodic_runs,
     )
