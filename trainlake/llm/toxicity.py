@@ -38,7 +38,7 @@ MAX_TRAINING, MAX_TERMS, PREDICTED_FROM = 20000, 1500, 0.7
 LEAST_TEXTS, LEAST_PRECISION = 6, 0.6
 # How an annotator is taken to err: the share of texts that get label 1 in class 0 and in class 1.
 ANNOTATOR = (0.01, 0.95)
-LEAST_LABELS = 100  # below, voters count as independent
+LEAST_LABELS = 50  # below, the label model is not fitted further than its start
 START_SIZES, INNER_SIZES = range(4, 9), range(5, 8)
 
 # Insults by language, general knowledge, not taken from any label.
@@ -168,10 +168,10 @@ class LabelModel:
         labelled = patterns[:, annotator]
         any_vote = (np.delete(patterns, [annotator, patterns.shape[1] - 1], axis=1) > 0).any(1)
         self.start = np.where(labelled == 1, 0.9, np.where(any_vote, 0.7, 0.01))
-        # Voters of a joint table no longer check each other, so only labels can tell its classes apart.
+        # With too few labels nothing tells which class is which: the votes are weighed once, as the start saw them.
         enough = self.counts[labelled > 0].sum() >= LEAST_LABELS
         while True:
-            self._fit(rounds)
+            self._fit(rounds if enough else 1)
             pair = self._most_correlated() if enough else None
             if pair is None:
                 break
