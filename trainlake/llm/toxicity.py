@@ -158,15 +158,15 @@ class LabelModel:
     """A latent class with voters that are independent given it, but for groups with a joint table.
 
     Patterns are rows of outcomes (one column per voter) with counts. ``groups`` lists the columns of each group; the tables hold the
-    probability of each joint outcome for both classes."""
+    probability of each joint outcome for both classes. ``none`` is the column of a voter for class 0, if there is one."""
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, annotator: int, rounds: int = 200, most_in_group: int = 6) -> None:
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, annotator: int, none: int | None = None, rounds: int = 200, most_in_group: int = 6) -> None:
         self.patterns, self.counts, self.most = patterns, counts.astype(float), most_in_group
         self.groups = [[j] for j in range(patterns.shape[1])]
         self.annotator = annotator
         # The fit begins from the annotator's labels, else from whether any voter says 1.
         labelled = patterns[:, annotator]
-        any_vote = (np.delete(patterns, [annotator, patterns.shape[1] - 1], axis=1) > 0).any(1)
+        any_vote = (np.delete(patterns, [j for j in (annotator, none) if j is not None], axis=1) > 0).any(1)
         self.start = np.where(labelled == 1, 0.9, np.where(any_vote, 0.7, 0.01))
         # With too few labels nothing tells which class is which: the votes are weighed once, as the start saw them.
         enough = self.counts[labelled > 0].sum() >= LEAST_LABELS
@@ -322,7 +322,7 @@ class Toxicity:
         n = len(VOTERS)
         patterns = np.array([[r.votes >> i & 1 for i in range(n)] + [r.label] for r in training], dtype=np.int64).reshape(-1, n + 1)
         self._patterns = [(r.votes, r.label) for r in training]
-        return LabelModel(patterns, np.array([r["count"] for r in training]), n)
+        return LabelModel(patterns, np.array([r["count"] for r in training]), n, VOTERS.index("none"))
 
     def _posteriors(self, rows: DataFrame) -> DataFrame:
         """Add the posterior label of training rows; their patterns are the few thousand of the label model."""
