@@ -187,3 +187,41 @@ def test_empty_lake(spark, tmp_path):
     jobs.refresh(spark, root, 0, "2024-01-10 12:00:00")
     assert jobs.daily_metrics(spark, root).count() == 0 and jobs.coaching_prompts(spark, root, "x").count() == 0
     assert jobs.weekly_prompts(spark, root, "2024-01-09").count() == 0
+
+
+def outcomes(spark, root):
+    late = [(r.id, r.late) for r in jobs.late_workouts(spark, root).collect()]
+    rejected = [(r.id, "rejected") for r in jobs.rejected_workouts(spark, root).collect()]
+    return sorted(late + rejected + [(r.workout_id, "stored") for r in jobs.sessions(spark, root).collect()])
+
+
+def test_each_file_is_taken_in_once_and_each_line_accounted_for(spark, tmp_path):
+    folder, root = tmp_path / "landing", str(tmp_path / "lake")
+    folder.mkdir()
+    land = lambda name, *lines: (folder / name).write_text("\n".join(x if isinstance(x, str) else json.dumps(x) for x in lines))
+    land("a [1].json", {"data": [workout(1, 0), workout(2, 1, None)]}, "no json", {"data": [workout(3, 2)]})
+    jobs.refresh(spark, root, 0, "2024-01-10 12:00:00", str(folder))
+    assert outcomes(spark, root) == [("1", "stored"), ("2", "rejected"), ("3", "stored")]
+    land("b.json", {"data": [workout(4, 8), workout(5, 3), workout(6, 9, None)]}, '{"data": [')
+    for _ in range(2):  # the second time repeats the batch
+        jobs.refresh(spark, root, 1, "2024-01-11 12:00:00", str(folder))
+        assert outcomes(spark, root) == [("1", "stored"), ("2", "rejected"), ("3", "stored"), ("4", "stored"), ("5", "before_limit"), ("6", "rejected")]
+        assert sorted(r.corrupt for r in jobs.corrupt_lines(spark, root).collect()) == ["no json", '{"data": [']
+    jobs.refresh(spark, root, 2, "2024-01-12 12:00:00", str(folder))
+    assert spark.read.parquet(f"{root}/sessions/batch_id=2").count() == 0
+    assert spark.read.parquet(f"{root}/landed_workouts").groupBy("batch_id").count().count() == 2
+    assert jobs.daily_metrics(spark, root).count() == 3
+
+
+def test_broken_recovery_lines_are_kept(spark, tmp_path):
+    folder, root = tmp_path / "landing", str(tmp_path / "lake")
+    folder.mkdir()
+    day = {"athlete_id": 1, "record_date": "2024-01-09", "stress_doc": '{"overallStressLevel": 20}'}
+    (folder / "a.json").write_text(json.dumps(day) + "\n{broken\n" + json.dumps({**day, "athlete_id": 2, "record_date": "someday"}))
+    jobs.refresh(spark, root, 0, "2024-01-10 12:00:00", recovery_documents=str(folder))
+    assert rows(jobs.recovery_days(spark, root), ["athlete_id", "stress"]) == [(1, 20)]
+    assert jobs.corrupt_lines(spark, root, "recovery").count() == 2
+    (folder / "b.json").write_text(json.dumps({**day, "record_date": "2024-01-10"}))
+    jobs.refresh(spark, root, 1, "2024-01-11 12:00:00", recovery_documents=str(folder))
+    assert jobs.recovery_days(spark, root).count() == 2
+    assert spark.read.parquet(f"{root}/recovery/batch_id=1").count() == 1

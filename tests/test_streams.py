@@ -79,7 +79,7 @@ def test_old_workouts_are_not_taken_in_again(landing):
 def test_a_repeated_batch_changes_nothing(landing):
     spark, table = landing.spark, landing.path("sessions")
     batch = lambda *w: spark.createDataFrame(
-        [(START, "f", 0, *[str(x[n]) if n == "id" else x.get(n) for n in S.RAW_WORKOUT.fieldNames()[:4]], float(x["time"]), None) for x in w],
+        [(START + timedelta(days=20), "f", 0, *[str(x[n]) if n == "id" else x.get(n) for n in S.RAW_WORKOUT.fieldNames()[:4]], float(x["time"]), None) for x in w],
         "landed_at timestamp_ntz, file string, block long, id string, athlete_id long, date string, distance int, time double,"
         " intervals array<struct<distance:int,time:double,spm:int>>",
     )
@@ -148,3 +148,51 @@ def test_stream_equals_batch(landing):
     streamed = writers.current_rows(landing.spark, landing.path("sessions"), ["workout_id"])
     assert rows(streamed) == rows(ingest.normalise(raw).select(*streamed.columns))
     assert streamed.where(F.col("workout_date").isNull()).count() == 0
+
+
+def test_one_wrong_date_stops_nobody(landing):
+    """A date after the landing moves no mark, and each athlete has its own; what comes too late is kept."""
+    landing.land({"data": [workout(1, 0), {**workout(2, 0, athlete=2), "date": "2199-01-01T00:00:00"}, workout(3, 40, athlete=3)]})
+    sync(landing)
+    landing.land({"data": [workout(4, 1), workout(5, 2), workout(6, 1, athlete=2), workout(7, 1, athlete=3), workout(8, -9), workout(9, 0, athlete=4),
+                           {**workout(10, 0), "date": "?"}]})
+    sync(landing)
+    assert set(stored(landing)) == {"1", "2", "3", "4", "5", "6", "9"}
+    late = streams.late_workouts(landing.spark, landing.path("sessions"))
+    assert rows(late, ["id", "late"]) == [("10", "no_date"), ("7", "before_limit"), ("8", "before_limit")]
+
+
+def test_a_mark_never_moves_back(landing):
+    for days in ((10,), (8,), (9, 6)):
+        landing.land({"data": [workout(100 + d, d) for d in days]})
+        sync(landing)
+    assert set(stored(landing)) == {"110", "108", "109"}
+    writers.compact(landing.spark, landing.path("sessions") + "_marks", ["source_name", "athlete_id"])
+    landing.land({"data": [workout(1, 6)]})
+    sync(landing)
+    assert [r.id for r in streams.late_workouts(landing.spark, landing.path("sessions")).collect()] == ["106", "1"]
+
+
+def test_lines_that_cannot_be_read_are_kept(landing):
+    (landing.folder / "landing" / "odd.json").write_text(
+        '{"data": [{"id": 1, "athlete_id": 1, "time": 9, "distance": 600}]}\n{"data": [{"id": 2,\n\n[]\nnonsense\n{"data": 5}\n{"meta": 1}\n'
+    )
+    sync(landing)
+    assert set(stored(landing)) == {"1"}
+    found = streams.corrupt_lines(landing.spark, landing.path("sessions"))
+    assert {r.corrupt for r in found.collect()} >= {'{"data": [{"id": 2,', "nonsense", '{"data": 5}'}
+    assert all(r.file.endswith("odd.json") for r in found.collect())
+
+
+def test_future_records_empty_no_log(landing):
+    record = lambda name, time: {"timestamp": time, "object_id": name, "entity_type": "goal_record",
+                                 "reason_code": "pep_tier_gate", "priority_score": 0.5}
+    now = datetime.now()
+    days = lambda n: (now - timedelta(days=n)).isoformat()
+    for batch in ([record("a", days(1)), record("b", days(2))], [record("c", "2199-01-01T00:00:00"), record("d", days(40))], []):
+        landing.land(*batch)
+        records = streams.exclusion_stream(landing.spark, landing.path("landing"))
+        streams.keep_exclusion_log(records, landing.path("log"), landing.path("progress")).awaitTermination()
+    log = readers.read_table(landing.spark, landing.path("log"), S.EXCLUSION)
+    assert [r[0] for r in rows(log, ["object_id"])] == ["a", "b"]
+    assert [r.object_id for r in streams.future_exclusions(landing.spark, landing.path("log")).collect()] == ["c"]

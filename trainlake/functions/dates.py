@@ -30,6 +30,12 @@ def parse_iso(text: Column) -> Column:
     return F.when(text.rlike(ISO_SHAPE), moment)
 
 
+def utc_time(moment: Column) -> Column:
+    """A moment (with a zone) as the UTC time on the clock, in any session time zone."""
+    micros = F.unix_micros(moment.cast("timestamp"))
+    return time_literal("1970-01-01 00:00:00") + F.make_dt_interval(secs=(micros / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)"))
+
+
 def week_start(day: Column) -> Column:
     return F.trunc(day.cast("date"), "week")
 

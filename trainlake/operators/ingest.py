@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trainlake import schemas as S
-from trainlake.functions.dates import parse_iso
+from trainlake.functions.dates import parse_iso, utc_time
 
 
 def split_seconds(duration: Column, distance: Column) -> Column:
@@ -76,3 +76,37 @@ def incremental(
     mark = last_sync(sync_state, source).scalar()
     since = mark - F.expr(f"INTERVAL {int(replay_days)} DAYS")
     return raw.where(mark.isNull() | (parse_iso(F.col("date")) >= since))
+
+
+# ---- What comes too late ------------------------------------------------------------------------
+def lateness(date_text: Column, mark: Column, replay_days: int) -> Column:
+    """Why a workout is not taken in although there is a mark: "before_limit", "no_date", or NULL if it is taken."""
+    day = parse_iso(date_text)
+    limit = mark - F.expr(f"INTERVAL {int(replay_days)} DAYS")
+    return F.when(mark.isNotNull(), F.when(day.isNull(), "no_date").when(day < limit, "before_limit"))
+
+
+def judged_by_source(raw: DataFrame, sync_state: DataFrame, source: str, replay_days: int | None = S.REPLAY_DAYS) -> DataFrame:
+    """``raw`` with ``late``: one mark for all, the last sync of ``source``. What ``incremental`` drops has a reason here."""
+    if replay_days is None:
+        return raw.withColumn("late", F.lit(None).cast("string"))
+    return raw.withColumn("late", lateness(F.col("date"), last_sync(sync_state, source).scalar(), replay_days))
+
+
+def judged_by_athlete(raw: DataFrame, marks: DataFrame, replay_days: int | None = S.REPLAY_DAYS) -> DataFrame:
+    """``raw`` with ``late``: the mark of its own athlete (rows athlete_id, last_sync_ts, any number for each; the newest
+    counts). An athlete without a mark is new, and everything is taken."""
+    if replay_days is None:
+        return raw.withColumn("late", F.lit(None).cast("string"))
+    newest = marks.groupBy(F.col("athlete_id").alias("mark_of")).agg(F.max("last_sync_ts").alias("mark"))
+    joined = raw.join(newest, F.col("athlete_id").eqNullSafe(F.col("mark_of")), "left")
+    return joined.withColumn("late", lateness(F.col("date"), F.col("mark"), replay_days)).drop("mark_of", "mark")
+
+
+def marks_of(raw: DataFrame, source: str) -> DataFrame:
+    """The newest usable date of each athlete in a batch (source_name, athlete_id, last_sync_ts). A date after the landing of
+    its file is wrong: it moves no mark."""
+    moment = parse_iso(F.col("date"))
+    honest = valid_workouts(raw).where(moment <= utc_time(F.col("landed_at")))
+    newest = honest.groupBy("athlete_id").agg(F.max(moment).alias("last_sync_ts"))
+    return newest.select(F.lit(source).alias("source_name"), "athlete_id", "last_sync_ts")

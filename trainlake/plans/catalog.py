@@ -1004,7 +1004,7 @@ def stream_sessions_replay(spark, folder):
     """With the replay limit: what comes again is taken in only if it is recent."""
     table = new_path(spark, "sessions")
     _workout_arrivals(
-        spark, folder, lambda workouts, progress: streams.sync_sessions(workouts, table, progress)
+        spark, folder, lambda workouts, progress: streams.sync_sessions(workouts, table, progress, mark_of="source")
     )
     return writers.current_rows(spark, table, ["workout_id"])
 

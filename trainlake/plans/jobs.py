@@ -73,6 +73,16 @@ def rejected_workouts(spark: SparkSession, lake: str) -> DataFrame:
     return readers.read_or_empty(spark, f"{lake}/rejected_workouts", S.RAW_WORKOUT).select(*S.RAW_WORKOUT.fieldNames())
 
 
+def late_workouts(spark: SparkSession, lake: str) -> DataFrame:
+    """Every workout that came too late to be taken in, with the reason."""
+    return readers.read_or_empty(spark, f"{lake}/late_workouts", S.LATE_WORKOUT).select(*S.LATE_WORKOUT.fieldNames())
+
+
+def corrupt_lines(spark: SparkSession, lake: str, kind: str = "workouts") -> DataFrame:
+    """Every landed line ("workouts" or "recovery") that is not what it should be."""
+    return readers.read_or_empty(spark, f"{lake}/corrupt_{kind}", S.CORRUPT_LINE).select(*S.CORRUPT_LINE.fieldNames())
+
+
 # ---- Daily run ----------------------------------------------------------------------------------
 def refresh(
     spark: SparkSession,
@@ -83,8 +93,11 @@ def refresh(
     recovery_documents: str | None = None,
     replay_days: int = S.REPLAY_DAYS,
 ) -> DataFrame:
-    """Take in landed workout pages and recovery documents, then rebuild the metrics. Returns the workouts
-    that had to be set aside. Repeating a refresh under its number gives the same tables."""
+    """Take in what has landed since the refresh before (workout pages and recovery documents), then rebuild the metrics. Returns
+    the workouts that had to be set aside. Repeating a refresh under its number gives the same tables.
+
+    Files are noted in a ledger when all of their rows are stored, so each is read by one refresh. Every landed workout is stored,
+    rejected, or late (``late_workouts``); lines that cannot be read are kept (``corrupt_lines``)."""
     tune(spark)
     rejected = spark.createDataFrame([], S.RAW_WORKOUT)
     if pages:
@@ -95,10 +108,31 @@ def refresh(
     return rejected
 
 
+def _new_files(spark: SparkSession, lake: str, kind: str, batch_id: int, folder: str) -> tuple[list[str], DataFrame]:
+    """The landed files that no earlier batch has taken in, by name and time of change, and the same as rows for the ledger."""
+    known = _before(spark, f"{lake}/landed_{kind}", S.LANDED_FILE, batch_id)
+    fresh = readers.landed_files(spark, folder).join(known, ["file", "modified"], "left_anti")
+    fresh = materialise(fresh.select(*S.LANDED_FILE.fieldNames()), "new-files")
+    return [r.file for r in fresh.select("file").collect()], fresh
+
+
+def _close_landing(spark: SparkSession, lake: str, kind: str, batch_id: int, files: DataFrame, lines: DataFrame) -> None:
+    """Keep the lines that could not be read and, last of all, note the files as taken in."""
+    broken = lines.where(F.col(readers.CORRUPT).isNotNull()).select(*S.CORRUPT_LINE.fieldNames())
+    writers.write_batch(broken, f"{lake}/corrupt_{kind}", batch_id)
+    writers.write_batch(files, f"{lake}/landed_{kind}", batch_id)
+    writers.compact_if_long(spark, f"{lake}/landed_{kind}", ["file", "modified"])
+
+
 def _take_in_workouts(spark, lake, batch_id, now, pages, replay_days) -> DataFrame:
-    raw = readers.numbered(readers.ordered_workouts(spark.read.schema(S.RAW_WORKOUT_PAGE).json(pages)))
+    files, ledger = _new_files(spark, lake, SOURCE, batch_id, pages)
+    raw = readers.numbered(readers.ordered_workouts(readers.read_lines(spark, files, S.RAW_WORKOUT_PAGE)))
     marks = _before(spark, f"{lake}/sync_state", S.SYNC_STATE, batch_id)
-    fresh = materialise(ingest.incremental(raw, marks, SOURCE, replay_days), "arrivals")
+    landed = materialise(ingest.judged_by_source(raw, marks, SOURCE, replay_days), "arrivals")
+    workouts = landed.where(F.col(readers.CORRUPT).isNull())
+    late = workouts.where(F.col("late").isNotNull()).select(*S.LATE_WORKOUT.fieldNames())
+    writers.write_batch(late, f"{lake}/late_workouts", batch_id)
+    fresh = workouts.where(F.col("late").isNull()).drop("late", readers.CORRUPT)
     # What is unusable is set aside first: it must not hide an older good version of the same workout.
     newest = materialise(upsert.latest_by_key(ingest.valid_workouts(fresh), ["id"], readers.ARRIVAL), "workouts")
     moment = time_literal(now)
@@ -109,17 +143,23 @@ def _take_in_workouts(spark, lake, batch_id, now, pages, replay_days) -> DataFra
     writers.write_batch(rejected, f"{lake}/rejected_workouts", batch_id)
     mark = spark.range(1).select(F.lit(SOURCE).alias("source_name"), moment.alias("last_sync_ts"))
     writers.write_batch(mark, f"{lake}/sync_state", batch_id)
+    _close_landing(spark, lake, SOURCE, batch_id, ledger, landed)
     for name, keys in (("sessions", ["workout_id"]), ("intervals", ["interval_id"]), ("sync_state", ["source_name"])):
         writers.compact_if_long(spark, f"{lake}/{name}", keys)
     return rejected
 
 
 def _take_in_recovery(spark, lake, batch_id, now, documents) -> None:
-    signals = recovery.extract_signals(readers.ordered_recovery(spark, documents), readers.ARRIVAL)
+    files, ledger = _new_files(spark, lake, "recovery", batch_id, documents)
+    lines = materialise(readers.ordered_recovery(spark, files), "documents")
+    # A line of which only some fields could be read still counts with these, if it says whose and of which day it is.
+    usable = F.col(readers.CORRUPT).isNull() | (F.col("athlete_id").isNotNull() & F.col("record_date").isNotNull())
+    signals = recovery.extract_signals(lines.where(usable).drop(readers.CORRUPT), readers.ARRIVAL)
     path = f"{lake}/recovery"
     known = _before(spark, path, S.RECOVERY_DAILY, batch_id)
     stamped = upsert.stamped_recovery(known, signals, readers.ARRIVAL, now)
     writers.write_batch(stamped.select(*S.RECOVERY_DAILY.fieldNames()), path, batch_id)
+    _close_landing(spark, lake, "recovery", batch_id, ledger, lines)
     writers.compact_if_long(spark, path, upsert.RECOVERY_KEYS)
 
 

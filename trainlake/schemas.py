@@ -12,6 +12,7 @@ _TYPES = {
     "STRING": T.StringType(),
     "BOOLEAN": T.BooleanType(),
     "DATE": T.DateType(),
+    "TIMESTAMP": T.TimestampType(),
     "TIMESTAMP_NTZ": T.TimestampNTZType(),
     "STRINGS": T.ArrayType(T.StringType()),
     "STRING_MAP": T.MapType(T.StringType(), T.StringType()),
@@ -31,6 +32,11 @@ RAW_WORKOUT = T.StructType(
 )
 RAW_WORKOUT_PAGE = T.StructType([T.StructField("data", T.ArrayType(RAW_WORKOUT))])
 
+# Workouts that come too late to be taken in, and landed lines that cannot be read.
+LATE_WORKOUT = T.StructType([*RAW_WORKOUT.fields, *struct("late STRING, landed_at TIMESTAMP, file STRING").fields])
+CORRUPT_LINE = struct("landed_at TIMESTAMP, file STRING, block BIGINT, line BIGINT, corrupt STRING")
+LANDED_FILE = struct("file STRING, modified TIMESTAMP, size BIGINT")
+
 RAW_RECOVERY = struct(
     "athlete_id BIGINT, record_date DATE, battery_doc STRING, hrv_doc STRING, sleep_doc STRING,"
     " heart_rate_doc STRING, stress_doc STRING, readiness_doc STRING"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,11 @@ from trainlake.functions.text import strip
 VERSION, BATCH, BASE = "version=", "batch_id=", "base_id="
 
 # What orders repeated rows: the landing, the file, and within it the part that one task reads and the line there.
-ARRIVAL = ["landed_at", "file", "block", "line"]
+ORIGIN = ["landed_at", "file", "block"]
+ARRIVAL = [*ORIGIN, "line"]
+
+# The column that holds the text of a landed line that is not (or not wholly) what its schema says.
+CORRUPT = "corrupt"
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -64,9 +69,34 @@ def read_raw_workouts(spark: SparkSession, path: str) -> DataFrame:
     return pages.select(F.inline("data"))
 
 
+def _with_corrupt(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+
+
+def corrupt_kept(reader, schema: T.StructType):
+    """A reader (batch or stream) of JSON lines that keeps the text of those it cannot read in ``CORRUPT``."""
+    return reader.schema(_with_corrupt(schema)).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+
+
+def read_lines(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
+    """Landed JSON lines of the given files with ``ORIGIN`` and ``CORRUPT``; no files, no rows."""
+    if not paths:
+        origin = T.StructType([T.StructField(n, t) for n, t in zip(ORIGIN, (T.TimestampType(), T.StringType(), T.LongType()), strict=True)])
+        return spark.createDataFrame([], T.StructType([*origin.fields, *_with_corrupt(schema).fields]))
+    exact = [re.sub(r"([\[\]{}*?\\])", r"\\\1", path) for path in paths]
+    return corrupt_kept(spark.read, schema).json(exact).select(*_origin(), *schema.fieldNames(), CORRUPT)
+
+
 def ordered_workouts(pages: DataFrame) -> DataFrame:
-    """Workouts of raw pages with the file and block they came in (see ``numbered``)."""
-    return pages.select(*_origin(), F.explode("data").alias("w")).select("landed_at", "file", "block", "w.*")
+    """Workouts of raw pages with the file and block they came in (see ``numbered``). Where the pages have ``CORRUPT``, every
+    line with such a text gives one row more, which holds the text and no workout."""
+    origin = ORIGIN if "file" in pages.columns else _origin()
+    if CORRUPT not in pages.columns:
+        return pages.select(*origin, F.explode("data").alias("w")).select(*ORIGIN, "w.*")
+    of_page = F.transform("data", lambda w: F.struct(F.lit(None).cast("string").alias(CORRUPT), w.alias("w")))
+    text = F.struct(F.col(CORRUPT), F.lit(None).cast(S.RAW_WORKOUT).alias("w"))
+    entries = F.concat(F.coalesce(of_page, F.array()), F.when(F.col(CORRUPT).isNotNull(), F.array(text)).otherwise(F.array()))
+    return pages.select(*origin, F.inline(entries)).select(*ORIGIN, CORRUPT, "w.*")
 
 
 def _origin() -> list[Column]:
@@ -74,6 +104,12 @@ def _origin() -> list[Column]:
     return [F.col(f"_metadata.{field}").alias(name) for name, field in names.items()]
 
 
+def landed_files(spark: SparkSession, path: str) -> DataFrame:
+    """The files of a landing folder: file, modified, size. Their content is not read."""
+    found = spark.read.format("binaryFile").load(path)
+    return found.select(F.col("path").alias("file"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
+
+
 def numbered(rows: DataFrame) -> DataFrame:
     """Add ``line``, so that ``ARRIVAL`` orders rows as they were landed. A block is read by one task from its begin to
     its end, so the number follows the lines and the places within them."""
@@ -85,9 +121,9 @@ def read_raw_recovery(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.RAW_RECOVERY).json(path)
 
 
-def ordered_recovery(spark: SparkSession, path: str) -> DataFrame:
-    """The same with ``ARRIVAL``."""
-    return numbered(read_raw_recovery(spark, path).select("*", *_origin()))
+def ordered_recovery(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The same of the given files with ``ARRIVAL`` and ``CORRUPT``."""
+    return numbered(read_lines(spark, paths, S.RAW_RECOVERY))
 
 
 def read_snapshot(

@@ -16,12 +16,15 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from trainlake import schemas as S
+from trainlake.functions.dates import time_literal, utc_time
 from trainlake.operators import calibration, ingest, metrics
 from trainlake.operators.skew import best_rows
 from trainlake.operators.upsert import latest_by_key
 from trainlake.session import materialise, temporary_tables, tune
 from trainlake.sources import writers
-from trainlake.sources.readers import ARRIVAL, dated_exclusions, numbered, ordered_workouts, path_exists, read_or_empty
+from trainlake.sources.readers import (
+    ARRIVAL, CORRUPT, corrupt_kept, dated_exclusions, numbered, ordered_workouts, path_exists, read_or_empty,
+)
 
 
 def run(stream: DataFrame, handle, checkpoint: str, **trigger) -> StreamingQuery:
@@ -47,8 +50,12 @@ def landed(spark: SparkSession, folder: str, schema: StructType, files_per_batch
 
 
 def workout_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
-    """Workouts of the landed pages, with what orders repeated ones within a batch (``readers.ARRIVAL``)."""
-    return ordered_workouts(landed(spark, folder, S.RAW_WORKOUT_PAGE, files_per_batch))
+    """Workouts of the landed pages, with what orders repeated ones within a batch (``readers.ARRIVAL``), and the text of
+    lines that cannot be read (``readers.CORRUPT``)."""
+    reader = corrupt_kept(spark.readStream, S.RAW_WORKOUT_PAGE)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return ordered_workouts(reader.json(folder))
 
 
 def sync_sessions(
@@ -58,51 +65,84 @@ def sync_sessions(
     replay_days: int | None = S.REPLAY_DAYS,
     intervals: str | None = None,
     rejects: str | None = None,
+    mark_of: str = "athlete",
     **trigger,
 ) -> StreamingQuery:
     """Keep a session table (and an interval table) up to date; of repeated workouts the last usable one counts.
-    Workouts without a time go to the log ``rejects`` (by default beside the table).
 
-    From the second batch on, workouts dated more than ``replay_days`` before the newest one seen so far
-    are not taken in again (None: no limit). The mark is kept in a small log of its own.
+    Every landed workout is stored, or in a log beside the table: ``rejects`` (without a time) or late ones
+    (``late_workouts``); lines that cannot be read are in ``corrupt_lines``. A workout is late if it is dated more than ``replay_days``
+    before the newest one seen in earlier batches of its athlete, or with ``mark_of="source"`` of all athletes (None: no limit). A
+    date after the landing of its file counts for no mark.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        _store_sessions(batch, batch_id, table, replay_days, intervals, rejects)
+        _store_sessions(batch, batch_id, table, replay_days, intervals, rejects, mark_of)
 
     return run(workouts, handle, checkpoint, **trigger)
 
 
 def _store_sessions(
     batch: DataFrame, batch_id: int, table: str, replay_days: int | None, intervals: str | None = None,
-    rejects: str | None = None,
+    rejects: str | None = None, mark_of: str = "athlete",
 ) -> DataFrame:
     """Store the batch and return it as written."""
     spark, marks = batch.sparkSession, f"{table}_marks"
-    batch = numbered(batch)
     earlier = _earlier_batches(spark, marks, batch_id)
-    if earlier is not None and replay_days is not None:
-        batch = ingest.incremental(batch, earlier, "sessions", replay_days)
-    batch = batch.persist()
+    batch = numbered(batch).persist()
     try:
-        newest = latest_by_key(ingest.valid_workouts(batch), ["id"], ARRIVAL)
+        if CORRUPT in batch.columns:
+            broken = batch.where(F.col(CORRUPT).isNotNull()).select(*S.CORRUPT_LINE.fieldNames())
+            writers.write_batch(broken, f"{table}_corrupt", batch_id)
+            batch_rows = batch.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+        else:
+            batch_rows = batch
+        taken = batch_rows
+        if earlier is not None and replay_days is not None:
+            taken, late = _split_late(batch_rows, earlier, replay_days, mark_of)
+            writers.write_batch(late, f"{table}_late", batch_id)
+        newest = latest_by_key(ingest.valid_workouts(taken), ["id"], ARRIVAL)
         if intervals:
             writers.write_batch(ingest.flatten_intervals(newest), intervals, batch_id)
             writers.compact_if_long(spark, intervals, ["interval_id"])
         writers.write_batch(ingest.normalise(newest), table, batch_id)
-        rejected = ingest.rejected_workouts(batch).select(*S.RAW_WORKOUT.fieldNames())
+        rejected = ingest.rejected_workouts(taken).select(*S.RAW_WORKOUT.fieldNames())
         writers.write_batch(rejected, rejects or f"{table}_rejects", batch_id)
+        writers.write_batch(_moved_marks(ingest.marks_of(taken, "sessions"), earlier), marks, batch_id)
+        writers.compact_if_long(spark, marks, ["source_name", "athlete_id"])
     finally:
         batch.unpersist()
-    stored = spark.read.parquet(f"{table}/batch_id={batch_id}")
-    seen = stored.select(F.col("workout_date").alias("last_sync_ts"))
-    if earlier is not None:
-        seen = seen.unionByName(earlier.select("last_sync_ts"))
-    mark = seen.agg(F.max("last_sync_ts").alias("last_sync_ts"))
-    writers.write_batch(mark.select(F.lit("sessions").alias("source_name"), "last_sync_ts"), marks, batch_id)
-    writers.compact_if_long(spark, marks, ["source_name"])
     writers.compact_if_long(spark, table, ["workout_id"])
-    return stored
+    return spark.read.parquet(f"{table}/batch_id={batch_id}")
+
+
+def _moved_marks(found: DataFrame, earlier: DataFrame | None) -> DataFrame:
+    """The marks of the athletes of a batch; a mark never moves back."""
+    if earlier is None:
+        return found
+    of = F.col("athlete_id").eqNullSafe(F.col("found_id"))
+    before = earlier.join(found.select(F.col("athlete_id").alias("found_id")), of, "left_semi").select(*found.columns)
+    return found.unionByName(before).groupBy("source_name", "athlete_id").agg(F.max("last_sync_ts").alias("last_sync_ts"))
+
+
+def _split_late(batch: DataFrame, marks: DataFrame, replay_days: int, mark_of: str) -> tuple[DataFrame, DataFrame]:
+    """The rows to take in, and those too late with the reason."""
+    if mark_of == "athlete":
+        judged = ingest.judged_by_athlete(batch, marks, replay_days)
+    else:
+        judged = ingest.judged_by_source(batch, marks, "sessions", replay_days)
+    late = judged.where(F.col("late").isNotNull()).select(*S.LATE_WORKOUT.fieldNames())
+    return judged.where(F.col("late").isNull()).drop("late"), late
+
+
+def late_workouts(spark: SparkSession, table: str) -> DataFrame:
+    """The workouts that came too late, with the reason: to be taken in by hand or by a stream without a limit."""
+    return read_or_empty(spark, f"{table}_late", S.LATE_WORKOUT).select(*S.LATE_WORKOUT.fieldNames())
+
+
+def corrupt_lines(spark: SparkSession, table: str) -> DataFrame:
+    """The landed lines that could not be read."""
+    return read_or_empty(spark, f"{table}_corrupt", S.CORRUPT_LINE).select(*S.CORRUPT_LINE.fieldNames())
 
 
 def rejected_workouts(spark: SparkSession, table: str) -> DataFrame:
@@ -162,7 +202,9 @@ def current_metrics(spark: SparkSession, derived: str) -> DataFrame:
 
 
 def exclusion_stream(spark: SparkSession, folder: str) -> DataFrame:
-    return dated_exclusions(landed(spark, folder, S.RAW_EXCLUSION))
+    """Landed exclusion records with the time of their landing."""
+    records = landed(spark, folder, S.RAW_EXCLUSION)
+    return dated_exclusions(records.select("*", F.col("_metadata.file_modification_time").alias("landed_at")))
 
 
 def keep_exclusion_log(
@@ -170,19 +212,31 @@ def keep_exclusion_log(
     days: int = S.RETENTION_DAYS, **trigger,
 ) -> StreamingQuery:
     """Append each batch of exclusion records and apply the retention period to the log. It counts from ``as_of``, which
-    may be a function that is asked at every batch; by default from the newest time of the batch."""
+    may be a function that is asked at every batch; by default from the newest landing of the batch, never from the records. A record
+    of a later time has a wrong one: it goes to a log of its own (``future_exclusions``)."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        writers.append_exclusions(batch, log, batch_id)
         limit = as_of() if callable(as_of) else as_of
-        if limit is None:
-            limit = batch.agg(F.max("timestamp")).first()[0]
-        if limit is not None:
-            writers.prune_exclusions(batch.sparkSession, log, limit, days)
+        if limit is None and "landed_at" in batch.columns:
+            limit = batch.agg(F.max(utc_time(F.col("landed_at")))).first()[0]
+        if limit is None and "landed_at" not in batch.columns:
+            raise ValueError("records without landed_at need as_of")
+        batch = batch.drop("landed_at")
+        if limit is None:  # an empty batch
+            return
+        future = F.coalesce(F.col("timestamp") > time_literal(limit), F.lit(False))
+        writers.write_batch(batch.where(future), f"{log}_future", batch_id)
+        writers.append_exclusions(batch.where(~future), log, batch_id)
+        writers.prune_exclusions(batch.sparkSession, log, limit, days)
 
     return run(records, handle, checkpoint, **trigger)
 
 
+def future_exclusions(spark: SparkSession, log: str) -> DataFrame:
+    """The records that were set aside as they claim a time that had not come when they landed."""
+    return read_or_empty(spark, f"{log}_future", S.EXCLUSION).select(*S.EXCLUSION.fieldNames())
+
+
 def update_confidence(events: DataFrame, entities: DataFrame, store: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Fold each batch of lineage events into the stored confidences (id, confidence per batch)."""
 
