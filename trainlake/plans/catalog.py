@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -797,6 +798,41 @@ def raw_json_scan(spark, folder):
     return ingest.normalise(upsert.latest_by_key(landed, ["id"], readers.ARRIVAL))
 
 
+@query
+def raw_corrupt_pages(spark, folder):
+    """Landed lines of one workout each, some of them cut off: workouts that are read, and the text of what is not."""
+    path = new_path(spark, "landed")
+    _lines(B.raw_workouts(spark, folder), 31).write.text(path)
+    files = [r.file for r in readers.landed_files(spark, path).collect()]
+    found = readers.ordered_workouts(readers.read_lines(spark, files, S.RAW_WORKOUT_PAGE))
+    return found.select("id", "athlete_id", "distance", "corrupt")
+
+
+def _lines(raw, cut):
+    """One page per workout as text; every ``cut``-th ends after the id."""
+    page = F.to_json(F.struct(F.array(F.struct(*S.RAW_WORKOUT.fieldNames())).alias("data")))
+    broken = F.concat(F.lit('{"data": [{"id": "'), "id")
+    return raw.select(F.when(F.col("id").cast("bigint") % cut == 0, broken).otherwise(page).alias("value"))
+
+
+@query
+def refresh_two_landings(spark, folder):
+    """Two refreshes over one landing folder that grows: how often each workout was stored, set aside, late or unreadable."""
+    lake, landing = new_path(spark, "lake"), new_path(spark, "landing")
+    raw = B.raw_workouts(spark, folder)
+    even = F.col("id").cast("bigint") % 2 == 0
+    for batch_id, (arrival, now) in enumerate(((raw.where(even), "2024-01-15 00:00:00"), (raw.where(~even), "2024-01-20 00:00:00"))):
+        _lines(arrival, 31).write.mode("append").text(landing)
+        jobs.refresh(spark, lake, batch_id, now, pages=landing)
+    ends = [
+        jobs.sessions(spark, lake).select(F.col("workout_id").alias("id"), F.lit("stored").alias("outcome")),
+        jobs.rejected_workouts(spark, lake).select("id", F.lit("rejected").alias("outcome")),
+        jobs.late_workouts(spark, lake).select("id", F.col("late").alias("outcome")),
+        jobs.corrupt_lines(spark, lake).select(F.regexp_extract("corrupt", r"(\d+)$", 1).alias("id"), F.lit("corrupt").alias("outcome")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), ends).groupBy("id", "outcome").agg(F.count(F.lit(1)).alias("times"))
+
+
 def _pages(raw):
     """Pages of workouts, some with an older version before them: every fourth in the same page, every sixth of the others
     in the line before."""
@@ -1009,6 +1045,24 @@ def stream_sessions_replay(spark, folder):
     return writers.current_rows(spark, table, ["workout_id"])
 
 
+@query
+def stream_sessions_late(spark, folder):
+    """Two arrivals under the replay limit, with dates that lie far ahead: each workout is stored, set aside or late."""
+    table, landing, progress = (new_path(spark, name) for name in ("sessions", "landing", "progress"))
+    raw = B.raw_workouts(spark, folder)
+    number = F.col("id").cast("bigint")
+    raw = raw.withColumn("date", F.when(number % 101 == 0, "2199-05-05T00:00:00").otherwise(F.col("date")))
+    for arrival in (raw.where(number % 2 == 0), raw.where(number % 2 != 0)):
+        _pages(arrival).write.mode("append").json(landing)
+        streams.sync_sessions(streams.workout_stream(spark, landing), table, progress).awaitTermination()
+    ends = [
+        writers.current_rows(spark, table, ["workout_id"]).select(F.col("workout_id").alias("id"), "athlete_id", F.lit("stored").alias("outcome")),
+        streams.rejected_workouts(spark, table).select("id", "athlete_id", F.lit("rejected").alias("outcome")),
+        streams.late_workouts(spark, table).select("id", "athlete_id", F.col("late").alias("outcome")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), ends).distinct()
+
+
 @query
 def stream_metrics(spark, folder):
     sessions, derived = new_path(spark, "sessions"), new_path(spark, "metrics")
@@ -1032,6 +1086,23 @@ def stream_quarantine(spark, folder):
     return readers.read_table(spark, log, S.EXCLUSION).select(*_log_columns())
 
 
+@query
+def stream_quarantine_future(spark, folder):
+    """Without a reference time, records of a time after their landing are set aside and the others stay in the log."""
+    landing, progress, log = (new_path(spark, name) for name in ("records", "progress", "exclusions"))
+    records = _dated_log(spark, folder)
+    number = F.col("object_id").cast("bigint")
+    wrong = F.lit("2199-05-05 00:00:00").cast("timestamp_ntz")
+    records = records.withColumn("timestamp", F.when(number % 23 == 0, wrong).otherwise(F.col("timestamp")))
+    for arrival in (records.where(number % 2 == 0), records.where(number % 2 != 0)):
+        arrival.write.mode("append").json(landing)
+        stream = streams.exclusion_stream(spark, landing)
+        streams.keep_exclusion_log(stream, log, progress, days=36500).awaitTermination()
+    kept = readers.read_table(spark, log, S.EXCLUSION).withColumn("set_aside", F.lit(False))
+    aside = streams.future_exclusions(spark, log).withColumn("set_aside", F.lit(True))
+    return kept.select(*aside.columns).unionByName(aside).select(*_log_columns(), "set_aside")
+
+
 @query
 def stream_confidence(spark, folder):
     """The lineage history in three arrivals, each later than the one before."""

@@ -1016,3 +1016,37 @@ q(
     _normal("(CASE WHEN retaken THEN distance + 100 ELSE distance END)", "taken").replace("FROM payloads", "FROM arrived"),
     "arrived",
 )
+q(
+    "stream_sessions_late",
+    """SELECT id, athlete_id, CASE
+  WHEN event_id % 2 <> 0 AND mark IS NOT NULL AND told IS NULL THEN 'no_date'
+  WHEN event_id % 2 <> 0 AND told < mark - INTERVAL 3 DAY THEN 'before_limit'
+  WHEN time_ds IS NULL THEN 'rejected' ELSE 'stored' END AS outcome
+FROM (SELECT *, CASE WHEN event_id % 101 = 0 THEN TIMESTAMP '2199-05-05' ELSE moment END AS told,
+  MAX(moment) FILTER (event_id % 2 = 0 AND event_id % 101 <> 0 AND time_ds IS NOT NULL) OVER (PARTITION BY athlete_id) AS mark
+FROM payloads)""",
+    "payloads",
+)
+q(
+    "raw_corrupt_pages",
+    """SELECT CASE WHEN event_id % 31 <> 0 THEN id END AS id, CASE WHEN event_id % 31 <> 0 THEN athlete_id END AS athlete_id,
+  CAST(CASE WHEN event_id % 31 <> 0 THEN distance END AS INT) AS distance,
+  CASE WHEN event_id % 31 = 0 THEN '{"data": [{"id": "' || id END AS corrupt FROM payloads""",
+    "payloads",
+)
+q(
+    "refresh_two_landings",
+    """SELECT id, CASE WHEN event_id % 31 = 0 THEN 'corrupt'
+  WHEN event_id % 2 <> 0 AND moment IS NULL THEN 'no_date'
+  WHEN event_id % 2 <> 0 AND moment < TIMESTAMP '2024-01-12 00:00:00' THEN 'before_limit'
+  WHEN time_ds IS NULL THEN 'rejected' ELSE 'stored' END AS outcome, CAST(1 AS BIGINT) AS times
+FROM payloads""",
+    "payloads",
+)
+q(
+    "stream_quarantine_future",
+    """SELECT CASE WHEN number % 23 = 0 THEN TIMESTAMP '2199-05-05' ELSE timestamp END AS timestamp, object_id, entity_type, reason_code,
+  priority_score, mode, token_budget, number % 23 = 0 AS set_aside
+FROM (SELECT *, CAST(object_id AS BIGINT) AS number FROM exclusions)""",
+    "exclusions",
+)
