@@ -1,4 +1,5 @@
 import json
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -196,3 +197,56 @@ def test_future_records_empty_no_log(landing):
     log = readers.read_table(landing.spark, landing.path("log"), S.EXCLUSION)
     assert [r[0] for r in rows(log, ["object_id"])] == ["a", "b"]
     assert [r.object_id for r in streams.future_exclusions(landing.spark, landing.path("log")).collect()] == ["c"]
+
+
+def pruned(df):
+    """Every scan of the plan opens some buckets only."""
+    scans = re.findall(r"FileScan .*", df._jdf.queryExecution().executedPlan().toString())
+    return bool(scans) and all("PartitionFilters: [bucket" in scan or "IN (" in scan.split("PartitionFilters: ")[1][:40] for scan in scans)
+
+
+def test_a_batch_reads_the_buckets_of_its_athletes_only(landing, spark):
+    derived, buckets = landing.path("derived"), 16
+
+    def run():
+        query = streams.sync_metrics(landing.workouts(), landing.path("sessions"), derived, landing.path("progress"), None, buckets=buckets)
+        query.awaitTermination()
+
+    landing.land({"data": [workout(100 * a + i, i, 2000 + 10 * i, athlete=a, time=6000 + 37 * i) for a in range(40) for i in range(4)]})
+    run()
+    landing.land({"data": [workout(702, 2, 2900, athlete=7), workout(903, 3, 2500, athlete=8)]})  # the second moves from 9 to 8
+    run()
+    touched = writers.touched_buckets(spark, f"{derived}_history", 1)
+    bucket = lambda *keys: {r[0] for r in spark.createDataFrame([(k,) for k in keys], "k string").select(writers.bucket_of(F.col("k"), buckets)).collect()}
+    assert set(touched) == bucket("7", "8", "9") == set(writers.touched_buckets(spark, derived, 1))
+    assert len(writers.touched_buckets(spark, f"{derived}_history", 0)) > 10
+    assert len(writers.touched_buckets(spark, f"{derived}_places", 1)) <= 2
+    rows_read = writers.current_rows(spark, f"{derived}_history", streams.HISTORY_KEYS, 1, touched)
+    assert pruned(rows_read)
+    current = writers.current_rows(spark, landing.path("sessions"), ["workout_id"])
+    assert rows(streams.current_metrics(spark, derived)) == rows(metrics.daily_metrics(current))
+    few = streams.current_metrics(spark, derived, [8, 9], buckets)
+    assert rows(few) == rows(metrics.daily_metrics(current.where("athlete_id in (8, 9)")))
+    assert pruned(few) and not pruned(streams.current_metrics(spark, derived))
+    with pytest.raises(ValueError):
+        writers.write_batch(current.withColumn("athlete_key", F.lit("")), derived, 9, "athlete_key", 8)
+
+
+def test_buckets_stay_complete_when_batches_are_folded(landing, spark):
+    """Moved, ineligible and unknown athletes, with every table folded after each batch."""
+    derived = landing.path("derived")
+    arrivals = [
+        [workout(i, i, 2000 + 10 * i, athlete=i % 3, time=6000 + 37 * i) for i in range(12)],
+        [workout(4, 4, 2000, athlete=2), {**workout(5, 5, 2000), "athlete_id": None}],
+        [workout(4, 4, 2000, athlete=0), workout(7, 7, 100, athlete=1)],
+        [{**workout(5, 6, 2100), "athlete_id": None}, workout(7, 7, 2200, athlete=2), workout(4, 4, 2050, athlete=2)],
+    ]
+    for arrival in arrivals:
+        landing.land({"data": arrival})
+        query = streams.sync_metrics(landing.workouts(), landing.path("sessions"), derived, landing.path("progress"), None, buckets=4)
+        query.awaitTermination()
+        for path, keys, by in ((derived, streams.HISTORY_KEYS, "athlete_key"), (f"{derived}_history", streams.HISTORY_KEYS, "athlete_key"),
+                               (f"{derived}_places", ["workout_id"], "workout_id")):
+            writers.compact(spark, path, keys, by, 4)
+        current = writers.current_rows(spark, landing.path("sessions"), ["workout_id"])
+        assert rows(streams.current_metrics(spark, derived)) == rows(metrics.daily_metrics(current))

@@ -1069,7 +1069,7 @@ def stream_metrics(spark, folder):
     _workout_arrivals(
         spark,
         folder,
-        lambda workouts, progress: streams.sync_metrics(workouts, sessions, derived, progress, replay_days=None),
+        lambda workouts, progress: streams.sync_metrics(workouts, sessions, derived, progress, replay_days=None, buckets=8),
     )
     return _rounded(streams.current_metrics(spark, derived))
 

@@ -7,10 +7,13 @@ older ones are folded into a base.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trainlake import schemas as S
@@ -23,6 +26,9 @@ from trainlake.sources.readers import BASE, BATCH, VERSION, path_exists, read_sn
 # Batches beside the base before they are folded into it.
 BATCHES_PER_BASE = 24
 
+# Folders by a hash of the key, for tables that are kept in buckets.
+BUCKET, BUCKETS = "bucket", 32
+
 
 def append_tips(tips: DataFrame, path: str, batch_id: int | None = None) -> None:
     """Add complete note rows (see ``notes.new_tips``) to the log, as a batch of this or the next number."""
@@ -188,9 +194,48 @@ def stored_briefs(spark: SparkSession, path: str) -> DataFrame:
 
 
 # ---- Keyed tables as batch logs -----------------------------------------------------------------
-def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Store the rows of one batch under its number. Repeating a batch replaces just that batch."""
-    rows.write.mode("overwrite").parquet(f"{path}/{BATCH}{int(batch_id)}")
+def write_batch(rows: DataFrame, path: str, batch_id: int, bucket_by: str | None = None, buckets: int = BUCKETS) -> None:
+    """Store the rows of one batch under its number. Repeating a batch replaces just that batch.
+
+    With ``bucket_by`` the rows are in folders by a hash of that column, so that a read of a few keys (``touched_buckets``)
+    opens the folders of these keys only. A table keeps its number of buckets."""
+    if bucket_by is None:
+        rows.write.mode("overwrite").parquet(f"{path}/{BATCH}{int(batch_id)}")
+        return
+    _same_buckets(rows.sparkSession, path, buckets)
+    _in_buckets(rows.withColumn(BUCKET, bucket_of(F.col(bucket_by), buckets)), f"{path}/{BATCH}{int(batch_id)}")
+
+
+def _in_buckets(rows: DataFrame, folder: str) -> None:
+    balanced(rows, BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(folder)
+
+
+def bucket_of(key: Column, buckets: int = BUCKETS) -> Column:
+    """The folder of a key, with the number of all folders in its name."""
+    return F.concat(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("string"), F.lit(f"of{buckets}"))
+
+
+def touched_buckets(spark: SparkSession, path: str, batch_id: int) -> list[str]:
+    """The buckets that a batch wrote to, from the names of its folders."""
+    folder = f"{path}/{BATCH}{int(batch_id)}"
+    return sorted(f.removeprefix(f"{BUCKET}=") for f in _folders(spark, folder) if f.startswith(f"{BUCKET}="))
+
+
+def _same_buckets(spark: SparkSession, path: str, buckets: int) -> None:
+    if not path_exists(spark, path):
+        return
+    for part in [f for f in _folders(spark, path) if f.startswith((BASE, BATCH))][:1]:
+        names = [f for f in _folders(spark, f"{path}/{part}") if f.startswith(f"{BUCKET}=")]
+        if any(not f.endswith(f"of{buckets}") for f in names):
+            raise ValueError(f"{path} is kept in another number of buckets than {buckets}")
+
+
+def _read(spark: SparkSession, path: str, folders: list[str], buckets: list[str] | None) -> DataFrame:
+    """Rows of some folders of a table, or of some of their buckets. The filter prunes folders, the column is not kept."""
+    rows = spark.read.option("basePath", path).parquet(*[f"{path}/{f}" for f in folders])
+    if BUCKET not in rows.columns:
+        return rows
+    return (rows if buckets is None else rows.where(F.col(BUCKET).isin(buckets))).drop(BUCKET)
 
 
 def _parts(spark: SparkSession, path: str) -> tuple[int | None, list[int]]:
@@ -205,25 +250,29 @@ def next_batch(spark: SparkSession, path: str) -> int:
     return max([-1 if base is None else base, *later]) + 1
 
 
-def _batches(spark: SparkSession, path: str, numbers: list[int]) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(*[f"{path}/{BATCH}{n}" for n in numbers])
-
-
-def stored_rows(spark: SparkSession, path: str, up_to: int | None = None) -> DataFrame | None:
+def stored_rows(
+    spark: SparkSession, path: str, up_to: int | None = None, buckets: list[str] | None = None
+) -> DataFrame | None:
     """All rows of the base and of the batches after it (or those up to a number), with ``batch_id``; None without any.
-    The base holds one row per key and has the number it reaches to."""
+    The base holds one row per key and has the number it reaches to. ``buckets``: only those of a table in buckets."""
     base, later = _parts(spark, path)
     later = [n for n in later if up_to is None or n <= up_to]
     if up_to is not None and base is not None and base > up_to:
         raise ValueError(f"{path} is folded up to batch {base}; it has no state of batch {up_to}")
-    parts = [spark.read.parquet(f"{path}/{BASE}{base}").withColumn("batch_id", F.lit(base))] if base is not None else []
-    parts += [_batches(spark, path, later)] if later else []
+    parts = [_base(spark, path, base, buckets).withColumn("batch_id", F.lit(base))] if base is not None else []
+    parts += [_read(spark, path, [f"{BATCH}{n}" for n in later], buckets)] if later else []
     return reduce(lambda a, b: a.unionByName(b), parts) if parts else None
 
 
-def current_rows(spark: SparkSession, path: str, keys: list[str], up_to: int | None = None) -> DataFrame:
+def _base(spark: SparkSession, path: str, number: int, buckets: list[str] | None) -> DataFrame:
+    return _read(spark, path, [f"{BASE}{number}"], buckets).drop(BASE.rstrip("="))
+
+
+def current_rows(
+    spark: SparkSession, path: str, keys: list[str], up_to: int | None = None, buckets: list[str] | None = None
+) -> DataFrame:
     """The newest row of each key over all batches, or those up to a number (each batch holds a key at most
-    once).
+    once). ``buckets``: only those of a table whose buckets hold all rows of a key.
 
     The base, by far the largest part, is only filtered by the keys of the later batches; while those are small it is
     neither aggregated nor shuffled.
@@ -231,13 +280,13 @@ def current_rows(spark: SparkSession, path: str, keys: list[str], up_to: int | N
     base, later = _parts(spark, path)
     later = [n for n in later if up_to is None or n <= up_to]
     if base is None:
-        first, later = _batches(spark, path, later[:1]).drop("batch_id"), later[1:]
+        first, later = _read(spark, path, [f"{BATCH}{n}" for n in later[:1]], buckets).drop("batch_id"), later[1:]
     else:
-        first = spark.read.parquet(f"{path}/{BASE}{base}")
-    return upsert(first, _batches(spark, path, later), keys, "batch_id") if later else first
+        first = _base(spark, path, base, buckets)
+    return upsert(first, _read(spark, path, [f"{BATCH}{n}" for n in later], buckets), keys, "batch_id") if later else first
 
 
-def compact(spark: SparkSession, path: str, keys: list[str]) -> None:
+def compact(spark: SparkSession, path: str, keys: list[str], bucket_by: str | None = None, buckets: int = BUCKETS) -> None:
     """Fold all batches but the newest into the base. The newest stays apart, as a stream may repeat it.
 
     The new base counts once it is complete; what the base before it had replaced already is removed, so a reader that
@@ -247,7 +296,11 @@ def compact(spark: SparkSession, path: str, keys: list[str]) -> None:
     folded = later[:-1]
     if not folded:
         return
-    current_rows(spark, path, keys, up_to=folded[-1]).write.mode("overwrite").parquet(f"{path}/{BASE}{folded[-1]}")
+    rows, folder = current_rows(spark, path, keys, up_to=folded[-1]), f"{path}/{BASE}{folded[-1]}"
+    if bucket_by is None:
+        rows.write.mode("overwrite").parquet(folder)
+    else:
+        _in_buckets(rows.withColumn(BUCKET, bucket_of(F.col(bucket_by), buckets)), folder)
     if base is not None:
         for prefix, below in ((BATCH, base + 1), (BASE, base)):
             for number in _numbered(spark, path, prefix):
@@ -255,7 +308,17 @@ def compact(spark: SparkSession, path: str, keys: list[str]) -> None:
                     _delete(spark, f"{path}/{prefix}{number}")
 
 
-def compact_if_long(spark: SparkSession, path: str, keys: list[str], most: int = BATCHES_PER_BASE) -> None:
+def compact_if_long(
+    spark: SparkSession, path: str, keys: list[str], most: int = BATCHES_PER_BASE, bucket_by: str | None = None, buckets: int = BUCKETS
+) -> None:
     """Called by jobs and streams after each batch: what a read has to merge stays bounded."""
     if path_exists(spark, path) and len(_parts(spark, path)[1]) > most:
-        compact(spark, path, keys)
+        compact(spark, path, keys, bucket_by, buckets)
+
+
+def at_once(spark: SparkSession, *writes: Callable[[], None]) -> None:
+    """Run independent writes side by side: small ones do not wait for each other. The first error is raised when all have ended."""
+    run = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(len(writes)) as pool:
+        for write in [pool.submit(run(w)) for w in writes]:
+            write.result()

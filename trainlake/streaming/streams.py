@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -84,36 +84,40 @@ def sync_sessions(
 
 def _store_sessions(
     batch: DataFrame, batch_id: int, table: str, replay_days: int | None, intervals: str | None = None,
-    rejects: str | None = None, mark_of: str = "athlete",
+    rejects: str | None = None, mark_of: str = "athlete", beside: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
-    """Store the batch and return it as written."""
+    """Store the batch and return it as written. ``beside`` gets the stored rows while the smaller tables are written."""
     spark, marks = batch.sparkSession, f"{table}_marks"
     earlier = _earlier_batches(spark, marks, batch_id)
     batch = numbered(batch).persist()
     try:
+        rows, writes = batch, []
         if CORRUPT in batch.columns:
             broken = batch.where(F.col(CORRUPT).isNotNull()).select(*S.CORRUPT_LINE.fieldNames())
-            writers.write_batch(broken, f"{table}_corrupt", batch_id)
-            batch_rows = batch.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-        else:
-            batch_rows = batch
-        taken = batch_rows
+            writes.append(lambda: writers.write_batch(broken, f"{table}_corrupt", batch_id))
+            rows = batch.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+        taken = rows
         if earlier is not None and replay_days is not None:
-            taken, late = _split_late(batch_rows, earlier, replay_days, mark_of)
-            writers.write_batch(late, f"{table}_late", batch_id)
+            taken, late = _split_late(rows, earlier, replay_days, mark_of)
+            writes.append(lambda: writers.write_batch(late, f"{table}_late", batch_id))
         newest = latest_by_key(ingest.valid_workouts(taken), ["id"], ARRIVAL)
+        rejected = ingest.rejected_workouts(taken).select(*S.RAW_WORKOUT.fieldNames())
+        moved = _moved_marks(ingest.marks_of(taken, "sessions"), earlier)
+        writes.append(lambda: writers.write_batch(rejected, rejects or f"{table}_rejects", batch_id))
+        writes.append(lambda: writers.write_batch(moved, marks, batch_id))
         if intervals:
-            writers.write_batch(ingest.flatten_intervals(newest), intervals, batch_id)
-            writers.compact_if_long(spark, intervals, ["interval_id"])
+            writes.append(lambda: writers.write_batch(ingest.flatten_intervals(newest), intervals, batch_id))
+        # The first write reads the landed files and fills the cache for the others.
         writers.write_batch(ingest.normalise(newest), table, batch_id)
-        rejected = ingest.rejected_workouts(taken).select(*S.RAW_WORKOUT.fieldNames())
-        writers.write_batch(rejected, rejects or f"{table}_rejects", batch_id)
-        writers.write_batch(_moved_marks(ingest.marks_of(taken, "sessions"), earlier), marks, batch_id)
+        stored = spark.read.parquet(f"{table}/batch_id={batch_id}")
+        writers.at_once(spark, *writes, *([lambda: beside(stored)] if beside else []))
         writers.compact_if_long(spark, marks, ["source_name", "athlete_id"])
+        if intervals:
+            writers.compact_if_long(spark, intervals, ["interval_id"])
     finally:
         batch.unpersist()
     writers.compact_if_long(spark, table, ["workout_id"])
-    return spark.read.parquet(f"{table}/batch_id={batch_id}")
+    return stored
 
 
 def _moved_marks(found: DataFrame, earlier: DataFrame | None) -> DataFrame:
@@ -159,46 +163,93 @@ def _earlier_batches(spark: SparkSession, table: str, batch_id: int) -> DataFram
 
 def sync_metrics(
     workouts: DataFrame, sessions: str, derived: str, checkpoint: str, replay_days: int | None = S.REPLAY_DAYS,
-    **trigger,
+    buckets: int = writers.BUCKETS, **trigger,
 ) -> StreamingQuery:
-    """Session table plus derived metrics. A changed row touches itself and the few rows after it, so each
-    batch recomputes the athletes it contains from their first changed row on. The six rows before that are
-    enough history: however long it is, an athlete's past is scanned but not moved."""
+    """Session table plus derived metrics. A changed row touches itself and the few rows after it, so each batch recomputes the
+    athletes it contains from their first changed row on; six rows before that are enough history.
+
+    What an athlete has is read from the folders of the batch's own athletes only (``_changed_history``), so the cost of a batch
+    follows the batch and its athletes, not the whole table. ``buckets``: number of these folders, fixed for a table.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        changed = _store_sessions(batch, batch_id, sessions, replay_days)
-        stored = writers.stored_rows(spark, sessions, up_to=batch_id)
-        versions = stored.join(changed.select("workout_id"), "workout_id", "left_semi")
+        spark, history = batch.sparkSession, f"{derived}_history"
+        touched = []
+        _store_sessions(
+            batch, batch_id, sessions, replay_days, beside=lambda stored: touched.extend(_changed_history(stored, derived, batch_id, buckets))
+        )
+        if not touched:
+            return
+        mine = spark.read.parquet(f"{history}/batch_id={batch_id}").select(*HISTORY_KEYS, "athlete_id", "workout_id", "moved_away")
+        versions = writers.stored_rows(spark, history, batch_id, touched).join(mine.select(*HISTORY_KEYS), HISTORY_KEYS, "left_semi")
         # The earliest old or new time of a changed workout; a time that is NULL sorts last.
-        since = materialise(versions.groupBy("athlete_id").agg(F.min("workout_date").alias("since")), "since")
-        current = writers.current_rows(spark, sessions, ["workout_id"], up_to=batch_id).join(since, "athlete_id")
+        since = materialise(versions.groupBy("athlete_key").agg(F.min("workout_date").alias("since")), "since")
+        current = writers.current_rows(spark, history, HISTORY_KEYS, batch_id, touched).where("NOT moved_away").join(since, "athlete_key")
         affected = F.col("workout_date").isNull() | F.coalesce(F.col("workout_date") >= F.col("since"), F.lit(False))
         newest_first = [F.desc(name) for name in metrics.SESSION_ORDER]
-        history = best_rows(
-            metrics.eligible_sessions(current.where(~affected)), "athlete_id", newest_first, S.LOAD_SESSIONS - 1
+        earlier = best_rows(
+            metrics.eligible_sessions(current.where(~affected)), "athlete_key", newest_first, S.LOAD_SESSIONS - 1
         )
-        rows = materialise(current.where(affected).unionByName(history.drop("rank")), "touched")
-        recomputed = metrics.daily_metrics(rows.drop("since")).join(since, "athlete_id").where(affected).drop("since")
-        # Workouts that stopped being eligible leave an empty marker, so that the older row is not used.
-        gone = metrics_removed(rows, changed)
-        writers.write_batch(recomputed.unionByName(gone), derived, batch_id)
-        writers.compact_if_long(spark, derived, ["workout_id"])
+        rows = materialise(current.where(affected).unionByName(earlier.drop("rank")), "touched")
+        recomputed = metrics.daily_metrics(rows).join(since.withColumnRenamed("athlete_key", "of"), _athlete_key() == F.col("of"))
+        recomputed = recomputed.where(affected).drop("since", "of")
+        # Workouts that stopped being eligible or went to another athlete leave an empty marker, so that the older row is not used.
+        gone = metrics_removed(rows, mine)
+        found = recomputed.unionByName(gone).withColumn("athlete_key", _athlete_key())
+        writers.write_batch(found, derived, batch_id, "athlete_key", buckets)
+        writers.compact_if_long(spark, derived, HISTORY_KEYS, bucket_by="athlete_key", buckets=buckets)
+        writers.compact_if_long(spark, history, HISTORY_KEYS, bucket_by="athlete_key", buckets=buckets)
 
     return run(workouts, handle, checkpoint, **trigger)
 
 
+# An athlete may be unknown (NULL), which keys cannot be.
+HISTORY_KEYS = ["athlete_key", "workout_id"]
+
+
+def _athlete_key() -> Column:
+    return F.coalesce(F.col("athlete_id").cast("string"), F.lit(""))
+
+
+def _changed_history(changed: DataFrame, derived: str, batch_id: int, buckets: int) -> list[str]:
+    """Store the changed sessions by athlete and return the buckets that they touch.
+
+    ``{derived}_places`` says which athlete a workout belongs to, in buckets by workout. A workout that comes back with another
+    athlete leaves a row ``moved_away`` in the history of the one before, so that each bucket is complete by itself."""
+    spark, history, places = changed.sparkSession, f"{derived}_history", f"{derived}_places"
+    now = changed.withColumns({"athlete_key": _athlete_key(), "moved_away": F.lit(False)})
+    writers.write_batch(now.select("workout_id", "athlete_key"), places, batch_id, "workout_id", buckets)
+    rows = now
+    if writers.stored_rows(spark, places, batch_id - 1) is not None:
+        touched = writers.touched_buckets(spark, places, batch_id)
+        before = writers.current_rows(spark, places, ["workout_id"], batch_id - 1, touched)
+        moved = now.join(before.withColumnRenamed("athlete_key", "was"), "workout_id").where("was <> athlete_key")
+        number = F.when(F.col("was") != "", F.col("was")).cast(changed.schema["athlete_id"].dataType)
+        moved = moved.withColumns({"athlete_key": F.col("was"), "athlete_id": number, "moved_away": F.lit(True)}).select(*now.columns)
+        rows = now.unionByName(moved)
+    writers.write_batch(rows, history, batch_id, "athlete_key", buckets)
+    writers.compact_if_long(spark, places, ["workout_id"], bucket_by="workout_id", buckets=buckets)
+    return writers.touched_buckets(spark, history, batch_id)
+
+
 def metrics_removed(current: DataFrame, changed: DataFrame) -> DataFrame:
-    """Markers for changed workouts that are not eligible: their key with no split."""
-    still = metrics.eligible_sessions(current).select("workout_id")
-    gone = changed.join(still, "workout_id", "left_anti")
+    """Markers for changed workouts of an athlete that are not (or no longer) eligible: their key with no split."""
+    still = metrics.eligible_sessions(current).select(*HISTORY_KEYS)
+    gone = changed.join(still, HISTORY_KEYS, "left_anti")
     empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in S.METRICS.fields[2:]]
     return gone.select("athlete_id", "workout_id", *empty)
 
 
-def current_metrics(spark: SparkSession, derived: str) -> DataFrame:
-    newest = writers.current_rows(spark, derived, ["workout_id"])
-    return newest.where(F.col("avg_split_sec").isNotNull()).select(*S.METRICS.fieldNames())
+def current_metrics(spark: SparkSession, derived: str, athletes: list[int] | None = None, buckets: int = writers.BUCKETS) -> DataFrame:
+    """The metrics as they stand, of all athletes or of a few, which are read from their own buckets."""
+    of = None
+    if athletes is not None:
+        keys = spark.createDataFrame([(str(a),) for a in athletes], "athlete_key string")
+        of = [r[0] for r in keys.select(writers.bucket_of(F.col("athlete_key"), buckets)).distinct().collect()]
+    newest = writers.current_rows(spark, derived, HISTORY_KEYS, buckets=of).where(F.col("avg_split_sec").isNotNull())
+    if athletes is not None:
+        newest = newest.where(F.col("athlete_id").isin(list(athletes)))
+    return newest.select(*S.METRICS.fieldNames())
 
 
 def exclusion_stream(spark: SparkSession, folder: str) -> DataFrame:
