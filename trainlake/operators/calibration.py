@@ -17,14 +17,14 @@ Scorer = Callable[[Column, Column, Column, Column], Column]
 EVENTS_PER_TASK = 200_000
 
 
-def _complete(entities: DataFrame) -> Column:
+def complete_of(entities: DataFrame) -> Column:
     """Completeness of entities; measured ones have it already."""
     return F.col("completeness") if "completeness" in entities.columns else completeness()
 
 
 def with_initial_confidence(entities: DataFrame) -> DataFrame:
     """On first ingest the confidence is the completeness."""
-    return entities.withColumn("confidence", F.coalesce(F.col("confidence"), _complete(entities)))
+    return entities.withColumn("confidence", F.coalesce(F.col("confidence"), complete_of(entities)))
 
 
 def observed(complete: Column, referenced: Column, usefulness: Column) -> Column:
@@ -53,7 +53,7 @@ def recalibrate_batch(entities: DataFrame, events: DataFrame, scorer: Scorer = m
     updated = F.when(F.col("has_event"), scored).otherwise(F.col("confidence"))
     return (
         # Completeness first: the join then carries texts only if the caller wants them back.
-        entities.withColumn("complete", _complete(entities))
+        entities.withColumn("complete", complete_of(entities))
         .join(last, "id", "left")
         .withColumn("confidence", updated)
         .select(*entities.columns)
@@ -92,7 +92,7 @@ def folded_events(events: DataFrame, entities: DataFrame, events_per_task: int =
     Events of entities with a very long history are cut into ordered segments; each segment is folded on
     its own and then the segments of an entity, so no task collects an unbounded history.
     """
-    complete = entities.select(F.col("id").alias("object_id"), _complete(entities).alias("complete"))
+    complete = entities.select(F.col("id").alias("object_id"), complete_of(entities).alias("complete"))
     used = observed(F.lit(1.0), F.col("referenced"), F.col("usefulness"))
     narrow = events.select("object_id", "seq", used.alias("used"))
     event = F.struct("seq", (S.EMA_ALPHA * F.col("complete") * F.col("used")).alias("offset"))

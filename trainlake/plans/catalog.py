@@ -17,7 +17,7 @@ from trainlake.plans import bindings as B
 from trainlake.plans import jobs, prompts
 from trainlake.session import materialise, new_path, tune
 from trainlake.sources import readers, writers
-from trainlake.streaming import streams
+from trainlake.streaming import keyed, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1115,7 +1115,13 @@ def stream_confidence_compacted(spark, folder):
     return _streamed_confidence(spark, folder, lambda store: writers.compact(spark, store, ["id"]))
 
 
-def _streamed_confidence(spark, folder, after):
+@query
+def x_keyed_confidence(spark, folder):
+    """The same with the confidences as keyed state, restarted before each arrival."""
+    return _streamed_confidence(spark, folder, lambda store: None, keyed.keep_confidence)
+
+
+def _streamed_confidence(spark, folder, after, update=streams.update_confidence):
     landing, progress, store = (new_path(spark, name) for name in ("lineage", "progress", "confidence"))
     events, entities = B.lineage_history(spark, folder), B.profiles(spark, folder)
     third = B.table(spark, folder, "events").agg(F.max("event_id")).first()[0] // 3 + 1
@@ -1123,7 +1129,7 @@ def _streamed_confidence(spark, folder, after):
         arrival = events.where((F.col("seq") >= i * third) & (F.col("seq") < (i + 1) * third))
         arrival.write.mode("append").json(landing)
         stream = streams.landed(spark, landing, events.schema)
-        streams.update_confidence(stream, entities, store, progress).awaitTermination()
+        update(stream, entities, store, progress).awaitTermination()
         after(store)
     return streams.current_confidence(spark, entities, store).select(
         "id", F.round("confidence", 8).alias("confidence")

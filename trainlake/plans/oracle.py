@@ -778,7 +778,7 @@ _cte(
     """SELECT CAST(CASE WHEN event_id % 3 = 0 THEN 1 ELSE event_id % 150 END AS VARCHAR) AS id, event_id AS seq,
   CASE WHEN event_id % 7 <> 3 THEN CAST(event_id % 5 + 1 AS DOUBLE) / 7 ELSE 0 END AS used FROM events""",
 )
-for name in ("recalibrate_fold", "recalibrate_fold_split", "stream_confidence", "stream_confidence_compacted"):
+for name in ("recalibrate_fold", "recalibrate_fold_split", "stream_confidence", "stream_confidence_compacted", "x_keyed_confidence"):
     # The clamp never acts here (all values are in [0, 1]), so the fold is a weighted sum.
     q(
         name,

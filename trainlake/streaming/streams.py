@@ -27,7 +27,7 @@ from trainlake.sources.readers import (
 )
 
 
-def run(stream: DataFrame, handle, checkpoint: str, **trigger) -> StreamingQuery:
+def run(stream: DataFrame, handle, checkpoint: str, mode: str = "append", **trigger) -> StreamingQuery:
     def tuned(batch: DataFrame, batch_id: int) -> None:
         # A stream runs in a session of its own without adaptive execution; the batch work wants it.
         tune(batch.sparkSession)
@@ -35,7 +35,8 @@ def run(stream: DataFrame, handle, checkpoint: str, **trigger) -> StreamingQuery
             handle(batch, batch_id)
 
     return (
-        stream.writeStream.foreachBatch(tuned)
+        stream.writeStream.outputMode(mode)
+        .foreachBatch(tuned)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
