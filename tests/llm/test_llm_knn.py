@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from trainlake.llm.voronoi_knn import knn_join
+from trainlake.llm.voronoi_knn import KnnJoin, knn_join
 
 SCHEMA = "vec_id long, embedding array<float>, cell string, ids string, key long"
 
@@ -15,20 +15,20 @@ def table():
     rows += [(200 + i, [0.5] * 6) for i in range(40)]  # one common vector, so ties
     rows += [(300, None), (301, [0.1, None, 0, 0, 0, 0]), (302, [float("nan")] + [0.0] * 5), (303, [float("inf")] + [0.0] * 5), (None, [1.0] * 6)]
     rows += [(400, [1.0, 2.0]), (450, [2.0, 1.0]), (500, []), (550, [])]
-    return rows + rows[:2]  # repeated rows
+    return rows + rows[:2] + [(7, [0.25] * 6), (20, [0.75] * 6), (20, [1.5] * 6)]  # repeated rows, and ids with several vectors
 
 
 def brute(rows, k, divisor):
-    usable = {i: [math.floor(256 * x) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    usable = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, v in usable.items():
+    for place, (q, v) in enumerate(usable):
         if q % divisor == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in usable.items() if i != q and len(w) == len(v))
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for n, (i, w) in enumerate(usable) if n != place and len(w) == len(v))
             out += [(q, n, i, -s) for n, (s, i) in enumerate(scores[:k], 1)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("pivots,block_rows", [(64, 4096), (4, 16), (1, 3)])
+@pytest.mark.parametrize("pivots,block_rows", [(None, 4096), (4, 16), (1, 3)])
 def test_as_brute_force(spark, pivots, block_rows):
     rows = [(i, None if v is None else [None if x is None else float(spark_float(x)) for x in v]) for i, v in table()]
     df = spark.createDataFrame([(i, v, "mine", "mine", 1) for i, v in rows], SCHEMA)
@@ -50,3 +50,12 @@ def test_large_components_stay_exact(spark):
 
 def test_empty_table(spark):
     assert knn_join(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_most_of_clustered_vectors_is_never_searched(spark):
+    rng = random.Random(8)
+    centres = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(30)]
+    rows = [(i, [c + rng.gauss(0, 0.03) for c in centres[i % 30]]) for i in range(3000)]
+    join = KnnJoin(spark.createDataFrame([(i, v, "", "", 0) for i, v in rows], SCHEMA.replace("float", "double")), F.col("vec_id") % 50 == 0)
+    assert join.routes.count() < 0.1 * join.possible
+    assert sorted(map(tuple, join.result.collect())) == brute(rows, 5, 50)

@@ -1,14 +1,16 @@
 """Exact top-k search by inner product as a Voronoi kNN join.
 
-Vectors become integers, equal vectors become one row with their smallest ids. A bounded number of pivots divides the
-space into cells; the summary of a cell is its pivot p, its radius R and its size. For a query q and any x of a cell,
-q.x lies within |q| R of q.p. Every query vector is first solved in its own cell, which gives a true lower bound of its
-k-th best score; it is then sent to just those other cells whose upper bound q.p + |q| R reaches that score. Cells and
-routed queries are cut into blocks, so that a task holds two blocks and no cell as a whole.
+Vectors become integers, equal vectors become one row with the rows of smallest id that have them. Pivots, about as many as the square
+root of the vectors and drawn from them by a hash, divide the space into cells and each cell into rings by the distance to its
+pivot. The summary of a ring is its pivot p, its largest distance R, its largest norm N and its size. For a query q and any x of it, q.x
+is at most the smaller of q.p + |q| R and |q| N. The pivots themselves and the ring of the query give a true lower bound of its k-th best score;
+the query is then sent to just those other rings whose upper bound reaches it. Rings and the queries sent to them are cut into
+blocks: a ring is copied as often as the number of its own queries asks, and one that nobody asks not at all.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows with a null id, take no part; a
-query meets only vectors of its own length; a query never meets its own row; of several vectors under one id the smallest counts; scores beyond 64 bits saturate; ties go to the smaller id;
-an empty table gives no rows; other columns are not read.
+query meets only vectors of its own length; a query never meets its own row, but others with the same id or vector (rows are told apart
+by their place); scores beyond 64 bits saturate; ties go to the smaller id, then to the earlier row; an empty table gives no
+rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,22 +22,20 @@ from pyspark.sql import functions as F
 
 from trainlake.llm.common import read, small_batches, some, spread, stored
 
-PIVOTS = 64
+MOST_PIVOTS, RINGS = 4096, 8
 BLOCK_ROWS = 4096
 
 _EXACT = float(2**52)
 
 
 def integer_vectors(table: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(vec_id, vec): floor(scale * x) of every usable vector, one for each id."""
+    """(vec_id, row, vec): floor(scale * x) of every usable vector; ``row`` tells rows apart."""
     vec = F.col("v")
     usable = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return (
         table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
         .where(F.col("vec_id").isNotNull() & vec.isNotNull() & usable)
-        .select("vec_id", F.transform(vec, lambda x: F.floor(x * F.lit(float(scale)))).alias("vec"))
-        .groupBy("vec_id")
-        .agg(F.min("vec").alias("vec"))
+        .select("vec_id", F.monotonically_increasing_id().alias("row"), F.transform(vec, lambda x: F.floor(x * F.lit(float(scale)))).alias("vec"))
     )
 
 
@@ -54,11 +54,11 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
 
 
 def _assign(vectors: DataFrame, pivots: list[list[int]]) -> DataFrame:
-    """(vec, ids) with ``cell`` (the nearest pivot) and the ``distance`` to it."""
+    """(vec, ids, rows) with ``cell`` (the nearest pivot), the ``distance`` to it and the ``norm``."""
 
     def nearest(batches):
         for batch in batches:
-            cell, distance = np.zeros(len(batch), dtype=np.int32), np.zeros(len(batch))
+            cell, distance, norm = np.zeros(len(batch), dtype=np.int32), np.zeros(len(batch)), np.zeros(len(batch))
             sizes = batch["vec"].map(len).to_numpy()
             for size in np.unique(sizes):
                 here = np.flatnonzero(sizes == size)
@@ -69,32 +69,36 @@ def _assign(vectors: DataFrame, pivots: list[list[int]]) -> DataFrame:
                 best = square.argmin(1)
                 cell[here] = np.array(own, dtype=np.int32)[best]
                 distance[here] = np.sqrt(((x - at[best]) ** 2).sum(1))
-            yield batch[["vec", "ids"]].assign(cell=cell, distance=distance)
+                norm[here] = np.sqrt((x * x).sum(1))
+            yield batch[["vec", "ids", "rows"]].assign(cell=cell, distance=distance, norm=norm)
 
-    return vectors.mapInPandas(nearest, "vec array<long>, ids array<long>, cell int, distance double")
+    return vectors.mapInPandas(nearest, "vec array<long>, ids array<long>, rows array<long>, cell int, distance double, norm double")
 
 
-def _solve(queries: DataFrame, cells: DataFrame, sizes: DataFrame, n_queries: int, keep: int, block_rows: int) -> DataFrame:
-    """(query_key, vec_id, score): for each routed query the ``keep`` best rows of each block of its cell."""
-    query_blocks = spread(n_queries, block_rows)
-    blocks = sizes.select("cell", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
+def _solve(queries: DataFrame, cells: DataFrame, sizes: DataFrame, keep: int, block_rows: int) -> DataFrame:
+    """(query_key, vec_id, row, score): for each routed query the ``keep`` best rows of each block of its cell."""
+    asked = queries.groupBy("cell").agg(F.count(F.lit(1)).alias("asked"))
+    blocks = asked.join(sizes, "cell").select(
+        "cell", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"), F.ceil(F.col("asked") / block_rows).cast("int").alias("parts")
+    )
     left = (
         queries.join(blocks, "cell")
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("cell", "block", F.pmod(F.xxhash64("query_key"), F.lit(query_blocks)).cast("int").alias("part"), "query_key", "query_vec")
+        .select("cell", "block", F.pmod(F.xxhash64("query_key"), F.col("parts")).cast("int").alias("part"), "query_key", "query_vec")
     )
     right = (
         cells.join(blocks, "cell")
         .withColumn("block", F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int"))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-        .select("cell", "block", "part", "vec", "ids")
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("cell", "block", "part", "vec", "ids", "rows")
     )
 
     def best(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
-            return pd.DataFrame({"query_key": [], "vec_id": [], "score": []}).astype("int64")
+            return pd.DataFrame({"query_key": [], "vec_id": [], "row": [], "score": []}).astype("int64")
         counts = x["ids"].map(len).to_numpy()
         ids = np.concatenate(x["ids"].to_list()).astype(np.int64)
+        places = np.concatenate(x["rows"].to_list()).astype(np.int64)
         row = np.repeat(np.arange(len(x)), counts)
         vectors = _matrix(x["vec"])
         found = []
@@ -105,86 +109,112 @@ def _solve(queries: DataFrame, cells: DataFrame, sizes: DataFrame, n_queries: in
                 # rows whose score is among the best `keep`, then their ids in order
                 limit = np.partition(line, -keep)[-keep] if len(line) > keep else line.min()
                 near = np.flatnonzero((line >= limit)[row])
-                order = np.lexsort((ids[near], -line[row[near]]))[:keep]
-                found.append((np.full(len(order), key), ids[near][order], line[row[near]][order]))
-        return pd.DataFrame(dict(zip(("query_key", "vec_id", "score"), map(np.concatenate, zip(*found)))))
+                order = near[np.lexsort((places[near], ids[near], -line[row[near]]))[:keep]]
+                found.append((np.full(len(order), key), ids[order], places[order], line[row[order]]))
+        return pd.DataFrame(dict(zip(("query_key", "vec_id", "row", "score"), map(np.concatenate, zip(*found)))))
 
     keys = ["cell", "block", "part"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, "query_key long, vec_id long, score long")
-
-
-def knn_join(
-    table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding",
-    k: int = 5, scale: int = 256, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k rows of highest inner product for every row where ``is_query`` (an
-    expression over ``vec_id``). ``pivots`` bounds the sample that divides the space; every row is searched."""
-    spark = table.sparkSession
-    small_batches(spark)
-    vectors = stored(integer_vectors(table, id_col, vector_col, scale), "vectors")
-    # A query leaves out one id, so of equal vectors only the k + 1 smallest ids can be seen.
-    keep = k + 1
-    same = Window.partitionBy("key", "vec").orderBy("vec_id")
-    keyed = vectors.withColumn("key", F.xxhash64("vec"))
-    distinct = (
-        keyed.withColumn("place", F.row_number().over(same))
-        .where(F.col("place") <= keep)
-        .groupBy("key", "vec")
-        .agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    )
-    distinct = stored(distinct, "distinct-vectors")
-    length = Window.partitionBy(F.size("vec")).orderBy("key", "vec")
-    chosen = distinct.select("key", "vec", F.row_number().over(length).alias("place")).where(F.col("place") <= pivots)
-    centres = [row["vec"] for row in chosen.orderBy(F.size("vec"), "place").collect()]
-    cells = stored(_assign(distinct.select("vec", "ids"), centres), "cells")
-    sizes = stored(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("radius")), "cell-sizes")
-
-    members = keyed.where(is_query)
-    asked = members.select("vec").distinct().join(cells.select("vec", "cell"), "vec")
-    asked = stored(asked.select(F.monotonically_increasing_id().alias("query_key"), F.col("vec").alias("query_vec"), "cell"), "query-vectors")
-    n_asked = asked.count()
-    first = stored(_solve(asked, cells, sizes, n_asked, keep, block_rows), "own-cell")
-
-    by_score = Window.partitionBy("query_key").orderBy(F.desc("score"), "vec_id")
-    bound = (
-        first.withColumn("place", F.row_number().over(by_score)).where(F.col("place") == keep).select("query_key", F.col("score").alias("bound"))
-    )
-    radius = {row["cell"]: row["radius"] for row in sizes.collect()}  # one row per pivot
-
-    def reachable(batches):
-        for batch in batches:
-            routes = []
-            for key, vec, cell, least in zip(batch["query_key"], batch["query_vec"], batch["cell"], batch["bound"]):
-                q = np.asarray(vec, dtype=np.float64)
-                own = [c for c in radius if len(centres[c]) == len(q) and c != cell]
-                if not own:
-                    continue
-                at = np.array([centres[c] for c in own], dtype=np.float64).reshape(len(own), -1)
-                upper = at @ q + np.sqrt(q @ q) * np.array([radius[c] for c in own])
-                upper += 1e-9 * np.abs(upper) + 1e-6  # the bound is a float, the scores are not
-                near = np.flatnonzero(upper >= (-np.inf if pd.isna(least) else least))
-                routes += [(key, vec, own[i]) for i in near]
-            yield from some(routes, ["query_key", "query_vec", "cell"])
-
-    bounded = asked.join(bound, "query_key", "left").withColumn("bound", F.col("bound").cast("double"))
-    routes = stored(bounded.mapInPandas(reachable, "query_key long, query_vec array<long>, cell int"), "routes")
-    others = _solve(routes, cells, sizes, n_asked, keep, block_rows)
-
-    best = (
-        first.unionByName(others)
-        .withColumn("place", F.row_number().over(by_score))
-        .where(F.col("place") <= keep)
-        .groupBy("query_key")
-        .agg(F.sort_array(F.collect_list(F.struct("place", "vec_id", "score"))).alias("best"))
-    )
-    solved = asked.join(best, "query_key").select(F.col("query_vec").alias("vec"), "best")
-    others_only = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    return (
-        members.withColumnRenamed("vec_id", "query_id")
-        .join(solved, "vec")
-        .select("query_id", F.posexplode(others_only).alias("at", "found"))
-        .select("query_id", (F.col("at") + 1).alias("rank"), "found.vec_id", "found.score")
-    )
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, "query_key long, vec_id long, row long, score long")
+
+
+def _ringed(cells: DataFrame, rings: int) -> DataFrame:
+    """Cells divided by the distance to their pivot: cell * rings + ring."""
+    radius = cells.groupBy("cell").agg(F.max("distance").alias("radius"))
+    ring = F.when(F.col("radius") > 0, F.least(F.floor(rings * F.col("distance") / F.col("radius")), F.lit(rings - 1))).otherwise(0)
+    return cells.join(radius, "cell").withColumn("cell", (F.col("cell") * rings + ring).cast("int")).drop("radius")
+
+
+class KnnJoin:
+    """``result``: (query_id, rank, vec_id, score), the k rows of highest inner product for every row where ``is_query`` (an
+    expression over ``vec_id``). ``pivots`` bounds the sample that divides the space (by default the square root of the number of
+    vectors, at most ``MOST_PIVOTS``); every row is searched. ``routes`` and ``possible``: how many (query, ring) pairs are
+    searched, and how many there are."""
+
+    def __init__(
+        self, table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding",
+        k: int = 5, scale: int = 256, pivots: int | None = None, block_rows: int = BLOCK_ROWS, rings: int = RINGS,
+    ) -> None:
+        small_batches(table.sparkSession)
+        vectors = stored(integer_vectors(table, id_col, vector_col, scale), "vectors")
+        # A query leaves out one row, so of equal vectors only the first k + 1 can be seen.
+        keep = k + 1
+        same = Window.partitionBy("key", "vec").orderBy("vec_id", "row")
+        keyed = vectors.withColumn("key", F.xxhash64("vec"))
+        members = F.sort_array(F.collect_list(F.struct("vec_id", "row")))
+        distinct = keyed.withColumn("place", F.row_number().over(same)).where(F.col("place") <= keep).groupBy("key", "vec").agg(members.alias("m"))
+        distinct = stored(distinct.select("key", "vec", F.col("m.vec_id").alias("ids"), F.col("m.row").alias("rows")), "distinct-vectors")
+        if pivots is None:
+            pivots = min(MOST_PIVOTS, max(16, int(distinct.count() ** 0.5)))
+        length = Window.partitionBy(F.size("vec")).orderBy("key", "vec")
+        chosen = distinct.select("key", "vec", F.row_number().over(length).alias("place")).where(F.col("place") <= pivots)
+        centres = [row["vec"] for row in chosen.orderBy(F.size("vec"), "place").collect()]
+        cells = stored(_ringed(_assign(distinct.select("vec", "ids", "rows"), centres), rings), "cells")
+        summary = [F.count(F.lit(1)).alias("n"), F.max("distance").alias("radius"), F.max("norm").alias("norm")]
+        sizes = stored(cells.groupBy("cell").agg(*summary), "cell-sizes")
+
+        queries = keyed.where(is_query)
+        asked = queries.select("vec").distinct().join(cells.select("vec", "cell"), "vec")
+        asked = stored(asked.select(F.monotonically_increasing_id().alias("query_key"), F.col("vec").alias("query_vec"), "cell"), "query-vectors")
+        first = stored(_solve(asked, cells, sizes, keep, block_rows), "own-cell")
+
+        by_score = Window.partitionBy("query_key").orderBy(F.desc("score"), "vec_id", "row")
+        bound = (
+            first.withColumn("place", F.row_number().over(by_score)).where(F.col("place") == keep).select("query_key", F.col("score").alias("bound"))
+        )
+        summaries = {row["cell"]: (row["radius"], row["norm"]) for row in sizes.collect()}  # at most ``rings`` rows per pivot
+
+        def reachable(batches):
+            by_length = {}
+            for size in {len(c) for c in centres}:
+                own = np.array([c for c in summaries if len(centres[c // rings]) == size], dtype=np.int64)
+                mine = [c for c in centres if len(c) == size]
+                points = np.array(mine, dtype=np.float64).reshape(len(mine), size)
+                begin = next(i for i, c in enumerate(centres) if len(c) == size)
+                reach = np.array([summaries[c] for c in own.tolist()]).reshape(-1, 2)
+                by_length[size] = own, points, own // rings - begin, reach[:, 0], reach[:, 1]
+            for batch in batches:
+                routes = []
+                for key, vec, cell, least in zip(batch["query_key"], batch["query_vec"], batch["cell"], batch["bound"]):
+                    q = np.asarray(vec, dtype=np.float64)
+                    own, points, pivot, radius, norm = by_length[len(q)]
+                    products, length = points @ q, np.sqrt(q @ q)
+                    least = -np.inf if pd.isna(least) else least
+                    if len(products) >= keep:  # pivots are rows too
+                        best = np.partition(products, -keep)[-keep]
+                        least = max(least, best - 1e-9 * abs(best) - 1e-6)
+                    upper = np.minimum(products[pivot] + length * radius, length * norm)
+                    upper += 1e-9 * np.abs(upper) + 1e-6  # the bounds are floats, the scores are not
+                    routes += [(key, vec, c) for c in own[upper >= least].tolist() if c != cell]
+                yield from some(routes, ["query_key", "query_vec", "cell"])
+
+        bounded = asked.join(bound, "query_key", "left").withColumn("bound", F.col("bound").cast("double"))
+        self._asked, self._cells = asked, len(summaries)
+        self.routes = stored(bounded.mapInPandas(reachable, "query_key long, query_vec array<long>, cell int"), "routes")
+        others = _solve(self.routes, cells, sizes, keep, block_rows)
+        best = (
+            first.unionByName(others)
+            .withColumn("place", F.row_number().over(by_score))
+            .where(F.col("place") <= keep)
+            .groupBy("query_key")
+            .agg(F.sort_array(F.collect_list(F.struct("place", "vec_id", "row", "score"))).alias("best"))
+        )
+        solved = asked.join(best, "query_key").select(F.col("query_vec").alias("vec"), "best")
+        others_only = F.slice(F.filter("best", lambda x: x["row"] != F.col("own")), 1, k)
+        self.result = (
+            queries.select(F.col("vec_id").alias("query_id"), F.col("row").alias("own"), "vec")
+            .join(solved, "vec")
+            .select("query_id", F.posexplode(others_only).alias("at", "found"))
+            .select("query_id", (F.col("at") + 1).alias("rank"), "found.vec_id", "found.score")
+        )
+
+    @property
+    def possible(self) -> int:
+        return self._asked.count() * (self._cells - 1)
+
+
+def knn_join(table: DataFrame, is_query: Column, **options) -> DataFrame:
+    """(query_id, rank, vec_id, score), see ``KnnJoin``."""
+    return KnnJoin(table, is_query, **options).result
 
 
 def op7_exact_top_k(spark, sf_dir):
