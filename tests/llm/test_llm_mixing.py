@@ -62,3 +62,22 @@ def test_bad_weights_are_refused(spark):
         period(spark, [0, 1])
     with pytest.raises(ValueError):
         period(spark, [30000])
+
+
+def test_any_number_of_sources(spark):
+    """Sources without a weight of their own are scheduled as a class; everything is placed, shares hold for the class."""
+    rng = random.Random(6)
+    names = ["a"] * 900 + ["b"] * 900 + [f"host{i}" for i in range(400)] * 3 + [None] * 5
+    rows = [(i, "x" * rng.randrange(50, 150), s, "en", 1, "", 0, "", 0) for i, s in enumerate(names)]
+    docs = spark.createDataFrame(rows, hard(spark).schema)
+    found = mixed(docs, {"a": 401, "b": 802}, block_chars=500, part_rows=100).select("row.doc_id", "source_key", "phase", "slot", "release", "deadline").collect()
+    assert sorted(r.doc_id for r in found) == list(range(len(names)))
+    assert {r.source_key for r in found} == {"=a", "=b", "others"} and all(r.release <= r.slot < r.deadline for r in found)
+    phase = {(r.source_key, r.slot) for r in found if r.phase == 0}
+    end = max(slot for _, slot in phase) + 1
+    taken = Counter(s for s, _ in phase)
+    assert all(abs(taken[s] - end * w / 1604) < 1 for s, w in {"=a": 401, "=b": 802, "others": 401}.items())
+    large = mixed(docs, {"a": 1}, default_weight=1000, block_chars=500, part_rows=100).select("row.doc_id").collect()
+    assert sorted(r.doc_id for r in large) == list(range(len(names)))
+    with pytest.raises(ValueError):
+        mixed(docs, {f"host{i}": 1 for i in range(300)})

@@ -13,8 +13,10 @@ Defined cases: null text counts as empty; a null source is a source of its own;
 ``default_weight``; sources with equal deadlines go in the order of their name; repeated rows are placed one by one; an
 empty table gives no rows; other columns, also of clashing names, are kept as they are.
 
-The driver sees one row per source and one period of the schedule per phase, bounded by ``MAX_SOURCES`` and
-``MAX_PERIOD``; beyond them an error says so.
+Any number of sources is mixed. The driver sees one row per scheduled source and one period of the schedule per phase, bounded by
+``MAX_SOURCES`` and ``MAX_PERIOD``: where there are more sources (host names, say), those without a weight of their own are
+scheduled as one class, with the sum of their weights and its documents in the order of the hash; if the weights then add up to more
+than ``MAX_PERIOD``, all are scaled down to whole numbers. Only weights that a caller gives can be too many or too large, which is an error.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from trainlake.llm.common import read, spread, text_of
 BLOCK_CHARS = 65536
 MAX_PERIOD = 20000
 MAX_SOURCES = 200
+OTHERS = "others"  # no key of a source: these begin with "=", or are "null"
 # Rows of a source that one task orders; a source is cut by hash into as many parts as it needs.
 PART_ROWS = 4096
 
@@ -91,31 +94,50 @@ def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
+def _amounts(packed: DataFrame, most: int) -> list:
+    """Documents and characters of each source, of one source more than ``most`` at most."""
+    return packed.groupBy("source_key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).limit(most + 1).collect()
+
+
+def _bounded(weights: dict[str, int], grouped: bool) -> dict[str, int]:
+    """The weights, scaled down to whole numbers if a class of many sources makes them add up to too much."""
+    total = sum(weights.values())
+    if not grouped or total <= MAX_PERIOD:
+        return weights
+    room = MAX_PERIOD - len(weights)
+    return {n: max(1, w * room // total) for n, w in weights.items()}
+
+
 def mixed(
     docs: DataFrame, weights: dict[str | None, int], default_weight: int = 1, source_col: str = "source",
     id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, part_rows: int = PART_ROWS,
+    keep: list[str] | None = None, most_sources: int = MAX_SOURCES,
 ) -> DataFrame:
-    """``docs`` packed as ``row``, with source_key, phase, block, slot, release, deadline and start: reading by
-    (slot, start) gives the mixture. ``block_chars`` is the length of a block."""
+    """``docs`` (or the columns ``keep`` of it: what is not kept is not moved) packed as ``row``, with source_key, phase, block,
+    slot, release, deadline and start: reading by (slot, start) gives the mixture. ``block_chars`` is the length of a block."""
     spark = docs.sparkSession
 
     def key_of(source):
         return "null" if source is None else f"={source}"
 
     packed = docs.select(
-        F.struct(F.col("*")).alias("row"),
+        F.struct(*(keep or [F.col("*")])).alias("row"),
         F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null")).alias("source_key"),
         F.length(text_of(text_col)).cast("long").alias("size"),
         F.xxhash64(F.col(id_col)).alias("h1"),
         F.xxhash64(F.col(text_col), F.lit(1)).alias("h2"),
     )
-    amounts = packed.groupBy("source_key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
-    found = amounts.limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: group them first")
     chosen = {key_of(s): w for s, w in weights.items()}
+    found, others = _amounts(packed, most_sources), {}
+    if len(found) > most_sources:
+        if len(chosen) >= most_sources:
+            raise ValueError(f"{len(chosen)} weights, more than {most_sources - 1}: group the sources first")
+        own = F.col("source_key").isin(list(chosen))
+        others = {OTHERS: default_weight * packed.where(~own).select("source_key").distinct().count()}
+        packed = packed.withColumn("source_key", F.when(own, F.col("source_key")).otherwise(OTHERS))
+        found = _amounts(packed, most_sources)
     blocks = {r["source_key"]: max(1, spread(r["size"], block_chars)) for r in found}
-    plan = phases(spark, blocks, {n: chosen.get(n, default_weight) for n in blocks})
+    plan = phases(spark, blocks, _bounded({n: (chosen | others).get(n, default_weight) for n in blocks}, bool(others)))
 
     cut = _table(
         spark, [{"source_key": r["source_key"], "parts": spread(r["n"], part_rows), "blocks": blocks[r["source_key"]]} for r in found],
@@ -157,7 +179,7 @@ TARGET = {"src0": 4, "src1": 3, "src2": 3, "src3": 2, "src4": 2}
 
 
 def op8_mixing(spark, sf_dir):
-    found = mixed(read(spark, sf_dir, "documents"), TARGET)
+    found = mixed(read(spark, sf_dir, "documents"), TARGET, keep=["doc_id", "source"])
     return found.select("row.doc_id", "row.source", "phase", "block", "slot", "release", "deadline", "start")
 
 
