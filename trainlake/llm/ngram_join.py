@@ -30,6 +30,8 @@ SIMILARITY = 0.8
 RECALL = 0.9999
 MAX_HASHES = 128
 BLOCK_BYTES = 32 << 20
+# In the pipeline the workers of other stages are still in memory, so its tasks hold smaller blocks; the pairs are the same.
+STAGE_BLOCK_BYTES = 8 << 20
 BLOCK_ROWS = 16384
 
 _SLICE_BYTES = 1 << 20
@@ -315,7 +317,7 @@ def op3_ngram_jaccard_join(spark, sf_dir):
 
 def near_duplicate_stage(spark, docs, sf_dir):
     """Of each group of linked documents the one with the smallest id stays (of rows equal in text and id, one)."""
-    found = near_duplicates(docs)
+    found = near_duplicates(docs, block_bytes=STAGE_BLOCK_BYTES)
     heads = found.where(F.col("is_head") & F.col("doc_id").eqNullSafe(F.col("first_id")))
     winners = stored(heads.select(F.col("class_key").alias("key"), F.col("doc_id").alias("id")).distinct(), "winners")
     texts = with_class_key(docs, "doc_id", "text", row=True).drop("text")
