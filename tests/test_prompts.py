@@ -16,12 +16,12 @@ DAILY = S.struct("athlete_id BIGINT, record_date DATE, body_battery INT, hrv_sta
 
 
 def summaries(spark):
-    s = sessions(spark, [(1, "a", day(0), 5000, 1362, 136.2), (1, "b", day(1), 5000, 1350, 135.0), (2, "c", day(1), 5000, 1350, 135.0)])
+    s = sessions(spark, [(1, "a", day(0), 4200, 1241, 147.7), (1, "b", day(1), 4200, 1219, 145.1), (2, "c", day(1), 4200, 1219, 145.1)])
     return summary.session_summary(metrics.newest_metrics(s), s), metrics.newest_metrics(s)
 
 
 def recovery(spark, *rows):
-    return spark.createDataFrame([(1, date(2024, 1, 2), 72, "BALANCED", 81, 52, None, 85), *rows], DAILY)
+    return spark.createDataFrame([(1, date(2024, 1, 2), 88, "BALANCED", 67, 49, None, 93), *rows], DAILY)
 
 
 def prompts_of(df):
@@ -33,26 +33,26 @@ def test_coaching_prompt(spark):
     flags = spark.createDataFrame([(1, True)], NO_FLAGS)
     found = prompts_of(prompts.coaching_prompts(summaries(spark)[0], notes, flags, recovery(spark), "a race"))
     assert "Coach: Easy." in found[1] and "planned this as a recovery session" in found[1]
-    assert "Body battery: 72 / 100" in found[1] and "Stress: N/A" in found[1]
-    assert '"split_formatted":"2:15.0/500m"' in found[1] and "split_raw_sec" not in found[1]
+    assert "Body battery: 88 / 100" in found[1] and "Stress: N/A" in found[1]
+    assert '"split_formatted":"2:25.1/500m"' in found[1] and "split_raw_sec" not in found[1]
     assert "(No previous coaching context available)" in found[2] and "planned" not in found[2] and "battery" not in found[2]
 
 
 def test_brief_prompt(spark):
     empty = spark.createDataFrame([], NO_NOTES), spark.createDataFrame([], NO_FLAGS)
     found = prompts_of(prompts.brief_prompts(summary.brief_summary(summaries(spark)[1]), *empty, recovery(spark), "a race"))
-    assert "Split 2:15.0 /500m, change -1.2s" in found[1] and "Sleep: 81" in found[1]
+    assert "Split 2:25.1 /500m, change -2.6s" in found[1] and "Sleep: 67" in found[1]
     assert "change —" in found[2] and "trend ?" in found[2]
 
 
 def test_weekly_prompt(spark):
-    s = sessions(spark, [(1, "a", day(0), 5000, 1362, 136.0), (1, "b", day(8), 6000, 1500, 140.0), (2, "c", day(0), 100000, 1, 1.0)])
+    s = sessions(spark, [(1, "a", day(0), 5000, 1362, 143.5), (1, "b", day(8), 7000, 2100, 150.0), (2, "c", day(0), 100000, 1, 1.0)])
     weekly = summary.weekly_summary(metrics.daily_metrics(s))
     extra = weekly.select("athlete_id", "week_start", "avg_split_formatted", "fatigue_days")
     weeks = summary.week_over_week(weekly).join(extra, ["athlete_id", "week_start"])
     found = prompts_of(prompts.weekly_prompts(weeks, spark.createDataFrame([], NO_NOTES), "2024-01-14"))
     assert set(found) == {1}  # the other athlete did not train that week
-    assert "Volume: 6.0 km" in found[1] and "Week before:" in found[1] and "Mean split: 2:16.0/500m" in found[1]
+    assert "Volume: 7.0 km" in found[1] and "Week before:" in found[1] and "Mean split: 2:23.5/500m" in found[1]
     assert '{"day":"Mon","date":"2024-01-15"}' in found[1] and '{"day":"Sun","date":"2024-01-21"}' in found[1]
     first = prompts_of(prompts.weekly_prompts(weeks, spark.createDataFrame([], NO_NOTES), "2024-01-01"))
     assert "Week before:" not in first[1]
@@ -69,7 +69,7 @@ def test_notification(spark):
     assert (found[1]["title"], found[1]["color"]) == ("Morning brief Sun 28 Jan", 0x00E5B4)
     fields = found[1]["fields"]
     assert len(fields) == 5 and [f["inline"] for f in fields] == [True, True, False, False, False]
-    assert "Change: -1.2s — FASTER (improved)" in fields[0]["value"] and "Distance: 5000 m" in fields[0]["value"]
+    assert "Change: -2.6s — FASTER (improved)" in fields[0]["value"] and "Distance: 4200 m" in fields[0]["value"]
     assert fields[1]["name"] == "🟢 Readiness" and "Fatigue: Normal" in fields[1]["value"]
     assert "Stress level: —" in fields[2]["value"] and fields[3]["value"] == "**Go** easy"
     assert fields[4]["value"] == "154 days until 2024-06-30"
@@ -87,7 +87,7 @@ def test_fatigue_colours(spark):
 
 
 PLAN = {"insight": "good", "next_week": [
-    {"day": "Mon", "date": "2024-01-29", "session_type": "steady", "label": "5km easy", "target_split": "2:20", "duration_min": 30, "notes": "x"},
+    {"day": "Mon", "date": "2024-01-29", "session_type": "steady", "label": "7km steady", "target_split": "2:31", "duration_min": 41, "notes": "x"},
     {"day": "Tue", "date": None, "label": "Rest", "target_split": None},
 ]}
 
@@ -97,7 +97,7 @@ def test_plan_answers(spark, wrap):
     answers = spark.createDataFrame([(1, wrap.replace("{}", json.dumps(PLAN)))], "athlete_id long, answer string")
     found = prompts.plan_days(answers, datetime(2024, 1, 29).date()).orderBy("position").collect()
     assert [(r.day, r.date_text, r.session_type, r.planned_km, r.is_today) for r in found] == [
-        ("Mon", "29 Jan", "steady", 5.0, True), ("Tue", None, "rest", 0.0, False)
+        ("Mon", "29 Jan", "steady", 7.0, True), ("Tue", None, "rest", 0.0, False)
     ]
     assert prompts.rejected_plans(answers).count() == 0
 
