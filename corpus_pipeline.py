@@ -23,7 +23,7 @@ STAGES = [
     ("SentencePiece encoding and decoding", sentencepiece_stage),
 ]
 
-# The classifier, MinHash and Viterbi have no SQL; tests/llm compares the stages with brute-force versions.
+# The classifier, MinHash and the merges of pieces have no SQL; tests/llm compares the stages with brute-force versions.
 ORACLE_SQL = None
 
 
