@@ -14,6 +14,7 @@ other columns are not read, and kept by the stage.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import math
 
@@ -29,6 +30,14 @@ WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.9999
 MAX_HASHES = 128
+# Python workers outlive a stage. Arrays above this size are given back to the system when freed, not kept by the allocator of the
+# worker (glibc raises its own limit to 32 MB).
+_M_MMAP_THRESHOLD, _MAPPED_BYTES = -3, 1 << 18
+try:
+    ctypes.CDLL("libc.so.6").mallopt(_M_MMAP_THRESHOLD, _MAPPED_BYTES)
+except OSError:  # another C library
+    pass
+
 BLOCK_BYTES = 32 << 20
 # In the pipeline the workers of other stages are still in memory, so its tasks hold smaller blocks; the pairs are the same.
 STAGE_BLOCK_BYTES = 8 << 20
