@@ -1,3 +1,4 @@
+import inspect
 import math
 import zlib
 from collections import Counter
@@ -103,3 +104,38 @@ def test_filter_never_loses_an_entry_and_levels_follow_counts():
     reader = M.CountFilter({}, 16, 2, 1.4)
     assert levels[0] == 0 and all(a <= b for a, b in zip(levels, levels[1:]))
     assert all(c / 1.5 < reader.counts[k] < c * 1.5 for c, k in zip(counts[1:], levels[1:]))
+
+
+def of_default(name):
+    """A share of all tokens below which n-grams are left out would show here as in a large corpus."""
+    return {name: 0.01} if name in inspect.signature(M.lm_scores).parameters else {}
+
+
+def test_no_ngram_that_occurs_twice_is_left_out(spark):
+    """However large the rest: the same texts with the brute force model that holds all of them."""
+    rows = corpus()
+    total = sum(len(M.tokens(t or "")) for i, t in rows if training(i))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = M.lm_scores(df, M.in_training(F.col("doc_id")), bits=64, **of_default("min_share")).collect()
+    expected = sorted(exact_scores(rows, M.ORDER, 2, total, M.LEVEL_BASE, M.HISTORY_WEIGHT))
+    close = [abs(a - b) < 1e-6 * max(1, abs(b)) for a, b in zip(sorted(r.score for r in found), expected, strict=True)]
+    assert sum(close) >= 0.97 * len(rows)
+
+
+def test_scores_do_not_depend_on_the_chunks(spark):
+    rows = [(2**60 + 1, "a b a b"), (None, "a b " * 400), *corpus()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plain = lambda **o: sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.score, 6), round(r.base_score, 6)) for r in M.lm_scores(df, M.in_training(F.col("doc_id")), **o).collect())
+    whole = plain()
+    assert plain(chunk_tokens=1) == plain(chunk_tokens=300) == whole and str(2**60 + 1) in {r[0] for r in whole}
+
+
+def test_a_chunk_that_is_read_in_pieces(spark):
+    """A large file may be read by several tasks, so a chunk in stretches: each gets its own answers."""
+    schema = "text string, learn boolean, chunk long, row long"
+    rows = [("a b c a b c", True, 5, 0), ("c d", False, 5, 1), ("a b a b", True, 5, 2), ("e", True, 5, 3)]
+    ordered = spark.createDataFrame([rows[2], rows[3], rows[0], rows[1]], schema).coalesce(1)
+    found = {r["first"]: bytes(r.levels) for r in M.ngram_levels(ordered, 3, 1, 2, 1.4, 64).collect()}
+    assert sorted(found) == [0, 2]
+    # "a", "b", "c", the end, "a b" and "b c" occur twice; the second stretch has neither "c" nor "b c"
+    assert [sum(x > 0 for x in found[first]) for first in (0, 2)] == [7, 4]

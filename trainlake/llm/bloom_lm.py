@@ -2,12 +2,13 @@
 
 Counts of all n-grams of the training texts are gathered over the cluster and quantised: level j stands for at least
 m b**(j - 1) occurrences. An n-gram of level j is entered with the levels 1 to j, and a scorer asks for level after level
-until one is missing. The filter is built by segments of the hash, each by one task, and broadcast.
+until one is missing. The filter is built by segments of the hash, each by one task, and asked there: it is never whole in
+one place. Texts are dealt to chunks of about ``chunk_tokens`` tokens; a chunk sends each of its distinct n-grams once to the
+segment, with its training count in the chunk, and gets back one level for each, in the same order.
 
-Size bound: an n-gram is kept if its count is at least ``min_share`` of all training tokens N (and two). Whatever the
-corpus, at most order / min_share n-grams can have that, so the broadcast is bounded by the parameter and not by the data,
-and the rule is the same at every size. Likewise the words that are broadcast with their exact counts for the base score
-(each at least ``frequent_share`` of N, so 1 / frequent_share words at most); all other words are counted by a join.
+The filter holds every n-gram that occurs twice or more in training (``LEAST``, part of the model), whatever the size of the
+corpus. Words that are broadcast with their exact counts for the base score have at least ``frequent_share`` of all training
+tokens N, so there are 1 / frequent_share at most; all other words are counted by a join.
 
 Probability of a word c after a, b, with counts read from the filter: p1 = count(c) / N, or the mean count of the words
 that the filter does not hold, over N; p2 = (1 - w) p1 + w count(b c) / count(b) if b is held, else p1; p3 = (1 - w) p2 +
@@ -26,21 +27,22 @@ from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trainlake.llm.common import read, small_batches, some, stored, text_of
+from trainlake.llm.common import discard, read, small_batches, some, stored, text_of
 from trainlake.llm.textkit import mix, runs, slices, word_hashes
 
 ORDER = 3
-MIN_SHARE = 4e-8
+LEAST = 2
 FREQUENT_SHARE = 5e-7
 LEVEL_BASE = 1.4
 BITS_PER_ENTRY = 16
 HISTORY_WEIGHT = 0.1
+CHUNK_TOKENS = 1_500_000
 
 END = b"\xff"  # no UTF-8 text holds this byte
-_FLUSH_KEYS = 6_000_000
 _FLUSH_WORDS = 400_000
 _SLICE_BYTES = 1 << 20
 _LOW = np.uint64(0xFFFFFFFF)
@@ -87,61 +89,98 @@ def ngram_keys(texts: list[bytes], order: int, segments: int) -> list[np.ndarray
     return found
 
 
-def _partial(keys: list[np.ndarray], segments: int) -> pd.DataFrame:
-    """Rows (segment, once, often, counts) of packed 32-bit fingerprints."""
-    found, counts = np.unique(np.concatenate(keys), return_counts=True)
+def in_chunks(texts: DataFrame, chunk_tokens: int) -> DataFrame:
+    """(doc_id, text, held_out, learn) with n_tokens, chunk (neighbours of about ``chunk_tokens`` tokens; a longer text is one by itself) and the row in it."""
+
+    def deal(batches):
+        chunk, size, row = TaskContext.get().partitionId() << 32, 0, 0
+        for batch in batches:
+            sizes, places = [len(_lower(t).split()) for t in batch["text"]], []
+            for n in sizes:
+                if size and size + n > chunk_tokens:
+                    chunk, size, row = chunk + 1, 0, 0
+                places.append((chunk, row))
+                size, row = size + n, row + 1
+            chunks, rows = zip(*places) if places else ((), ())
+            yield batch.assign(n_tokens=sizes, chunk=chunks, row=rows)
+
+    return texts.mapInPandas(deal, "doc_id string, text string, held_out boolean, learn boolean, n_tokens long, chunk long, row long")
+
+
+def _sliced_keys(lowered: list[bytes], order: int, segments: int) -> list[list[np.ndarray]]:
+    return [ngram_keys(lowered[a:b], order, segments) for a, b in slices([len(t) for t in lowered], _SLICE_BYTES)]
+
+
+def _question(chunk: int, first: int, lowered: list[bytes], learn: list[bool], order: int, segments: int) -> pd.DataFrame:
+    """The distinct n-grams of some neighbours of a chunk, one row per segment: packed 32-bit fingerprints in order, their
+    training counts in a byte each, and those counts that need more."""
+    parts = []
+    for wanted in (True, False):
+        keys = [k for part in _sliced_keys([t for t, x in zip(lowered, learn) if x == wanted], order, segments) for k in part]
+        keys = np.concatenate(keys) if keys else np.empty(0, dtype=np.uint64)
+        parts.append(np.unique(keys[keys != 0], return_counts=wanted))
+    (learned, of_learned), others = parts
+    found = np.union1d(learned, others)
+    counts = np.zeros(len(found), dtype=np.int64)
+    counts[np.searchsorted(found, learned)] = of_learned
     limits = np.searchsorted(found, np.arange(segments + 1, dtype=np.uint64) << np.uint64(32))
-    prints, rows = (found & _LOW).astype(np.uint32), []
+    prints, small, rows = (found & _LOW).astype(np.uint32), np.minimum(counts, 255).astype(np.uint8), []
     for segment in range(segments):
         part = slice(limits[segment], limits[segment + 1])
         if part.start < part.stop:
-            once = counts[part] == 1
-            rows.append((segment, prints[part][once].tobytes(), prints[part][~once].tobytes(), counts[part][~once].astype(np.int64).tobytes()))
-    return pd.DataFrame(rows, columns=["segment", "once", "often", "counts"])
+            large = counts[part][small[part] == 255]
+            rows.append((segment, chunk, first, prints[part].tobytes(), small[part].tobytes(), large.tobytes()))
+    return pd.DataFrame(rows, columns=["segment", "chunk", "first", "prints", "counts", "large"])
 
 
 def _entry_levels(counts: np.ndarray, least: int, base: float) -> np.ndarray:
-    levels = np.floor(np.log(counts / least) / math.log(base) + 1e-9).astype(np.int64) + 1
+    levels = np.floor(np.log(np.maximum(counts, 1) / least) / math.log(base) + 1e-9).astype(np.int64) + 1
     return np.where(counts >= least, levels, 0)
 
 
-def filter_segments(texts: DataFrame, order: int, segments: int, least: int, base: float, bits: int) -> DataFrame:
-    """(segment, entries, block): the filled blocks of the filter."""
+def ngram_levels(chunks: DataFrame, order: int, segments: int, least: int, base: float, bits: int) -> DataFrame:
+    """(chunk, first, segment, levels): what the filter says of the distinct n-grams of each stretch of a chunk that one task
+    read, which begins with row ``first``; a byte each, in the order of the fingerprints."""
 
-    def gather(batches):
-        held, size = [], 0
+    def ask(batches):
+        chunk, first, lowered, learn = None, 0, [], []
         for batch in batches:
-            lowered = [_lower(t) for t in batch["text"]]
-            for first, last in slices([len(t) for t in lowered], _SLICE_BYTES):
-                for keys in ngram_keys(lowered[first:last], order, segments):
-                    held.append(keys[keys != 0])
-                    size += len(held[-1])
-                if size >= _FLUSH_KEYS:
-                    yield _partial(held, segments)
-                    held, size = [], 0
-        if size:
-            yield _partial(held, segments)
-
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        once = np.frombuffer(b"".join(group["once"]), dtype=np.uint32)
-        often = np.frombuffer(b"".join(group["often"]), dtype=np.uint32)
-        counts = np.frombuffer(b"".join(group["counts"]), dtype=np.int64)
-        prints, at = np.unique(np.concatenate([once, often]), return_inverse=True)
-        total = np.zeros(len(prints), dtype=np.int64)
-        np.add.at(total, at[len(once) :], counts)
-        total += np.bincount(at[: len(once)], minlength=len(prints))
-        levels = _entry_levels(total, least, base)
-        entries = int(levels.sum())
-        block = np.zeros(max(1, -(-entries * bits // 64)), dtype=np.uint64)
-        segment = int(group["segment"].iloc[0])
-        keys = (np.uint64(segment) << np.uint64(32)) | prints.astype(np.uint64)
-        for level in range(1, int(levels.max(initial=0)) + 1):
-            at, mask = _place(keys[levels >= level], level, np.uint64(len(block)))
-            np.bitwise_or.at(block, at, mask)
-        return pd.DataFrame({"segment": [segment], "entries": [entries], "block": [block.tobytes()]})
-
-    packed = texts.mapInPandas(gather, "segment int, once binary, often binary, counts binary")
-    return packed.groupBy("segment").applyInPandas(build, "segment int, entries long, block binary")
+            for text, flag, of, row in zip(batch["text"], batch["learn"], batch["chunk"], batch["row"]):
+                if of != chunk or row != first + len(lowered):
+                    if lowered:
+                        yield _question(chunk, first, lowered, learn, order, segments)
+                    chunk, first, lowered, learn = of, row, [], []
+                lowered.append(_lower(text))
+                learn.append(flag)
+        if lowered:
+            yield _question(chunk, first, lowered, learn, order, segments)
+
+    def answer(group: pd.DataFrame) -> pd.DataFrame:
+        prints = [np.frombuffer(x, dtype=np.uint32) for x in group["prints"]]
+        counts = np.frombuffer(b"".join(group["counts"]), dtype=np.uint8).astype(np.int64)
+        counts[counts == 255] = np.frombuffer(b"".join(group["large"]), dtype=np.int64)
+        distinct, at = np.unique(np.concatenate(prints), return_inverse=True)
+        total = np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.int64)
+        keys = (np.uint64(group["segment"].iloc[0]) << np.uint64(32)) | distinct.astype(np.uint64)
+        reader = CountFilter({0: filled(keys, _entry_levels(total, least, base), bits)}, 1, least, base)
+        levels = reader.levels(keys, np.zeros(len(keys), dtype=np.int64)).astype(np.uint8)[at]
+        ends = np.cumsum([len(p) for p in prints])
+        answers = [levels[end - len(p) : end].tobytes() for p, end in zip(prints, ends)]
+        return pd.DataFrame({"chunk": group["chunk"], "first": group["first"], "segment": group["segment"], "levels": answers})
+
+    asked = chunks.select("text", "learn", "chunk", "row").mapInPandas(
+        ask, "segment int, chunk long, first long, prints binary, counts binary, large binary"
+    )
+    return asked.groupBy("segment").applyInPandas(answer, "chunk long, first long, segment int, levels binary")
+
+
+def filled(keys: np.ndarray, levels: np.ndarray, bits: int) -> bytes:
+    """The block of a segment: every key entered with the levels from 1 to its own."""
+    block = np.zeros(max(1, -(-int(levels.sum()) * bits // 64)), dtype=np.uint64)
+    for level in range(1, int(levels.max(initial=0)) + 1):
+        at, mask = _place(keys[levels >= level], level, np.uint64(len(block)))
+        np.bitwise_or.at(block, at, mask)
+    return block.tobytes()
 
 
 def _place(keys: np.ndarray, level: int, size) -> tuple[np.ndarray, np.ndarray]:
@@ -172,17 +211,18 @@ class CountFilter:
         edges = [max(least, math.ceil(least * base**j - 1e-9)) for j in range(130)]
         self.counts = np.array([0.0] + [(a + max(a, b - 1)) / 2 for a, b in zip(edges, edges[1:])])
 
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
+    def levels(self, keys: np.ndarray, segments: np.ndarray) -> np.ndarray:
+        """The level of every key (0: not held) in the block of its segment."""
         levels = np.zeros(len(keys), dtype=np.int64)
-        alive = np.flatnonzero(keys != 0)
+        alive = np.arange(len(keys))
         for level in range(1, len(self.counts)):
             if not len(alive):
                 break
-            segment = (keys[alive] >> np.uint64(32)).astype(np.int64)
+            segment = segments[alive]
             at, mask = _place(keys[alive], level, self.sizes[segment])
             alive = alive[(self.cells[self.starts[segment] + at] & mask) == mask]
             levels[alive] = level
-        return self.counts[levels]
+        return levels
 
 
 # ---- Scores -------------------------------------------------------------------------------------
@@ -201,8 +241,8 @@ def smoothed(counts: list[np.ndarray], place: np.ndarray, total: int, rest: floa
 
 def lm_scores(
     docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER,
-    min_share: float = MIN_SHARE, frequent_share: float = FREQUENT_SHARE, base: float = LEVEL_BASE,
-    bits: int = BITS_PER_ENTRY, weight: float = HISTORY_WEIGHT,
+    frequent_share: float = FREQUENT_SHARE, base: float = LEVEL_BASE, bits: int = BITS_PER_ENTRY, weight: float = HISTORY_WEIGHT,
+    chunk_tokens: int = CHUNK_TOKENS,
 ) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. ``is_training`` is an
     expression over doc_id."""
@@ -210,55 +250,73 @@ def lm_scores(
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     texts = texts.withColumn("held_out", ~is_training)
-    training = texts.where(~F.col("held_out")).select("text")
+    # Ids are text in the tasks, as pandas has no whole numbers beside nulls.
+    texts = texts.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "held_out", F.coalesce(~F.col("held_out"), F.lit(False)).alias("learn"))
+    chunks = stored(in_chunks(texts, chunk_tokens), "chunks")
 
-    counts = stored(word_counts(training), "word-counts")
+    counts = stored(word_counts(chunks.where("learn").select("text")), "word-counts")
     row = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = row["n"] or 0, row["v"]
-    least = max(2, math.ceil(total * min_share))
-    pruned = counts.where(F.col("n") < least).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    pruned = counts.where(F.col("n") < LEAST).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     rest = ((pruned["n"] or 0) + 0.5) / (pruned["v"] + 1)
     frequent_least = max(2, math.ceil(total * frequent_share))
     frequent = {bytes(r["word"]): r["n"] for r in counts.where(F.col("n") >= frequent_least).collect()}
-
-    segments = 1 << max(4, math.ceil(math.log2(max(1, total * order / 2_000_000))))
-    blocks = stored(filter_segments(training, order, segments, least, base, bits), "count-filter")
-    held = {r["segment"]: bytes(r["block"]) for r in blocks.select("segment", "block").collect()}
-    shared = spark.sparkContext.broadcast((frequent, CountFilter(held, segments, least, base)))
+    shared = spark.sparkContext.broadcast(frequent)
     divisor = total + 0.5 * (distinct + 1)
 
-    def score(batches):
-        known, probe = shared.value
+    all_tokens = chunks.agg(F.sum("n_tokens")).first()[0] or 0
+    segments = 1 << max(4, math.ceil(math.log2(max(1, all_tokens * order / 2_000_000))))
+    answers = stored(ngram_levels(chunks, order, segments, LEAST, base, bits), "levels")
+    stands_for = CountFilter({}, 1, LEAST, base).counts
+
+    def score(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        known = shared.value
         log_base = np.array([math.log10((n + 0.5) / divisor) for n in known.values()])
         index = dict(zip(known, range(len(known))))
-        for batch in batches:
-            lowered = [_lower(t) for t in batch["text"]]
-            for first, last in slices([len(t) for t in lowered], _SLICE_BYTES):
-                part = lowered[first:last]
-                lists = [t.split() for t in part]
-                sizes = np.array([len(x) for x in lists])
-                owner = np.repeat(np.arange(len(lists)), sizes)
-                at = np.fromiter(map(index.get, chain.from_iterable(lists), repeat(-1)), dtype=np.int64, count=int(sizes.sum()))
-                seen = at >= 0
-                rare: list[list[bytes]] = [[] for _ in lists]
-                starts = np.cumsum(sizes) - sizes
-                for i in np.flatnonzero(~seen):
-                    rare[owner[i]].append(lists[owner[i]][i - starts[owner[i]]])
-                p = smoothed([probe(k) for k in ngram_keys(part, order, segments)], np.arange(len(at)) - starts[owner], total, rest, weight)
-                log_seen = np.zeros(len(at))
-                log_seen[seen] = log_base[at[seen]]
-                yield pd.DataFrame({
-                    "doc_id": batch["doc_id"].iloc[first:last].to_numpy(),
-                    "held_out": batch["held_out"].iloc[first:last].to_numpy(),
-                    "n_tokens": sizes,
-                    "n_frequent": np.bincount(owner, weights=seen, minlength=len(lists)).astype(np.int64),
-                    "base_frequent": np.bincount(owner, weights=log_seen, minlength=len(lists)),
-                    "score": np.bincount(owner, weights=np.log10(p), minlength=len(lists)),
-                    "rare": rare,
-                })
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_frequent long, base_frequent double, score double, rare array<binary>"
-    scored = stored(texts.mapInPandas(score, schema).withColumn("place", F.monotonically_increasing_id()), "scores")
+        rows, answers = rows.sort_values("row", ignore_index=True), answers.sort_values(["first", "segment"])
+        firsts, found = sorted({0, *answers["first"]}), []
+        for first, last in zip(firsts, [*firsts[1:], len(rows)]):
+            part = rows.iloc[first:last]
+            lowered = [_lower(t) for t in part["text"]]
+            sliced = _sliced_keys(lowered, order, segments)
+            asked, at = np.unique(np.concatenate([k for keys in sliced for k in keys]), return_inverse=True)
+            levels = np.zeros(len(asked), dtype=np.uint8)
+            levels[asked != 0] = np.frombuffer(b"".join(answers["levels"][answers["first"] == first]), dtype=np.uint8)
+            of_keys = np.split(levels[at], np.cumsum([len(k) for keys in sliced for k in keys])[:-1])
+            del asked, at
+            for i, (a, b) in enumerate(slices([len(t) for t in lowered], _SLICE_BYTES)):
+                seen_counts = [stands_for[x] for x in of_keys[order * i : order * (i + 1)]]
+                found.append(scored_slice(part.iloc[a:b], lowered[a:b], seen_counts, index, log_base))
+        return pd.concat(found, ignore_index=True)
+
+    def scored_slice(part, lowered, seen_counts, index, log_base) -> pd.DataFrame:
+        lists = [t.split() for t in lowered]
+        sizes = np.array([len(x) for x in lists])
+        owner = np.repeat(np.arange(len(lists)), sizes)
+        at = np.fromiter(map(index.get, chain.from_iterable(lists), repeat(-1)), dtype=np.int64, count=int(sizes.sum()))
+        seen = at >= 0
+        rare: list[list[bytes]] = [[] for _ in lists]
+        starts = np.cumsum(sizes) - sizes
+        for i in np.flatnonzero(~seen):
+            rare[owner[i]].append(lists[owner[i]][i - starts[owner[i]]])
+        p = smoothed(seen_counts, np.arange(len(at)) - starts[owner], total, rest, weight)
+        log_seen = np.zeros(len(at))
+        log_seen[seen] = log_base[at[seen]]
+        return pd.DataFrame({
+            "doc_id": part["doc_id"].to_numpy(),
+            "held_out": part["held_out"].to_numpy(),
+            "n_tokens": sizes,
+            "n_frequent": np.bincount(owner, weights=seen, minlength=len(lists)).astype(np.int64),
+            "base_frequent": np.bincount(owner, weights=log_seen, minlength=len(lists)),
+            "score": np.bincount(owner, weights=np.log10(p), minlength=len(lists)),
+            "rare": rare,
+        })
+
+    schema = "doc_id string, held_out boolean, n_tokens long, n_frequent long, base_frequent double, score double, rare array<binary>"
+    together = chunks.select("chunk", "row", "doc_id", "text", "held_out").groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    scored = stored(together.applyInPandas(score, schema).withColumn("place", F.monotonically_increasing_id()), "scores")
+    discard(chunks)
+    discard(answers)
     rare = scored.select("place", F.explode("rare").alias("word"))
     uncommon = counts.where(F.col("n") < frequent_least)
     count = F.coalesce(F.col("n"), F.lit(0))
@@ -268,7 +326,7 @@ def lm_scores(
         .agg(F.sum((count > 0).cast("long")).alias("n_rare"), F.sum(F.log10((count + 0.5) / F.lit(divisor))).alias("base_rare"))
     )
     return scored.drop("rare").join(of_rare, "place", "left").select(
-        "doc_id", "held_out", "n_tokens",
+        F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens",
         (F.col("n_frequent") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base_frequent") + F.coalesce("base_rare", F.lit(0.0))).alias("base_score"),
