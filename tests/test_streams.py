@@ -7,7 +7,7 @@ from helpers import entity, rows
 from pyspark.sql import functions as F
 
 from trainlake import schemas as S
-from trainlake.operators import calibration, ingest, metrics
+from trainlake.operators import calibration, ingest, metrics, upsert
 from trainlake.sources import readers, writers
 from trainlake.streaming import streams
 
@@ -250,3 +250,30 @@ def test_buckets_stay_complete_when_batches_are_folded(landing, spark):
             writers.compact(spark, path, keys, by, 4)
         current = writers.current_rows(spark, landing.path("sessions"), ["workout_id"])
         assert rows(streams.current_metrics(spark, derived)) == rows(metrics.daily_metrics(current))
+
+
+def test_a_few_batches_are_read_without_grouping(landing, spark):
+    """Moved, ineligible and unknown athletes in a first batch and two later ones, which are only filtered."""
+    derived = landing.path("derived")
+    arrivals = [
+        [*[workout(i, i, 2000 + 10 * i, athlete=i % 3, time=6000 + 37 * i) for i in range(12)], workout(20, 1, 100), workout(20, 2, 90)],
+        [workout(4, 4, 2000, athlete=2), {**workout(5, 5, 2000), "athlete_id": None}, workout(20, 2, 2400)],
+        [workout(4, 4, 2000, athlete=0), workout(7, 7, 100, athlete=1), {**workout(5, 6, 2100), "athlete_id": None}],
+    ]
+    for arrival in arrivals:
+        landing.land({"data": arrival})
+        query = streams.sync_metrics(landing.workouts(), landing.path("sessions"), derived, landing.path("progress"), None, buckets=4)
+        query.awaitTermination()
+        current = writers.current_rows(spark, landing.path("sessions"), ["workout_id"])
+        assert rows(streams.current_metrics(spark, derived)) == rows(metrics.daily_metrics(current))
+    plan = streams.current_metrics(spark, derived)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "LeftAnti" in plan
+    for path in (derived, f"{derived}_history"):
+        plain = writers.current_rows(spark, path, streams.HISTORY_KEYS)
+        assert rows(writers.current_rows(spark, path, streams.HISTORY_KEYS, distinct=True), plain.columns) == rows(plain, plain.columns)
+
+
+def test_newest_version_moves_wanted_columns_only(spark):
+    table = spark.createDataFrame([("a", 1, "x" * 9, 1), ("a", 2, "y" * 9, 3), ("b", 3, "z" * 9, 2)], "id string, v int, file string, line int")
+    found = upsert.latest_by_key(table, ["id"], ["file", "line"], ["id", "v"])
+    assert found.columns == ["id", "v"] and rows(found) == [("a", 2), ("b", 3)]

@@ -11,11 +11,13 @@ from trainlake.operators.skew import DEFAULT_MAX_ROWS, best_rows, earliest_first
 SESSION_ORDER = ["workout_date", "workout_id"]
 
 
+def is_eligible() -> Column:
+    return (F.col("distance_m") >= S.MIN_DISTANCE_M) & (F.col("avg_split_sec") <= S.MAX_SPLIT_SEC)
+
+
 def eligible_sessions(sessions: DataFrame) -> DataFrame:
     """Sessions that count for the metrics. Always before the windows: frames skip the others."""
-    return sessions.where(
-        (F.col("distance_m") >= S.MIN_DISTANCE_M) & (F.col("avg_split_sec") <= S.MAX_SPLIT_SEC)
-    )
+    return sessions.where(is_eligible())
 
 
 def session_type(

@@ -13,11 +13,13 @@ from trainlake.functions.dates import time_literal
 RECOVERY_KEYS = ["athlete_id", "record_date"]
 
 
-def latest_by_key(rows: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
-    """One row per key, the one with the highest version. ``max_by`` combines before the shuffle."""
-    others = [c for c in rows.columns if c not in keys]
+def latest_by_key(rows: DataFrame, keys: list[str], version: list[str], columns: list[str] | None = None) -> DataFrame:
+    """One row per key, the one with the highest version. ``max_by`` combines before the shuffle. ``columns``: those to
+    return, as Spark moves and sorts all that are asked for."""
+    columns = columns or rows.columns
+    others = [c for c in columns if c not in keys]
     newest = F.max_by(F.struct(*others), F.struct(*version)).alias("newest")
-    return rows.groupBy(*keys).agg(newest).select(*keys, "newest.*").select(*rows.columns)
+    return rows.groupBy(*keys).agg(newest).select(*keys, "newest.*").select(*columns)
 
 
 def upsert(existing: DataFrame, batch: DataFrame, keys: list[str], ordinal: str = "ordinal") -> DataFrame:

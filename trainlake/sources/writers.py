@@ -269,10 +269,12 @@ def _base(spark: SparkSession, path: str, number: int, buckets: list[str] | None
 
 
 def current_rows(
-    spark: SparkSession, path: str, keys: list[str], up_to: int | None = None, buckets: list[str] | None = None
+    spark: SparkSession, path: str, keys: list[str], up_to: int | None = None, buckets: list[str] | None = None,
+    distinct: bool = False,
 ) -> DataFrame:
     """The newest row of each key over all batches, or those up to a number (each batch holds a key at most
-    once). ``buckets``: only those of a table whose buckets hold all rows of a key.
+    once). ``buckets``: only those of a table whose buckets hold all rows of a key. ``distinct``: what wrote the batches makes
+    sure that no key repeats in one, so the newest batch is taken as it is and the few before it are only filtered.
 
     The base, by far the largest part, is only filtered by the keys of the later batches; while those are small it is
     neither aggregated nor shuffled.
@@ -283,6 +285,13 @@ def current_rows(
         first, later = _read(spark, path, [f"{BATCH}{n}" for n in later[:1]], buckets).drop("batch_id"), later[1:]
     else:
         first = _base(spark, path, base, buckets)
+    if distinct and 0 < len(later) <= 2:
+        for number in later:
+            newer = _read(spark, path, [f"{BATCH}{number}"], buckets).drop("batch_id")
+            known = newer.select(*[F.col(k).alias(f"_{k}") for k in keys])
+            same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+            first = first.join(known, same, "left_anti").select(*first.columns).unionByName(newer.select(*first.columns))
+        return first
     return upsert(first, _read(spark, path, [f"{BATCH}{n}" for n in later], buckets), keys, "batch_id") if later else first
 
 

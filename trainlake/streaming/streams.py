@@ -101,7 +101,8 @@ def _store_sessions(
         if earlier is not None and replay_days is not None:
             taken, late = _split_late(rows, earlier, replay_days, mark_of)
             writes.append(lambda: writers.write_batch(late, f"{table}_late", batch_id))
-        newest = latest_by_key(ingest.valid_workouts(taken), ["id"], ARRIVAL)
+        wanted = [c for c in S.RAW_WORKOUT.fieldNames() if intervals or c != "intervals"]
+        newest = latest_by_key(ingest.valid_workouts(taken), ["id"], ARRIVAL, wanted)
         rejected = ingest.rejected_workouts(taken).select(*S.RAW_WORKOUT.fieldNames())
         moved = _moved_marks(ingest.marks_of(taken, "sessions"), earlier)
         writes.append(lambda: writers.write_batch(rejected, rejects or f"{table}_rejects", batch_id))
@@ -181,11 +182,18 @@ def sync_metrics(
         )
         if not touched:
             return
-        mine = spark.read.parquet(f"{history}/batch_id={batch_id}").select(*HISTORY_KEYS, "athlete_id", "workout_id", "moved_away")
-        versions = writers.stored_rows(spark, history, batch_id, touched).join(mine.select(*HISTORY_KEYS), HISTORY_KEYS, "left_semi")
+        mine = spark.read.parquet(f"{history}/batch_id={batch_id}").drop(writers.BUCKET)
+        before = writers.stored_rows(spark, history, batch_id - 1, touched)
+        if before is None:  # all there is is new
+            found = metrics.daily_metrics(mine.where("NOT moved_away")).unionByName(metrics_removed(mine))
+            writers.write_batch(found.withColumn("athlete_key", _athlete_key()), derived, batch_id, "athlete_key", buckets)
+            return
+        times = [*HISTORY_KEYS, "workout_date"]
+        versions = before.select(*times).join(mine.select(*HISTORY_KEYS), HISTORY_KEYS, "left_semi").unionByName(mine.select(*times))
         # The earliest old or new time of a changed workout; a time that is NULL sorts last.
         since = materialise(versions.groupBy("athlete_key").agg(F.min("workout_date").alias("since")), "since")
-        current = writers.current_rows(spark, history, HISTORY_KEYS, batch_id, touched).where("NOT moved_away").join(since, "athlete_key")
+        current = writers.current_rows(spark, history, HISTORY_KEYS, batch_id, touched, distinct=True)
+        current = current.where("NOT moved_away").join(since, "athlete_key")
         affected = F.col("workout_date").isNull() | F.coalesce(F.col("workout_date") >= F.col("since"), F.lit(False))
         newest_first = [F.desc(name) for name in metrics.SESSION_ORDER]
         earlier = best_rows(
@@ -195,8 +203,7 @@ def sync_metrics(
         recomputed = metrics.daily_metrics(rows).join(since.withColumnRenamed("athlete_key", "of"), _athlete_key() == F.col("of"))
         recomputed = recomputed.where(affected).drop("since", "of")
         # Workouts that stopped being eligible or went to another athlete leave an empty marker, so that the older row is not used.
-        gone = metrics_removed(rows, mine)
-        found = recomputed.unionByName(gone).withColumn("athlete_key", _athlete_key())
+        found = recomputed.unionByName(metrics_removed(mine)).withColumn("athlete_key", _athlete_key())
         writers.write_batch(found, derived, batch_id, "athlete_key", buckets)
         writers.compact_if_long(spark, derived, HISTORY_KEYS, bucket_by="athlete_key", buckets=buckets)
         writers.compact_if_long(spark, history, HISTORY_KEYS, bucket_by="athlete_key", buckets=buckets)
@@ -223,7 +230,7 @@ def _changed_history(changed: DataFrame, derived: str, batch_id: int, buckets: i
     rows = now
     if writers.stored_rows(spark, places, batch_id - 1) is not None:
         touched = writers.touched_buckets(spark, places, batch_id)
-        before = writers.current_rows(spark, places, ["workout_id"], batch_id - 1, touched)
+        before = writers.current_rows(spark, places, ["workout_id"], batch_id - 1, touched, distinct=True)
         moved = now.join(before.withColumnRenamed("athlete_key", "was"), "workout_id").where("was <> athlete_key")
         number = F.when(F.col("was") != "", F.col("was")).cast(changed.schema["athlete_id"].dataType)
         moved = moved.withColumns({"athlete_key": F.col("was"), "athlete_id": number, "moved_away": F.lit(True)}).select(*now.columns)
@@ -233,10 +240,10 @@ def _changed_history(changed: DataFrame, derived: str, batch_id: int, buckets: i
     return writers.touched_buckets(spark, history, batch_id)
 
 
-def metrics_removed(current: DataFrame, changed: DataFrame) -> DataFrame:
-    """Markers for changed workouts of an athlete that are not (or no longer) eligible: their key with no split."""
-    still = metrics.eligible_sessions(current).select(*HISTORY_KEYS)
-    gone = changed.join(still, HISTORY_KEYS, "left_anti")
+def metrics_removed(changed: DataFrame) -> DataFrame:
+    """Markers for changed workouts of an athlete that are not (or no longer) eligible: their key with no split. A row of the
+    newest batch is the current one of its key, so it tells by itself."""
+    gone = changed.where(F.col("moved_away") | ~F.coalesce(metrics.is_eligible(), F.lit(False)))
     empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in S.METRICS.fields[2:]]
     return gone.select("athlete_id", "workout_id", *empty)
 
@@ -247,7 +254,7 @@ def current_metrics(spark: SparkSession, derived: str, athletes: list[int] | Non
     if athletes is not None:
         keys = spark.createDataFrame([(str(a),) for a in athletes], "athlete_key string")
         of = [r[0] for r in keys.select(writers.bucket_of(F.col("athlete_key"), buckets)).distinct().collect()]
-    newest = writers.current_rows(spark, derived, HISTORY_KEYS, buckets=of).where(F.col("avg_split_sec").isNotNull())
+    newest = writers.current_rows(spark, derived, HISTORY_KEYS, buckets=of, distinct=True).where(F.col("avg_split_sec").isNotNull())
     if athletes is not None:
         newest = newest.where(F.col("athlete_id").isin(list(athletes)))
     return newest.select(*S.METRICS.fieldNames())
