@@ -139,3 +139,12 @@ def test_a_chunk_that_is_read_in_pieces(spark):
     assert sorted(found) == [0, 2]
     # "a", "b", "c", the end, "a b" and "b c" occur twice; the second stretch has neither "c" nor "b c"
     assert [sum(x > 0 for x in found[first]) for first in (0, 2)] == [7, 4]
+
+
+@pytest.mark.parametrize("key_bits", [8, 40, 62])
+def test_order_and_steps(key_bits):
+    keys = np.random.default_rng(3).integers(0, 2**key_bits, 5000, dtype=np.uint64)
+    assert np.array_equal(M._order(keys, key_bits), np.argsort(keys, kind="stable"))
+    prints = np.unique((keys & M._LOW).astype(np.uint32))
+    assert np.array_equal(M._from_steps(M._steps(prints)), prints)
+    assert len(M._order(keys[:0], key_bits)) == 0 and len(M._from_steps(M._steps(prints[:0]))) == 0

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trainlake.llm.common import discard, read, small_batches, some, stored, text_of
+from trainlake.llm.common import discard, read, setting, small_batches, some, stored, text_of
 from trainlake.llm.textkit import mix, runs, slices, word_hashes
 
 ORDER = 3
@@ -40,7 +40,7 @@ FREQUENT_SHARE = 5e-7
 LEVEL_BASE = 1.4
 BITS_PER_ENTRY = 16
 HISTORY_WEIGHT = 0.1
-CHUNK_TOKENS = 1_500_000
+CHUNK_TOKENS = 1_000_000
 
 END = b"\xff"  # no UTF-8 text holds this byte
 _FLUSH_WORDS = 400_000
@@ -111,25 +111,54 @@ def _sliced_keys(lowered: list[bytes], order: int, segments: int) -> list[list[n
     return [ngram_keys(lowered[a:b], order, segments) for a, b in slices([len(t) for t in lowered], _SLICE_BYTES)]
 
 
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Where each distinct value begins."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, dtype=np.int64)
+
+
+def _order(keys: np.ndarray, key_bits: int) -> np.ndarray:
+    """The places of the keys in ascending order. Key and place are sorted as one number, which is much faster than argsort;
+    where both do not fit, range by range of the keys."""
+    place_bits = len(keys).bit_length()
+    spare = np.uint64(key_bits - max(0, key_bits + place_bits - 64))
+    rest, width, found = (np.uint64(1) << spare) - np.uint64(1), np.uint64(place_bits), []
+    for top in range(1 << (key_bits - int(spare))):
+        at = np.flatnonzero(keys >> spare == top).astype(np.uint64)
+        packed = np.sort(((keys[at] & rest) << width) | at)
+        found.append((packed & ((np.uint64(1) << width) - np.uint64(1))).astype(np.int64))
+    return np.concatenate(found)
+
+
+def _steps(prints: np.ndarray) -> bytes:
+    """Ascending numbers as differences, all lowest bytes first and all highest last: those are mostly 0 and compress well."""
+    return np.diff(prints, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_steps(packed: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(packed, dtype=np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    return np.cumsum(steps, dtype=np.uint32)
+
+
 def _question(chunk: int, first: int, lowered: list[bytes], learn: list[bool], order: int, segments: int) -> pd.DataFrame:
-    """The distinct n-grams of some neighbours of a chunk, one row per segment: packed 32-bit fingerprints in order, their
+    """The distinct n-grams of some neighbours of a chunk, one row per segment: 32-bit fingerprints in order (``_steps``), their
     training counts in a byte each, and those counts that need more."""
-    parts = []
-    for wanted in (True, False):
-        keys = [k for part in _sliced_keys([t for t, x in zip(lowered, learn) if x == wanted], order, segments) for k in part]
-        keys = np.concatenate(keys) if keys else np.empty(0, dtype=np.uint64)
-        parts.append(np.unique(keys[keys != 0], return_counts=wanted))
-    (learned, of_learned), others = parts
-    found = np.union1d(learned, others)
-    counts = np.zeros(len(found), dtype=np.int64)
-    counts[np.searchsorted(found, learned)] = of_learned
+    one = np.uint64(1)
+    flagged = []  # keys with whether they are learnt in the lowest bit: one sort brings all of a key together
+    for flag in (False, True):
+        for part in _sliced_keys([t for t, x in zip(lowered, learn) if x == flag], order, segments):
+            flagged += [(k[k != 0] << one) | np.uint64(flag) for k in part]
+    flagged = np.sort(np.concatenate(flagged))
+    starts = _starts(flagged >> one)
+    found = flagged[starts] >> one
+    counts = np.add.reduceat((flagged & one).astype(np.int64), starts) if len(starts) else np.empty(0, dtype=np.int64)
+    del flagged
     limits = np.searchsorted(found, np.arange(segments + 1, dtype=np.uint64) << np.uint64(32))
     prints, small, rows = (found & _LOW).astype(np.uint32), np.minimum(counts, 255).astype(np.uint8), []
     for segment in range(segments):
         part = slice(limits[segment], limits[segment + 1])
         if part.start < part.stop:
             large = counts[part][small[part] == 255]
-            rows.append((segment, chunk, first, prints[part].tobytes(), small[part].tobytes(), large.tobytes()))
+            rows.append((segment, chunk, first, _steps(prints[part]), small[part].tobytes(), large.tobytes()))
     return pd.DataFrame(rows, columns=["segment", "chunk", "first", "prints", "counts", "large"])
 
 
@@ -156,14 +185,18 @@ def ngram_levels(chunks: DataFrame, order: int, segments: int, least: int, base:
             yield _question(chunk, first, lowered, learn, order, segments)
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
-        prints = [np.frombuffer(x, dtype=np.uint32) for x in group["prints"]]
+        prints = [_from_steps(x) for x in group["prints"]]
         counts = np.frombuffer(b"".join(group["counts"]), dtype=np.uint8).astype(np.int64)
         counts[counts == 255] = np.frombuffer(b"".join(group["large"]), dtype=np.int64)
-        distinct, at = np.unique(np.concatenate(prints), return_inverse=True)
-        total = np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.int64)
-        keys = (np.uint64(group["segment"].iloc[0]) << np.uint64(32)) | distinct.astype(np.uint64)
+        joined = np.concatenate(prints).astype(np.uint64)
+        order_of = _order(joined, 32)
+        joined = joined[order_of]
+        starts = _starts(joined)
+        total = np.add.reduceat(counts[order_of], starts)
+        keys = (np.uint64(group["segment"].iloc[0]) << np.uint64(32)) | joined[starts]
         reader = CountFilter({0: filled(keys, _entry_levels(total, least, base), bits)}, 1, least, base)
-        levels = reader.levels(keys, np.zeros(len(keys), dtype=np.int64)).astype(np.uint8)[at]
+        levels = np.empty(len(joined), dtype=np.uint8)
+        levels[order_of] = np.repeat(reader.levels(keys, np.zeros(len(keys), dtype=np.int64)).astype(np.uint8), np.diff(starts, append=len(joined)))
         ends = np.cumsum([len(p) for p in prints])
         answers = [levels[end - len(p) : end].tobytes() for p, end in zip(prints, ends)]
         return pd.DataFrame({"chunk": group["chunk"], "first": group["first"], "segment": group["segment"], "levels": answers})
@@ -252,7 +285,8 @@ def lm_scores(
     texts = texts.withColumn("held_out", ~is_training)
     # Ids are text in the tasks, as pandas has no whole numbers beside nulls.
     texts = texts.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "held_out", F.coalesce(~F.col("held_out"), F.lit(False)).alias("learn"))
-    chunks = stored(in_chunks(texts, chunk_tokens), "chunks")
+    with setting(spark, "spark.sql.parquet.compression.codec", "zstd"):
+        chunks = stored(in_chunks(texts, chunk_tokens), "chunks")
 
     counts = stored(word_counts(chunks.where("learn").select("text")), "word-counts")
     row = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -279,11 +313,18 @@ def lm_scores(
             part = rows.iloc[first:last]
             lowered = [_lower(t) for t in part["text"]]
             sliced = _sliced_keys(lowered, order, segments)
-            asked, at = np.unique(np.concatenate([k for keys in sliced for k in keys]), return_inverse=True)
-            levels = np.zeros(len(asked), dtype=np.uint8)
-            levels[asked != 0] = np.frombuffer(b"".join(answers["levels"][answers["first"] == first]), dtype=np.uint8)
-            of_keys = np.split(levels[at], np.cumsum([len(k) for keys in sliced for k in keys])[:-1])
-            del asked, at
+            sizes = [len(k) for keys in sliced for k in keys]
+            asked = np.concatenate([k for keys in sliced for k in keys])
+            del sliced
+            order_of = _order(asked, 32 + (segments - 1).bit_length())
+            asked = asked[order_of]
+            starts = _starts(asked)
+            answered = np.zeros(len(starts), dtype=np.uint8)
+            answered[asked[starts] != 0] = np.frombuffer(b"".join(answers["levels"][answers["first"] == first]), dtype=np.uint8)
+            levels = np.empty(len(asked), dtype=np.uint8)
+            levels[order_of] = np.repeat(answered, np.diff(starts, append=len(asked)))
+            of_keys = np.split(levels, np.cumsum(sizes)[:-1])
+            del asked, order_of, starts
             for i, (a, b) in enumerate(slices([len(t) for t in lowered], _SLICE_BYTES)):
                 seen_counts = [stands_for[x] for x in of_keys[order * i : order * (i + 1)]]
                 found.append(scored_slice(part.iloc[a:b], lowered[a:b], seen_counts, index, log_base))
