@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
 Texts fall into units: a run of spaces with the word after it, a word at the begin of a line, or a line feed. No piece of
-a vocabulary of this kind reaches over the begin of a unit, so the best path of a text is that of its units in order. The
-distinct units of the corpus are counted, their substrings of at most the longest piece's length are exploded and
-equi-joined with the piece table (broadcast: its size is that of the vocabulary), the edges are grouped by unit (in the
+a vocabulary of this kind reaches over the begin of a unit, so the best path of a text is that of its units in order. For
+merging, words are also cut where characters meet that no piece holds side by side (``Vocabulary.cut``), such as a word and
+its comma. The distinct units of the corpus are counted, their substrings of at most the longest piece's length are exploded
+and equi-joined with the piece table (broadcast: its size is that of the vocabulary), the edges are grouped by unit (in the
 partitions of the units, the edges are not shuffled), and a fold over the edges of a unit finds its pieces. A character
 without a piece becomes its bytes.
 
@@ -12,9 +13,10 @@ by pair, each time the pair whose piece has the highest score (of equal ones the
 "unigram" takes the path of the highest sum of scores (Viterbi; of equal scores the longer last piece wins). The query and
 the stage fold by the type that the model file states.
 
-Texts are put together from a broadcast of the frequent units (each at least ``frequent_share`` of all, so at most
-1 / frequent_share of them) and, for all others, from a join that sends each text its own rare units. Equal texts share
-the answer, so a common text asks once per task.
+Texts are put together from a broadcast of the frequent units (each in at least ``frequent_share`` times as many texts as
+there are words) and, for all others, from answers sent to where they are asked for: every text has a bucket by its hash, a
+rare unit is counted together with the buckets of its texts, and each task that encodes units sends a bucket one bundle of
+all it asked for. Texts and bundles meet by bucket; counting, asking and encoding read the texts once, packing once more.
 
 The scores are those of the model file. A BPE model holds merge ranks as scores: the path of the best rank sum decodes to
 the same text, but is not what merging gives, so "unigram" is no encoding of such a model.
@@ -27,7 +29,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+import sys
+from collections import Counter, defaultdict
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -37,16 +40,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
-from trainlake.llm.common import discard, read, setting, small_batches, some, spread, stored, text_of, with_place
+from trainlake.llm.common import read, setting, small_batches, spread, stored, text_of, with_place
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 FREQUENT_SHARE = 2e-7
-TASK_UNITS = 16384
+TASK_CHARACTERS = 8_000_000  # of texts, for each bucket and each task of units
+TASK_GROUPS = 65536
 UNKNOWN_PENALTY = 10.0  # below the lowest score, as in the library
 
 SPACE = "▁"
 _UNITS = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 _FLUSH_UNITS = 300_000
+_FLUSH_ANSWERS = 1_000_000
 
 
 class Vocabulary:
@@ -67,6 +72,7 @@ class Vocabulary:
         self.unknown = min(s for _, _, s in self.pieces) - UNKNOWN_PENALTY
         if any("\n" in p or SPACE in p.lstrip(SPACE) for p, _, _ in self.pieces):
             raise ValueError("a piece reaches over the begin of a unit")
+        self.cut = _cut([p for p, _, _ in self.pieces])
 
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.pieces, "piece string, piece_id int, score double")
@@ -77,32 +83,70 @@ class Vocabulary:
         return spelled | {i: bytes([b]) for b, i in enumerate(self.bytes)}
 
 
-def units(text: str) -> list[str]:
-    return _UNITS.findall(" " + text.replace(SPACE, " ")) if text else []
+def units(text: str, cut: re.Pattern = _UNITS) -> list[str]:
+    return cut.findall(" " + text.replace(SPACE, " ")) if text else []
 
 
-def unit_counts(texts: DataFrame) -> DataFrame:
-    """(unit, n) over all texts, summed within each task first; spaces are written as in pieces."""
+def _cut(pieces: list[str]) -> re.Pattern:
+    """Units that also end between two kinds of characters: those of the largest group (mostly the letters) that pieces
+    connect by holding two side by side, and all others. No piece holds one of each, so nothing is merged over a cut."""
+    group: dict[str, set[str]] = {}
+    for piece in pieces:
+        found = {c for c in piece if c != SPACE}
+        joined = set().union(found, *(group[c] for c in found if c in group))
+        group.update(dict.fromkeys(joined, joined))
+    kind = "".join(map(re.escape, sorted(max(group.values(), key=len, default=set()))))
+    return re.compile(f" *[{kind}]+| *[^ \n{kind}]+| +|\n") if kind else _UNITS
+
+
+def unit_counts(texts: DataFrame, tasks: int, least: int, cut: re.Pattern) -> DataFrame:
+    """(unit, n, asks) over all texts (bucket, text), summed within each task first; spaces are written as in pieces. ``n`` is
+    the number of texts with the unit, ``asks`` the buckets of these texts (see ``_asked``), null from ``least`` texts on."""
+    wide = _wide(tasks)
+
+    def rows(found, many):
+        names = [u.replace(" ", SPACE) for u in (*found, *many)]
+        counts = [len(codes) // wide for codes in found.values()] + list(many.values())
+        if names:
+            yield pd.DataFrame({"unit": names, "n": counts, "asks": pd.Series([*found.values(), *[None] * len(many)], dtype=object)})
 
     def count(batches):
-        found: Counter[str] = Counter()
+        found: dict[str, bytes] = {}
+        many: dict[str, int] = {}
         for batch in batches:
-            for text in batch["text"]:
-                found.update(units(text))
-                if len(found) >= _FLUSH_UNITS:
-                    yield from some(list(found.items()), ["unit", "n"])
-                    found = Counter()
-        yield from some(list(found.items()), ["unit", "n"])
+            for bucket, text in zip(batch["bucket"].tolist(), batch["text"]):
+                code = bucket.to_bytes(wide, sys.byteorder)
+                for unit in set(units(text, cut)):
+                    if unit in many:
+                        many[unit] += 1
+                    elif len(codes := found.get(unit, b"") + code) < least * wide:
+                        found[unit] = codes
+                    else:
+                        many[unit] = least
+                        found.pop(unit, None)
+                if len(found) + len(many) >= _FLUSH_UNITS:
+                    yield from rows(found, many)
+                    found, many = {}, {}
+        yield from rows(found, many)
+
+    counted = texts.select("bucket", "text").mapInPandas(count, "unit string, n long, asks binary")
+    n = F.sum("n")
+    return counted.repartition(tasks, "unit").groupBy("unit").agg(n.alias("n"), F.when(n < least, F.listagg("asks")).alias("asks"))
 
-    counted = texts.mapInPandas(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    return counted.withColumn("unit", F.translate("unit", " ", SPACE))
+
+def _wide(tasks: int) -> int:
+    """How many bytes the number of a bucket takes."""
+    return 1 if tasks <= 1 << 8 else 2 if tasks <= 1 << 16 else 4
+
+
+def _asked(asks: bytes, wide: int) -> set[int]:
+    return set(memoryview(asks).cast({1: "B", 2: "H", 4: "I"}[wide]))
 
 
 def _substrings(counted: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(unit, n, end, len, piece): the substrings of the units that can be pieces."""
+    """(unit, n, asks, end, len, piece): the substrings of the units that can be pieces."""
     return (
-        counted.repartition(spread(counted.count(), TASK_UNITS), "unit")
-        .withColumn("size", F.length("unit"))
+        counted.withColumn("size", F.length("unit"))
         .withColumn("end", F.explode(F.sequence(F.lit(1), F.col("size"))))
         .withColumn("len", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.col("end")))))
         .withColumn("piece", F.expr("substring(unit, end - len + 1, len)"))
@@ -132,55 +176,58 @@ def merged(size: int, edges: dict[tuple[int, int], tuple[int, int]]) -> list[int
     return [*sorted(ends), size]
 
 
-def merged_units(counted: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(unit, n, ids) for every row (unit, n), merged by rank."""
+def merged_units(counted: DataFrame, vocabulary: Vocabulary):
+    """The edges of every unit, and the fold of their batches to batches of (unit, n, asks, ids), merged by rank."""
     spark = counted.sparkSession
     by_score = {s: rank for rank, s in enumerate(sorted({s for _, _, s in vocabulary.pieces}, reverse=True))}
     places = [(piece, place) for place, (piece, _, _) in enumerate(vocabulary.pieces)]
-    ranks, ids = [by_score[s] for _, _, s in vocabulary.pieces], [i for _, i, _ in vocabulary.pieces]
+    ranked = [(by_score[s], i) for _, i, s in vocabulary.pieces]
     byte_ids, stride, width = vocabulary.bytes, len(places), vocabulary.longest + 1
     pieces = F.broadcast(spark.createDataFrame(places, "piece string, place long"))
     # An edge is one number: its end, its length and the place of its piece.
     edges = _substrings(counted, vocabulary).join(pieces, "piece", "left").where("place IS NOT NULL OR len = 1").select(
-        "unit", "n", F.expr(f"(cast(end AS long) * {width} + len) * {stride} + place").alias("edge")
+        "unit", "n", "asks", F.expr(f"(cast(end AS long) * {width} + len) * {stride} + place").alias("edge")
     )
-    lattice = edges.groupBy("unit").agg(F.first("n").alias("n"), F.collect_list("edge").alias("edges"))
+    lattice = edges.groupBy("unit").agg(F.first("n").alias("n"), F.first("asks").alias("asks"), F.collect_list("edge").alias("edges"))
 
     def fold(batches):
         for batch in batches:
-            found = []
+            found, first = [], 0
+            spans, place = np.divmod(np.concatenate([*batch["edges"], np.empty(0, np.int64)]), stride)
+            ends, sizes = np.divmod(spans, width)
+            spans, pieces = list(zip((ends - sizes).tolist(), ends.tolist())), [ranked[i] for i in place.tolist()]
             for unit, codes in zip(batch["unit"], batch["edges"]):
-                edges = {}
-                for code in codes.tolist():
-                    span, place = divmod(code, stride)
-                    end, size = divmod(span, width)
-                    edges[end - size, end] = ranks[place], ids[place]
+                last = first + len(codes)
+                edges = dict(zip(spans[first:last], pieces[first:last]))
+                first = last
                 cuts = merged(len(unit), edges)
                 path = []
-                for begin, end in zip(cuts, cuts[1:]):
-                    edge = edges.get((begin, end))
-                    path.extend([edge[1]] if edge else [byte_ids[b] for b in unit[begin:end].encode()])
+                for span in zip(cuts, cuts[1:]):
+                    edge = edges.get(span)
+                    path.extend([edge[1]] if edge else [byte_ids[b] for b in unit[slice(*span)].encode()])
                 found.append(path)
-            yield pd.DataFrame({"unit": batch["unit"], "n": batch["n"], "ids": pd.Series(found, dtype=object)})
+            yield pd.DataFrame({"unit": batch["unit"], "n": batch["n"], "asks": batch["asks"], "ids": pd.Series(found, dtype=object)})
 
-    return lattice.mapInPandas(fold, "unit string, n long, ids array<int>")
+    return lattice, fold
 
 
 def encoded_units(counted: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(unit, n, ids) for every row (unit, n), by the path of the highest sum of scores."""
+    """(unit, n, asks, ids) for every row (unit, n, asks), by the path of the highest sum of scores."""
     pieces = F.broadcast(vocabulary.table(counted.sparkSession))
     edges = (
         _substrings(counted, vocabulary).join(pieces, "piece", "left")
         .where("piece_id IS NOT NULL OR len = 1")
         .select(
-            "unit", "n",
+            "unit", "n", "asks",
             F.struct(
                 "end", "len", F.coalesce("piece_id", F.lit(-1)).alias("id"),
                 F.coalesce("score", F.lit(vocabulary.unknown)).alias("score"),
             ).alias("edge"),
         )
     )
-    lattice = edges.groupBy("unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("edge")).alias("edges"))
+    lattice = edges.groupBy("unit").agg(
+        F.first("n").alias("n"), F.first("asks").alias("asks"), F.sort_array(F.collect_list("edge")).alias("edges")
+    )
     # best[e] is the best path that ends after character e; edges come by end, so only the last entry can still change
     best = F.expr("""
         aggregate(edges, array(struct(0D AS score, 0 AS len, -1 AS id)), (best, e) ->
@@ -204,11 +251,53 @@ def encoded_units(counted: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             transform(sequence(1, length(hex(encode(substring(unit, -p, 1), 'UTF-8'))) div 2),
                 k -> element_at({byte_ids}, cast(conv(substring(hex(encode(substring(unit, -p, 1), 'UTF-8')), 2 * k - 1, 2), 16, 10) AS int) + 1))))))
     """)
-    return lattice.withColumn("best", best).withColumn("path", path).select("unit", "n", ids.alias("ids"))
-
-
-def _packed(ids: str) -> bytes:
-    return np.array(ids.split(","), dtype=np.int32).tobytes()
+    return lattice.withColumn("best", best).withColumn("path", path).select("unit", "n", "asks", ids.alias("ids"))
+
+
+def _bundle(answers: list[tuple[str, bytes]]) -> bytes:
+    """Units and their ids, compressed; a line feed parts the units, and the unit that is one is written as nothing."""
+    names = "\n".join("" if unit == "\n" else unit for unit, _ in answers).replace(SPACE, " ").encode()
+    sizes = np.array([len(names), len(answers), *(len(ids) for _, ids in answers)], dtype=np.int32).tobytes()
+    return zstandard.compress(b"".join([sizes, names, *(ids for _, ids in answers)]))
+
+
+def _opened(bundle: bytes) -> dict[str, bytes]:
+    whole = zstandard.decompress(bundle)
+    length, n = np.frombuffer(whole, dtype=np.int32, count=2).tolist()
+    first = 8 + 4 * n
+    ends = (np.cumsum(np.frombuffer(whole, dtype=np.int32, count=n, offset=8)) + first + length).tolist()
+    names = whole[first : first + length].decode().split("\n")
+    return {u or "\n": whole[a:b] for u, a, b in zip(names, [first + length, *ends], ends)}
+
+
+def answered(batches, least: int, wide: int):
+    """(bucket, n, unit, packed): the frequent units of batches (unit, n, asks, ids) one by one, and all that a bucket has asked
+    for together, without n and unit."""
+    columns = ["bucket", "n", "unit", "packed"]
+    held: dict[int, list[tuple[str, bytes]]] = defaultdict(list)
+    size = 0
+
+    def bundles():
+        for bucket, answers in held.items():
+            yield pd.DataFrame([(bucket, None, None, _bundle(answers))], columns=columns).astype({"n": "Int64"})
+
+    for batch in batches:
+        frequent = []
+        for unit, n, asks, ids in zip(batch["unit"], batch["n"].tolist(), batch["asks"], batch["ids"]):
+            packed = np.array(ids, dtype=np.int32).tobytes()
+            if n >= least:
+                frequent.append((-1, n, unit, packed))
+                continue
+            for bucket in _asked(asks, wide):
+                held[bucket].append((unit, packed))
+                size += 1
+        if frequent:
+            yield pd.DataFrame(frequent, columns=columns)
+        if size >= _FLUSH_ANSWERS:
+            yield from bundles()
+            held.clear()
+            size = 0
+    yield from bundles()
 
 
 def encode(
@@ -223,72 +312,60 @@ def encode(
         raise ValueError("only unigram and BPE models are encoded")
     place = F.col(place_col).cast("long") if place_col else F.lit(None).cast("long")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), place.alias("position"))
-    counted = stored(unit_counts(texts.select("text")), "unit-counts")
-    # A task groups TASK_UNITS units at most: by hashing, without the sort of all edges that Spark turns to from 128 groups.
-    with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(4 * TASK_UNITS)):
-        dictionary = stored((merged_units if encode_as == "bpe" else encoded_units)(counted, vocabulary), "units")
-    total = dictionary.agg(F.sum("n")).first()[0] or 0
-    least = max(2, math.ceil(total * frequent_share))
-    discard(counted)
-    common = dictionary.where(F.col("n") >= least).orderBy("n", "unit").select(F.array_join("ids", ",").alias("ids"), "unit")
-    known = {r["unit"].replace(SPACE, " "): _packed(r["ids"]) for r in common.toLocalIterator()}
+    length, rows = F.length("text"), F.count(F.lit(1))
+    spaces = length - F.length(F.translate("text", f" \n{SPACE}", ""))
+    total, size = (x or 0 for x in texts.agg(F.sum(spaces) + rows, F.sum(length) + 32 * rows).first())
+    least, tasks = max(2, math.ceil(total * frequent_share)), spread(size, TASK_CHARACTERS)
+    texts = texts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "position", "text"), F.lit(tasks)).cast("int"))
+    wide, cut = _wide(tasks), vocabulary.cut if encode_as == "bpe" else _UNITS
+
+    counted = unit_counts(texts, tasks, least, cut)
+    if encode_as == "bpe":
+        lattice, fold = merged_units(counted, vocabulary)
+    else:
+        lattice, fold = encoded_units(counted, vocabulary), iter
+    answers = lattice.mapInPandas(lambda batches: answered(fold(batches), least, wide), "bucket int, n long, unit string, packed binary")
+    # A task groups its units by hashing, without the sort of all edges that Spark turns to from 128 groups.
+    with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(TASK_GROUPS)):
+        answers = stored(answers, "units")
+    common = answers.where("n IS NOT NULL").orderBy("n", "unit").select("unit", "packed")
+    known = {r["unit"].replace(SPACE, " "): bytes(r["packed"]) for r in common.toLocalIterator()}
     # texts are moved compressed; the frequent units are what they have in common
     prefix = "".join(known).encode()[-65536:]
     shared = spark.sparkContext.broadcast((known, prefix, vocabulary.spelled()))
 
-    keyed = texts.withColumn("key", F.xxhash64("text"))
-
-    def ask(batches):
-        known, *_ = shared.value
-        seen: set[int] = set()
-        for batch in batches:
-            rows = []
-            for key, text in zip(batch["key"], batch["text"]):
-                if key not in seen:
-                    if len(seen) < 1_000_000:  # copies of one text in a task ask once; beyond this they only ask again
-                        seen.add(key)
-                    rare = [u.replace(" ", SPACE) for u in dict.fromkeys(units(text)) if u not in known]
-                    if rare:
-                        rows.append((key, rare))
-            yield from some(rows, ["key", "units"])
-
-    asked = keyed.select("key", "text").mapInPandas(ask, "key long, units array<string>")
-    answers = (
-        asked.select("key", F.explode("units").alias("unit"))
-        .join(dictionary.where(F.col("n") < least).select("unit", "ids"), "unit")
-        .select("key", F.concat(F.array_join("ids", ","), F.lit(":"), "unit").alias("answer"))
-        .groupBy("key")
-        .agg(F.collect_set("answer").alias("answers"))
-    )
-    answers = stored(answers, "rare-units")
-
     def pack(batches):
         packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(shared.value[1], dict_type=zstandard.DICT_TYPE_RAWCONTENT))
         for batch in batches:
             packed = [packer.compress(t.encode("utf-8", "surrogatepass")) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "position": batch["position"], "key": batch["key"], "packed": packed})
+            yield pd.DataFrame({"bucket": batch["bucket"], "is_text": True, "doc_id": batch["doc_id"], "position": batch["position"], "packed": packed})
 
     def put_together(batches):
         known, prefix, pieces = shared.value
         opener = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(prefix, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+        at, rare = None, {}
         for batch in batches:
             texts, found, same = [], [], []
-            for packed, answers in zip(batch["packed"], batch["answers"]):
+            for bucket, is_text, packed in zip(batch["bucket"], batch["is_text"], batch["packed"]):
+                if bucket != at:
+                    at, rare = bucket, {}
+                if not is_text:  # come first in their bucket
+                    rare.update(_opened(packed))
+                    continue
                 text = opener.decompress(packed).decode("utf-8", "surrogatepass")
-                rare = {}
-                for answer in answers if answers is not None else ():
-                    ids, _, unit = answer.partition(":")
-                    rare[unit.replace(SPACE, " ")] = _packed(ids)
-                parts = [known.get(u) or rare[u] for u in units(text)]
+                parts = [known.get(u) or rare[u] for u in units(text, cut)]
                 texts.append(text if with_text else None)
                 found.append(np.frombuffer(b"".join(parts), dtype=np.int32))
                 same.append(spelled(found[-1], pieces) == text.replace(SPACE, " "))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "position": batch["position"], "text": pd.Series(texts, dtype=object), "ids": found, "round_trip": same})
-
-    packed = keyed.mapInPandas(pack, "doc_id long, position long, key long, packed binary")
-    found = packed.join(answers, "key", "left").select("doc_id", "position", "packed", "answers").mapInPandas(
-        put_together, "doc_id long, position long, text string, ids array<int>, round_trip boolean"
-    )
+            if found:
+                kept = batch.loc[batch["is_text"], ["doc_id", "position"]].reset_index(drop=True)
+                yield kept.assign(text=pd.Series(texts, dtype=object), ids=pd.Series(found, dtype=object), round_trip=same)
+
+    moved = "bucket int, is_text boolean, doc_id long, position long, packed binary"
+    packed = texts.mapInPandas(pack, moved)
+    bundles = answers.where("n IS NULL").selectExpr("bucket", "false AS is_text", "0L AS doc_id", "0L AS position", "packed")
+    both = bundles.unionByName(packed).repartitionById(tasks, "bucket").sortWithinPartitions("bucket", "is_text")
+    found = both.mapInPandas(put_together, "doc_id long, position long, text string, ids array<int>, round_trip boolean")
     return found if place_col else found.drop("position")
 
 
