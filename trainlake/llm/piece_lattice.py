@@ -44,13 +44,18 @@ from trainlake.llm.common import read, setting, small_batches, spread, stored, t
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 FREQUENT_SHARE = 2e-7
-TASK_CHARACTERS = 8_000_000  # of texts, for each bucket and each task of units
+TASK_BYTES = 8_000_000  # of texts, for each bucket and each task of units
 TASK_GROUPS = 65536
+WORD_BYTES = 6  # about, to tell from the size of the texts how many words there are
 UNKNOWN_PENALTY = 10.0  # below the lowest score, as in the library
 
+SHORT = 32  # characters
+
 SPACE = "▁"
 _UNITS = re.compile(r" +[^ \n]*|[^ \n]+|\n")
-_FLUSH_UNITS = 300_000
+_WORDS = re.compile(r" +[^ ]*")
+_FLUSH_UNITS = 500_000
+_HELD_WORDS = 200_000
 _FLUSH_ANSWERS = 1_000_000
 
 
@@ -83,8 +88,15 @@ class Vocabulary:
         return spelled | {i: bytes([b]) for b, i in enumerate(self.bytes)}
 
 
-def units(text: str, cut: re.Pattern = _UNITS) -> list[str]:
-    return cut.findall(" " + text.replace(SPACE, " ")) if text else []
+def units(text: str) -> list[str]:
+    return _UNITS.findall(" " + text.replace(SPACE, " ")) if text else []
+
+
+def words(text: str) -> list[str]:
+    """The text cut before every space that follows something else, each part without the first of its spaces. A part with
+    this space back is one or several whole units."""
+    found = text.replace(SPACE, " ").split(" ") if text else []
+    return [w[1:] for w in _WORDS.findall(" " + text.replace(SPACE, " "))] if "" in found else found
 
 
 def _cut(pieces: list[str]) -> re.Pattern:
@@ -101,32 +113,48 @@ def _cut(pieces: list[str]) -> re.Pattern:
 
 def unit_counts(texts: DataFrame, tasks: int, least: int, cut: re.Pattern) -> DataFrame:
     """(unit, n, asks) over all texts (bucket, text), summed within each task first; spaces are written as in pieces. ``n`` is
-    the number of texts with the unit, ``asks`` the buckets of these texts (see ``_asked``), null from ``least`` texts on."""
+    the number of words with the unit that are distinct in their text, ``asks`` the buckets of these texts (see ``_asked``), null
+    from ``least`` on."""
     wide = _wide(tasks)
 
     def rows(found, many):
-        names = [u.replace(" ", SPACE) for u in (*found, *many)]
-        counts = [len(codes) // wide for codes in found.values()] + list(many.values())
+        asks: dict[str, bytes] = {}
+        often: Counter[str] = Counter()
+        for word, n in many.items():
+            for unit in cut.findall(" " + word):
+                often[unit] += n
+        for word, codes in found.items():
+            for unit in cut.findall(" " + word):
+                if unit in often:
+                    often[unit] += len(codes) // wide
+                elif len(more := asks.get(unit, b"") + codes) < least * wide:
+                    asks[unit] = more
+                else:
+                    often[unit] = len(more) // wide
+                    asks.pop(unit, None)
+        names = [u.replace(" ", SPACE) for u in (*asks, *often)]
+        counts = [len(codes) // wide for codes in asks.values()] + list(often.values())
         if names:
-            yield pd.DataFrame({"unit": names, "n": counts, "asks": pd.Series([*found.values(), *[None] * len(many)], dtype=object)})
+            yield pd.DataFrame({"unit": names, "n": counts, "asks": pd.Series([*asks.values(), *[None] * len(often)], dtype=object)})
 
     def count(batches):
         found: dict[str, bytes] = {}
-        many: dict[str, int] = {}
+        many: Counter[str] = Counter()
         for batch in batches:
             for bucket, text in zip(batch["bucket"].tolist(), batch["text"]):
                 code = bucket.to_bytes(wide, sys.byteorder)
-                for unit in set(units(text, cut)):
-                    if unit in many:
-                        many[unit] += 1
-                    elif len(codes := found.get(unit, b"") + code) < least * wide:
-                        found[unit] = codes
+                distinct = set(words(text))
+                many.update(often := distinct & many.keys())
+                for word in distinct - often:
+                    codes = found.get(word, b"") + code
+                    if len(codes) < least * wide:
+                        found[word] = codes
                     else:
-                        many[unit] = least
-                        found.pop(unit, None)
+                        many[word] = least
+                        found.pop(word, None)
                 if len(found) + len(many) >= _FLUSH_UNITS:
                     yield from rows(found, many)
-                    found, many = {}, {}
+                    found, many = {}, Counter()
         yield from rows(found, many)
 
     counted = texts.select("bucket", "text").mapInPandas(count, "unit string, n long, asks binary")
@@ -153,6 +181,20 @@ def _substrings(counted: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     )
 
 
+def merged_short(size: int, edges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+    """As ``merged``, by looking at all pairs each time: less work for a unit of few characters."""
+    cuts, none = list(range(size + 1)), (math.inf, None)
+    ranks = [edges.get((i, i + 2), none)[0] for i in range(size - 1)]
+    while ranks and (best := min(ranks)) < math.inf:
+        i = ranks.index(best)
+        del cuts[i + 1], ranks[i]
+        if i < len(ranks):
+            ranks[i] = edges.get((cuts[i], cuts[i + 2]), none)[0]
+        if i:
+            ranks[i - 1] = edges.get((cuts[i - 1], cuts[i + 1]), none)[0]
+    return cuts
+
+
 def merged(size: int, edges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
     """Where the pieces of a unit of ``size`` characters begin, and its end, when the pair of neighbours of the lowest rank
     (then the leftmost) is joined as long as there is one. ``edges`` has (rank, id) by (begin, end)."""
@@ -200,7 +242,7 @@ def merged_units(counted: DataFrame, vocabulary: Vocabulary):
                 last = first + len(codes)
                 edges = dict(zip(spans[first:last], pieces[first:last]))
                 first = last
-                cuts = merged(len(unit), edges)
+                cuts = (merged_short if len(unit) <= SHORT else merged)(len(unit), edges)
                 path = []
                 for span in zip(cuts, cuts[1:]):
                     edge = edges.get(span)
@@ -255,14 +297,13 @@ def encoded_units(counted: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 def _bundle(answers: list[tuple[str, bytes]]) -> bytes:
-    """Units and their ids, compressed; a line feed parts the units, and the unit that is one is written as nothing."""
+    """Units and their ids; a line feed parts the units, and the unit that is one is written as nothing."""
     names = "\n".join("" if unit == "\n" else unit for unit, _ in answers).replace(SPACE, " ").encode()
     sizes = np.array([len(names), len(answers), *(len(ids) for _, ids in answers)], dtype=np.int32).tobytes()
-    return zstandard.compress(b"".join([sizes, names, *(ids for _, ids in answers)]))
+    return b"".join([sizes, names, *(ids for _, ids in answers)])
 
 
-def _opened(bundle: bytes) -> dict[str, bytes]:
-    whole = zstandard.decompress(bundle)
+def _opened(whole: bytes) -> dict[str, bytes]:
     length, n = np.frombuffer(whole, dtype=np.int32, count=2).tolist()
     first = 8 + 4 * n
     ends = (np.cumsum(np.frombuffer(whole, dtype=np.int32, count=n, offset=8)) + first + length).tolist()
@@ -275,11 +316,12 @@ def answered(batches, least: int, wide: int):
     for together, without n and unit."""
     columns = ["bucket", "n", "unit", "packed"]
     held: dict[int, list[tuple[str, bytes]]] = defaultdict(list)
-    size = 0
+    size, packer = 0, zstandard.ZstdCompressor()
 
     def bundles():
-        for bucket, answers in held.items():
-            yield pd.DataFrame([(bucket, None, None, _bundle(answers))], columns=columns).astype({"n": "Int64"})
+        found = [(bucket, None, None, packer.compress(_bundle(answers))) for bucket, answers in held.items()]
+        if found:
+            yield pd.DataFrame(found, columns=columns).astype({"n": "Int64"})
 
     for batch in batches:
         frequent = []
@@ -312,10 +354,9 @@ def encode(
         raise ValueError("only unigram and BPE models are encoded")
     place = F.col(place_col).cast("long") if place_col else F.lit(None).cast("long")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), place.alias("position"))
-    length, rows = F.length("text"), F.count(F.lit(1))
-    spaces = length - F.length(F.translate("text", f" \n{SPACE}", ""))
-    total, size = (x or 0 for x in texts.agg(F.sum(spaces) + rows, F.sum(length) + 32 * rows).first())
-    least, tasks = max(2, math.ceil(total * frequent_share)), spread(size, TASK_CHARACTERS)
+    size, rows = texts.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    least = max(2, math.ceil(((size or 0) // WORD_BYTES + rows) * frequent_share))
+    tasks = spread((size or 0) + 32 * rows, TASK_BYTES)
     texts = texts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "position", "text"), F.lit(tasks)).cast("int"))
     wide, cut = _wide(tasks), vocabulary.cut if encode_as == "bpe" else _UNITS
 
@@ -343,17 +384,25 @@ def encode(
     def put_together(batches):
         known, prefix, pieces = shared.value
         opener = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(prefix, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-        at, rare = None, {}
+        unpacker = zstandard.ZstdDecompressor()
+        at, rare, held = None, {}, {}
+
+        def answer(word):
+            if len(held) >= _HELD_WORDS:
+                held.clear()
+            held[word] = ids = b"".join([known.get(u) or rare[u] for u in cut.findall(" " + word)])
+            return ids
+
         for batch in batches:
             texts, found, same = [], [], []
             for bucket, is_text, packed in zip(batch["bucket"], batch["is_text"], batch["packed"]):
                 if bucket != at:
                     at, rare = bucket, {}
                 if not is_text:  # come first in their bucket
-                    rare.update(_opened(packed))
+                    rare.update(_opened(unpacker.decompress(packed)))
                     continue
                 text = opener.decompress(packed).decode("utf-8", "surrogatepass")
-                parts = [known.get(u) or rare[u] for u in units(text, cut)]
+                parts = [held.get(w) or answer(w) for w in words(text)]
                 texts.append(text if with_text else None)
                 found.append(np.frombuffer(b"".join(parts), dtype=np.int32))
                 same.append(spelled(found[-1], pieces) == text.replace(SPACE, " "))
