@@ -54,8 +54,7 @@ SHORT = 32  # characters
 SPACE = "▁"
 _UNITS = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 _WORDS = re.compile(r" +[^ ]*")
-_FLUSH_UNITS = 500_000
-_HELD_WORDS = 200_000
+_FLUSH_UNITS = 300_000
 _FLUSH_ANSWERS = 1_000_000
 
 
@@ -88,8 +87,8 @@ class Vocabulary:
         return spelled | {i: bytes([b]) for b, i in enumerate(self.bytes)}
 
 
-def units(text: str) -> list[str]:
-    return _UNITS.findall(" " + text.replace(SPACE, " ")) if text else []
+def units(text: str, cut: re.Pattern = _UNITS) -> list[str]:
+    return cut.findall(" " + text.replace(SPACE, " ")) if text else []
 
 
 def words(text: str) -> list[str]:
@@ -385,24 +384,17 @@ def encode(
         known, prefix, pieces = shared.value
         opener = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(prefix, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
         unpacker = zstandard.ZstdDecompressor()
-        at, rare, held = None, {}, {}
-
-        def answer(word):
-            if len(held) >= _HELD_WORDS:
-                held.clear()
-            held[word] = ids = b"".join([known.get(u) or rare[u] for u in cut.findall(" " + word)])
-            return ids
-
+        at, rare = None, {}
         for batch in batches:
             texts, found, same = [], [], []
             for bucket, is_text, packed in zip(batch["bucket"], batch["is_text"], batch["packed"]):
                 if bucket != at:
                     at, rare = bucket, {}
                 if not is_text:  # come first in their bucket
-                    rare.update(_opened(unpacker.decompress(packed)))
+                    rare.update(_opened(zstandard.decompress(packed)))
                     continue
                 text = opener.decompress(packed).decode("utf-8", "surrogatepass")
-                parts = [held.get(w) or answer(w) for w in words(text)]
+                parts = [known.get(u) or rare[u] for u in units(text, cut)]
                 texts.append(text if with_text else None)
                 found.append(np.frombuffer(b"".join(parts), dtype=np.int32))
                 same.append(spelled(found[-1], pieces) == text.replace(SPACE, " "))
