@@ -50,11 +50,14 @@ WORD_BYTES = 6  # about, to tell from the size of the texts how many words there
 UNKNOWN_PENALTY = 10.0  # below the lowest score, as in the library
 
 SHORT = 32  # characters
+_NO_RANK = 2**31 - 1
 
 SPACE = "▁"
 _UNITS = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 _WORDS = re.compile(r" +[^ ]*")
+_PIECE = "substring(unit, end - len + 1, len)"
 _FLUSH_UNITS = 300_000
+_FRAME_ROWS = 20_000
 _FLUSH_ANSWERS = 1_000_000
 
 
@@ -117,24 +120,13 @@ def unit_counts(texts: DataFrame, tasks: int, least: int, cut: re.Pattern) -> Da
     wide = _wide(tasks)
 
     def rows(found, many):
-        asks: dict[str, bytes] = {}
-        often: Counter[str] = Counter()
-        for word, n in many.items():
-            for unit in cut.findall(" " + word):
-                often[unit] += n
-        for word, codes in found.items():
-            for unit in cut.findall(" " + word):
-                if unit in often:
-                    often[unit] += len(codes) // wide
-                elif len(more := asks.get(unit, b"") + codes) < least * wide:
-                    asks[unit] = more
-                else:
-                    often[unit] = len(more) // wide
-                    asks.pop(unit, None)
-        names = [u.replace(" ", SPACE) for u in (*asks, *often)]
-        counts = [len(codes) // wide for codes in asks.values()] + list(often.values())
-        if names:
-            yield pd.DataFrame({"unit": names, "n": counts, "asks": pd.Series([*asks.values(), *[None] * len(often)], dtype=object)})
+        """Frames of the counts; what they have is taken out, so that little is in memory twice."""
+        for counts in (found, many):
+            while counts:
+                some, values = zip(*[counts.popitem() for _ in range(min(len(counts), _FRAME_ROWS))])
+                n = [len(codes) // wide for codes in values] if counts is found else values
+                asks = pd.Series(values if counts is found else [None] * len(some), dtype=object)
+                yield pd.DataFrame({"unit": [u.replace(" ", SPACE) for u in some], "n": n, "asks": asks})
 
     def count(batches):
         found: dict[str, bytes] = {}
@@ -142,18 +134,20 @@ def unit_counts(texts: DataFrame, tasks: int, least: int, cut: re.Pattern) -> Da
         for batch in batches:
             for bucket, text in zip(batch["bucket"].tolist(), batch["text"]):
                 code = bucket.to_bytes(wide, sys.byteorder)
-                distinct = set(words(text))
+                distinct = set(units(text, cut))
                 many.update(often := distinct & many.keys())
-                for word in distinct - often:
-                    codes = found.get(word, b"") + code
+                distinct -= often
+                again = distinct & found.keys()
+                found.update(dict.fromkeys(distinct - again, code))
+                for unit in again:
+                    codes = found[unit] + code
                     if len(codes) < least * wide:
-                        found[word] = codes
+                        found[unit] = codes
                     else:
-                        many[word] = least
-                        found.pop(word, None)
+                        many[unit] = least
+                        del found[unit]
                 if len(found) + len(many) >= _FLUSH_UNITS:
                     yield from rows(found, many)
-                    found, many = {}, Counter()
         yield from rows(found, many)
 
     counted = texts.select("bucket", "text").mapInPandas(count, "unit string, n long, asks binary")
@@ -171,27 +165,50 @@ def _asked(asks: bytes, wide: int) -> set[int]:
 
 
 def _substrings(counted: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(unit, n, asks, end, len, piece): the substrings of the units that can be pieces."""
-    return (
-        counted.withColumn("size", F.length("unit"))
-        .withColumn("end", F.explode(F.sequence(F.lit(1), F.col("size"))))
-        .withColumn("len", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.col("end")))))
-        .withColumn("piece", F.expr("substring(unit, end - len + 1, len)"))
+    """(unit, n, asks, end, len): the places of the substrings of the units that can be pieces (``_PIECE``)."""
+    return counted.withColumn("end", F.explode(F.sequence(F.lit(1), F.length("unit")))).withColumn(
+        "len", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.col("end"))))
     )
 
 
+def merged_together(sizes: np.ndarray, places: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """As ``merged``, for many units of few characters at once, in each round the best pair of every unit. ``places`` has by
+    unit, begin and length which of ``ranks`` an edge has, and -1 without an edge: the last rank, which nothing exceeds. The
+    result has by unit and begin the end of the piece that begins there, else 0."""
+    many, most, longest = places.shape[0], places.shape[1], places.shape[2] - 1
+    none, at = ranks[-1], np.arange(most + 1)
+    ends = np.where(at < sizes[:, None], at + 1, 0)
+    before = np.tile(at - 1, (many, 1))
+    pairs, rows = ranks[places[:, :, 2]], np.arange(many)
+
+    def rank(rows, begin, end):
+        size = end - begin
+        return ranks[places[rows, begin, np.where((size > 0) & (size <= longest), size, 0)]]
+
+    while len(rows):
+        begin = pairs.argmin(axis=1)  # of equal ones the leftmost
+        left = pairs[np.arange(len(rows)), begin] < none
+        if not left.all():
+            pairs, rows, begin = pairs[left], rows[left], begin[left]
+        own, middle = np.arange(len(rows)), ends[rows, begin]
+        end = ends[rows, middle]
+        ends[rows, begin], ends[rows, middle], before[rows, end] = end, 0, begin
+        pairs[own, middle] = none
+        pairs[own, begin] = rank(rows, begin, ends[rows, end])
+        first = before[rows, begin]
+        own, rows_of, end, first = (x[first >= 0] for x in (own, rows, end, first))
+        pairs[own, first] = rank(rows_of, first, end)
+    return ends[:, :most]
+
+
 def merged_short(size: int, edges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """As ``merged``, by looking at all pairs each time: less work for a unit of few characters."""
-    cuts, none = list(range(size + 1)), (math.inf, None)
-    ranks = [edges.get((i, i + 2), none)[0] for i in range(size - 1)]
-    while ranks and (best := min(ranks)) < math.inf:
-        i = ranks.index(best)
-        del cuts[i + 1], ranks[i]
-        if i < len(ranks):
-            ranks[i] = edges.get((cuts[i], cuts[i + 2]), none)[0]
-        if i:
-            ranks[i - 1] = edges.get((cuts[i - 1], cuts[i + 1]), none)[0]
-    return cuts
+    """``merged_together`` for one unit."""
+    spans = list(edges)
+    places = np.full((1, size, max([2, *(b - a for a, b in spans)]) + 1), -1)
+    for place, (begin, end) in enumerate(spans):
+        places[0, begin, end - begin] = place
+    ends = merged_together(np.array([size]), places, np.array([*(edges[s][0] for s in spans), _NO_RANK]))
+    return [*np.flatnonzero(ends[0]).tolist(), size]
 
 
 def merged(size: int, edges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
@@ -222,32 +239,50 @@ def merged_units(counted: DataFrame, vocabulary: Vocabulary):
     spark = counted.sparkSession
     by_score = {s: rank for rank, s in enumerate(sorted({s for _, _, s in vocabulary.pieces}, reverse=True))}
     places = [(piece, place) for place, (piece, _, _) in enumerate(vocabulary.pieces)]
-    ranked = [(by_score[s], i) for _, i, s in vocabulary.pieces]
+    ranks = np.array([*(by_score[s] for _, _, s in vocabulary.pieces), _NO_RANK])
+    piece_ids = np.array([*(i for _, i, _ in vocabulary.pieces), -1], dtype=np.int32)
     byte_ids, stride, width = vocabulary.bytes, len(places), vocabulary.longest + 1
-    pieces = F.broadcast(spark.createDataFrame(places, "piece string, place long"))
+    # Joined by hash, a number, and then compared: a join by the strings themselves takes more than twice the time.
+    pieces = F.broadcast(spark.createDataFrame(places, "known string, place long").withColumn("hash", F.xxhash64("known")))
     # An edge is one number: its end, its length and the place of its piece.
-    edges = _substrings(counted, vocabulary).join(pieces, "piece", "left").where("place IS NOT NULL OR len = 1").select(
-        "unit", "n", "asks", F.expr(f"(cast(end AS long) * {width} + len) * {stride} + place").alias("edge")
+    edges = (
+        _substrings(counted, vocabulary).withColumn("hash", F.expr(f"xxhash64({_PIECE})")).join(pieces, "hash", "left")
+        .where(f"known = {_PIECE} OR len = 1")
+        .selectExpr("unit", "n", "asks", f"if(known = {_PIECE}, (cast(end AS long) * {width} + len) * {stride} + place, null) AS edge")
     )
     lattice = edges.groupBy("unit").agg(F.first("n").alias("n"), F.first("asks").alias("asks"), F.collect_list("edge").alias("edges"))
 
+    def spelled_out(unit, cuts, edges):
+        """The pieces between the cuts, by their spans; what has no piece is one character."""
+        spans = zip(cuts, cuts[1:])
+        return [i for a, b in spans for i in ([edges[a, b]] if (a, b) in edges else [byte_ids[x] for x in unit[a:b].encode()])]
+
     def fold(batches):
         for batch in batches:
-            found, first = [], 0
+            units, n = batch["unit"].tolist(), len(batch)
+            sizes = np.fromiter(map(len, units), np.int64, n)
+            row = np.repeat(np.arange(n), np.fromiter(map(len, batch["edges"]), np.int64, n))
             spans, place = np.divmod(np.concatenate([*batch["edges"], np.empty(0, np.int64)]), stride)
-            ends, sizes = np.divmod(spans, width)
-            spans, pieces = list(zip((ends - sizes).tolist(), ends.tolist())), [ranked[i] for i in place.tolist()]
-            for unit, codes in zip(batch["unit"], batch["edges"]):
-                last = first + len(codes)
-                edges = dict(zip(spans[first:last], pieces[first:last]))
-                first = last
-                cuts = (merged_short if len(unit) <= SHORT else merged)(len(unit), edges)
-                path = []
-                for span in zip(cuts, cuts[1:]):
-                    edge = edges.get(span)
-                    path.extend([edge[1]] if edge else [byte_ids[b] for b in unit[slice(*span)].encode()])
-                found.append(path)
-            yield pd.DataFrame({"unit": batch["unit"], "n": batch["n"], "asks": batch["asks"], "ids": pd.Series(found, dtype=object)})
+            end, size = np.divmod(spans, width)
+            short = np.flatnonzero(sizes <= SHORT)
+            lattices = np.full((n, max([1, *sizes[short]]), max(width, 3)), -1, dtype=np.int32)
+            own = sizes[row] <= SHORT
+            lattices[row[own], (end - size)[own], size[own]] = place[own]
+            ends = merged_together(np.where(sizes <= SHORT, sizes, 0), lattices, ranks)
+            of, begin = np.nonzero(ends)
+            ids = piece_ids[lattices[of, begin, ends[of, begin] - begin]]
+            limits = np.searchsorted(of, np.arange(n + 1)).tolist()
+            found = [ids[a:b] for a, b in zip(limits, limits[1:])]
+            # units with characters without a piece, and long ones
+            for i in np.union1d(of[ids < 0], np.flatnonzero(sizes > SHORT)).tolist():
+                first, last = np.searchsorted(row, [i, i + 1])
+                keys = list(zip((end - size)[first:last].tolist(), end[first:last].tolist()))
+                if sizes[i] > SHORT:
+                    cuts = merged(len(units[i]), dict(zip(keys, zip(ranks[place[first:last]].tolist()))))
+                else:
+                    cuts = [*begin[limits[i] : limits[i + 1]].tolist(), len(units[i])]
+                found[i] = spelled_out(units[i], cuts, dict(zip(keys, piece_ids[place[first:last]].tolist())))
+            yield pd.DataFrame({"unit": units, "n": batch["n"], "asks": batch["asks"], "ids": pd.Series(found, dtype=object)})
 
     return lattice, fold
 
@@ -256,7 +291,7 @@ def encoded_units(counted: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(unit, n, asks, ids) for every row (unit, n, asks), by the path of the highest sum of scores."""
     pieces = F.broadcast(vocabulary.table(counted.sparkSession))
     edges = (
-        _substrings(counted, vocabulary).join(pieces, "piece", "left")
+        _substrings(counted, vocabulary).withColumn("piece", F.expr(_PIECE)).join(pieces, "piece", "left")
         .where("piece_id IS NOT NULL OR len = 1")
         .select(
             "unit", "n", "asks",
@@ -325,12 +360,13 @@ def answered(batches, least: int, wide: int):
     for batch in batches:
         frequent = []
         for unit, n, asks, ids in zip(batch["unit"], batch["n"].tolist(), batch["asks"], batch["ids"]):
-            packed = np.array(ids, dtype=np.int32).tobytes()
+            packed = np.asarray(ids, dtype=np.int32).tobytes()
             if n >= least:
                 frequent.append((-1, n, unit, packed))
                 continue
+            answer = (unit, packed)
             for bucket in _asked(asks, wide):
-                held[bucket].append((unit, packed))
+                held[bucket].append(answer)
                 size += 1
         if frequent:
             yield pd.DataFrame(frequent, columns=columns)
@@ -382,21 +418,21 @@ def encode(
 
     def put_together(batches):
         known, prefix, pieces = shared.value
+        pieces = _by_id(pieces)
         opener = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(prefix, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
         unpacker = zstandard.ZstdDecompressor()
-        at, rare = None, {}
+        at, ids_of = None, known
         for batch in batches:
             texts, found, same = [], [], []
             for bucket, is_text, packed in zip(batch["bucket"], batch["is_text"], batch["packed"]):
                 if bucket != at:
-                    at, rare = bucket, {}
+                    at, ids_of = bucket, known.copy()
                 if not is_text:  # come first in their bucket
-                    rare.update(_opened(zstandard.decompress(packed)))
+                    ids_of.update(_opened(zstandard.decompress(packed)))
                     continue
                 text = opener.decompress(packed).decode("utf-8", "surrogatepass")
-                parts = [known.get(u) or rare[u] for u in units(text, cut)]
                 texts.append(text if with_text else None)
-                found.append(np.frombuffer(b"".join(parts), dtype=np.int32))
+                found.append(np.frombuffer(b"".join(map(ids_of.__getitem__, units(text, cut))), dtype=np.int32))
                 same.append(spelled(found[-1], pieces) == text.replace(SPACE, " "))
             if found:
                 kept = batch.loc[batch["is_text"], ["doc_id", "position"]].reset_index(drop=True)
@@ -410,9 +446,16 @@ def encode(
     return found if place_col else found.drop("position")
 
 
-def spelled(ids: np.ndarray, pieces: dict[int, bytes]) -> str:
+def _by_id(pieces: dict[int, bytes]) -> np.ndarray:
+    """The bytes of the pieces, each in the place of its id."""
+    found = np.full(max(pieces) + 1, b"", dtype=object)
+    found[list(pieces)] = list(pieces.values())
+    return found
+
+
+def spelled(ids: np.ndarray, pieces: np.ndarray) -> str:
     """The text of a list of pieces, without the space that encoding puts before it."""
-    text = b"".join([pieces[i] for i in ids.tolist()]).decode("utf-8", "replace")
+    text = b"".join(pieces[ids].tolist()).decode("utf-8", "replace")
     return text[1:] if text.startswith(" ") else text
 
 
@@ -423,7 +466,8 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> Dat
     @F.pandas_udf("string")
     def text(lists: pd.Series) -> pd.Series:
         known = pieces.value
-        return lists.map(lambda x: None if x is None else spelled(np.array([i for i in x if i in known], dtype=np.int64), known))
+        by_id = _by_id(known)
+        return lists.map(lambda x: None if x is None else spelled(np.array([i for i in x if i in known], dtype=np.int64), by_id))
 
     return rows.withColumn("decoded", text(ids_col))
 
