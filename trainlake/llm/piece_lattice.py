@@ -35,6 +35,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,7 +57,7 @@ SPACE = "▁"
 _UNITS = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 _WORDS = re.compile(r" +[^ ]*")
 _PIECE = "substring(unit, end - len + 1, len)"
-_FLUSH_UNITS = 300_000
+_FLUSH_UNITS = 500_000
 _FRAME_ROWS = 20_000
 _FLUSH_ANSWERS = 1_000_000
 
@@ -115,8 +116,7 @@ def _cut(pieces: list[str]) -> re.Pattern:
 
 def unit_counts(texts: DataFrame, tasks: int, least: int, cut: re.Pattern) -> DataFrame:
     """(unit, n, asks) over all texts (bucket, text), summed within each task first; spaces are written as in pieces. ``n`` is
-    the number of words with the unit that are distinct in their text, ``asks`` the buckets of these texts (see ``_asked``), null
-    from ``least`` on."""
+    the number of texts with the unit, ``asks`` their buckets (see ``_asked``), null from ``least`` on."""
     wide = _wide(tasks)
 
     def rows(found, many):
@@ -420,29 +420,33 @@ def encode(
         known, prefix, pieces = shared.value
         pieces = _by_id(pieces)
         opener = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(prefix, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-        unpacker = zstandard.ZstdDecompressor()
         at, ids_of = None, known
         for batch in batches:
             texts, found, same = [], [], []
-            for bucket, is_text, packed in zip(batch["bucket"], batch["is_text"], batch["packed"]):
+            for bucket, is_text, packed in zip(*(batch[c].to_pylist() for c in ("bucket", "is_text", "packed"))):
                 if bucket != at:
                     at, ids_of = bucket, known.copy()
                 if not is_text:  # come first in their bucket
                     ids_of.update(_opened(zstandard.decompress(packed)))
                     continue
                 text = opener.decompress(packed).decode("utf-8", "surrogatepass")
+                ids = b"".join(map(ids_of.__getitem__, units(text, cut)))
                 texts.append(text if with_text else None)
-                found.append(np.frombuffer(b"".join(map(ids_of.__getitem__, units(text, cut))), dtype=np.int32))
-                same.append(spelled(found[-1], pieces) == text.replace(SPACE, " "))
+                found.append(ids)
+                same.append(spelled(np.frombuffer(ids, dtype=np.int32), pieces) == text.replace(SPACE, " "))
             if found:
-                kept = batch.loc[batch["is_text"], ["doc_id", "position"]].reset_index(drop=True)
-                yield kept.assign(text=pd.Series(texts, dtype=object), ids=pd.Series(found, dtype=object), round_trip=same)
+                # As Arrow's own lists: pandas would have every id made an object.
+                limits = np.cumsum([0, *(len(ids) // 4 for ids in found)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(limits), pa.array(np.frombuffer(b"".join(found), dtype=np.int32)))
+                kept = batch.filter(batch["is_text"])
+                columns = [kept["doc_id"], kept["position"], pa.array(texts, pa.string()), lists, pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "position", "text", "ids", "round_trip"])
 
     moved = "bucket int, is_text boolean, doc_id long, position long, packed binary"
     packed = texts.mapInPandas(pack, moved)
     bundles = answers.where("n IS NULL").selectExpr("bucket", "false AS is_text", "0L AS doc_id", "0L AS position", "packed")
     both = bundles.unionByName(packed).repartitionById(tasks, "bucket").sortWithinPartitions("bucket", "is_text")
-    found = both.mapInPandas(put_together, "doc_id long, position long, text string, ids array<int>, round_trip boolean")
+    found = both.mapInArrow(put_together, "doc_id long, position long, text string, ids array<int>, round_trip boolean")
     return found if place_col else found.drop("position")
 
 
