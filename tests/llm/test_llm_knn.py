@@ -82,6 +82,7 @@ def test_queries_move_to_blocks_not_to_rings(spark, monkeypatch):
 def test_large_rings_and_many_queries_are_cut(spark, monkeypatch):
     monkeypatch.setattr(voronoi_knn, "PART_QUERIES", 7)
     monkeypatch.setattr(voronoi_knn, "SCORES", 50)
+    monkeypatch.setattr(voronoi_knn, "TILE", 7)
     rng = random.Random(10)
     rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(400)]
     df = spark.createDataFrame([(i, v, "", "", 0) for i, v in rows], SCHEMA.replace("float", "double"))

@@ -32,10 +32,10 @@ from trainlake.llm.common import read, small_batches, stored
 
 MOST_PIVOTS, RINGS = 4096, 8
 # Vectors of a block: this many, or more where the vectors of one length would make more than MOST_BLOCKS blocks, up to
-# BLOCK_NUMBERS components (64 MB as floats). Queries that one copy of a block answers; scores computed at once.
+# BLOCK_NUMBERS components (64 MB as floats). Queries that one copy of a block answers; vectors and scores computed at once.
 BLOCK_ROWS, MOST_BLOCKS, BLOCK_NUMBERS = 4096, 64, 2**23
 PART_QUERIES = 65536
-SCORES = 2**21
+TILE, SCORES = 4096, 2**20
 
 # Below it all whole numbers, and so sums of whole numbers, are exact in the type.
 _EXACT = ((np.float32, 2.0**24), (np.float64, 2.0**52))
@@ -76,6 +76,13 @@ def _unpacked(rows: list[bytes], size: int) -> np.ndarray:
     return vectors
 
 
+def _ranked(query: np.ndarray, score: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each query's rows in order, best first, and the place of each from 0."""
+    order = np.lexsort((rows, ids, ~score, query))
+    _, begins, sizes = np.unique(query[order], return_index=True, return_counts=True)
+    return order, np.arange(len(order)) - np.repeat(begins, sizes)
+
+
 def _near_together(points: np.ndarray) -> np.ndarray:
     """The points in an order in which near ones mostly follow each other: halved again and again along their widest axis."""
     todo, order = [np.arange(len(points))], []
@@ -217,18 +224,17 @@ class _Block:
         self.counts = np.concatenate([pc.list_value_length(run.column("ids")).to_numpy() for run in runs]).astype(np.int64)
         self.begins = self.counts.cumsum() - self.counts
 
-    def scores(self, queries: np.ndarray, columns: np.ndarray | None) -> np.ndarray:
+    def scores(self, queries: np.ndarray, columns: np.ndarray) -> np.ndarray:
         """All inner products with the vectors ``columns``, exactly: as floats where these hold them, else as whole numbers."""
         largest = self.longest * _longest(queries)  # no sum of some of the products is larger
         if kind := next((kind for kind, limit in _EXACT if largest < limit), None):
             if self.floats is None or self.floats.dtype != kind:
                 self.floats = self.vectors.astype(kind)
-            return queries.astype(kind) @ (self.floats if columns is None else self.floats[columns]).T
-        columns = np.arange(len(self.vectors)) if columns is None else columns
-        found, left = np.empty((len(queries), len(columns)), dtype=np.int64), queries.astype(object)
-        for i in range(0, len(columns), 1024):
-            exact = left @ self.vectors[columns[i : i + 1024]].astype(object).T
-            found[:, i : i + 1024] = np.clip(exact, _LEAST, _MOST).astype(np.int64)
+            return queries.astype(kind) @ self.floats[columns].T
+        found, left, step = np.empty((len(queries), len(columns)), dtype=np.int64), queries.astype(object), max(1, SCORES // 4 // self.rings.size)
+        for i in range(0, len(columns), step):
+            exact = left @ self.vectors[columns[i : i + step]].astype(object).T
+            found[:, i : i + step] = np.clip(exact, _LEAST, _MOST).astype(np.int64)
         return found
 
     def best(self, run: pa.RecordBatch, keep: int, own: bool) -> Iterator[pa.RecordBatch]:
@@ -237,39 +243,42 @@ class _Block:
         queries = _unpacked(run.column("packed").to_pylist(), self.rings.size)
         least = np.full(len(key), -np.inf) if own else run.column("least").to_numpy()
         cuts = np.flatnonzero(cell[1:] != cell[:-1]) + 1 if own else []
-        step = max(1, SCORES // len(self.vectors))
+        step = max(1, SCORES // TILE)
         for begin, end in zip([0, *cuts], [*cuts, len(key)]):
             for here in (slice(i, min(i + step, end)) for i in range(begin, end, step)):
                 if own:
                     reached = self.cells == cell[here][:, None]
                 else:
                     reached = self.rings.reached(queries[here].astype(np.float64), least[here], cell[here], self.within)
-                asked = reached.any(0)[self.ring]
-                if asked.any():
-                    columns = None if asked.mean() > 0.5 else np.flatnonzero(asked)
-                    yield from self._best(key[here], least[here], reached, self.scores(queries[here], columns), columns, keep)
-
-    def _best(self, key, least, reached, scores, columns, keep) -> Iterator[pa.RecordBatch]:
-        found, limit = [], least - 1e-9 * np.abs(least) - 1e-6
-        if scores.dtype == np.float32:
-            limit = np.nextafter(limit.astype(np.float32), np.float32(-np.inf))
-        enough = scores >= limit[:, None]
-        for i in np.flatnonzero(enough.any(1)):
-            near = np.flatnonzero(enough[i])
-            score = scores[i, near].astype(np.int64)
-            near = near if columns is None else columns[near]
-            allowed = reached[i, self.ring[near]]
-            near, score = near[allowed], score[allowed]
-            if len(near) > keep:  # rows whose score is among the best `keep`, then their ids in order
-                among = score >= np.partition(score, -keep)[-keep]
-                near, score = near[among], score[among]
+                yield from self._best(key[here], queries[here], least[here], reached, keep)
+
+    def _best(self, key: np.ndarray, queries: np.ndarray, least: np.ndarray, reached: np.ndarray, keep: int) -> Iterator[pa.RecordBatch]:
+        below = lambda x: x - 1e-9 * np.abs(x) - 1e-6
+        limit, asked = below(least), np.flatnonzero(reached.any(0)[self.ring])
+        query, near, score = (np.zeros(0, dtype=np.int64) for _ in range(3))
+        for columns in (asked[i : i + TILE] for i in range(0, len(asked), TILE)):
+            scores = self.scores(queries, columns)
+            bar = np.nextafter(limit.astype(np.float32), np.float32(-np.inf)) if scores.dtype == np.float32 else limit
+            i, j = np.nonzero(scores >= bar[:, None])
+            allowed = reached[i, self.ring[columns[j]]]
+            i, j = i[allowed], j[allowed]
+            if not len(i):
+                continue
+            query, near, score = np.concatenate([query, i]), np.concatenate([near, columns[j]]), np.concatenate([score, scores[i, j].astype(np.int64)])
+            # Each vector has a row, so no row of a vector behind `keep` others by score and first row is among the best.
+            first = self.begins[near]
+            order, place = _ranked(query, score, self.ids[first], self.rows[first])
+            order, last = order[place < keep], order[place == keep - 1]
+            limit[query[last]] = np.maximum(limit[query[last]], below(score[last].astype(np.float64)))
+            query, near, score = query[order], near[order], score[order]
+        if len(query):
             counts = self.counts[near]
             row = np.repeat(self.begins[near] - counts.cumsum() + counts, counts) + np.arange(counts.sum())
-            score = np.repeat(score, counts)
-            order = np.lexsort((self.rows[row], self.ids[row], ~score))[:keep]
-            found.append((np.full(len(order), key[i]), self.ids[row[order]], self.rows[row[order]], score[order]))
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["query_key", "vec_id", "row", "score"])
+            query, score = np.repeat(query, counts), np.repeat(score, counts)
+            order, place = _ranked(query, score, self.ids[row], self.rows[row])
+            order = order[place < keep]
+            found = [key[query[order]], self.ids[row[order]], self.rows[row[order]], score[order]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_key", "vec_id", "row", "score"])
 
 
 def _solve(queries: DataFrame, vectors: DataFrame, space: _Space, keep: int, own: bool) -> DataFrame:
@@ -330,8 +339,12 @@ class KnnJoin:
         counts = {size: n for size, n in distinct.groupBy(F.size("vec")).count().collect()}
         if pivots is None:
             pivots = min(MOST_PIVOTS, max(16, int(sum(counts.values()) ** 0.5)))
-        length = Window.partitionBy(F.size("vec")).orderBy("key", "vec")
-        chosen = distinct.select("key", "vec", F.row_number().over(length).alias("place")).where(F.col("place") <= pivots)
+        length = Window.partitionBy("size").orderBy("key", "vec")
+        # The least hashes of a length: those far above are left out first, so what meets in one task doesn't grow with the tasks.
+        highest = [(size, min(_MOST, _LEAST + 2**64 * (2 * pivots + 64) // n)) for size, n in counts.items()]
+        highest = F.broadcast(table.sparkSession.createDataFrame(highest, "size int, highest long"))
+        chosen = distinct.select("key", "vec", F.size("vec").alias("size")).join(highest, "size").where("key <= highest")
+        chosen = chosen.withColumn("place", F.row_number().over(length)).where(F.col("place") <= pivots)
         drawn: dict[int, list[list[int]]] = {}
         for row in chosen.orderBy(F.size("vec"), "place").collect():
             drawn.setdefault(len(row["vec"]), []).append(row["vec"])
